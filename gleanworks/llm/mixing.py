@@ -1,9 +1,9 @@
 """Mixing sources to target weights by pivotal dependent rounding (operator 5).
 
 Every document of a source gets the same fractional number of copies, target / size of the source; its
-whole part is certain, and what is left is rounded by the pivotal method: two documents with fractional
-parts transfer mass at random, with the sum of words and every document's expectation unchanged, until one
-of them is integral; the other goes on. A leaf (a bounded number of documents, dealt by a hash of doc_id,
+whole part is certain, and what is left is rounded by the pivotal method: two units with fractional parts
+transfer mass at random, with the sum of words and every document's expectation unchanged, until one of
+them is integral; the other goes on (a unit is a document, or all documents still of one fraction). A leaf (a bounded number of documents, dealt by a hash of doc_id,
 so that the largest source is spread over all leaves) leaves at most one fractional document per source;
 these residuals meet in a reduction tree of fan-in ``FAN`` until each source has one, which is rounded by
 itself. So the words taken from a source miss its target by less than one document.
@@ -49,41 +49,48 @@ def targets(sizes: np.ndarray, weights: np.ndarray, total: float, most: float =
     return out
 
 
-def _round(x: np.ndarray, w: np.ndarray, ids: np.ndarray, salt: int) -> int:
-    """Make all but one of x integral (in place), pair by pair; the place of the one left, or -1."""
+def _transfer(x: float, w: float, y: float, v: float, draw: float) -> tuple[float, float]:
+    """Move words between fractions x (of w words) and y (of v) until one is 0 or 1; expectations stay."""
+    up, down = min(1 - x, y * v / w), min(x, (1 - y) * v / w)
+    t = up if draw < down / (up + down) else -down
+    x, y = x + t, y - t * w / v
+    return tuple(float(round(z)) if min(z, 1 - z) < 1e-9 else z for z in (x, y))
+
+
+def _round(x: np.ndarray, w: np.ndarray, salt: int) -> None:
+    """Make all but at most one of x integral, in place; x and w go from many words to few.
+
+    While all fractions are alike, a document is paired with all that follow as one unit, so that large
+    documents are settled against many small ones and what is left over is small; else pair by pair."""
+    draws = np.random.default_rng(salt).random(len(x))
+    for i in np.flatnonzero((w == 0) & (x > 0) & (x < 1)):  # no words to balance
+        x[i] = float(draws[i] < x[i])
+    todo = np.flatnonzero((x > 0) & (x < 1))
+    if len(todo) and np.ptp(x[todo]) == 0:
+        rest = np.cumsum(w[todo][::-1])[::-1]
+        common = x[todo[0]]
+        for k, i in enumerate(todo[:-1]):
+            x[i], common = _transfer(common, w[i], common, rest[k + 1], draws[i])
+            if common in (0.0, 1.0):
+                x[todo[k + 1 :]] = common
+                return
+        x[todo[-1:]] = common
+        return
     live = -1
-    draws = np.random.default_rng(salt)
-    for i in range(len(x)):
-        if not 0 < x[i] < 1:
-            continue
-        if w[i] == 0:  # no words to balance
-            x[i] = float(draws.random() < x[i])
-            continue
-        if live < 0:
-            live = i
-            continue
-        a, b = live, i
-        # x[a] + t, x[b] - t * w[a] / w[b]: up until one is integral, or down
-        r = w[a] / w[b]
-        up, down = min(1 - x[a], x[b] / r), min(x[a], (1 - x[b]) / r)
-        t = up if draws.random() < down / (up + down) else -down
-        x[a] += t
-        x[b] -= t * r
-        for k in (a, b):
-            if x[k] < 1e-9 or x[k] > 1 - 1e-9:
-                x[k] = round(x[k])
-        live = a if 0 < x[a] < 1 else b if 0 < x[b] < 1 else -1
-    return live
+    for i in todo:
+        if live >= 0:
+            x[live], x[i] = _transfer(x[live], w[live], x[i], w[i], draws[i])
+        live = i if 0 < x[i] < 1 else live if live >= 0 and 0 < x[live] < 1 else -1
 
 
 def _node(pdf: pd.DataFrame, level: int, seed: int) -> pd.DataFrame:
-    """Round within one node of the tree: every row comes back, fractional ones with copies still not whole."""
-    pdf = pdf.sort_values(["source_at", "size", "doc_id", "row"], kind="stable", na_position="last").reset_index(drop=True)
-    x, w, ids = pdf.part.to_numpy(float).copy(), pdf["size"].to_numpy(float), pdf.row.to_numpy()
+    """Round within one node of the tree; a row that comes back fractional goes on to the next level."""
+    pdf = pdf.sort_values(["source_at", "size", "doc_id", "row"], ascending=[True, False, True, True], kind="stable").reset_index(drop=True)
+    x, w = pdf.part.to_numpy(float).copy(), pdf["size"].to_numpy(float)
     for source, at in pdf.groupby("source_at", sort=True).indices.items():
         at = np.sort(at)
         part = x[at]
-        _round(part, w[at], ids[at], xxhash.xxh3_64_intdigest(f"{seed}/{level}/{int(pdf.node[0])}/{source}"))
+        _round(part, w[at], xxhash.xxh3_64_intdigest(f"{seed}/{level}/{int(pdf.node[0])}/{source}"))
         x[at] = part
     return pdf.assign(part=x)
 
