@@ -10,8 +10,10 @@ Candidates are never emitted as all pairs of a posting list:
 
 1. Prefix entries that no other node has are dropped (packed blocks dealt by shingle; very frequent
    shingles are dealt by node as well, and pass).
-2. Of every posting list the least node is paired with each other: as many pairs as entries. These are
-   verified on the exact sets, and components formed.
+   What a node's prefix holds alone bounds what it can share, and parity signatures bound from below in
+   how many shingles two sets differ: both settle most pairs before any set is read, and lose none.
+2. Of every posting list the most typical node is paired with each other: as many pairs as entries. Each node's pair with the
+   most shared entries is verified on the exact sets, and components are formed.
 3. What is left are pairs of one list in different components. For each list the entries outside its most
    common component are joined with those of other components; the pairs are verified. So a list whose
    nodes are all copies of each other costs nothing more, and no link between components is missed.
@@ -29,8 +31,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gleanworks.llm.common import WordHashes, as_bytes, components, materialize, scramble, shingles
 
@@ -43,6 +46,7 @@ MATCHES = (1, 2, 3, 4, 6, 8)
 CHECK = 16.0
 #: Members of a hub that are verified in one task.
 HUB = 256
+SIGNATURE = ("s0", "s1", "s2", "s3")
 
 
 def digest(s: np.ndarray) -> int:
@@ -52,6 +56,23 @@ def digest(s: np.ndarray) -> int:
     return int(h[0] >> np.uint64(1))
 
 
+def packed_set(s: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash, ascending: six bytes a shingle on their way to a comparison."""
+    return s.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked_set(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return np.hstack([raw, np.zeros((len(raw), 2), np.uint8)]).view(">u8").ravel().astype(np.uint64)
+
+
+def parities(s: np.ndarray) -> list[int]:
+    """A 256-bit signature: for each bit, whether it is hit an odd number of times. Two sets differ in at
+    least as many shingles as their signatures in bits."""
+    odd = np.bincount((s >> np.uint64(8) & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64).tolist()
+
+
 def _blocks(counts: np.ndarray, dtype: type) -> tuple[list[int], list[bytes]]:
     parts = np.minimum(counts, np.iinfo(dtype).max).astype(dtype).reshape(-1, min(len(counts), 1 << BLOCK))
     at = [i for i, p in enumerate(parts) if p.any()]
@@ -83,7 +104,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = WordHashes()
     counts = np.zeros(1 << SKETCH, np.int64)
     held: list[np.ndarray] = []
-    names = ["doc_id", "node", "n", "block", "data"]
+    names = ["doc_id", "node", "n", "bits", "block", "data"]
 
     def pour() -> None:
         if held:
@@ -91,20 +112,21 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.clear()
 
     for batch in batches:
-        nodes, sizes = [], []
+        nodes, sizes, bits = [], [], []
         for text in as_bytes(batch.column("text")):
             s = shingles(text, cache)
             nodes.append(digest(s) if len(s) else None)
             sizes.append(len(s))
+            bits.append(parities(s))
             held.append(s)
         if sum(map(len, held)) > 4_000_000 or len(held) > 100_000:
             pour()
         n = len(sizes)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
     pour()
     at, data = _blocks(counts, np.uint16)
     n = len(at)
-    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(at, pa.int32()), pa.array(data, pa.binary())], names=names)
+    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.array(at, pa.int32()), pa.array(data, pa.binary())], names=names)
 
 
 def least_overlap(n: int, num: int, den: int) -> int:
@@ -251,10 +273,11 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 continue
             chosen = batch.take(pa.array(hit))
             sets = [shingles(t, cache) for t in as_bytes(chosen.column("text"))]
-            yield pa.RecordBatch.from_arrays([chosen.column("doc_id").cast(pa.int64()), pa.array([digest(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "node", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.int64()), pa.array([packed_set(s) for s in sets], pa.binary())], names=["node", "data"])
 
-    found = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(build, "doc_id long, node long, data binary")
-    return found.join(nodes, ["node", "doc_id"], "left_semi").dropDuplicates(["node"]).select("node", "data")
+    found = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(build, "node long, data binary")
+    # one shuffle by node serves the join, the choice of one text, and the join with pairs that follows
+    return found.join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.first("data").alias("data"))
 
 
 def verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, num: int, den: int) -> DataFrame:
@@ -263,7 +286,7 @@ def verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, num: int, den
     Sets meet at hubs (a); a hub's members are salted, so each task sees a hub's set and at most about
     HUB members, as they stream by. firsts: (node, doc_id)."""
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = materialize(_sets(docs, firsts.join(asked, "node", "left_semi")), "sets")
+    sets = _sets(docs, firsts.join(asked, "node", "left_semi"))
     degree = pairs.groupBy("a").agg(F.count("*").alias("k")).withColumn("salts", F.ceil(F.col("k") / HUB).cast("int"))
     members = pairs.join(degree.select("a", "salts"), "a").withColumn("salt", F.pmod(F.xxhash64("b"), "salts").cast("int")).select("a", "salt", F.col("b").alias("node"))
     hubs = degree.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("a", "salt", F.col("a").alias("node"))
@@ -274,7 +297,7 @@ def verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, num: int, den
         for batch in batches:
             out = []
             for a, member, node, data in zip(*(batch.column(c).to_pylist() for c in ("a", "member", "node", "data")), strict=True):
-                s = np.frombuffer(data, np.uint64)
+                s = unpacked_set(data)
                 if not member:
                     hub, own = a, s
                     continue
@@ -295,41 +318,46 @@ def verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, num: int, den
 def linked(docs: DataFrame, num: int = 80, den: int = 100, hot: float = HOT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; a link is num / den Jaccard similarity at least."""
     docs = docs.select("doc_id", "text")
-    survey = materialize(docs.mapInArrow(_survey, "doc_id long, node long, n long, block int, data binary"), "survey")
-    rows = survey.where("n is not null").select("doc_id", "node", "n")
+    survey = materialize(docs.mapInArrow(_survey, "doc_id long, node long, n long, bits array<long>, block int, data binary"), "survey")
+    rows = survey.where("n is not null").select("doc_id", "node", "n", "bits")
     freq = summed(survey.where("block is not null"), np.uint16, np.uint32, 1 << SKETCH)
     total = rows.agg(F.sum("n")).first()[0] or 0
     parts = max(8, -(-total * (den - num) // den // PART))
-    nodes = materialize(rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "nodes")
+    nodes = materialize(rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *(F.first(F.col("bits")[i]).alias(f"s{i}") for i in range(4))), "nodes")
     entries = _entries(docs.where("doc_id is not null"), freq, parts, num, den, hot)
     # all of a shingle's entries, but hot ones, meet in the task of its part
-    shared = materialize(entries.repartition(parts, "part").mapInArrow(_shared_entries, "token long, node long, need int"), "entries").distinct()
-    size = nodes.select("node", "n")
-    near = F.expr(f"{den} * least(na, nb) >= {num} * greatest(na, nb)")
-
-    def sized(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(size.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-        return both.where(near).select("a", "b")
-
-    # each list's least node with every other
-    least = shared.groupBy("token").agg(F.min(F.struct("node", "need")).alias("least"), F.max("node").alias("last")).where("least.node <> last")
-    star = shared.join(least.select("token", "least"), "token").where("node <> least.node")
-    star = star.groupBy(F.col("least.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("k"), F.min(F.least("need", "least.need")).alias("need")).where("k >= need")
-    tried = materialize(sized(star.select("a", "b")), "star")
+    shared = entries.repartition(parts, "part").mapInArrow(_shared_entries, "token long, node long, need int").distinct()
+    # cap: the most shingles that a node can share with any other, for what its prefix holds alone isn't shared
+    held = F.count("*").over(Window.partitionBy("node"))
+    alone = F.expr(f"n - cast(ceil({num} * n / {den}) as long)") + F.col("need") - F.col("held")
+    placed = shared.withColumn("held", held).join(nodes.drop("doc_id"), "node").select("token", "node", "need", "n", *SIGNATURE, (F.col("n") - F.greatest(alone, F.lit(0))).alias("cap"))
+    placed = materialize(placed, "entries")
+    node = [F.col(c) for c in ("node", "need", "n", "cap", *SIGNATURE)]
+
+    def may_link(a: str, b: str) -> Column:
+        """Sizes, caps and signatures that allow the threshold."""
+        apart = " + ".join(f"bit_count({a}.{s} ^ {b}.{s})" for s in SIGNATURE)
+        return F.expr(f"{num + den} * ({apart}) <= {den - num} * ({a}.n + {b}.n) and {den} * least({a}.n, {b}.n) >= {num} * greatest({a}.n, {b}.n) and {num + den} * least({a}.cap, {b}.cap) >= {num} * ({a}.n + {b}.n)")
+
+    # each list's most typical node (the one with the least of its own) with every other
+    typical = placed.groupBy("token").agg(F.max(F.struct((F.col("cap") / F.col("n")).alias("typical"), *node)).alias("x"), F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("token", "x")
+    star = placed.select("token", F.struct(*node).alias("y")).join(typical, "token").where("x.node <> y.node").where(may_link("x", "y"))
+    star = star.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("k"), F.min(F.least("x.need", "y.need")).alias("need")).where("k >= need")
+    tried = materialize(star.groupBy("b").agg(F.max_by("a", F.struct("k", "a")).alias("a")).select("a", "b"), "star")
     links = materialize(verified(docs, tried, nodes.select("node", "doc_id"), num, den), "links-star")
-    so_far = components(links)
 
     # entries of lists that still hold several components
-    placed = materialize(shared.join(so_far, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
-    per = placed.groupBy("token", "component").agg(F.count("*").alias("k"))
+    so_far = components(links)
+    now = placed.join(so_far, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    now = materialize(now, "placed")
+    per = now.groupBy("token", "component").agg(F.count("*").alias("k"))
     main = per.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("of")).where("of > 1").select("token", "main")
-    mixed = materialize(placed.join(main, "token"), "mixed")
-    x, y = (mixed.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "need", "component")), *([F.col("main")] if s == "y" else [])) for s in "xy")
-    x = mixed.where("component <> main").select("token", F.col("node").alias("node_x"), F.col("need").alias("need_x"), F.col("component").alias("component_x"))
+    mixed = now.join(main, "token").select("token", "main", F.struct(*node, "component").alias("y"))
+    outside = mixed.where("y.component <> main").select("token", F.col("y").alias("x"))
     # a pair outside the main component comes once, by its lesser node first
-    crossed = x.join(y, "token").where("component_x <> component_y and (component_y = main or node_x < node_y)")
-    cross = crossed.groupBy(F.greatest("node_x", "node_y").alias("b"), F.least("node_x", "node_y").alias("a")).agg(F.count("*").alias("k"), F.min(F.least("need_x", "need_y")).alias("need")).where("k >= need").select("a", "b")
-    more = materialize(sized(cross).join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "cross")
+    crossed = outside.join(mixed, "token").where("x.component <> y.component and (y.component = main or x.node < y.node)").where(may_link("x", "y"))
+    cross = crossed.groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).agg(F.count("*").alias("k"), F.min(F.least("x.need", "y.need")).alias("need")).where("k >= need").select("a", "b")
+    more = materialize(cross.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "cross")
     found = links.unionByName(materialize(verified(docs, more, nodes.select("node", "doc_id"), num, den), "links-cross"))
 
     # documents of equal doc_id are one: their nodes are linked, too
