@@ -46,6 +46,8 @@ MATCHES = (1, 2, 3, 4, 6, 8)
 CHECK = 16.0
 #: Members of a hub that are verified in one task.
 HUB = 256
+#: Entries before each that tell whether two nodes have met in an earlier list.
+MET = 6
 SIGNATURE = ("s0", "s1", "s2", "s3")
 
 
@@ -352,12 +354,19 @@ def linked(docs: DataFrame, num: int = 80, den: int = 100, hot: float = HOT) ->
     now = materialize(now, "placed")
     per = now.groupBy("token", "component").agg(F.count("*").alias("k"))
     main = per.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("of")).where("of > 1").select("token", "main")
-    mixed = now.join(main, "token").select("token", "main", F.struct(*node, "component").alias("y"))
+    # a node's entries just before each of its own: where two nodes share one of these, they have met already
+    before = F.collect_list("token").over(Window.partitionBy("node").orderBy("token").rowsBetween(-MET, -1))
+    mixed = materialize(now.join(main, "token").withColumn("before", before).select("token", "main", F.struct(*node, "component", "before").alias("y")), "mixed")
     outside = mixed.where("y.component <> main").select("token", F.col("y").alias("x"))
     # a pair outside the main component comes once, by its lesser node first
-    crossed = outside.join(mixed, "token").where("x.component <> y.component and (y.component = main or x.node < y.node)").where(may_link("x", "y"))
-    cross = crossed.groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).agg(F.count("*").alias("k"), F.min(F.least("x.need", "y.need")).alias("need")).where("k >= need").select("a", "b")
-    more = materialize(cross.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "cross")
+    crossed = outside.join(mixed, "token").where("x.component <> y.component and (y.component = main or x.node < y.node)").where(may_link("x", "y") & ~F.arrays_overlap("x.before", "y.before"))
+    pairs = crossed.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.least("x.need", "y.need").alias("need")).distinct()
+    pairs = pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    # how many entries they share; a node's entries are a part of one document's shingles
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    lists = mixed.select(F.col("y.node").alias("node"), "token").join(asked, "node", "left_semi").groupBy("node").agg(F.collect_list("token").alias("tokens"))
+    both = pairs.join(lists.select(F.col("node").alias("a"), F.col("tokens").alias("s")), "a").join(lists.select(F.col("node").alias("b"), F.col("tokens").alias("t")), "b")
+    more = materialize(both.where(F.size(F.array_intersect("s", "t")) >= F.col("need")).select("a", "b"), "cross")
     found = links.unionByName(materialize(verified(docs, more, nodes.select("node", "doc_id"), num, den), "links-cross"))
 
     # documents of equal doc_id are one: their nodes are linked, too
