@@ -1,21 +1,26 @@
 """Language-model scores by subword lattices (operator 1).
 
-The model is a unigram distribution over pieces: the pieces of an existing public vocabulary, single bytes
-for what it lacks, and the whole words seen in training. A text's probability is the sum over all its
-segmentations of the product of their pieces' probabilities. Pieces don't cross word borders, so the
-forward recursion over a text restarts at each word and a text's log-probability is the sum of its words'.
-Each distinct word's recursion is run once for the corpus, in log space.
+The pieces are those of an existing public vocabulary, and single bytes for what it lacks. A word's spelling
+probability is the sum over all its segmentations of the product of their pieces' probabilities, by the
+forward recursion in log space. The words seen in training are pieces, too, with discounted counts; what the
+discount frees goes to the spelling lattice, so each word has one probability that marginalises over the
+whole-word piece and all subword segmentations. Pieces don't cross word borders, so the recursion over a
+text restarts at each word, and a text's log-probability is the sum of its words' and its end's.
 
-Piece probabilities are learnt from the training documents: a word's count, less a discount, belongs to its
-whole-word piece; the discount is spread over the word's subword segmentations by their posterior (one
-expectation step; the existing vocabulary's own scores, which are ranks, give the prior as Zipf weights).
+There is such a model for each language label of the training documents (the ``CLASSES`` most frequent, and
+one for the rest); a text's probability is their mixture, weighted by the labels' shares. A text's own
+label is never looked at.
 
-Scale: word counts are combined in the tasks, then by word. Scoring joins words with their scores: the
-``HEAD`` most frequent words (a fixed number) go to all tasks, which sum them on the spot; only a text's
-other words are shuffled, once each, and summed by document.
+Piece probabilities start from the existing vocabulary's own scores (which are ranks: Zipf weights) and are
+learnt by expectation steps over all distinct training words.
+
+Scale: word counts are combined in the tasks, then by word; each distinct word's lattice is computed once.
+Scoring joins words with their probabilities: the ``HEAD`` most frequent words (a fixed number) go to all
+tasks, which sum them on the spot; only a text's other words are shuffled and summed by document.
 
 Defined results: null and empty texts hold the end alone; rows with equal doc_id and text are scored each;
-a null doc_id counts as training; an empty table gives an empty result; extra columns are ignored.
+a null doc_id counts as training; without training documents all words are spelled; an empty table gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,13 +36,15 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanworks.llm.common import as_bytes, materialize
+from gleanworks.llm.common import as_bytes, materialize, scramble
 
 #: Words that go to every task; words that a task counts before it passes its counts on.
 HEAD, HELD = 65_536, 150_000
 #: What stands for the end of a text: no word holds a line feed.
 END = b"\n"
 DISCOUNT = 0.75
+#: Classes besides the rest, and expectation steps.
+CLASSES, STEPS = 5, 2
 LONGEST = 16
 START = "▁"
 
@@ -61,159 +68,260 @@ def lowered(text: str) -> str:
     return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "replace")
 
 
-def edges(word: str, log_p: dict[str, float], byte: float) -> list[list[tuple[int, str, float]]]:
-    """For each end, the pieces that end there: (start, piece, log-probability)."""
-    text = START + word
-    n = len(text)
-    into: list[list[tuple[int, str, float]]] = [[] for _ in range(n + 1)]
-    for i in range(n):
-        for j in range(i + 1, min(n, i + LONGEST) + 1):
-            p = log_p.get(text[i:j])
-            if p is not None:
-                into[j].append((i, text[i:j], p))
-        into[i + 1].append((i, "", byte * len(text[i].encode("utf-8", "replace"))))
-    return into
-
-
-def forward(into: list[list[tuple[int, str, float]]]) -> list[float]:
-    """Log of the summed probability of all segmentations of each prefix."""
-    alpha = [0.0]
-    for edge in into[1:]:
-        terms = [alpha[i] + p for i, _, p in edge]
-        top = max(terms)
-        alpha.append(top + math.log(sum(math.exp(t - top) for t in terms)) if len(terms) > 1 else top)
-    return alpha
-
-
-def posterior(into: list[list[tuple[int, str, float]]], alpha: list[float], weight: float, counts: dict[str, float]) -> None:
-    """Add to counts each piece's expected number in a word's segmentations, times weight."""
-    n = len(into) - 1
-    beta = [-math.inf] * n + [0.0]
-    for j in range(n, 0, -1):
-        for i, _, p in into[j]:
-            x = beta[j] + p
-            beta[i] = x if beta[i] == -math.inf else max(beta[i], x) + math.log1p(math.exp(-abs(beta[i] - x)))
-        for i, piece, p in into[j]:
-            counts[piece] = counts.get(piece, 0.0) + weight * math.exp(alpha[i] + p + beta[j] - alpha[n])
+class Lattice:
+    """All segmentations of many words at once: words of one length form a matrix of code points, and the
+    pieces on each span are found by rolling hashes in one table."""
+
+    BASE = np.uint64(0x9E3779B97F4A7C15)
+    SLOTS = 20
+
+    def __init__(self, pieces: list[str]) -> None:
+        self.pieces = pieces
+        self.byte = len(pieces)  # the id of the fallback: weighs as many times as the character has bytes
+        self.table = np.full(1 << self.SLOTS, -1, np.int32)
+        self.hashes = np.array([self.hash(p) for p in pieces], np.uint64)
+        self.next = np.full(len(pieces), -1, np.int32)  # others in the same slot
+        for i, at in enumerate((scramble(self.hashes) >> np.uint64(64 - self.SLOTS)).astype(np.int64)):
+            self.next[i], self.table[at] = self.table[at], i
+
+    def hash(self, piece: str) -> int:
+        h = 0
+        for c in piece:
+            h = (h * int(self.BASE) + ord(c) + 1) % 2**64
+        return h
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Ids of the pieces with these hashes, or -1."""
+        found = self.table[(scramble(h) >> np.uint64(64 - self.SLOTS)).astype(np.int64)]
+        miss = np.flatnonzero((found >= 0) & (self.hashes[found] != h))
+        while len(miss):
+            found[miss] = self.next[found[miss]]
+            miss = miss[found[miss] >= 0]
+            miss = miss[self.hashes[found[miss]] != h[miss]]
+        return found
+
+    def groups(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, list[list[tuple[int, np.ndarray, np.ndarray]]], np.ndarray]]:
+        """By length: which words, spans by their end as (start, rows, ids), and bytes of each character."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(lengths, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1) if len(order) else []:
+            for part in np.array_split(at, -(-len(at) * (int(lengths[at[0]]) + 1) // 200_000)):
+                n = int(lengths[part[0]]) + 1
+                points = np.frombuffer("".join(START + words[i] for i in part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), n)
+                size = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+                prefix = np.zeros((n + 1, len(part)), np.uint64)
+                for j in range(n):
+                    prefix[j + 1] = prefix[j] * self.BASE + points[:, j] + np.uint64(1)
+                power = [np.uint64(pow(int(self.BASE), k, 2**64)) for k in range(LONGEST + 1)]
+                spans: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[]]
+                for j in range(1, n + 1):
+                    here = []
+                    for i in range(max(0, j - LONGEST), j):
+                        ids = self.find(prefix[j] - prefix[i] * power[j - i])
+                        rows = np.flatnonzero(ids >= 0)
+                        if len(rows):
+                            here.append((i, rows, ids[rows]))
+                    spans.append(here)
+                yield part, points, spans, size.T.astype(np.float64)
+
+    def forward(self, spans: list, size: np.ndarray, log_p: np.ndarray) -> np.ndarray:
+        """Log of the summed probability of the segmentations of each prefix: (ends x models x words)."""
+        n, m = size.shape
+        alpha = np.full((n + 1, len(log_p), m), -np.inf)
+        alpha[0] = 0.0
+        for j in range(1, n + 1):
+            total = alpha[j - 1] + log_p[:, self.byte, None] * size[j - 1]
+            for i, rows, ids in spans[j]:
+                total[:, rows] = np.logaddexp(total[:, rows], alpha[i][:, rows] + log_p[:, ids])
+            alpha[j] = total
+        return alpha
+
+    def spelled(self, words: list[str], log_p: np.ndarray) -> np.ndarray:
+        """(words x models) log-probabilities."""
+        out = np.zeros((len(words), len(log_p)))
+        for at, _, spans, size in self.groups(words):
+            out[at] = self.forward(spans, size, log_p)[-1].T
+        return out
+
+    def expected(self, words: list[str], weight: np.ndarray, log_p: np.ndarray, counts: np.ndarray) -> None:
+        """Add to counts (models x pieces) the pieces' expected numbers; weight: (models x words)."""
+        for at, _, spans, size in self.groups(words):
+            alpha = self.forward(spans, size, log_p)
+            n, m = size.shape
+            beta = np.full((n + 1, len(log_p), m), -np.inf)
+            beta[n] = 0.0
+            own = weight[:, at]
+            whole = alpha[n]
+            for j in range(n, 0, -1):
+                step = log_p[:, self.byte, None] * size[j - 1]
+                counts[:, self.byte] += (own * size[j - 1] * np.exp(alpha[j - 1] + step + beta[j] - whole)).sum(axis=1)
+                beta[j - 1] = np.logaddexp(beta[j - 1], beta[j] + step)
+                for i, rows, ids in spans[j]:
+                    ahead = beta[j][:, rows] + log_p[:, ids]
+                    share = own[:, rows] * np.exp(alpha[i][:, rows] + ahead - whole[:, rows])
+                    for k in range(len(log_p)):
+                        counts[k] += np.bincount(ids, share[k], counts.shape[1])
+                    beta[i][:, rows] = np.logaddexp(beta[i][:, rows], ahead)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 7 == 2, F.lit(False))
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n): how often training documents hold each word of any document; the end is a word."""
+@lru_cache(maxsize=2)
+def lattice(path: str) -> Lattice:
+    """One for each worker process."""
+    return Lattice(list(vocabulary(path)))
+
+
+def classes_of(docs: DataFrame) -> tuple[list[str], list[float]]:
+    """The most frequent labels of the training documents, and the shares of them and of the rest."""
+    rows = docs.where(~held_out()).groupBy("lang").agg(F.count("*").alias("n"))
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    top = rows.where("lang is not null").orderBy(F.desc("n"), "lang").limit(CLASSES).collect()
+    shares = [r["n"] / total for r in top]
+    return [r["lang"] for r in top], [*shares, max(0.0, 1 - sum(shares))]
+
+
+def word_counts(docs: DataFrame, labels: list[str]) -> DataFrame:
+    """(word, n0, n1, ...): how often training documents of each class hold each word of any document; the end is a word."""
+    width = len(labels) + 1
+    at = {lang: i for i, lang in enumerate(labels)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        train: Counter[bytes] = Counter()
+        seen: list[Counter[bytes]] = [Counter() for _ in range(width)]
         other: set[bytes] = set()
 
-        def pour() -> pa.RecordBatch:
-            words = [*train, *(other - train.keys())]
-            counts = [*train.values()] + [0] * (len(words) - len(train))
-            train.clear()
+        def pour() -> Iterator[pa.RecordBatch]:
+            for k, c in enumerate(seen):
+                if c:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array([k] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())], names=["word", "k", "n"])
+                c.clear()
+            if other:
+                yield pa.RecordBatch.from_arrays([pa.array(list(other), pa.binary()), pa.array([0] * len(other), pa.int32()), pa.array([0] * len(other), pa.int64())], names=["word", "k", "n"])
             other.clear()
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int64())], names=["word", "n"])
 
         for batch in batches:
-            for out, text in zip(batch.column("held_out").to_pylist(), as_bytes(batch.column("text")), strict=True):
+            for out, text, lang in zip(batch.column("held_out").to_pylist(), as_bytes(batch.column("text")), batch.column("lang").to_pylist(), strict=True):
                 words = text.lower().split() if text else []
                 words.append(END)
-                other.update(words) if out else train.update(words)
-                if len(train) + len(other) > HELD:
-                    yield pour()
-        yield pour()
-
-    return docs.select("text", held_out().alias("held_out")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def piece_counts(words: DataFrame, path: str) -> dict[str, float]:
-    """Expected counts of the vocabulary's pieces over all training words ("" for bytes): its size bounds them."""
-
-    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prior = vocabulary(path)
-        low = min(prior.values(), default=0.0) - 3
-        counts: dict[str, float] = {}
-        for batch in batches:
-            for word in batch.column("word").to_pylist():
-                into = edges(word.decode("utf-8", "replace"), prior, low)
-                posterior(into, forward(into), DISCOUNT, counts)
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.float64())], names=["piece", "n"])
-
-    seen = words.where((F.col("n") > 0) & (F.col("word") != F.lit(END)))
-    rows = seen.select("word").mapInArrow(expect, "piece string, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
-    return dict(zip(rows.piece, rows.n, strict=True))
-
-
-def scored_words(words: DataFrame, path: str, total: int) -> DataFrame:
-    """(word, n, log10 of its probability)."""
-    counts = piece_counts(words, path)
-    prior = vocabulary(path)
-    # total words and ends, less the discounts, plus the pieces that the discounts became
-    seen = words.where((F.col("n") > 0) & (F.col("word") != F.lit(END))).count()
-    smooth = 0.1
-    mass = total - DISCOUNT * seen + sum(counts.values()) + smooth * (len(prior) + 256)
-    log_p = {piece: math.log((counts.get(piece, 0.0) + smooth) / mass) for piece in prior}
-    byte = math.log((counts.get("", 0.0) / 256 + smooth) / mass)
-    shared: Broadcast = words.sparkSession.sparkContext.broadcast((log_p, byte, math.log(mass)))
+                other.update(words) if out else seen[at.get(lang, width - 1)].update(words)
+                if sum(map(len, seen)) + len(other) > HELD:
+                    yield from pour()
+        yield from pour()
+
+    rows = docs.select("text", "lang", held_out().alias("held_out")).mapInArrow(count, "word binary, k int, n long")
+    return rows.groupBy("word").agg(*(F.sum(F.when(F.col("k") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(width)))
+
+
+def _counts_of(batch: pa.RecordBatch, width: int) -> np.ndarray:
+    return np.stack([batch.column(f"n{k}").to_numpy(zero_copy_only=False) for k in range(width)]).astype(np.float64)
+
+
+def piece_scores(words: DataFrame, path: str, width: int, steps: int = STEPS, smooth: float = 0.02) -> np.ndarray:
+    """(classes x pieces) log-probabilities after some expectation steps over all training words.
+
+    What a step brings to the driver is bounded by the vocabulary and the number of classes."""
+    prior = np.array([*vocabulary(path).values()])
+    log_p = np.tile(np.append(prior, prior.min() - 3 if len(prior) else -8.0), (width, 1))
+    seen = words.where((F.greatest(F.lit(0), *(F.col(f"n{k}") for k in range(width))) > 0) & (F.col("word") != F.lit(END)))
+    for _ in range(steps):
+        shared: Broadcast = words.sparkSession.sparkContext.broadcast(log_p)
+
+        def expect(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
+            found = lattice(path)
+            counts = np.zeros(shared.value.shape)
+            for batch in batches:
+                text = [w.decode("utf-8", "replace") for w in batch.column("word").to_pylist()]
+                found.expected(text, (_counts_of(batch, width) > 0).astype(np.float64), shared.value, counts)
+            k, piece = np.nonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(counts[k, piece])], names=["k", "piece", "n"])
+
+        rows = seen.mapInArrow(expect, "k int, piece int, n double").groupBy("k", "piece").agg(F.sum("n").alias("n")).toPandas()
+        counts = np.full(log_p.shape, smooth)
+        counts[rows.k.to_numpy(), rows.piece.to_numpy()] += rows.n.to_numpy()
+        counts[:, -1] += 256 * smooth
+        log_p = np.log(counts / counts.sum(axis=1, keepdims=True))
+        log_p[:, -1] -= math.log(256)
+    return log_p
+
+
+def scored_words(words: DataFrame, path: str, totals: np.ndarray, distinct: np.ndarray) -> DataFrame:
+    """(word, n, p0, p1, ...): training count, and log10 of the probability in each class."""
+    width = len(totals)
+    log_p = piece_scores(words, path, width)
+    shared: Broadcast = words.sparkSession.sparkContext.broadcast(log_p)
+    # a class without words spells everything
+    escape = np.log(np.where(totals > 0, DISCOUNT * np.maximum(distinct, 1) / np.maximum(totals, 1), 1.0))
+    whole = np.log(np.maximum(totals, 1))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, byte, whole = shared.value
+        found = lattice(path)
         for batch in batches:
-            out = []
-            for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                if word == END:
-                    out.append((math.log(max(n, 0.5)) - whole) / math.log(10))
-                    continue
-                x = forward(edges(word.decode("utf-8", "replace"), pieces, byte))[-1]
-                if n:  # the whole word is a piece, too: one more segmentation
-                    y = math.log(n - DISCOUNT) - whole
-                    x = max(x, y) + math.log1p(math.exp(-abs(x - y)))
-                out.append(x / math.log(10))
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(out, pa.float64())], names=["word", "n", "log10"])
+            text = batch.column("word").to_pylist()
+            n = _counts_of(batch, width)
+            x = found.spelled(["\u2029" if w == END else w.decode("utf-8", "replace") for w in text], shared.value).T + escape[:, None]
+            with np.errstate(divide="ignore"):
+                y = np.log(np.maximum(n - DISCOUNT, 0)) - whole[:, None]
+            p = np.logaddexp(x, y) / math.log(10)
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(n.sum(axis=0).astype(np.int64)), *(pa.array(c) for c in p)], names=["word", "n", *(f"p{k}" for k in range(width))])
 
-    return words.mapInArrow(score, "word binary, n long, log10 double")
+    return words.mapInArrow(score, "word binary, n long" + "".join(f", p{k} double" for k in range(width)))
 
 
 def scored(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
-    words = materialize(word_counts(docs), "words")
-    total, distinct = words.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    table = materialize(scored_words(words, path, total), "scores")
+    labels, shares = classes_of(docs)
+    width = len(labels) + 1
+    words = materialize(word_counts(docs, labels), "words")
+    every = "+".join(f"n{k}" for k in range(width))
+    sums = words.agg(F.count(F.when(F.expr(every) > 0, 1)), *(F.coalesce(F.sum(f"n{k}"), F.lit(0)) for k in range(width)), *(F.count(F.when(F.col(f"n{k}") > 0, 1)) for k in range(width))).first()
+    distinct, totals, kinds = sums[0], np.array(sums[1 : 1 + width], float), np.array(sums[1 + width :], float)
+    total = int(totals.sum())
+    table = materialize(scored_words(words, path, totals, kinds), "scores")
     # at most HEAD rows, whatever the corpus
     head = table.orderBy(F.desc("n"), "word").limit(HEAD).toPandas()
     place = {w: i for i, w in enumerate(head.word)}
-    shared = docs.sparkSession.sparkContext.broadcast((place, head.n.to_numpy(np.float64), head.log10.to_numpy(np.float64)))
+    scores = [f"p{k}" for k in range(width)]
+    shared = docs.sparkSession.sparkContext.broadcast((place, head.n.to_numpy(np.float64), head[scores].to_numpy(np.float64)))
     below = math.log10(total + distinct + 1)
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row of sums over head words for each document, and a row for each of its other words."""
-        place, n, log10 = shared.value
+        place, n, p = shared.value
         base = np.log10(n + 1) - below
-        names = ["row", "doc_id", "held_out", "n_tokens", "word", "k", "n_known", "base", "score"]
-        types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", *scores, "word", "k"]
+        types = [pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 2, *[pa.float64()] * (1 + width), pa.binary(), pa.int64()]
+        blank = [None] * (5 + width)
         for whole in batches:
             for first in range(0, len(whole), 1000):
                 batch = whole.slice(first, 1000)
-                out: list[tuple] = []
+                out: list[list] = []
                 for row, doc_id, is_out, text in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "held_out")), as_bytes(batch.column("text")), strict=True):
                     words = text.lower().split() if text else []
                     words.append(END)
                     at = [place.get(w, -1) for w in words]
                     a = np.array(at)
                     a = a[a >= 0]
-                    out.append((row, doc_id, is_out, len(words), None, None, int((n[a] > 0).sum()), float(base[a].sum()), float(log10[a].sum())))
+                    out.append([row, doc_id, is_out, len(words), int((n[a] > 0).sum()), float(base[a].sum()), *p[a].sum(axis=0).tolist(), None, None])
                     if len(a) < len(words):
                         rest = Counter([w for w, i in zip(words, at, strict=True) if i < 0])
-                        out += [(row, None, None, None, w, k, None, None, None) for w, k in rest.items()]
+                        out += [[row, *blank, w, k] for w, k in rest.items()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    parts = docs.select("doc_id", "text", held_out().alias("held_out"), F.monotonically_increasing_id().alias("row")).mapInArrow(known, "row long, doc_id long, held_out boolean, n_tokens long, word binary, k long, n_known long, base double, score double")
-    parts = materialize(parts, "parts")
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double" + "".join(f", {c} double" for c in scores) + ", word binary, k long"
+    # written once: both kinds of rows are read from it, and the numbers of rows stay as they are
+    parts = materialize(docs.select("doc_id", "text", held_out().alias("held_out"), F.monotonically_increasing_id().alias("row")).mapInArrow(known, schema), "parts")
     rest = parts.where("word is not null").select("row", "word", "k").join(table, "word")
-    rest = rest.select("row", F.when(F.col("n") > 0, F.col("k")).otherwise(0).alias("n_known"), (F.col("k") * (F.log10(F.col("n") + 1.0) - below)).alias("base"), (F.col("k") * F.col("log10")).alias("score"))
-    rest = rest.groupBy("row").agg(*(F.sum(c).alias(f"{c}_rest") for c in ("n_known", "base", "score")))
-    known_rows = parts.where("word is null").drop("word", "k")
-    both = known_rows.join(rest, "row", "left")
-    plus = {c: F.col(c) + F.coalesce(F.col(f"{c}_rest"), F.lit(0)) for c in ("n_known", "base", "score")}
-    return both.select("doc_id", "held_out", "n_tokens", plus["n_known"].cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), plus["base"].alias("base_score"), plus["score"].alias("score"))
+    rest = rest.select("row", F.when(F.col("n") > 0, F.col("k")).otherwise(0).alias("n_known"), (F.col("k") * (F.log10(F.col("n") + 1.0) - below)).alias("base"), *((F.col("k") * F.col(c)).alias(c) for c in scores))
+    sums_of = ("n_known", "base", *scores)
+    rest = rest.groupBy("row").agg(*(F.sum(c).alias(f"{c}_rest") for c in sums_of))
+    both = parts.where("word is null").drop("word", "k").join(rest, "row", "left")
+    plus = {c: F.col(c) + F.coalesce(F.col(f"{c}_rest"), F.lit(0)) for c in sums_of}
+    # the mixture of the classes that have a share
+    terms = [plus[f"p{k}"] + F.lit(math.log10(x)) for k, x in enumerate(shares) if x > 1e-12] or [plus["p0"]]
+    top = F.greatest(*terms) if len(terms) > 1 else terms[0]
+    inside = terms[0] * 0
+    for t in terms:
+        inside = inside + F.pow(F.lit(10.0), t - top)
+    return both.select("doc_id", "held_out", "n_tokens", plus["n_known"].cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), plus["base"].alias("base_score"), (top + F.log10(inside)).alias("score"))
