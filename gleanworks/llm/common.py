@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -85,18 +84,11 @@ def shingles(text: bytes | None, cache: WordHashes, k: int = 5, lower: bool = Tr
     return np.unique(windows(cache.of(words), k))
 
 
-def batches(columns: dict[str, Iterable], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in schema], schema=schema)
-
-
-def quietly_drop_extra(df: DataFrame, *names: str) -> DataFrame:
-    """Only the columns an operator reads, so that extra columns can't clash with its own."""
-    return df.select(*names)
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of an undirected link table: component is the smallest node reachable.
 
+    A component's smallest node, and nodes without links, have no row: they are their own component.
+
     Alternating large-star and small-star steps (Kiveris et al. 2014): each is one shuffle over the
     edges, star-shaped groups end after two, and paths of length n after O(log n)-like many. Each step
     is a table in the shared folder; no node's neighbours are ever gathered (aggregates and joins only).
@@ -117,8 +109,3 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if tuple(now) == before:
             return e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
         before = tuple(now)
-
-
-def rows_of(batches_in: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
-    for batch in batches_in:
-        yield tuple(batch.column(batch.schema.get_field_index(n)) for n in names)

@@ -170,7 +170,8 @@ class WarcReader(DataSourceReader):
         with fs.open_input_file(part.file) as raw:
             raw.seek(part.first)
             stream = gzip.GzipFile(fileobj=raw) if part.file.endswith(".gz") else io.BufferedReader(raw, 1 << 18)
-            while part.last is None or stream.tell() < part.last:
+            # a record ends with two line ends behind its block: only those may stand before a slice's end
+            while part.last is None or stream.tell() + 4 < part.last:
                 fields = parse_header(stream)
                 if fields is None:
                     break
