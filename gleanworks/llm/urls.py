@@ -1,7 +1,8 @@
 """URL filtering by rules, and by gradient-boosted trees on lexical features (operator 3).
 
 Rules give some URLs their verdict; these are the labelled URLs. From a sample of at most ``sample`` of them
-(the least hashes of page_id; a bound that doesn't grow with the input) boosted trees learn log-odds of
+(the least hashes of page_id; a bound that doesn't grow with the input) boosted trees, each over a random part
+of the features, learn log-odds of
 block from the URL's spelling: length, depth, digit ratio, entropy, parameters, and smoothed statistics
 of suffixes of host and path, which are the sample's own. The trees judge every URL that no rule fits.
 
@@ -66,7 +67,7 @@ def plain_features(url: str | None, host: str, path: str, query: str, fragment:
 class Boosted:
     """Gradient-boosted regression trees on binned features with logistic loss, and the suffix statistics they read."""
 
-    def __init__(self, urls: list[str], blocked: list[bool], trees: int = 40, depth: int = 4, rate: float = 0.2, bins: int = 32, smooth: float = 20.0) -> None:
+    def __init__(self, urls: list[str], blocked: list[bool], trees: int = 80, depth: int = 3, rate: float = 0.2, bins: int = 32, smooth: float = 5.0, columns: float = 0.3, seed: int = 7) -> None:
         y = np.array(blocked, float)
         self.prior = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))) if len(y) else -1.0
         self.trees: list[list[tuple[int, float, float, float]]] = []
@@ -89,13 +90,16 @@ class Boosted:
         self.cuts = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
         binned = np.stack([np.searchsorted(c, v, side="left") for c, v in zip(self.cuts, x.T, strict=True)], axis=1)
         score = np.full(len(y), self.prior)
+        draws = np.random.default_rng(seed)
         for _ in range(trees):
             p = 1 / (1 + np.exp(-score))
-            tree = self._grow(binned, y - p, p * (1 - p), depth, rate)
+            # each tree sees some of the features: no suffix alone decides where it is unknown
+            some = np.sort(draws.choice(len(FEATURES), max(1, round(columns * len(FEATURES))), replace=False))
+            tree = self._grow(binned, y - p, p * (1 - p), depth, rate, some)
             self.trees.append(tree)
             score += self._leaves(x, tree)
 
-    def _grow(self, x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, rate: float) -> list[tuple[int, float, float, float]]:
+    def _grow(self, x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, rate: float, some: np.ndarray) -> list[tuple[int, float, float, float]]:
         """A complete tree as a heap of (feature or -1, cut, value, gain)."""
         tree = [(-1, 0.0, 0.0, 0.0)] * (2 ** (depth + 1) - 1)
         at = np.zeros(len(g), np.int64)
@@ -108,7 +112,8 @@ class Boosted:
             best = (1e-6, -1, 0)
             if node < 2**depth - 1:
                 whole = gs.sum() ** 2 / (hs.sum() + 1.0)
-                for f, cuts in enumerate(self.cuts):
+                for f in map(int, some):
+                    cuts = self.cuts[f]
                     if not len(cuts):
                         continue
                     left_g = np.cumsum(np.bincount(x[here, f], gs, len(cuts) + 1))[:-1]
@@ -131,15 +136,16 @@ class Boosted:
         at = np.zeros(len(x), np.int64)
         for _ in range(int(math.log2(len(tree) + 1)) - 1):
             f = feature[at]
-            go = 2 * at + 1 + (x[np.arange(len(x)), np.maximum(f, 0)] > cut[at])
-            at = np.where(f >= 0, go, at)
+            own = x[np.arange(len(x)), np.maximum(f, 0)]
+            # a suffix that the sample doesn't hold settles nothing: the row stays at its node
+            at = np.where((f >= 0) & ~np.isnan(own), 2 * at + 1 + (own > cut[at]), at)
         return value[at]
 
     def features(self, urls: list[str | None]) -> np.ndarray:
         rows = []
         for u in urls:
             s = split_url(u)
-            rows.append(plain_features(u, *s) + [self.stats.get((i, k), self.base) for i, k in enumerate(suffixes(s[0], s[1]))])
+            rows.append(plain_features(u, *s) + [self.stats.get((i, k), math.nan) for i, k in enumerate(suffixes(s[0], s[1]))])
         return np.array(rows, float).reshape(len(urls), len(FEATURES))
 
     def odds(self, urls: list[str | None]) -> np.ndarray:
