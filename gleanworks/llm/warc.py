@@ -1,17 +1,19 @@
 """WARC archives: a writer, and a Python data source that reads headers first (operator 2).
 
-``write_archives`` writes one uncompressed archive per task into a folder that executors share, with a
-revisit record for every payload that an earlier one equals. A small index beside the data (one row for
-about ``SPLIT`` bytes) holds offsets at which records start, so that the reader can plan partitions within
-files. Task attempts write under names of their own; only the files named in the index are read.
+``write_archives`` writes one ``.warc.gz`` per task, a gzip member per record, into a folder that executors
+share, with a revisit record for every payload that an earlier one equals. Each member says its length in
+a gzip extra field (``sl``, skip lengths), so that a reader gets past it without inflating it. An index
+beside the data (a row for about ``SPLIT`` bytes) holds offsets of members, so that partitions can be planned
+within files. Task attempts write under names of their own; only the files that the index names are read.
 
 ``warc`` (the data source) plans those partitions, takes predicates on ``warc_type``, ``target_uri``,
-``record_id``, ``refers_to`` and ``payload_digest`` into the scan, parses a record's header, and seeks past
-the block of a record that isn't wanted. If the schema asked for has no ``payload``, no block is read but
-its HTTP header. Archives without an index are read whole, ``.gz`` ones (one member per record) too.
+``record_id``, ``refers_to`` and ``payload_digest`` into the scan, inflates a record's first bytes, parses its header,
+and seeks past the rest of a record that isn't wanted. Blocks are inflated only for columns that need them
+(``payload``, ``computed_digest``, ``payload_length``). Archives without an index are read whole, and members
+without skip lengths, or plain ``.warc`` files, as a stream.
 
 Defined results: null html is an empty payload; a null page_id gets a record without a page (its rows come
-back with null page_id; it is the response only of payloads that no numbered page has); rows that share the
+back with null page_id; it is a revisit where a numbered page has its payload); rows that share the
 smallest page_id of a payload are all responses; null url becomes an empty target; extra columns are ignored.
 """
 
@@ -21,8 +23,10 @@ import base64
 import gzip
 import hashlib
 import io
+import struct
 import uuid
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -34,7 +38,9 @@ from pyspark.sql.types import StructType
 from gleanworks.llm.common import as_bytes, new_path
 
 SPLIT = 32 << 20
-SCHEMA = "warc_type string, record_id string, target_uri string, date string, payload_digest string, refers_to string, http_length long, content_length long, payload binary"
+SCHEMA = "warc_type string, record_id string, target_uri string, date string, payload_digest string, refers_to string, http_length long, content_length long, payload binary, payload_length long, computed_digest string"
+#: Columns for which a record's whole block is inflated.
+WHOLE = {"payload", "payload_length", "computed_digest"}
 #: Header fields by column.
 FIELDS = {"warc_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "date": "warc-date", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to"}
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -59,19 +65,23 @@ def record(kind: str, record_id: str, target: str, payload: bytes, digest: str,
     return "\r\n".join([*head, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
 
+def member(data: bytes, level: int = 3) -> bytes:
+    """A gzip member with skip lengths: the lengths of the member and of what it holds."""
+    packer = zlib.compressobj(level, zlib.DEFLATED, -15)
+    body = packer.compress(data) + packer.flush()
+    size = 24 + len(body) + 8
+    head = b"\x1f\x8b\x08\x04" + bytes(5) + b"\xff" + struct.pack("<H2sHII", 12, b"sl", 8, size, len(data) & 0xFFFFFFFF)
+    return head + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+
+
 def page_uri(page_id: int | None) -> str:
     return f"<urn:page:{page_id}>" if page_id is not None else f"<urn:uuid:{uuid.uuid4()}>"
 
 
 def with_digests(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, digest, first: the smallest page_id of those with an equal payload."""
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [payload_digest(x or b"") for x in as_bytes(batch.column("html"))]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id").cast(pa.int64()), *(batch.column(c) for c in ("url", "html")), pa.array(found, pa.string())], names=["page_id", "url", "html", "digest"])
-
-    rows = pages.select("page_id", "url", "html").mapInArrow(digest, "page_id long, url string, html string, digest string")
+    """page_id, url, html, digest (SHA-1, hex), first: the smallest page_id of those with an equal payload."""
+    html = F.coalesce("html", F.lit(""))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha1(html).alias("digest"))
     first = rows.groupBy("digest").agg(F.min("page_id").alias("first"))
     return rows.join(first, "digest")
 
@@ -82,16 +92,16 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, da
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = filesystem(folder)
         fs.create_dir(f"{base}/data", recursive=True)
-        name = f"{base}/data/{uuid.uuid4().hex}.warc"
+        name = f"{base}/data/{uuid.uuid4().hex}.warc.gz"
         starts, at, count = [0], 0, 0
-        with fs.open_output_stream(name) as out:
+        with fs.open_output_stream(name, compression=None) as out:
             for batch in batches:
                 columns = (batch.column(c).to_pylist() for c in ("page_id", "url", "digest", "first"))
                 for page_id, url, digest, first, html in zip(*columns, as_bytes(batch.column("html")), strict=True):
                     payload = html or b""
                     again = first is not None and page_id != first and len(payload) >= min_revisit_bytes
                     target = (url or "").replace("\r", "%0D").replace("\n", "%0A")
-                    data = record("revisit" if again else "response", page_uri(page_id), target, payload, digest, page_uri(first) if again else None, date)
+                    data = member(record("revisit" if again else "response", page_uri(page_id), target, payload, base64.b32encode(bytes.fromhex(digest)).decode(), page_uri(first) if again else None, date))
                     out.write(data)
                     at += len(data)
                     count += 1
@@ -164,41 +174,86 @@ class WarcReader(DataSourceReader):
         if not part.file:
             return
         fs, _ = filesystem(self.path)
-        schema = pa.schema([(c, pa.int64() if c.endswith("_length") else pa.binary() if c == "payload" else pa.string()) for c in self.columns])
+        kinds = {"http_length": pa.int64(), "content_length": pa.int64(), "payload_length": pa.int64(), "payload": pa.binary()}
+        schema = pa.schema([(c, kinds.get(c, pa.string())) for c in self.columns])
         rows: list[list] = []
         held = 0
         with fs.open_input_file(part.file) as raw:
             raw.seek(part.first)
-            stream = gzip.GzipFile(fileobj=raw) if part.file.endswith(".gz") else io.BufferedReader(raw, 1 << 18)
-            # a record ends with two line ends behind its block: only those may stand before a slice's end
-            while part.last is None or stream.tell() + 4 < part.last:
-                fields = parse_header(stream)
-                if fields is None:
-                    break
-                length = int(fields.get("content-length", 0))
+            for fields, block_of in self.records(io.BufferedReader(raw, 1 << 17), part):
                 if any(fields.get(FIELDS[c]) not in values for c, values in self.wanted.items()):
-                    stream.seek(length, 1)  # neither read nor decoded
-                    continue
-                row, http, payload = {}, None, None
-                if "payload" in self.columns:
-                    block = stream.read(length)
-                    http, payload = split_block(fields, block)
-                    held += len(block)
+                    continue  # nothing of its block is inflated or read
+                length = int(fields.get("content-length", 0))
+                row = {c: fields.get(f) for c, f in FIELDS.items()} | {"content_length": length}
+                if WHOLE & set(self.columns):
+                    block = block_of(length)
+                    row["http_length"], row["payload"] = split_block(fields, block)
+                    row["payload_length"] = len(row["payload"])
+                    if "computed_digest" in self.columns:
+                        row["computed_digest"] = "sha1:" + payload_digest(row["payload"])
+                    held += len(block) if "payload" in self.columns else 0
                 elif "http_length" in self.columns:
-                    block = stream.read(min(length, 1 << 14))
-                    http, _ = split_block(fields, block)
-                    stream.seek(length - len(block), 1)
-                else:
-                    stream.seek(length, 1)
-                row = {c: fields.get(f) for c, f in FIELDS.items()} | {"http_length": http, "content_length": length, "payload": payload}
-                rows.append([row[c] for c in self.columns])
+                    row["http_length"], _ = split_block(fields, block_of(min(length, 1 << 12)))
+                rows.append([row.get(c) for c in self.columns])
                 held += 500
-                if held > 16 << 20:
+                if held > 8 << 20:
                     yield self.batch(rows, schema)
                     rows, held = [], 0
         if rows:
             yield self.batch(rows, schema)
 
+    def records(self, stream: io.BufferedReader, part: Slice) -> Iterator[tuple[dict[str, str], Callable[[int], bytes]]]:
+        """Each record's header, and a function that reads the first bytes of its block."""
+        packed = part.file.endswith(".gz")
+        at = part.first
+        while part.last is None or at < part.last:
+            stream.seek(at)
+            head = stream.read(24)
+            if not packed or len(head) < 24 or head[:4] != b"\x1f\x8b\x08\x04" or head[12:16] != b"sl\x08\x00":
+                if head:
+                    stream.seek(at)
+                    yield from self.streamed(gzip.GzipFile(fileobj=stream) if packed else stream)
+                return
+            (size,) = struct.unpack("<I", head[16:20])
+            unpacker = zlib.decompressobj(-15)
+            done = bytearray()
+
+            def upto(n: int, end: int = at + size, unpacker: object = unpacker, done: bytearray = done) -> bool:
+                """Inflate until n bytes are there; false if the record ends before."""
+                while len(done) < n:
+                    data = unpacker.unconsumed_tail or stream.read(min(1 << 14, max(0, end - 8 - stream.tell())))
+                    if not data or unpacker.eof:
+                        return False
+                    done.extend(unpacker.decompress(data, n - len(done)))
+                return True
+
+            while (end := bytes(done).find(b"\r\n\r\n")) < 0 and upto(len(done) + 1024):
+                pass
+            end = bytes(done).find(b"\r\n\r\n") if end < 0 else end
+            fields = parse_header(io.BytesIO(bytes(done[: end + 4])))
+
+            def block(n: int, start: int = end + 4, upto: Callable[[int], bool] = upto, done: bytearray = done) -> bytes:
+                upto(start + n)
+                return bytes(done[start : start + n])
+
+            if fields is not None:
+                yield fields, block
+            at += size
+
+    @staticmethod
+    def streamed(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], Callable[[int], bytes]]]:
+        """Records one after another, where lengths aren't said in advance."""
+        while (fields := parse_header(stream)) is not None:
+            left = [int(fields.get("content-length", 0))]
+
+            def block(n: int, left: list[int] = left) -> bytes:
+                data = stream.read(min(n, left[0]))
+                left[0] -= len(data)
+                return data
+
+            yield fields, block
+            stream.seek(left[0], 1)
+
     @staticmethod
     def batch(rows: list[list], schema: pa.Schema) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -239,23 +294,15 @@ def read_archives(spark: SparkSession, folder: str, schema: str = SCHEMA) -> Dat
 def archived(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     """Write the pages and read them back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    What is told of a response comes from its payload, of a revisit from its header."""
+    What is told of a response comes from its payload, and has to agree with its header; of a revisit, from
+    its header. Payloads stay within the scan."""
     spark = pages.sparkSession
     folder = new_path(spark, "warc")
     write_archives(pages, folder, min_revisit_bytes)
-    whole = read_archives(spark, folder, "warc_type string, record_id string, payload_digest string, refers_to string, payload binary").where("warc_type = 'response'")
-    heads = read_archives(spark, folder, "warc_type string, record_id string, payload_digest string, refers_to string, http_length long").where("warc_type = 'revisit'")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            payloads = batch.column("payload").to_pylist()
-            digests = [payload_digest(p) for p in payloads]
-            if bad := sum(f"sha1:{d}" != h for d, h in zip(digests, batch.column("payload_digest").to_pylist(), strict=True)):
-                raise ValueError(f"{bad} payloads don't have their digest")
-            yield pa.RecordBatch.from_arrays([batch.column("record_id"), batch.column("warc_type"), batch.column("refers_to"), pa.array([len(p) for p in payloads], pa.int64()), pa.array(digests)], names=["record_id", "warc_type", "refers_to", "payload_bytes", "payload_digest"])
-
-    responses = whole.mapInArrow(check, "record_id string, warc_type string, refers_to string, payload_bytes long, payload_digest string")
-    revisits = heads.select("record_id", "warc_type", "refers_to", F.col("http_length").alias("payload_bytes"), F.expr("substring(payload_digest, 6)").alias("payload_digest"))
+    responses = read_archives(spark, folder, "warc_type string, record_id string, payload_digest string, refers_to string, payload_length long, computed_digest string").where("warc_type = 'response'")
+    revisits = read_archives(spark, folder, "warc_type string, record_id string, payload_digest string, refers_to string, http_length long").where("warc_type = 'revisit'")
+    differs = F.raise_error(F.concat(F.lit("payload and digest differ: "), F.col("record_id")))
+    checked = responses.select("record_id", "warc_type", "refers_to", F.col("payload_length").alias("payload_bytes"), F.when(F.col("computed_digest") == F.col("payload_digest"), F.col("computed_digest")).otherwise(differs).alias("digest"))
+    both = checked.unionByName(revisits.select("record_id", "warc_type", "refers_to", F.col("http_length").alias("payload_bytes"), F.col("payload_digest").alias("digest")))
     page = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:page:(-?[0-9]+)>$', 1) as long)")
-    both = responses.unionByName(revisits)
-    return both.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), page("refers_to").alias("refers_to"))
+    return both.select(page("record_id").alias("page_id"), "payload_bytes", F.expr("substring(digest, 6)").alias("payload_digest"), F.col("warc_type").alias("record_type"), page("refers_to").alias("refers_to"))
