@@ -233,7 +233,10 @@ def piece_scores(words: DataFrame, path: str, width: int, steps: int = STEPS, sm
             counts = np.zeros(shared.value.shape)
             for batch in batches:
                 text = [w.decode("utf-8", "replace") for w in batch.column("word").to_pylist()]
-                found.expected(text, (_counts_of(batch, width) > 0).astype(np.float64), shared.value, counts)
+                # most words are of one class: each class looks at its own
+                for k, own in enumerate(_counts_of(batch, width) > 0):
+                    mine = [text[i] for i in np.flatnonzero(own)]
+                    found.expected(mine, np.ones((1, len(mine))), shared.value[k : k + 1], counts[k : k + 1])
             k, piece = np.nonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(counts[k, piece])], names=["k", "piece", "n"])
 
@@ -289,25 +292,34 @@ def scored(docs: DataFrame, path: str) -> DataFrame:
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row of sums over head words for each document, and a row for each of its other words."""
         place, n, p = shared.value
-        base = np.log10(n + 1) - below
+        base, seen = np.log10(n + 1) - below, (n > 0).astype(np.int64)
         names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", *scores, "word", "k"]
         types = [pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 2, *[pa.float64()] * (1 + width), pa.binary(), pa.int64()]
-        blank = [None] * (5 + width)
+
+        def made(rows: int, **columns: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(rows, t) for c, t in zip(names, types, strict=True)], names=names)
+
         for whole in batches:
-            for first in range(0, len(whole), 1000):
-                batch = whole.slice(first, 1000)
-                out: list[list] = []
-                for row, doc_id, is_out, text in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "held_out")), as_bytes(batch.column("text")), strict=True):
+            for first in range(0, len(whole), 2000):
+                batch = whole.slice(first, 2000)
+                heads, tokens, rest, times, owners = [], [], [], [], []
+                for text in as_bytes(batch.column("text")):
                     words = text.lower().split() if text else []
                     words.append(END)
                     at = [place.get(w, -1) for w in words]
-                    a = np.array(at)
-                    a = a[a >= 0]
-                    out.append([row, doc_id, is_out, len(words), int((n[a] > 0).sum()), float(base[a].sum()), *p[a].sum(axis=0).tolist(), None, None])
-                    if len(a) < len(words):
-                        rest = Counter([w for w, i in zip(words, at, strict=True) if i < 0])
-                        out += [[row, *blank, w, k] for w, k in rest.items()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+                    tokens.append(len(words))
+                    heads.append(np.array(at))
+                    other = Counter([w for w, i in zip(words, at, strict=True) if i < 0]) if -1 in at else {}
+                    rest += other
+                    times += other.values()
+                    owners.append(len(other))
+                # sums over runs: -1 (not a head word) takes a last, empty place
+                flat = np.concatenate(heads)
+                starts = np.cumsum([0, *tokens[:-1]])
+                add = lambda x, flat=flat, starts=starts: np.add.reduceat(np.append(x, 0)[flat], starts)
+                yield made(len(batch), row=batch.column("row"), doc_id=batch.column("doc_id").cast(pa.int64()), held_out=batch.column("held_out"), n_tokens=pa.array(tokens, pa.int64()), n_known=pa.array(add(seen)), base=pa.array(add(base)), **{c: pa.array(add(p[:, i])) for i, c in enumerate(scores)})
+                if rest:
+                    yield made(len(rest), row=pa.array(np.repeat(batch.column("row").to_numpy(), owners)), word=pa.array(rest, pa.binary()), k=pa.array(times, pa.int64()))
 
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double" + "".join(f", {c} double" for c in scores) + ", word binary, k long"
     # written once: both kinds of rows are read from it, and the numbers of rows stay as they are
