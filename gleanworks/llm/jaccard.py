@@ -46,9 +46,9 @@ MATCHES = (1, 2, 3, 4, 6, 8)
 CHECK = 16.0
 #: Members of a hub that are verified in one task.
 HUB = 256
-#: Entries before each that tell whether two nodes have met in an earlier list.
-MET = 6
-SIGNATURE = ("s0", "s1", "s2", "s3")
+#: A node's entries before each, which tell whether two nodes have met in an earlier list.
+BEFORE = ("b1", "b2")
+SIGNATURE = ("s0", "s1", "s2")
 
 
 def digest(s: np.ndarray) -> int:
@@ -69,9 +69,9 @@ def unpacked_set(data: bytes) -> np.ndarray:
 
 
 def parities(s: np.ndarray) -> list[int]:
-    """A 256-bit signature: for each bit, whether it is hit an odd number of times. Two sets differ in at
+    """A 192-bit signature: for each bit, whether it is hit an odd number of times. Two sets differ in at
     least as many shingles as their signatures in bits."""
-    odd = np.bincount((s >> np.uint64(8) & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    odd = np.bincount(((s >> np.uint64(8)) % np.uint64(192)).astype(np.int64), minlength=192) & 1
     return np.packbits(odd.astype(bool)).view(np.int64).tolist()
 
 
@@ -126,7 +126,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(sizes)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
     pour()
-    at, data = _blocks(counts, np.uint16)
+    at, data = _blocks(counts, np.uint8)
     n = len(at)
     yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.array(at, pa.int32()), pa.array(data, pa.binary())], names=names)
 
@@ -317,23 +317,45 @@ def verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, num: int, den
     return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "member").mapInArrow(check, "a long, b long")
 
 
+def _capped(entries: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Entries with their node's size, signature and cap, and the node's two entries before.
+
+    The cap is the most shingles that the node can share with a node it links with: what of its prefix no
+    such node has isn't shared. One shuffle by node gives all of it."""
+    held = F.count("*").over(Window.partitionBy("node"))
+    order = Window.partitionBy("node").orderBy("token")
+    alone = F.expr(f"n - cast(ceil({num} * n / {den}) as long)") + F.col("need") - F.col("held")
+    rows = entries.select("token", "node", "need").withColumns({"held": held, "b1": F.lag("token", 1).over(order), "b2": F.lag("token", 2).over(order)}).join(nodes.select("node", "n", *SIGNATURE), "node")
+    return rows.select("token", "node", "need", "n", (F.col("n") - F.greatest(alone, F.lit(0))).alias("cap"), *SIGNATURE, *BEFORE)
+
+
+def _viable(entries: DataFrame, num: int, den: int) -> DataFrame:
+    """Entries whose list holds another size with which their node's cap lets it link.
+
+    A list's sizes are kept as a set of steps of two hundredths, so a list needs a bounded number of them
+    however long it is."""
+    step = lambda x: F.floor(F.log(x) * 50).cast("int")
+    least, most = F.col("n") * num / den, F.least(F.col("n") * den / num, F.col("cap") * (num + den) / num - F.col("n"))
+    # a list of one node has one size but no partner
+    lists = entries.groupBy("token").agg(F.collect_set(step(F.col("n").cast("double"))).alias("steps"), F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("token", "steps")
+    low, high = step(least - 0.5), step(most + 0.5)
+    return entries.where(most >= least - 1e-6).join(lists, "token").where(F.exists("steps", lambda s: (s >= low) & (s <= high))).drop("steps")
+
+
 def linked(docs: DataFrame, num: int = 80, den: int = 100, hot: float = HOT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; a link is num / den Jaccard similarity at least."""
     docs = docs.select("doc_id", "text")
     survey = materialize(docs.mapInArrow(_survey, "doc_id long, node long, n long, bits array<long>, block int, data binary"), "survey")
     rows = survey.where("n is not null").select("doc_id", "node", "n", "bits")
-    freq = summed(survey.where("block is not null"), np.uint16, np.uint32, 1 << SKETCH)
+    freq = summed(survey.where("block is not null"), np.uint8, np.uint32, 1 << SKETCH)
     total = rows.agg(F.sum("n")).first()[0] or 0
     parts = max(8, -(-total * (den - num) // den // PART))
-    nodes = materialize(rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *(F.first(F.col("bits")[i]).alias(f"s{i}") for i in range(4))), "nodes")
+    nodes = materialize(rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *(F.first(F.col("bits")[i]).alias(f"s{i}") for i in range(len(SIGNATURE)))), "nodes")
     entries = _entries(docs.where("doc_id is not null"), freq, parts, num, den, hot)
-    # all of a shingle's entries, but hot ones, meet in the task of its part
-    shared = entries.repartition(parts, "part").mapInArrow(_shared_entries, "token long, node long, need int").distinct()
-    # cap: the most shingles that a node can share with any other, for what its prefix holds alone isn't shared
-    held = F.count("*").over(Window.partitionBy("node"))
-    alone = F.expr(f"n - cast(ceil({num} * n / {den}) as long)") + F.col("need") - F.col("held")
-    placed = shared.withColumn("held", held).join(nodes.drop("doc_id"), "node").select("token", "node", "need", "n", *SIGNATURE, (F.col("n") - F.greatest(alone, F.lit(0))).alias("cap"))
-    placed = materialize(placed, "entries")
+    # all of a shingle's entries, but hot ones, meet in the task of its part; a hot one may come twice, which
+    # only makes the bounds below looser
+    shared = entries.repartition(parts, "part").mapInArrow(_shared_entries, "token long, node long, need int")
+    placed = materialize(_viable(_capped(shared, nodes, num, den), num, den), "entries")
     node = [F.col(c) for c in ("node", "need", "n", "cap", *SIGNATURE)]
 
     def may_link(a: str, b: str) -> Column:
@@ -354,17 +376,21 @@ def linked(docs: DataFrame, num: int = 80, den: int = 100, hot: float = HOT) ->
     now = materialize(now, "placed")
     per = now.groupBy("token", "component").agg(F.count("*").alias("k"))
     main = per.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("of")).where("of > 1").select("token", "main")
-    # a node's entries just before each of its own: where two nodes share one of these, they have met already
-    before = F.collect_list("token").over(Window.partitionBy("node").orderBy("token").rowsBetween(-MET, -1))
-    mixed = materialize(now.join(main, "token").withColumn("before", before).select("token", "main", F.struct(*node, "component", "before").alias("y")), "mixed")
+    mixed = now.join(main, "token").select("token", "main", F.struct(*node, *BEFORE, "component").alias("y"))
     outside = mixed.where("y.component <> main").select("token", F.col("y").alias("x"))
+    # where two nodes share an entry just before this one, they have met already (if they may link, both of
+    # them stand in that list, too)
+    met = F.lit(False)
+    for i in BEFORE:
+        for j in BEFORE:
+            met = met | F.coalesce(F.col(f"x.{i}") == F.col(f"y.{j}"), F.lit(False))
     # a pair outside the main component comes once, by its lesser node first
-    crossed = outside.join(mixed, "token").where("x.component <> y.component and (y.component = main or x.node < y.node)").where(may_link("x", "y") & ~F.arrays_overlap("x.before", "y.before"))
+    crossed = outside.join(mixed, "token").where("x.component <> y.component and (y.component = main or x.node < y.node)").where(~met & may_link("x", "y"))
     pairs = crossed.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.least("x.need", "y.need").alias("need")).distinct()
-    pairs = pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    pairs = materialize(pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
     # how many entries they share; a node's entries are a part of one document's shingles
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    lists = mixed.select(F.col("y.node").alias("node"), "token").join(asked, "node", "left_semi").groupBy("node").agg(F.collect_list("token").alias("tokens"))
+    lists = placed.select("node", "token").join(asked, "node", "left_semi").groupBy("node").agg(F.collect_list("token").alias("tokens"))
     both = pairs.join(lists.select(F.col("node").alias("a"), F.col("tokens").alias("s")), "a").join(lists.select(F.col("node").alias("b"), F.col("tokens").alias("t")), "b")
     more = materialize(both.where(F.size(F.array_intersect("s", "t")) >= F.col("need")).select("a", "b"), "cross")
     found = links.unionByName(materialize(verified(docs, more, nodes.select("node", "doc_id"), num, den), "links-cross"))
@@ -378,3 +404,5 @@ def linked(docs: DataFrame, num: int = 80, den: int = 100, hot: float = HOT) ->
     label = labels.select("node", "component").join(smallest, "component").select("node", "component_id")
     out = rows.join(label, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id")).cast("long").alias("component_id"))
+
+
