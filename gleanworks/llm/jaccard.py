@@ -49,6 +49,8 @@ HUB = 256
 #: A node's entries before each, which tell whether two nodes have met in an earlier list.
 BEFORE = ("b1", "b2")
 SIGNATURE = ("s0", "s1", "s2")
+#: Bits of the signature that a pair has to pass before its sets are read.
+WIDE = 2048
 
 
 def digest(s: np.ndarray) -> int:
@@ -68,11 +70,11 @@ def unpacked_set(data: bytes) -> np.ndarray:
     return np.hstack([raw, np.zeros((len(raw), 2), np.uint8)]).view(">u8").ravel().astype(np.uint64)
 
 
-def parities(s: np.ndarray) -> list[int]:
-    """A 192-bit signature: for each bit, whether it is hit an odd number of times. Two sets differ in at
-    least as many shingles as their signatures in bits."""
-    odd = np.bincount(((s >> np.uint64(8)) % np.uint64(192)).astype(np.int64), minlength=192) & 1
-    return np.packbits(odd.astype(bool)).view(np.int64).tolist()
+def parities(s: np.ndarray, bits: int) -> np.ndarray:
+    """A signature: for each bit, whether it is hit an odd number of times. Two sets differ in at least as
+    many shingles as their signatures in bits."""
+    odd = np.bincount(((s >> np.uint64(8)) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool))
 
 
 def _blocks(counts: np.ndarray, dtype: type) -> tuple[list[int], list[bytes]]:
@@ -106,7 +108,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = WordHashes()
     counts = np.zeros(1 << SKETCH, np.int64)
     held: list[np.ndarray] = []
-    names = ["doc_id", "node", "n", "bits", "block", "data"]
+    names = ["doc_id", "node", "n", "bits", "wide", "block", "data"]
 
     def pour() -> None:
         if held:
@@ -114,21 +116,22 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.clear()
 
     for batch in batches:
-        nodes, sizes, bits = [], [], []
+        nodes, sizes, bits, wide = [], [], [], []
         for text in as_bytes(batch.column("text")):
             s = shingles(text, cache)
             nodes.append(digest(s) if len(s) else None)
             sizes.append(len(s))
-            bits.append(parities(s))
+            bits.append(parities(s, 64 * len(SIGNATURE)).view(np.int64).tolist())
+            wide.append(parities(s, WIDE).tobytes())
             held.append(s)
         if sum(map(len, held)) > 4_000_000 or len(held) > 100_000:
             pour()
         n = len(sizes)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(wide, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
     pour()
     at, data = _blocks(counts, np.uint8)
     n = len(at)
-    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.array(at, pa.int32()), pa.array(data, pa.binary())], names=names)
+    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.binary()), pa.array(at, pa.int32()), pa.array(data, pa.binary())], names=names)
 
 
 def least_overlap(n: int, num: int, den: int) -> int:
@@ -342,15 +345,32 @@ def _viable(entries: DataFrame, num: int, den: int) -> DataFrame:
     return entries.where(most >= least - 1e-6).join(lists, "token").where(F.exists("steps", lambda s: (s >= low) & (s <= high))).drop("steps")
 
 
+def _near_by_signature(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b, need) whose wide signatures allow the threshold."""
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("wide").alias(f"wide_{c}"))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ones = np.array([i.bit_count() for i in range(256)], np.uint16)
+        for batch in batches:
+            if not len(batch):
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(f"wide_{c}").to_pylist()), np.uint8).reshape(len(batch), -1) for c in "ab")
+            apart = ones[x ^ y].sum(axis=1, dtype=np.int64)
+            sizes = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            yield batch.select(["a", "b", "need"]).take(pa.array(np.flatnonzero((num + den) * apart <= (den - num) * sizes)))
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(near, "a long, b long, need int")
+
+
 def linked(docs: DataFrame, num: int = 80, den: int = 100, hot: float = HOT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; a link is num / den Jaccard similarity at least."""
     docs = docs.select("doc_id", "text")
-    survey = materialize(docs.mapInArrow(_survey, "doc_id long, node long, n long, bits array<long>, block int, data binary"), "survey")
-    rows = survey.where("n is not null").select("doc_id", "node", "n", "bits")
+    survey = materialize(docs.mapInArrow(_survey, "doc_id long, node long, n long, bits array<long>, wide binary, block int, data binary"), "survey")
+    rows = survey.where("n is not null").select("doc_id", "node", "n", "bits", "wide")
     freq = summed(survey.where("block is not null"), np.uint8, np.uint32, 1 << SKETCH)
     total = rows.agg(F.sum("n")).first()[0] or 0
     parts = max(8, -(-total * (den - num) // den // PART))
-    nodes = materialize(rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *(F.first(F.col("bits")[i]).alias(f"s{i}") for i in range(len(SIGNATURE)))), "nodes")
+    nodes = materialize(rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *(F.first(F.col("bits")[i]).alias(f"s{i}") for i in range(len(SIGNATURE))), F.first("wide").alias("wide")), "nodes")
     entries = _entries(docs.where("doc_id is not null"), freq, parts, num, den, hot)
     # all of a shingle's entries, but hot ones, meet in the task of its part; a hot one may come twice, which
     # only makes the bounds below looser
@@ -387,7 +407,8 @@ def linked(docs: DataFrame, num: int = 80, den: int = 100, hot: float = HOT) ->
     # a pair outside the main component comes once, by its lesser node first
     crossed = outside.join(mixed, "token").where("x.component <> y.component and (y.component = main or x.node < y.node)").where(~met & may_link("x", "y"))
     pairs = crossed.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.least("x.need", "y.need").alias("need")).distinct()
-    pairs = materialize(pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
+    pairs = pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    pairs = materialize(_near_by_signature(pairs, nodes, num, den), "pairs")
     # how many entries they share; a node's entries are a part of one document's shingles
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     lists = placed.select("node", "token").join(asked, "node", "left_semi").groupBy("node").agg(F.collect_list("token").alias("tokens"))
@@ -406,3 +427,4 @@ def linked(docs: DataFrame, num: int = 80, den: int = 100, hot: float = HOT) ->
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id")).cast("long").alias("component_id"))
 
 
+
