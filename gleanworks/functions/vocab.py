@@ -121,4 +121,4 @@ def iso_names(spark: SparkSession) -> dict[str, str]:
     """English country names to alpha-2 codes, from the JVM's locale data, with the aliases above."""
     locale = spark._jvm.java.util.Locale
     english = locale.ENGLISH
-    return {locale.of("", c).getDisplayCountry(english).lower(): c for c in locale.getISOCountries()} | COUNTRIES
+    return {locale("", c).getDisplayCountry(english).lower(): c for c in locale.getISOCountries()} | COUNTRIES

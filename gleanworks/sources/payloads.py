@@ -279,16 +279,16 @@ def items_of(payloads: DataFrame, source: str) -> DataFrame:
 
 def _colons(ddl: str) -> str:
     """``a INT, b STRUCT<c:INT>`` as struct fields: the first blank of each top-level field becomes a colon."""
-    out, depth, start = [], 0, True
+    out, depth, named = [], 0, False
     for c in ddl:
         depth += (c == "<") - (c == ">")
         if c == " " and depth == 0:
-            if start:
+            if out and out[-1] != "," and not named:
                 out.append(":")
-                start = False
+                named = True
             continue
         if c == "," and depth == 0:
-            start = True
+            named = False
         out.append(c)
     return "".join(out)
 
