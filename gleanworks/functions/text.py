@@ -97,9 +97,27 @@ def is_prose(c: Column) -> Column:
     return (F.length(c) >= 200) & (F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit(""))) >= 20) & ~c.startswith("http")
 
 
-def name_variants(c: Column) -> Column:
-    """Slugs a company name may have: flat, dashed, first word; 3 to 39 characters."""
-    n = F.trim(F.regexp_replace(F.lower(empty_if_null(c)), "[^a-z0-9]+", " "))
-    words = F.split(n, " ")
-    found = F.array(F.replace(n, F.lit(" "), F.lit("")), F.replace(n, F.lit(" "), F.lit("-")), F.element_at(words, 1))
+# Words that a company's name is compared without, and those of them that are legal forms.
+TRADE = r"(?i)\b(inc|llc|l\.l\.c|ltd|limited|corp|corporation|co|company|the|group|holdings|plc|gmbh|sa|nv|ag|pte|pty|llp|lp)\b"
+LEGAL = r"(?i)\b(inc|llc|l\.l\.c|ltd|limited|corp|corporation|co|plc|gmbh|sa|nv|ag|pte|pty|llp|lp)\b"
+
+
+def _spaced(c: Column) -> Column:
+    return F.trim(F.regexp_replace(c, " +", " "))
+
+
+def name_norm(c: Column) -> Column:
+    """A company's name for comparison: lower case, no punctuation, no trade words."""
+    return _spaced(F.regexp_replace(F.regexp_replace(F.lower(empty_if_null(c)), "[^a-z0-9 ]+", " "), TRADE, " "))
+
+
+def name_variants(c: Column, aggressive: bool = False) -> Column:
+    """Slugs a company may have: flat, dashed, and if aggressive its first word; 3 to 39 characters.
+
+    A name that trade words alone cut down to one word is as generic as a first word: only if aggressive."""
+    base = name_norm(c)
+    left = _spaced(F.regexp_replace(F.regexp_replace(F.lower(empty_if_null(c)), "[^a-z0-9 ]+", " "), LEGAL, " "))
+    risky = ~base.contains(" ") & left.contains(" ")
+    flat, dashed = F.replace(base, F.lit(" "), F.lit("")), F.replace(base, F.lit(" "), F.lit("-"))
+    found = F.array(flat, dashed, F.split_part(base, F.lit(" "), F.lit(1))) if aggressive else F.when(risky, F.array().cast("array<string>")).otherwise(F.array(flat, dashed))
     return F.array_distinct(F.filter(found, lambda s: (F.length(s) >= 3) & (F.length(s) <= 39)))

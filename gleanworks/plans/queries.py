@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gleanworks.functions import arrangement, dates, places, salary, text, titles, urls, vocab
-from gleanworks.operators import linkage, score, store
+from gleanworks.operators import discovery, linkage, score, store
 from gleanworks.plans.config import Config
 from gleanworks.streaming import upserts
 
@@ -439,5 +439,50 @@ def shortlist(spark: SparkSession, sf: str) -> DataFrame:
 @query("select s_suppkey, v as slug from (select s_suppkey, unnest(list_distinct([replace(n, ' ', ''), replace(n, ' ', '-'), split_part(n, ' ', 1)])) as v from (select s_suppkey, " + sql_norm("s_name") + " as n from supplier)) where length(v) between 3 and 39")
 def slug_variants(spark: SparkSession, sf: str) -> DataFrame:
     """Exploded slug variants."""
-    return table(spark, sf, "supplier").select("s_suppkey", F.explode(text.name_variants(F.col("s_name"))).alias("slug"))
+    return table(spark, sf, "supplier").select("s_suppkey", F.explode(text.name_variants(F.col("s_name"), aggressive=True)).alias("slug"))
 
+
+
+@query("""select distinct 'greenhouse' as ats, 'co' || (page_id % 7) as slug from pages where page_id % 5 = 0 union select distinct 'lever', 'co' || (page_id % 7) from pages where page_id % 5 = 1
+  union select distinct 'workable', 'co' || (page_id % 7) from pages where page_id % 5 = 2 union select distinct 'teamtailor', 'co' || (page_id % 7) from pages where page_id % 5 = 3""")
+def mined_boards(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct boards of a crawl index."""
+    lines = table(spark, sf, "pages").select(F.to_json(F.struct(F.expr(BOARD_URLS).alias("url"))).alias("value"))
+    return discovery.mined(lines).select("ats", "slug")
+
+
+@query("select c_custkey, case when c_custkey % 6 = 0 then 'unsupported' when c_custkey % 6 = 1 then 'refused' when c_custkey % 6 = 2 then 'throttled' when c_custkey % 6 = 3 then 'missing' when c_acctbal < 0 then 'empty' else 'ok' end as outcome from customer")
+def probe_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """What a probe's answer means."""
+    k = F.col("c_custkey") % 6
+    c = table(spark, sf, "customer")
+    status = F.when(k == 1, F.when(F.col("c_custkey") % 4 == 1, 401).otherwise(403)).when(k == 2, 429).when(k == 3, 404).otherwise(200)
+    return c.select("c_custkey", discovery.outcome(k != 0, status, F.when(F.col("c_acctbal") < 0, 0).otherwise(3)).alias("outcome"))
+
+
+@query(f"""with {VIEW}, ranked as (select seq, company, row_number() over (partition by {sql_norm("company")} order by seq) as rn from posting where {sql_norm("company")} not in (select {sql_norm("s_name")} from supplier where s_suppkey % 2 = 0))
+  select seq, company from ranked where rn = 1""")
+def unknown_companies(spark: SparkSession, sf: str) -> DataFrame:
+    """First posting of each company that isn't known yet."""
+    known = table(spark, sf, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_name").alias("name"))
+    return discovery.unknown(posting(spark, sf), known).select("seq", "company")
+
+
+@query("select lang, case when b >= 0.3 and b > a + 0.2 then 'true' when n = 0 then 'unknown' else 'false' end as verdict from (select lang, avg(cast(contains(lower(text), 'the') as double)) as b, 0.05 as a, count(*) as n from documents group by lang)")
+def filter_detection(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether a parameter filters, by what its rows are about."""
+    g = table(spark, sf, "documents").groupBy("lang").agg(F.avg(F.lower("text").contains("the").cast("double")).alias("rel"), F.count("*").alias("n"))
+    return g.select("lang", discovery.filters(F.lit(200), F.col("n"), F.col("rel"), F.lit(0.05), F.lit(100)).alias("verdict"))
+
+
+@query("select doc_id, item_id from documents d join benchmark b on contains(d.text, b.text)")
+def contamination(spark: SparkSession, sf: str) -> DataFrame:
+    """J10, as a containment join: a passage meets the documents that hold its longest inner word, then is searched.
+
+    Its first and last words may be parts of longer ones; the words between are whole in any text that
+    holds it. So no document is compared with all passages."""
+    b = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage"))
+    inner = F.slice(F.split("passage", " "), 2, F.greatest(F.size(F.split("passage", " ")) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    docs = table(spark, sf, "documents").where("text is not null").select("doc_id", "text", F.explode(F.array_distinct(F.split("text", " "))).alias("h"))
+    return docs.join(b.withColumn("h", longest), "h").where(F.col("text").contains(F.col("passage"))).select("doc_id", "item_id").distinct()
