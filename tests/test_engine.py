@@ -202,3 +202,72 @@ def test_queries_match_sql(spark: SparkSession, name: str) -> None:
     plain = lambda v: repr(round(v, 6)) if isinstance(v, float) else str(v)
     got = sorted(tuple(plain(r[c]) for c in order) for r in df.collect())
     assert got == sorted(tuple(plain(r[want.columns.index(c)]) for c in order) for r in want.fetchall())
+
+
+def test_discovery(spark: SparkSession) -> None:
+    from gleanworks.operators import discovery
+
+    lines = spark.createDataFrame([('{"url": "https://jobs.lever.co/Acme/1"}',), ('{"url": "https://jobs.lever.co/acme/2"}',), ("{broken",), ('{"url": "https://jobs.lever.co/jobs"}',), ('{"url": "https://t.wd1.myworkdayjobs.com/Site/job"}',)], "value string")
+    boards = discovery.mined(lines)
+    assert {(r.ats, r.slug, r.site) for r in boards.collect()} == {("lever", "acme", None), ("workday", "t", "Site")}
+    seeds = discovery.seeded(boards, spark.createDataFrame([("lever/acme",)], "entry_key string"), 5)
+    assert [r.slug for r in seeds.collect()] == ["t"]
+
+    def ask(ats: str, slug: str) -> tuple:
+        if slug == "boom":
+            raise OSError("down")
+        return {"no": (403, 0, None), "slow": (429, 0, None), "gone": (404, 0, None), "idle": (200, 0, None), "other": (200, 4, "Someone Else")}.get(slug, (200, 3, "Acme Inc."))
+
+    candidates = spark.createDataFrame([(a, s, "Acme") for a, s in [("greenhouse", "acme"), ("greenhouse", "other"), ("lever", "other"), ("lever", "no"), ("lever", "slow"), ("lever", "gone"), ("lever", "idle"), ("lever", "boom"), ("zzz", "x")]], "ats string, slug string, name string")
+    got = {(r.ats, r.slug): r.outcome for r in discovery.probed(candidates, ask, ("greenhouse", "lever")).collect()}
+    assert list(got.values()) == ["ok", "wrong-owner", "ok", "refused", "throttled", "missing", "empty", "error", "unsupported"]
+    names = spark.createDataFrame([(1, "Data Dog"), (2, "Datadog"), (3, "Capital Group")], "seq int, name string")
+    universe = spark.createDataFrame([(1, "lever", "datadog"), (2, "ashby", "DataDog"), (3, "lever", "capital"), (4, "lever", "data-dog")], "seq int, ats string, slug string")
+    assert {(r.name, r.ats, r.slug) for r in discovery.match_known(names, universe).collect()} == {("Data Dog", "lever", "datadog"), ("Datadog", "ashby", "datadog"), ("Data Dog", "lever", "data-dog")}
+    assert discovery.page_ceiling(lambda n: (200, 20) if n <= 37 else (200, 0), 20) == 37 and discovery.page_ceiling(lambda n: (200, 20), 20) is None
+
+
+def test_files(spark: SparkSession, tmp_path) -> None:
+    from gleanworks.sources import files
+
+    assert files.store_csv(spark, f"{tmp_path}/none.csv").count() == 0
+    (tmp_path / "s.csv").write_bytes("﻿id,title,dedup_key\n1,\"a, \"\"b\"\"\",k\n".encode())
+    (row,) = files.store_csv(spark, f"{tmp_path}/s.csv").collect()
+    assert (row.id, row.title, row.dedup_key, row.status) == ("1", 'a, "b"', "k", "")
+    (tmp_path / "u.csv").write_bytes("id,title\n2,é\n".encode("utf-16"))
+    assert files.store_csv(spark, f"{tmp_path}/u.csv").first().title == "é"
+    (tmp_path / "w.json").write_text('[{"name": "Acme", "ats": "lever", "slug": "acme", "local": true}]')
+    rows, error = files.watchlist_json(spark, f"{tmp_path}/w.json")
+    assert rows.first().slug == "acme" and error is None
+    (tmp_path / "bad.json").write_text("[{")
+    assert files.watchlist_json(spark, f"{tmp_path}/bad.json")[1]
+    (tmp_path / "f.xml").write_text("<rss><channel><item><title>T &amp; U</title><link>http://x</link><pubDate>d</pubDate><description>b</description></item></channel></rss>")
+    assert tuple(files.feed(spark, f"{tmp_path}/f.xml").first()) == ("T & U", "http://x", "d", "b")
+    (tmp_path / "p.md").write_text("---\nname: a\nauth: TODO\n---\nbody TODO\n")
+    front = files.profiles(spark, f"{tmp_path}/p.md")
+    (done,) = files.completeness(front, ("name", "auth", "pages")).collect()
+    assert (done.todos, done.missing) == (2, ["pages"])
+    now = spark.createDataFrame([("a", "1", "x"), ("b", "2", None)], "name string, rows string, auth string")
+    index = spark.createDataFrame([("a", "1", "y")], "name string, rows string, auth string")
+    assert {(r.name, r.field, r.indexed) for r in files.drift(now, index, ("rows", "auth")).collect()} == {("a", "auth", "y"), ("b", "rows", None)}
+    frames, errors = files.each_apart({"ok": lambda: now, "bad": lambda: 1 / 0})
+    assert list(frames) == ["ok"] and errors == [("bad", "ZeroDivisionError")]
+
+
+def test_pages_source(spark: SparkSession, tmp_path) -> None:
+    from gleanworks.sources import http
+
+    (tmp_path / "1.json").write_text('{"jobs": [1]}')
+    (tmp_path / "2.json").write_text("no json")
+    spark.dataSource.register(http.PagesSource)
+    rows = spark.read.format("pages").options(template=f"file://{tmp_path}/{{page}}.json", pages=3, slug="s").load().orderBy("seq").collect()
+    assert [(r.seq, r.raw) for r in rows] == [(1, '{"jobs": [1]}'), (2, None), (3, None)]
+
+
+def test_rerank(spark: SparkSession) -> None:
+    from gleanworks.plans import rerank
+
+    rows = spark.createDataFrame([("k0", "A", "B"), ("k1", "C", "D")], "dedup_key string, title string, company string")
+    reply = 'Sure: [{"id": 0, "fit": 90, "note": "ok"}, {"id": 9, "fit": 1}, {"fit": 2}, {"id": 1, "fit": null}] done'
+    assert [tuple(r) for r in rerank.rerank(spark, rows, config.Config(), lambda _: reply).collect()] == [("k0", "90", "ok"), ("k1", "0", "")]
+    assert rerank.rerank(spark, rows, config.Config(), None).count() == 0 and rerank.rerank(spark, rows, config.Config(), lambda _: 1 / 0).count() == 0

@@ -34,7 +34,8 @@ def test_words(spark: SparkSession) -> None:
     assert each(spark, ["<p>a&nbsp;&amp;lt; b</p>\n c", None, "x<br>y"], text.clean) == ["a &lt; b c", "", "x y"]
     assert each(spark, ["(Hybrid) Mansfield, MA", "Remote - TX", "((remote))"], text.strip_arrangement) == ["Mansfield, MA", "TX", ""]
     assert each(spark, ["=1+1", "-5", "ok", None, "\tx"], text.guarded) == ["'=1+1", "'-5", "ok", "", "'\tx"]
-    assert each(spark, ["Data Dog Inc"], text.name_variants) == [["datadoginc", "data-dog-inc", "data"]]
+    assert each(spark, ["Data Dog Inc", "ACME LLC", "Capital Group", ""], text.name_variants) == [["datadog", "data-dog"], ["acme"], [], []]
+    assert each(spark, ["Capital Group", "Data Dog"], lambda c: text.name_variants(c, aggressive=True)) == [["capital"], ["datadog", "data-dog", "data"]]
 
 
 def test_vocabularies(spark: SparkSession) -> None:
