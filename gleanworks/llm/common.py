@@ -20,6 +20,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: Rows of an Arrow batch at most: whole texts go through Python workers, and each batch is held twice.
+BATCH_ROWS = 2_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds of its input at once; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only if unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -47,7 +58,7 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
 class WordHashes(dict):
     """Word to 64-bit hash, each hashed once; emptied before it grows beyond its bound."""
 
-    BOUND = 400_000
+    BOUND = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.BOUND:

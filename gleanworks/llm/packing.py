@@ -42,7 +42,7 @@ class ByWord:
     The first ``BOUND`` words stay known, as runs of one array of ids.
     """
 
-    BOUND = 400_000
+    BOUND = 300_000
     MARK = "\x01"
 
     def __init__(self, path: str) -> None:
@@ -123,8 +123,8 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = tokenizer(path)
         for whole in batches:
-            for at in range(0, len(whole), 2048):
-                batch = whole.slice(at, 2048)
+            for at in range(0, len(whole), 1000):
+                batch = whole.slice(at, 1000)
                 rows = []
                 for n, ids in enumerate(ids_of.of(as_bytes(batch.column("text")))):
                     rows += [(n, k, start, len(part), zlib.crc32(part.astype("<u4", copy=False).tobytes())) for k, start in enumerate(range(0, len(ids), size)) for part in (ids[start : start + size],)]
