@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanworks.llm import jaccard, langid, mixing, packing, quality
-from gleanworks.llm.common import materialize
+from gleanworks.llm.common import materialize, small_batches
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Below this share of the vote among languages, a text's language is too uncertain to keep it.
@@ -22,18 +22,21 @@ LEAST_SCORE = 0.4
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go, and boilerplate lines of the kept ones."""
+    small_batches(spark)
     kept = quality.judged(docs.select(*COLUMNS), texts=True).where("kept")
     return kept.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or in no language that the model is sure of, go."""
+    small_batches(spark)
     found = langid.identified(docs.select(*COLUMNS), keep=("text", "lang", "source", "n_chars"))
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id stays."""
+    small_batches(spark)
     docs = docs.select(*COLUMNS)
     groups = jaccard.linked(docs).select("doc_id", "component_id")
     # the others' ids, each once; a document without an id is nobody's copy
@@ -47,11 +50,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it."""
+    small_batches(spark)
     return mixing.taken(docs.select(*COLUMNS))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The places of all pieces in sequences of 2048 tokens."""
+    small_batches(spark)
     import public_tokenizers
 
     return packing.packed(docs.select(*COLUMNS), public_tokenizers.path("word_bpe_49k.json"))
