@@ -21,6 +21,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,8 @@ from gleanworks.llm.common import WordHashes, scramble, shingles
 SCALE = 8
 #: Documents of a range on average.
 RANGE = 4_000
+#: Ranges at most: beyond it they grow, as rows stream through them.
+RANGES = 8_192
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, resemblance_edited double, resemblance_next double"
 
 
@@ -107,25 +110,38 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     """The contract's row for every document."""
     docs = docs.select("doc_id", "text")
     n = docs.agg(F.count("doc_id")).first()[0]
-    parts = max(1, -(-n // RANGE))
+    parts = max(1, min(-(-n // RANGE), RANGES))
     bounds = []
     if parts > 1:
         steps = ",".join(str((i + 1) / parts) for i in range(parts - 1))
         bounds = sorted(set(docs.agg(F.expr(f"percentile_approx(doc_id, array({steps}), {20 * parts})")).first()[0]))
-    array = F.array(*(F.lit(int(b)).cast("long") for b in bounds)) if bounds else F.array().cast("array<long>")
-    # one row for each range: its place among the sorted bounds
-    dealt = docs.withColumn("range", F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(parts))).otherwise(F.size(F.filter(array, lambda b: b < F.col("doc_id")))).cast("int"))
+    edges = np.array(bounds, np.int64)
+
+    def range_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, ids.to_numpy(np.int64)).astype(np.int32))
+
+    # only ids go through Python here: a search among the bounds, however many there are
+    known = F.coalesce("doc_id", F.lit(0).cast("long"))  # a null would make floats of the ids
+    at = F.pandas_udf(range_of, "int")(known)
+    dealt = docs.withColumn("range", F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(parts)).cast("int")).otherwise(at))
+    # one row for each range
     firsts = {r["range"]: r["least"] for r in dealt.where("doc_id is not null").groupBy("range").agg(F.min("doc_id").alias("least")).collect()}
-    ranges = sorted(firsts)
-    before = {at: ranges[i - 1] for i, at in enumerate(ranges)}
+    ranges = np.array(sorted(firsts), np.int64)
+    least = np.array([firsts[at] for at in ranges], np.int64)
     first = None
-    if ranges and docs.where("doc_id is null").limit(1).count():
-        text = docs.where(F.col("doc_id") == firsts[ranges[0]]).agg(F.min(F.coalesce("text", F.lit("")))).first()[0]
+    if len(ranges) and docs.where("doc_id is null").limit(1).count():
+        text = docs.where(F.col("doc_id") == int(least[0])).agg(F.min(F.coalesce("text", F.lit("")))).first()[0]
         first = text or ""
-    least = F.create_map(*(F.lit(x) for at in ranges for x in (at, firsts[at]))) if ranges else F.create_map().cast("map<int,long>")
-    prior = F.create_map(*(F.lit(x) for at in ranges for x in (at, before[at]))) if ranges else F.create_map().cast("map<int,int>")
+
+    def tail_of(ids: pd.Series) -> pd.Series:
+        """The range before, of a range's first row; else -1."""
+        x = ids.to_numpy(np.int64)
+        i = np.minimum(np.searchsorted(least, x), len(least) - 1)
+        return pd.Series(np.where(least[i] == x, ranges[i - 1], -1).astype(np.int32))
+
+    tail = F.pandas_udf(tail_of, "int")(known) if len(ranges) else F.lit(-1)
+    dealt = dealt.withColumn("before", F.when(F.col("doc_id").isNull(), -1).otherwise(tail))
     own = F.struct(F.col("range"), F.lit(False).alias("tail"))
-    tail = F.struct(prior[F.col("range")].alias("range"), F.lit(True).alias("tail"))
-    places = F.when(F.col("doc_id") == least[F.col("range")], F.array(own, tail)).otherwise(F.array(own))
+    places = F.when(F.col("before") >= 0, F.array(own, F.struct(F.col("before").alias("range"), F.lit(True).alias("tail")))).otherwise(F.array(own))
     rows = dealt.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.explode(places).alias("place")).select("place.range", "place.tail", "doc_id", "text")
     return rows.repartition(parts, "range").sortWithinPartitions("range", "tail", "doc_id", "text").mapInArrow(_stream(first), OUT)

@@ -126,7 +126,7 @@ def judged(docs: DataFrame, min_docs: int = 20, share: float = 0.003, min_words:
                 body = text or b""
                 n, chars, symbols, dup, repeat = base_counts(body, cache)
                 parts, words, keys = line_keys(body, host)
-                bad = np.isin(keys.view(np.int64), known.value if known is not None else np.array(own or [], np.int64)) & (keys > 0)
+                bad = _among(keys.view(np.int64), known.value if known is not None else np.sort(np.array(own or [], np.int64))) & (keys > 0)
                 left = int(words[~bad].sum())
                 failed = n < min_words or 100 * repeat > 50 * n
                 rows.append((doc_id, n, chars, symbols, dup, repeat, failed, not failed and left >= max(left_words, left_share * n), left, int(bad.sum())))
@@ -145,6 +145,13 @@ def judged(docs: DataFrame, min_docs: int = 20, share: float = 0.003, min_words:
     return wide.mapInArrow(judge, out)
 
 
+def _among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which keys are among the known ones, which ascend: a search for each key, however many are known."""
+    if not len(known):
+        return np.zeros(len(keys), bool)
+    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+
+
 def _own_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = [np.unique(line_keys(t, h)[2]).view(np.int64) if t else np.array([], np.int64) for t, h in zip(as_bytes(batch.column("text")), as_bytes(batch.column("source")), strict=True)]
