@@ -43,6 +43,8 @@ HEAD, HELD = 65_536, 150_000
 #: What stands for the end of a text: no word holds a line feed.
 END = b"\n"
 DISCOUNT = 0.75
+#: Words whose lattices are computed at once.
+AT_ONCE = 40_000
 #: Classes besides the rest, and expectation steps.
 CLASSES, STEPS = 5, 2
 LONGEST = 16
@@ -218,6 +220,18 @@ def _counts_of(batch: pa.RecordBatch, width: int) -> np.ndarray:
     return np.stack([batch.column(f"n{k}").to_numpy(zero_copy_only=False) for k in range(width)]).astype(np.float64)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at least so many."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if sum(map(len, held)):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def piece_scores(words: DataFrame, path: str, width: int, steps: int = STEPS, smooth: float = 0.02) -> np.ndarray:
     """(classes x pieces) log-probabilities after some expectation steps over all training words.
 
@@ -231,12 +245,21 @@ def piece_scores(words: DataFrame, path: str, width: int, steps: int = STEPS, sm
         def expect(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
             found = lattice(path)
             counts = np.zeros(shared.value.shape)
+            # most words are of one class: each class gathers its own, enough at once to make arrays of
+            mine: list[list[str]] = [[] for _ in range(width)]
+
+            def take(k: int) -> None:
+                found.expected(mine[k], np.ones((1, len(mine[k]))), shared.value[k : k + 1], counts[k : k + 1])
+                mine[k].clear()
+
             for batch in batches:
                 text = [w.decode("utf-8", "replace") for w in batch.column("word").to_pylist()]
-                # most words are of one class: each class looks at its own
                 for k, own in enumerate(_counts_of(batch, width) > 0):
-                    mine = [text[i] for i in np.flatnonzero(own)]
-                    found.expected(mine, np.ones((1, len(mine))), shared.value[k : k + 1], counts[k : k + 1])
+                    mine[k] += [text[i] for i in np.flatnonzero(own)]
+                    if len(mine[k]) >= AT_ONCE:
+                        take(k)
+            for k in range(width):
+                take(k)
             k, piece = np.nonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(counts[k, piece])], names=["k", "piece", "n"])
 
@@ -260,7 +283,7 @@ def scored_words(words: DataFrame, path: str, totals: np.ndarray, distinct: np.n
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = lattice(path)
-        for batch in batches:
+        for batch in _gathered(batches, AT_ONCE):
             text = batch.column("word").to_pylist()
             n = _counts_of(batch, width)
             x = found.spelled(["\u2029" if w == END else w.decode("utf-8", "replace") for w in text], shared.value).T + escape[:, None]
