@@ -132,8 +132,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def fit(docs: DataFrame, per_lang: int = 600) -> Model:
     """Learn from at most per_lang texts of each language, none of them held out."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    order = Window.partitionBy("lang").orderBy(draw, "doc_id")
     known = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    # thin out by the draw first, to about twice the sample, so that no language's rows meet in one task
+    counts = known.groupBy("lang").agg(F.count("*").alias("_n"))
+    known = known.join(counts, "lang").where(draw <= F.lit(1 << 30) * F.least(F.lit(1.0), (2.0 * per_lang + 100) / F.col("_n"))).select("doc_id", "lang")
     chosen = known.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= per_lang).select("doc_id").distinct()
     # per_lang ids of each language: bounded by the parameter
     rows = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null").join(F.broadcast(chosen), "doc_id").toPandas()

@@ -295,6 +295,21 @@ def scored_words(words: DataFrame, path: str, totals: np.ndarray, distinct: np.n
     return words.mapInArrow(score, "word binary, n long" + "".join(f", p{k} double" for k in range(width)))
 
 
+def _most_frequent(table: DataFrame, most: int) -> DataFrame:
+    """The most frequent words, at most so many: those above a step of counts that few enough reach.
+
+    Steps are sixteenths of powers of two, so their histogram is small; a sort would send the driver a
+    head from every task."""
+    step = F.floor(F.log2(F.col("n") + 1) * 16)
+    above, least = 0, 1 << 62
+    for row in sorted(table.groupBy(step.alias("s")).agg(F.count("*").alias("k")).collect(), key=lambda r: -r["s"]):
+        above += row["k"]
+        if above > most:
+            break
+        least = row["s"]
+    return table.where(step >= F.lit(least))
+
+
 def scored(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     labels, shares = classes_of(docs)
@@ -305,8 +320,7 @@ def scored(docs: DataFrame, path: str) -> DataFrame:
     distinct, totals, kinds = sums[0], np.array(sums[1 : 1 + width], float), np.array(sums[1 + width :], float)
     total = int(totals.sum())
     table = materialize(scored_words(words, path, totals, kinds), "scores")
-    # at most HEAD rows, whatever the corpus
-    head = table.orderBy(F.desc("n"), "word").limit(HEAD).toPandas()
+    head = _most_frequent(table, HEAD).toPandas()  # at most HEAD rows, whatever the corpus
     place = {w: i for i, w in enumerate(head.word)}
     scores = [f"p{k}" for k in range(width)]
     shared = docs.sparkSession.sparkContext.broadcast((place, head.n.to_numpy(np.float64), head[scores].to_numpy(np.float64)))
