@@ -6,8 +6,12 @@ six ASCII characters, and ``bytes.lower()`` lower-cases exactly A-Z, so both con
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -55,11 +59,27 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+#: What to call before another operator's work starts in a worker process: it lets go of what was kept between tasks.
+RELEASE: list[Callable[[], None]] = []
+
+
+def release_kept() -> None:
+    """Free what operators keep in this process between their tasks, and give the memory back."""
+    for clear in RELEASE:
+        clear()
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class WordHashes(dict):
     """Word to 64-bit hash, each hashed once; emptied before it grows beyond its bound."""
 
     BOUND = 200_000
 
+    def __init__(self) -> None:
+        release_kept()
+
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.BOUND:
             self.clear()

@@ -40,7 +40,7 @@ from gleanworks.llm.common import WordHashes, as_bytes, components, materialize,
 #: Counters of the sketch of shingle frequencies (bits), and of a block of it.
 SKETCH, BLOCK = 20, 14
 #: Prefix entries of a part on average, and estimated frequency from which a shingle is dealt by node too.
-PART, HOT = 1_000_000, 1 << 15
+PART, HOT = 500_000, 1 << 15
 MATCHES = (1, 2, 3, 4, 6, 8)
 #: What checking a candidate costs, in prefix entries.
 CHECK = 16.0
@@ -124,7 +124,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits.append(parities(s, 64 * len(SIGNATURE)).view(np.int64).tolist())
             wide.append(parities(s, WIDE).tobytes())
             held.append(s)
-        if sum(map(len, held)) > 4_000_000 or len(held) > 100_000:
+        if sum(map(len, held)) > 1_500_000 or len(held) > 50_000:
             pour()
         n = len(sizes)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(wide, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
@@ -201,7 +201,7 @@ def _entries(docs: DataFrame, freq: np.ndarray, parts: int, num: int, den: int,
                 tokens, est, need = prefix(s, shared.value, noise, num, den)
                 held.append((tokens, est, node, need))
                 rows += len(tokens)
-                if rows > 1_500_000:
+                if rows > 500_000:
                     yield from pack()
                     held.clear()
                     rows = 0
@@ -341,7 +341,7 @@ def _viable(entries: DataFrame, num: int, den: int) -> DataFrame:
     least, most = F.col("n") * num / den, F.least(F.col("n") * den / num, F.col("cap") * (num + den) / num - F.col("n"))
     # a list of one node has one size but no partner
     lists = entries.groupBy("token").agg(F.collect_set(step(F.col("n").cast("double"))).alias("steps"), F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("token", "steps")
-    low, high = step(least - 0.5), step(most + 0.5)
+    low, high = step(F.greatest(least - 0.5, F.lit(0.1))), step(most + 0.5)
     return entries.where(most >= least - 1e-6).join(lists, "token").where(F.exists("steps", lambda s: (s >= low) & (s <= high))).drop("steps")
 
 

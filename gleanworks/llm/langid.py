@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gleanworks.llm.common import release_kept
+
 #: Lengths of the n-grams, and bits of their hash (n-grams that share a hash count as one).
 LENGTHS = (1, 2, 3, 4)
 BITS = 18
@@ -55,6 +57,7 @@ class Grams:
     """Ids of the distinct n-grams of a text."""
 
     def __init__(self) -> None:
+        release_kept()
         self.fold, self.letters = _folding()
         self.seen = np.zeros(1 << BITS, bool)
 
@@ -158,8 +161,8 @@ def identified(docs: DataFrame, model: Model | None = None, keep: tuple[str, ...
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
         for whole in batches:
-            for at in range(0, len(whole), 256):
-                batch = whole.slice(at, 256)
+            for at in range(0, len(whole), 64):
+                batch = whole.slice(at, 64)
                 langs, scores = shared.value.predict([grams.of(t) for t in batch.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *(batch.column(f.name) for f in extra)], names=["doc_id", "held_out", "lang_pred", "score", *(f.name for f in extra)])
 

@@ -36,7 +36,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanworks.llm.common import as_bytes, materialize, scramble
+from gleanworks.llm.common import RELEASE, as_bytes, materialize, scramble
 
 #: Words that go to every task; words that a task counts before it passes its counts on.
 HEAD, HELD = 65_536, 150_000
@@ -176,6 +176,9 @@ def lattice(path: str) -> Lattice:
     return Lattice(list(vocabulary(path)))
 
 
+RELEASE += [lattice.cache_clear, vocabulary.cache_clear]
+
+
 def classes_of(docs: DataFrame) -> tuple[list[str], list[float]]:
     """The most frequent labels of the training documents, and the shares of them and of the rest."""
     rows = docs.where(~held_out()).groupBy("lang").agg(F.count("*").alias("n"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gleanworks.llm.common import as_bytes, materialize
+from gleanworks.llm.common import RELEASE, as_bytes, materialize
 
 SIZE = 2048
 #: Pieces of a rank bucket on average.
@@ -117,6 +117,9 @@ def tokenizer(path: str) -> ByWord:
     return ByWord(path)
 
 
+RELEASE.append(tokenizer.cache_clear)
+
+
 def pieces(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
     """The pieces of every document: doc_id, row (a hash of doc_id and text), piece, start, length, ids_crc32."""
 
