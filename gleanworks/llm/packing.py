@@ -26,11 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gleanworks.llm.common import RELEASE, as_bytes, materialize
+from gleanworks.llm.common import RELEASE, as_bytes, materialize, release_kept
 
 SIZE = 2048
 #: Pieces of a rank bucket on average.
 BUCKET = 20_000
+#: Words that a worker process keeps with their ids, about 200 bytes each.
+KNOWN = 300_000
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -39,18 +41,17 @@ class ByWord:
 
     Words not met before are encoded together in one call, with a mark between them whose id nothing else
     gives. Words and texts for which that could fail (special tokens, the mark itself) are encoded alone.
-    The first ``BOUND`` words stay known, as runs of one array of ids.
+    The first ``bound`` words stay known, as runs of one array of ids.
     """
 
-    BOUND = 300_000
     MARK = "\x01"
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, bound: int = KNOWN) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         (self.mark,) = self.encode(self.MARK)
-        self.known = _Places(self.BOUND)
+        self.known = _Places(bound)
         self.start, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def encode(self, text: str) -> list[int]:
@@ -112,22 +113,23 @@ class _Places(dict):
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str) -> ByWord:
+def tokenizer(path: str, bound: int) -> ByWord:
     """One for each worker process, whatever the number of its tasks."""
-    return ByWord(path)
+    release_kept()
+    return ByWord(path, bound)
 
 
 RELEASE.append(tokenizer.cache_clear)
 
 
-def pieces(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
+def pieces(docs: DataFrame, path: str, size: int = SIZE, known: int = KNOWN) -> DataFrame:
     """The pieces of every document: doc_id, row (a hash of doc_id and text), piece, start, length, ids_crc32."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = tokenizer(path)
+        ids_of = tokenizer(path, known)
         for whole in batches:
-            for at in range(0, len(whole), 1000):
-                batch = whole.slice(at, 1000)
+            for at in range(0, len(whole), 500):
+                batch = whole.slice(at, 500)
                 rows = []
                 for n, ids in enumerate(ids_of.of(as_bytes(batch.column("text")))):
                     rows += [(n, k, start, len(part), zlib.crc32(part.astype("<u4", copy=False).tobytes())) for k, start in enumerate(range(0, len(ids), size)) for part in (ids[start : start + size],)]
@@ -225,9 +227,9 @@ def runs(patterns: list[tuple[tuple[int, ...], int]]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["length", "first", "base", "offset"]).sort_values(["length", "first"], kind="stable")
 
 
-def packed(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
+def packed(docs: DataFrame, path: str, size: int = SIZE, known: int = KNOWN) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
-    cut = materialize(pieces(docs, path, size), "pieces")
+    cut = materialize(pieces(docs, path, size, known), "pieces")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most size rows
     histogram = np.array([counts.get(x, 0) for x in range(size)], np.int64)
     patterns = plan(histogram, size)
