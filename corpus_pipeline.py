@@ -59,7 +59,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     import public_tokenizers
 
-    return packing.packed(docs.select(*COLUMNS), public_tokenizers.path("word_bpe_49k.json"))
+    # fewer known words than packing alone would keep: workers still hold memory of the stages before
+    return packing.packed(docs.select(*COLUMNS), public_tokenizers.path("word_bpe_49k.json"), known=40_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
