@@ -81,7 +81,7 @@ class Grams:
             h = h[: len(x) - n + 1] * np.uint32(0x01000193) + x[n - 1 :] * np.uint32(0x9E3779B1)
             if n in LENGTHS:
                 seen[(h ^ np.uint32(n * 0x85EBCA6B & 0xFFFFFFFF)) * np.uint32(0xC2B2AE35) >> np.uint32(32 - BITS)] = True
-        ids = np.flatnonzero(seen)
+        ids = np.flatnonzero(seen).astype(np.int32)
         seen[ids] = False
         return ids
 
@@ -99,10 +99,12 @@ class Model:
         by = {lang: [i for i, (_, x) in enumerate(rows) if x == lang] for lang in self.langs}
         each = max(1, landmarks // len(self.langs))
         marks = [i for lang in self.langs for i in by[lang][:each]]
-        presence = np.zeros((1 << BITS, len(marks)), np.float32)
+        presence = np.zeros((1 << BITS, len(marks)), bool)
         for j, i in enumerate(marks):
-            presence[rows[i][0], j] = 1 / np.sqrt(len(rows[i][0]))
-        kernel = np.stack([presence[g].sum(axis=0) / np.sqrt(len(g)) for g, _ in rows]).astype(np.float64)
+            presence[rows[i][0], j] = True
+        root = np.sqrt([len(rows[i][0]) for i in marks])
+        kernel = np.stack([presence[g].sum(axis=0) / (np.sqrt(len(g)) * root) for g, _ in rows])
+        del presence
         values, vectors = np.linalg.eigh((kernel[marks] + kernel[marks].T) / 2)
         good = values > 1e-6 * values.max()
         to_map = vectors[:, good] / np.sqrt(values[good])
@@ -112,7 +114,11 @@ class Model:
         penalty = ridge * len(rows) * np.eye(features.shape[1])
         penalty[-1, -1] = 1e-9
         beta = np.linalg.solve(features.T @ (features * weight) + penalty, features.T @ (target * weight))
-        self.weights = (presence @ (to_map @ beta[:-1]).astype(np.float32)).astype(np.float32)
+        # the landmarks' presence times the dual coefficients, one landmark's n-grams at a time
+        dual = to_map @ beta[:-1]
+        self.weights = np.zeros((1 << BITS, len(self.langs)), np.float32)
+        for j, i in enumerate(marks):
+            self.weights[rows[i][0]] += (dual[j] / root[j]).astype(np.float32)
         self.bias = beta[-1]
 
     def predict(self, ids: list[np.ndarray | None]) -> tuple[list[str], list[float]]:
