@@ -10,8 +10,9 @@ Candidates are never emitted as all pairs of a posting list:
 
 1. Prefix entries that no other node has are dropped (packed blocks dealt by shingle; very frequent
    shingles are dealt by node as well, and pass).
-   What a node's prefix holds alone bounds what it can share, and parity signatures bound from below in
-   how many shingles two sets differ: both settle most pairs before any set is read, and lose none.
+   What a node's prefix holds alone before a shingle bounds what it can share with the others that have
+   that shingle in their prefix, and parity signatures bound from below in how many shingles two sets
+   differ: both settle most pairs before any set is read, and lose none.
 2. Of every posting list the most typical node is paired with each other: as many pairs as entries. Each node's pair with the
    most shared entries is verified on the exact sets, and components are formed.
 3. What is left are pairs of one list in different components. For each list the entries outside its most
@@ -42,6 +43,8 @@ SKETCH, BLOCK = 20, 14
 #: Prefix entries of a part on average, and estimated frequency from which a shingle is dealt by node too.
 PART, HOT = 500_000, 1 << 15
 MATCHES = (1, 2, 3, 4, 6, 8)
+#: Places in a prefix that are told apart (13 bits); those behind count as the last one.
+PLACES = (1 << 13) - 1
 #: What checking a candidate costs, in prefix entries.
 CHECK = 16.0
 #: Members of a hub that are verified in one task.
@@ -159,7 +162,8 @@ def prefix(s: np.ndarray, freq: np.ndarray, noise: float, num: int, den: int) ->
 
 
 def _entries(docs: DataFrame, freq: np.ndarray, parts: int, num: int, den: int, hot: float) -> DataFrame:
-    """(part, hot, matches, data): packed prefix entries: a shingle's 32 (hot: 64) bits and the node."""
+    """(part, hot, rows, data): packed prefix entries: a shingle's 32 (hot: 64) bits, the node, and a code of
+    the shingle's place in the prefix and the matches needed."""
     noise = 3.0 * float(freq.mean()) + 2.0
     shared = docs.sparkSession.sparkContext.broadcast(freq)
 
@@ -173,7 +177,8 @@ def _entries(docs: DataFrame, freq: np.ndarray, parts: int, num: int, den: int,
             est = np.concatenate([h[1] for h in held])
             each = [len(h[0]) for h in held]
             nodes = np.repeat(np.array([h[2] for h in held], np.int64), each)
-            need = np.repeat(np.array([h[3] for h in held], np.uint8), each)
+            place = np.concatenate([np.minimum(np.arange(k), PLACES) for k in each])
+            code = (place << 3 | np.repeat([MATCHES.index(h[3]) for h in held], each)).astype(np.uint16)
             first = (tokens >> np.uint64(32)) % np.uint64(parts)
             is_hot = est >= hot
             part = np.where(is_hot, (first + nodes.view(np.uint64)) % np.uint64(parts), first).astype(np.int64)
@@ -183,7 +188,7 @@ def _entries(docs: DataFrame, freq: np.ndarray, parts: int, num: int, den: int,
             out = []
             for at in np.split(order, cuts):
                 token = (first[at] << np.uint64(32)) | (tokens[at] & np.uint64(0xFFFFFFFF)) if is_hot[at[0]] else tokens[at].astype(np.uint32)
-                out.append((int(part[at[0]]), bool(is_hot[at[0]]), len(at), token.tobytes() + nodes[at].tobytes() + need[at].tobytes()))
+                out.append((int(part[at[0]]), bool(is_hot[at[0]]), len(at), token.tobytes() + nodes[at].tobytes() + code[at].tobytes()))
             a, b, c, d = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.bool_()), pa.array(c, pa.int64()), pa.array(d, pa.binary())], names=["part", "hot", "rows", "data"])
 
@@ -212,31 +217,31 @@ def _entries(docs: DataFrame, freq: np.ndarray, parts: int, num: int, den: int,
 
 
 def _shared_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, node, need) of the shingles that more than one node has; hot ones all."""
+    """(token, node, code) of the shingles that more than one node has; hot ones all."""
     held: dict[int, list[tuple[np.ndarray, ...]]] = {}
-    names = ["token", "node", "need"]
+    names = ["token", "node", "code"]
     for batch in batches:
         for part, hot, rows, data in zip(*(batch.column(c).to_pylist() for c in ("part", "hot", "rows", "data")), strict=True):
             width = 8 if hot else 4
             token = np.frombuffer(data, np.uint64 if hot else np.uint32, rows)
             node = np.frombuffer(data, np.int64, rows, width * rows) if width * rows % 8 == 0 else np.frombuffer(data[width * rows : width * rows + 8 * rows], np.int64)
-            need = np.frombuffer(data, np.uint8, rows, (width + 8) * rows)
+            code = np.frombuffer(data, np.uint16, rows, (width + 8) * rows)
             if hot:
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(node), pa.array(need.astype(np.int32))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(node), pa.array(code.astype(np.int32))], names=names)
             else:
-                held.setdefault(part, []).append((token, node, need))
+                held.setdefault(part, []).append((token, node, code))
     for part, blocks in held.items():
-        token, node, need = (np.concatenate(x) for x in zip(*blocks, strict=True))
+        token, node, code = (np.concatenate(x) for x in zip(*blocks, strict=True))
         order = np.lexsort((node, token))
-        token, node, need = token[order], node[order], need[order]
+        token, node, code = token[order], node[order], code[order]
         fresh = np.ones(len(token), bool)  # the same node from several tasks
         fresh[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-        token, node, need = token[fresh], node[fresh], need[fresh]
+        token, node, code = token[fresh], node[fresh], code[fresh]
         same = np.zeros(len(token), bool)
         same[1:] = token[1:] == token[:-1]
         same[:-1] |= same[1:]
         if same.any():
-            yield pa.RecordBatch.from_arrays([pa.array((part << 32) | token[same].astype(np.int64)), pa.array(node[same]), pa.array(need[same].astype(np.int32))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array((part << 32) | token[same].astype(np.int64)), pa.array(node[same]), pa.array(code[same].astype(np.int32))], names=names)
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -320,20 +325,22 @@ def verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, num: int, den
     return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "member").mapInArrow(check, "a long, b long")
 
 
-def _capped(entries: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+def _capped(entries: DataFrame, nodes: DataFrame) -> DataFrame:
     """Entries with their node's size, signature and cap, and the node's two entries before.
 
-    The cap is the most shingles that the node can share with a node it links with: what of its prefix no
-    such node has isn't shared. One shuffle by node gives all of it."""
-    held = F.count("*").over(Window.partitionBy("node"))
-    order = Window.partitionBy("node").orderBy("token")
-    alone = F.expr(f"n - cast(ceil({num} * n / {den}) as long)") + F.col("need") - F.col("held")
-    rows = entries.select("token", "node", "need").withColumns({"held": held, "b1": F.lag("token", 1).over(order), "b2": F.lag("token", 2).over(order)}).join(nodes.select("node", "n", *SIGNATURE), "node")
+    The cap is the most shingles that the node can share with another that has this entry. Prefixes are the
+    first shingles of one global order. So another node that has this entry has, of the shingles before it,
+    only such as stand in its prefix, too: what this node has alone before the entry is not shared. What it
+    has alone behind the entry may well be, beyond the other's prefix. One shuffle by node gives all of it."""
+    order = Window.partitionBy("node").orderBy("place", "token")
+    alone = F.col("place") - F.col("held")
+    coded = entries.select("token", "node", F.shiftright("code", 3).alias("place"), F.element_at(F.array(*map(F.lit, MATCHES)), F.col("code").bitwiseAND(7) + 1).alias("need"))
+    rows = coded.withColumns({"held": F.row_number().over(order) - 1, "b1": F.lag("token", 1).over(order), "b2": F.lag("token", 2).over(order)}).join(nodes.select("node", "n", *SIGNATURE), "node")
     return rows.select("token", "node", "need", "n", (F.col("n") - F.greatest(alone, F.lit(0))).alias("cap"), *SIGNATURE, *BEFORE)
 
 
 def _viable(entries: DataFrame, num: int, den: int) -> DataFrame:
-    """Entries whose list holds another size with which their node's cap lets it link.
+    """Entries whose list holds another size with which their cap lets their node link.
 
     A list's sizes are kept as a set of steps of two hundredths, so a list needs a bounded number of them
     however long it is."""
@@ -374,8 +381,8 @@ def linked(docs: DataFrame, num: int = 80, den: int = 100, hot: float = HOT) ->
     entries = _entries(docs.where("doc_id is not null"), freq, parts, num, den, hot)
     # all of a shingle's entries, but hot ones, meet in the task of its part; a hot one may come twice, which
     # only makes the bounds below looser
-    shared = entries.repartition(parts, "part").mapInArrow(_shared_entries, "token long, node long, need int")
-    placed = materialize(_viable(_capped(shared, nodes, num, den), num, den), "entries")
+    shared = entries.repartition(parts, "part").mapInArrow(_shared_entries, "token long, node long, code int")
+    placed = materialize(_viable(_capped(shared, nodes), num, den), "entries")
     node = [F.col(c) for c in ("node", "need", "n", "cap", *SIGNATURE)]
 
     def may_link(a: str, b: str) -> Column:

@@ -167,6 +167,19 @@ def test_jaccard_random_groups(spark: SparkSession) -> None:
     assert {r["doc_id"]: r["component_id"] for r in got} == {k: v for k, v in plain_components(rows).items() if k is not None}
 
 
+@pytest.mark.parametrize("copies", [1, 3000])
+def test_jaccard_links_texts_that_hold_another(spark: SparkSession, copies: int) -> None:
+    rows = []
+    for g, more in enumerate([*range(8, 21), 20, 20, 20]):  # similarity 80 / 88 to 80 / 100; 21 is too far
+        short = [f"g{g}w{i}" for i in range(84)]
+        rows += [(len(rows) + i, " ".join(short), "en", "s", 0) for i in range(copies if g > 12 else 1)]
+        rows.append((len(rows), " ".join(short + [f"g{g}x{i}" for i in range(more)]), "en", "s", 0))
+    rows.append((len(rows), " ".join([f"g0w{i}" for i in range(84)] + [f"far{i}" for i in range(21)]), "en", "s", 0))
+    got = {r["doc_id"]: r["component_id"] for r in collected(jaccard.linked(frame(spark, rows)))}
+    firsts: dict = {}
+    assert got == {i: i if "far" in text else firsts.setdefault(text.split("w")[0], i) for i, text, *_ in rows}
+
+
 def test_prefixes_share_what_they_must() -> None:
     rng = np.random.default_rng(2)
     freq = rng.integers(0, 50, 1 << jaccard.SKETCH).astype(np.uint32)
