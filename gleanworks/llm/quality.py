@@ -7,8 +7,9 @@ host)`` are boilerplate and are removed; a document that keeps fewer than ``left
 
 What counts as *distinct* documents: copies of one text are not independent evidence that its lines are
 boilerplate (else a copied article would be removed whole, before deduplication can keep one of it). So a
-line is counted once per distinct context, the least hash among the document's other lines: equal for
-copies, and for most near copies, different for unrelated documents.
+documents of equal sets of lines count once. Of the documents that would be depleted by that count, those
+that are near copies (linked as by operator 7, on the texts of one document per set of lines) count once,
+too, and lines are judged by the second count. All other documents count each.
 
 Defined results: null or empty text has no words, fails the base rules and is rejected; null source is a
 host of its own; repeated rows each get their row; extra columns are ignored; empty table, empty result.
@@ -21,10 +22,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanworks.llm.common import WordHashes, as_bytes, materialize, windows
+from gleanworks.llm.jaccard import linked
 
 #: Frequent lines up to this number are handed to all tasks (8 bytes each); beyond it they are joined.
 BROADCAST_LINES = 1_000_000
@@ -41,8 +44,15 @@ def line_keys(text: bytes, host: bytes | None) -> tuple[list[bytes], np.ndarray,
     return lines, np.fromiter(map(len, split), np.int64, len(lines)), keys
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("line", pa.int64()), ("context", pa.int64()), ("host", pa.int64())])
+def line_set(keys: np.ndarray) -> int:
+    """A digest of a document's set of lines (and so of its host)."""
+    keys = np.unique(keys)
+    return xxhash.xxh3_64_intdigest(keys[keys > 0].tobytes())
+
+
+def _held_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(line, doc, host): doc is the digest of the whole set of lines."""
+    schema = pa.schema([("line", pa.int64()), ("doc", pa.int64()), ("host", pa.int64())])
     for batch in batches:
         out: list[np.ndarray] = []
         for text, host in zip(as_bytes(batch.column("text")), as_bytes(batch.column("source")), strict=True):
@@ -52,22 +62,56 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = keys[keys > 0]
             if not len(keys):
                 continue
-            context = np.full(len(keys), keys[0])
-            context[0] = keys[1] if len(keys) > 1 else 0
             at = np.full(len(keys), 1 if host is None else xxhash.xxh3_64_intdigest(host), np.uint64)
-            out.append(np.stack([keys, context, at]))
+            out.append(np.stack([keys, np.full(len(keys), line_set(keys), np.uint64), at]))
         if out:
             rows = np.concatenate(out, axis=1).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], schema=schema)
 
 
-def frequent_lines(docs: DataFrame, min_docs: int = 20, share: float = 0.003) -> DataFrame:
+def frequent_lines(docs: DataFrame, min_docs: int = 20, share: float = 0.003, left_words: int = 25, left_share: float = 0.5) -> DataFrame:
     """(line): keys of the lines that more distinct documents of their host hold than its limit allows."""
-    rows = docs.select("text", "source").mapInArrow(_contexts, "line long, context long, host long")
-    counts = materialize(rows.groupBy("line", "host", "context").agg(F.lit(1).alias("one")).groupBy("line", "host").agg(F.sum("one").alias("n")).where(F.col("n") > min_docs), "lines")
-    host = F.expr("count(1)").alias("docs")
-    hosts = docs.select("source").groupBy("source").agg(host).mapInArrow(_host_keys, "host long, docs long")
-    return materialize(counts.join(hosts, "host").where(F.col("n") > F.greatest(F.lit(min_docs), F.lit(share) * F.col("docs"))).select("line"), "frequent")
+    rows = materialize(docs.select("text", "source").mapInArrow(_held_lines, "line long, doc long, host long").distinct(), "held-lines")
+    hosts = docs.select("source").groupBy("source").agg(F.expr("count(1)").alias("docs")).mapInArrow(_host_keys, "host long, docs long")
+
+    def beyond(held: DataFrame, what: str) -> DataFrame:
+        counts = held.groupBy("line", "host").agg(F.count("*").alias("n")).where(F.col("n") > min_docs).join(hosts, "host")
+        return materialize(counts.where(F.col("n") > F.greatest(F.lit(min_docs), F.lit(share) * F.col("docs"))).select("line"), what)
+
+    often = beyond(rows, "often")
+    wide, known = _with_known(docs.select("doc_id", "text", "source"), often)
+
+    def depleted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            given = batch.column("_lines").to_pylist() if known is None else [None] * len(batch)
+            found: dict[int, bytes] = {}
+            for text, host, own in zip(as_bytes(batch.column("text")), as_bytes(batch.column("source")), given, strict=True):
+                if not text:
+                    continue
+                _, words, keys = line_keys(text, host)
+                bad = _among(keys.view(np.int64), known.value if known is not None else np.sort(np.array(own or [], np.int64))) & (keys > 0)
+                if bad.any() and int(words[~bad].sum()) < max(left_words, left_share * int(words.sum())):
+                    found[line_set(keys)] = text
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(list(found), np.uint64).view(np.int64)), pa.array(list(found.values()), pa.binary()).cast(pa.string())], names=["doc_id", "text"])
+
+    # which of those that would go are near copies of each other, is settled on their texts
+    suspects = materialize(wide.mapInArrow(depleted, "doc_id long, text string").groupBy("doc_id").agg(F.min("text").alias("text")), "suspects")
+    if suspects.isEmpty():
+        return often
+    classes = linked(suspects).select(F.col("doc_id").alias("doc"), F.col("component_id").alias("class"))
+    held = rows.join(often, "line", "left_semi").join(classes, "doc", "left")
+    return beyond(held.select("line", "host", F.coalesce("class", "doc").alias("class")).distinct(), "frequent")
+
+
+def _with_known(docs: DataFrame, lines: DataFrame) -> tuple[DataFrame, Broadcast | None]:
+    """The frequent lines for all tasks; if they are too many, each document with its own of them (_lines)."""
+    if lines.count() <= BROADCAST_LINES:
+        return docs, docs.sparkSession.sparkContext.broadcast(np.sort(lines.toPandas()["line"].to_numpy(np.int64)))
+    key = F.xxhash64("doc_id", "source", "text").alias("_row")
+    own = docs.select(key, "text", "source").mapInArrow(_own_lines, "_row long, line long")
+    removed = own.join(lines, "line", "left_semi").groupBy("_row").agg(F.collect_set("line").alias("_lines"))
+    return docs.withColumn("_row", key).join(removed, "_row", "left").drop("_row"), None
 
 
 def _host_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,18 +144,10 @@ def base_counts(text: bytes, cache: WordHashes) -> tuple[int, int, int, int, int
 
 def judged(docs: DataFrame, min_docs: int = 20, share: float = 0.003, min_words: int = 50, left_words: int = 25, left_share: float = 0.5, texts: bool = False) -> DataFrame:
     """One row per document: base counts, verdict; with texts also all columns of docs, the text cleaned."""
-    spark = docs.sparkSession
-    lines = frequent_lines(docs, min_docs, share)
+    lines = frequent_lines(docs, min_docs, share, left_words, left_share)
     extra = [f for f in docs.schema if f.name != "doc_id"] if texts else []
     wide = docs.select("doc_id", "text", "source", *([f.name for f in extra if f.name not in ("text", "source")]))
-    known = None
-    if lines.count() <= BROADCAST_LINES:
-        known = spark.sparkContext.broadcast(np.sort(lines.toPandas()["line"].to_numpy(np.int64)))
-    else:  # each document gets those of its lines that are frequent by a join
-        key = F.xxhash64("doc_id", "source", "text").alias("_row")
-        own = docs.select(key, "text", "source").mapInArrow(_own_lines, "_row long, line long")
-        removed = own.join(lines, "line", "left_semi").groupBy("_row").agg(F.collect_set("line").alias("_lines"))
-        wide = wide.withColumn("_row", F.xxhash64("doc_id", "source", "text")).join(removed, "_row", "left").drop("_row")
+    wide, known = _with_known(wide, lines)
 
     out = OUT + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in extra)
     names = [f.name for f in extra]

@@ -121,6 +121,15 @@ def test_quality_removes_boilerplate_and_rejects_the_depleted(spark: SparkSessio
     assert joined == judged
 
 
+def test_quality_counts_pages_of_one_template(spark: SparkSession) -> None:
+    rng = random.Random(8)
+    line = lambda k: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(k))
+    menu = [line(3) for _ in range(30)]
+    docs = frame(spark, [(i, "\n".join([*menu, *(line(12) for _ in range(4))]), "en", "host", 0) for i in range(100)])
+    got = collected(quality.judged(docs))
+    assert len(got) == 100 and all(r["n_lines_removed"] == 30 and r["n_words_left"] == 48 and not r["kept"] for r in got)
+
+
 # ---- near duplicates
 
 def plain_components(rows: list[tuple], num: int = 80, den: int = 100) -> dict:
