@@ -5,7 +5,8 @@ least once, divided by the root of the product of the texts' own counts. A Nystr
 text to its kernel values with ``m`` landmark texts times ``K_mm^(-1/2)``; one-versus-rest ridge regression
 on that map is kernel ridge regression in the landmarks' span. Because kernel values with the landmarks
 are sums over the n-grams present, a batch of texts is scored as one sparse presence matrix times one dense
-(n-grams x languages) matrix, which is the landmarks' presence matrix times the dual coefficients.
+(n-grams x languages) matrix, which is the landmarks' presence matrix times the dual coefficients. N-grams
+have 64-bit hashes and are looked up in the sorted table of the landmarks' own; others count in the norm alone.
 
 Learning takes a sample of at most ``per_lang`` labelled texts of each language (the least hashes of
 doc_id, whole texts); its size doesn't grow with the input. Prediction reads every text whole.
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +30,10 @@ from pyspark.sql.window import Window
 
 from gleanworks.llm.common import release_kept
 
-#: Lengths of the n-grams, and bits of their hash (n-grams that share a hash count as one).
+#: Lengths of the n-grams, and distinct n-grams beyond which a text is a landmark only where a language has
+#: too few others (this bounds the table; every text of the sample is learnt from).
 LENGTHS = (1, 2, 3, 4)
-BITS = 18
+LONG = 20_000
 SPACE = 32
 
 
@@ -54,12 +56,11 @@ def _folding() -> tuple[np.ndarray, np.ndarray]:
 
 
 class Grams:
-    """Ids of the distinct n-grams of a text."""
+    """Hashes of the distinct n-grams of a text, ascending."""
 
     def __init__(self) -> None:
         release_kept()
         self.fold, self.letters = _folding()
-        self.seen = np.zeros(1 << BITS, bool)
 
     def of(self, text: str | None) -> np.ndarray | None:
         """None if the text holds no letter."""
@@ -72,62 +73,90 @@ class Grams:
         blank = x == SPACE
         keep = np.ones(len(x), bool)
         keep[1:] = ~(blank[1:] & blank[:-1])  # runs of blanks are one blank
-        x = np.concatenate(([SPACE], x[keep], [SPACE])).astype(np.uint32)
-        seen = self.seen
-        h = np.zeros(len(x), np.uint32)
+        x = np.concatenate(([SPACE], x[keep], [SPACE])).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        h = np.zeros(len(x), np.uint64)
+        found = []
         for n in range(1, max(LENGTHS) + 1):
             if len(x) < n:
                 break
-            h = h[: len(x) - n + 1] * np.uint32(0x01000193) + x[n - 1 :] * np.uint32(0x9E3779B1)
+            h = h[: len(x) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + x[n - 1 :]
             if n in LENGTHS:
-                seen[(h ^ np.uint32(n * 0x85EBCA6B & 0xFFFFFFFF)) * np.uint32(0xC2B2AE35) >> np.uint32(32 - BITS)] = True
-        ids = np.flatnonzero(seen).astype(np.int32)
-        seen[ids] = False
-        return ids
+                found.append(h ^ np.uint64(n * 0xA0761D6478BD642F & 0xFFFFFFFFFFFFFFFF))
+        ids = np.concatenate(found)
+        ids.sort()
+        fresh = np.ones(len(ids), bool)
+        np.not_equal(ids[1:], ids[:-1], out=fresh[1:])
+        return ids[fresh]
 
 
 class Model:
-    """langs, and weights: (n-grams x languages), the landmarks' presence times the dual coefficients."""
+    """langs, table: the landmarks' n-grams, ascending, and weights: (table x languages), the landmarks'
+    presence times the dual coefficients, and a last row of zeros."""
 
     def __init__(self, texts: list[str], langs: list[str], landmarks: int = 192, ridge: float = 1e-3) -> None:
         grams = Grams()
-        rows = [(g, lang) for g, lang in ((grams.of(t), lang) for t, lang in zip(texts, langs, strict=True)) if g is not None]
-        self.langs = sorted({lang for _, lang in rows})
+        # hashes are made again where they are needed: all of them at once would fill the driver
+        sized = [(t, lang, None if (g := grams.of(t)) is None else len(g)) for t, lang in zip(texts, langs, strict=True)]
+        rows = [x for x in sized if x[2] is not None]
+        self.langs = sorted({lang for _, lang, _ in rows})
+        self.table = np.array([], np.uint64)
         if not rows:
-            self.weights = np.zeros((1 << BITS, 0), np.float32)
+            self.weights = np.zeros((1, 0), np.float32)
             return
-        by = {lang: [i for i, (_, x) in enumerate(rows) if x == lang] for lang in self.langs}
+        by = {lang: [i for i, (_, x, _) in enumerate(rows) if x == lang] for lang in self.langs}
         each = max(1, landmarks // len(self.langs))
-        marks = [i for lang in self.langs for i in by[lang][:each]]
-        presence = np.zeros((1 << BITS, len(marks)), bool)
-        for j, i in enumerate(marks):
-            presence[rows[i][0], j] = True
-        root = np.sqrt([len(rows[i][0]) for i in marks])
-        kernel = np.stack([presence[g].sum(axis=0) / (np.sqrt(len(g)) * root) for g, _ in rows])
-        del presence
+        marks = [i for lang in self.langs for i in sorted(by[lang], key=lambda i: rows[i][2] > LONG)[:each]]
+        held = [grams.of(rows[i][0]) for i in marks]
+        self.table = np.unique(np.concatenate(held))
+        at = [np.searchsorted(self.table, g) for g in held]
+        del held
+        # for each n-gram of the table the landmarks that hold it
+        every = np.concatenate(at)
+        owner = np.repeat(np.arange(len(marks)), [len(x) for x in at])[np.argsort(every, kind="stable")]
+        start = np.concatenate(([0], np.cumsum(np.bincount(every, minlength=len(self.table)))))
+        root = np.sqrt([rows[i][2] for i in marks])
+
+        def shared(text: str) -> np.ndarray:
+            hit = self.hits(grams.of(text))
+            k = start[hit + 1] - start[hit]
+            return np.bincount(owner[np.repeat(start[hit] - np.cumsum(k) + k, k) + np.arange(k.sum())], minlength=len(marks))
+
+        kernel = np.stack([shared(t) / (np.sqrt(n) * root) for t, _, n in rows])
         values, vectors = np.linalg.eigh((kernel[marks] + kernel[marks].T) / 2)
         good = values > 1e-6 * values.max()
         to_map = vectors[:, good] / np.sqrt(values[good])
         features = np.hstack([kernel @ to_map, np.ones((len(rows), 1))])
-        weight = np.array([len(rows) / (len(self.langs) * len(by[lang])) for _, lang in rows])[:, None]
-        target = np.array([[1.0 if lang == x else -1.0 for x in self.langs] for _, lang in rows])
+        weight = np.array([len(rows) / (len(self.langs) * len(by[lang])) for _, lang, _ in rows])[:, None]
+        target = np.array([[1.0 if lang == x else -1.0 for x in self.langs] for _, lang, _ in rows])
         penalty = ridge * len(rows) * np.eye(features.shape[1])
         penalty[-1, -1] = 1e-9
         beta = np.linalg.solve(features.T @ (features * weight) + penalty, features.T @ (target * weight))
         # the landmarks' presence times the dual coefficients, one landmark's n-grams at a time
         dual = to_map @ beta[:-1]
-        self.weights = np.zeros((1 << BITS, len(self.langs)), np.float32)
-        for j, i in enumerate(marks):
-            self.weights[rows[i][0]] += (dual[j] / root[j]).astype(np.float32)
+        self.weights = np.zeros((len(self.table) + 1, len(self.langs)), np.float32)
+        for j, x in enumerate(at):
+            self.weights[x] += (dual[j] / root[j]).astype(np.float32)
         self.bias = beta[-1]
 
-    def predict(self, ids: list[np.ndarray | None]) -> tuple[list[str], list[float]]:
-        known = [i for i, x in enumerate(ids) if x is not None and self.langs]
-        langs, scores = ["und"] * len(ids), [0.0] * len(ids)
+    def hits(self, ids: np.ndarray) -> np.ndarray:
+        """Where the table holds those of the ids that it holds."""
+        at = np.minimum(np.searchsorted(self.table, ids), len(self.table) - 1)
+        return at[self.table[at] == ids]
+
+    def predict(self, ids: Iterable[np.ndarray | None]) -> tuple[list[str], list[float]]:
+        """The n-grams are taken one text at a time; only those in the table are held."""
+        known, sizes, found, total = [], [], [], 0
+        for i, x in enumerate(ids):
+            total += 1
+            if x is not None and self.langs:
+                known.append(i)
+                sizes.append(len(x))
+                found.append(np.append(self.hits(x), len(self.table)))  # the row of zeros: each text has a row
+        langs, scores = ["und"] * total, [0.0] * total
         if known:
-            starts = np.cumsum([0, *(len(ids[i]) for i in known[:-1])])
-            sums = np.add.reduceat(self.weights[np.concatenate([ids[i] for i in known])], starts, axis=0)
-            margins = sums / np.sqrt([[len(ids[i])] for i in known]) + self.bias
+            starts = np.cumsum([0, *(len(x) for x in found[:-1])])
+            sums = np.add.reduceat(self.weights[np.concatenate(found)], starts, axis=0)
+            margins = sums / np.sqrt(sizes)[:, None] + self.bias
             e = np.exp(4 * (margins - margins.max(axis=1, keepdims=True)))
             share = e / e.sum(axis=1, keepdims=True)
             for i, best, p in zip(known, margins.argmax(axis=1), share, strict=True):
@@ -169,7 +198,7 @@ def identified(docs: DataFrame, model: Model | None = None, keep: tuple[str, ...
         for whole in batches:
             for at in range(0, len(whole), 64):
                 batch = whole.slice(at, 64)
-                langs, scores = shared.value.predict([grams.of(t) for t in batch.column("text").to_pylist()])
+                langs, scores = shared.value.predict(grams.of(t) for t in batch.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *(batch.column(f.name) for f in extra)], names=["doc_id", "held_out", "lang_pred", "score", *(f.name for f in extra)])
 
     return docs.select(*cols, held_out().alias("held_out")).mapInArrow(score, out)

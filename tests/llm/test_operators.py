@@ -341,6 +341,18 @@ def test_language_id(spark: SparkSession) -> None:
     assert again == got  # labels that are held out teach nothing
 
 
+def test_long_texts_of_many_characters_keep_their_ngrams() -> None:
+    rng = np.random.default_rng(4)
+    draw = lambda lang, k: "".join(map(chr, rng.integers(0x4E00, 0x4E00 + 3000, k) + (3000 if lang == "b" else 0)))
+    grams = langid.Grams()
+    text = draw("a", 300_000)
+    padded = f" {text} "
+    assert len(grams.of(text)) == len({padded[i : i + n] for n in langid.LENGTHS for i in range(len(padded) - n + 1)})
+    langs = ["a", "b"] * 40
+    model = langid.Model([draw(x, 2000) for x in langs], langs)
+    assert model.predict([grams.of(draw(x, 600_000)) for x in "abab"])[0] == ["a", "b", "a", "b"]
+
+
 # ---- language model
 
 def brute_lattice(word: str, log_p: dict[str, float], byte: float) -> float:
