@@ -1,7 +1,10 @@
 """License recognition by sentences and rules, in DataFrame functions alone (operator 4).
 
-A text is cut into sentences (at line feeds, and at ``.``, ``!``, ``?`` or ``;`` before a blank), each is normalised
-(A-Z lower-cased, everything but a-z and 0-9 a blank) and looked up among known licence sentences. The ids
+A text is cut into pieces (at line feeds, and at ``.``, ``!``, ``?`` or ``;`` before a blank), each is normalised
+(A-Z lower-cased, everything but a-z and 0-9 a blank). A known licence sentence is a run of whole pieces that
+make it up when joined: sentences wrapped over lines, with comment marks or without, are found; a blank line
+ends a run. n_sentences counts the pieces with a letter or digit. The SQL looks up single pieces: it gives
+the same rows where no known sentence is wrapped. The ids
 found, in their order, are matched against rules, in the rules' order: a rule is a run of ids; where it
 matches it consumes them, so a full text or a notice is told from the short phrases it holds.
 
@@ -63,6 +66,8 @@ RULES = [
     (("rights",), "all-rights-reserved"),
 ]
 CUT = r"\n|[.!?;][ \t\r]"
+# Fixed value: a line feed and the comment mark after it.
+COMMENT = r"\n[ \t]*(?:[;#/*%!-]+|(?:dnl|rem|REM)(?=[ \t\r\n]))[ \t]*"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -85,10 +90,14 @@ def scanned(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences, n_license_sentences, sentence_ids, licenses, n_unmatched."""
     table = known()
     lookup = F.create_map(*(F.lit(x) for pair in table.items() for x in pair))
+    # a known sentence is a run of whole pieces, the longest first; an empty piece (a blank line) ends a run
+    runs = "|".join(k.replace(" ", "[ |]") for k in sorted(table, key=len, reverse=True))
     longest = max(map(len, table)) * 2
     cut = F.split(F.coalesce("text", F.lit("")), CUT)
     # a sentence over twice the longest known one can't be known: don't normalise it
-    ids = F.filter(F.transform(cut, lambda s: F.when(F.length(s) <= longest, lookup[normal_form(s)])), lambda x: x.isNotNull())
+    pieces = F.transform(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), COMMENT, "\n"), CUT), lambda s: F.when(F.length(s) <= longest, normal_form(s)).otherwise(""))
+    whole = F.concat(F.lit("|"), F.array_join(pieces, "|"), F.lit("|"))
+    ids = F.transform(F.regexp_extract_all(whole, F.lit(rf"(?<=\|)({runs})(?=\|)"), F.lit(1)), lambda s: lookup[F.translate(s, "|", " ")])
     rows = docs.select("doc_id", F.size(F.filter(cut, lambda s: s.rlike("[A-Za-z0-9]"))).cast("long").alias("n_sentences"), ids.alias("ids"))
     rows = rows.withColumn("rest", F.concat(F.lit(","), F.array_join("ids", ",,"), F.lit(",")))
     found = []

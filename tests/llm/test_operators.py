@@ -501,6 +501,28 @@ def test_licenses(spark: SparkSession) -> None:
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_wrapped_licenses(spark: SparkSession) -> None:
+    import textwrap
+
+    of = lambda *names: [licenses.SENTENCES[k][0] for k in names]
+    mit = [f"{x}{end}" for x, end in zip(of("mit-grant", "mit-notice", "as-is"), ("", ".", ". IN NO EVENT SHALL THE AUTHORS BE LIABLE."), strict=True)]
+    bsd = [f"{mark}{x}." for mark, x in zip(("", "1. ", "2. ", "3. "), of("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse"), strict=True)]
+    gpl = [f"{of('gpl-redistribute')[0]}.", f"{of('gpl-warranty')[0]}; without even the implied warranty of MERCHANTABILITY."]
+    texts, want = [], []
+    for parts, name in ((mit, "MIT"), (bsd, "BSD-3-Clause"), (gpl, "GPL-3.0-or-later")):
+        for width in (70, 80):
+            for mark in ("", "# ", " * ", "// ", ";; ", "dnl ", "    "):
+                lines = [x for p in parts for x in [*textwrap.wrap(p, width), ""]]
+                for end in ("\n", "\r\n"):
+                    texts.append("Title" + end + end.join(mark + x for x in ["", *lines, "the code"]))
+                    want.append(name)
+    texts.append("Released under the\n\nMIT License")  # a blank line ends a sentence
+    want.append("")
+    got = {r["doc_id"]: r for r in collected(licenses.scanned(frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])))}
+    assert [got[i]["licenses"] for i in range(len(texts))] == want
+    assert all(r["n_unmatched"] == 0 for r in got.values())
+
+
 # ---- fingerprints
 
 def test_fingerprints(docs: DataFrame, rows: list[tuple], spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
