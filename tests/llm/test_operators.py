@@ -516,11 +516,26 @@ def test_wrapped_licenses(spark: SparkSession) -> None:
                 for end in ("\n", "\r\n"):
                     texts.append("Title" + end + end.join(mark + x for x in ["", *lines, "the code"]))
                     want.append(name)
+    isc = f"ISC License\n\nCopyright (c) 2020 A\n\n{textwrap.fill(licenses.SENTENCES['isc-grant'][0] + '.', 72)}\n\n{textwrap.fill(licenses.SENTENCES['isc-as-is'][0] + '. IN NO EVENT SHALL THE AUTHOR BE LIABLE.', 72)}\n"
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */\n"
+    gpl2 = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n Copyright (C) 1989, 1991 Free Software Foundation, Inc.,\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n"
+    zlib = "This software is provided 'as-is', without any express or implied\nwarranty. In no event.\n\n" + textwrap.fill(licenses.SENTENCES["zlib-grant"][0], 70) + "\n\n1. The origin"
+    grant = "Permission is hereby granted: " + licenses.SENTENCES["mit-grant"][0]
+    texts += [isc, mpl, gpl2, zlib, "(b) Licensed under CC BY 4.0\n" + grant, "=" * 1500 + " Released under the MIT License", "This is free and unencumbered software released into the public\ndomain."]
+    want += ["ISC", "MPL-2.0", "GPL-2.0", "Zlib", "MIT,CC-BY-4.0", "MIT", "Unlicense"]
     texts.append("Released under the\n\nMIT License")  # a blank line ends a sentence
     want.append("")
     got = {r["doc_id"]: r for r in collected(licenses.scanned(frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])))}
     assert [got[i]["licenses"] for i in range(len(texts))] == want
-    assert all(r["n_unmatched"] == 0 for r in got.values())
+    # the SQL finds the same
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", [*enumerate(texts), (len(texts), None)])
+    rows = con.execute(licenses.oracle()).fetchall()
+    columns = [c[0] for c in con.description]
+    assert all(dict(zip(columns, r, strict=True)) == got[r[0]] for r in rows if r[0] in got) and len(rows) == len(texts) + 1
 
 
 # ---- fingerprints
