@@ -8,12 +8,16 @@ are sums over the n-grams present, a batch of texts is scored as one sparse pres
 (n-grams x languages) matrix, which is the landmarks' presence matrix times the dual coefficients. N-grams
 have 64-bit hashes and are looked up in the sorted table of the landmarks' own; others count in the norm alone.
 
-Learning takes a sample of at most ``per_lang`` labelled texts of each language (the least hashes of
-doc_id, whole texts); its size doesn't grow with the input. Prediction reads every text whole.
+Learning takes a sample of labelled texts, bounded by documented parameters whatever the input: at most
+``labels`` languages (those with the most texts), of each at most ``per_lang`` distinct texts (the least hashes of
+doc_id and text, whole texts; very long ones last) within its part of ``chars`` characters, but one text at
+least. Prediction reads every text whole.
 
 Defined results: null text, or one without a letter, is ``und`` with score 0; rows without a label are
 never learnt from; if no row can be learnt from, every prediction is ``und``; ties go to the language that
-sorts first; repeated rows and extra columns don't matter; null doc_id counts as not held out.
+sorts first; rows of equal doc_id and text are learnt from once, however often they are repeated, and
+different texts of one doc_id each; extra columns don't matter; null doc_id counts as not held out, and is
+not learnt from.
 """
 
 from __future__ import annotations
@@ -26,7 +30,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gleanworks.llm.common import release_kept
 
@@ -168,20 +171,26 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, per_lang: int = 600) -> Model:
-    """Learn from at most per_lang texts of each language, none of them held out."""
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    order = Window.partitionBy("lang").orderBy(draw, "doc_id")
-    known = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    # thin out by the draw first, to about twice the sample, so that no language's rows meet in one task
-    counts = known.groupBy("lang").agg(F.count("*").alias("_n"))
-    known = known.join(counts, "lang").where(draw <= F.lit(1 << 30) * F.least(F.lit(1.0), (2.0 * per_lang + 100) / F.col("_n"))).select("doc_id", "lang")
-    chosen = known.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= per_lang).select("doc_id").distinct()
-    # per_lang ids of each language: bounded by the parameter
-    rows = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null").join(F.broadcast(chosen), "doc_id").toPandas()
-    rows = rows.sort_values(["doc_id", "text", "lang"], kind="stable")
-    order_of = {i: n for n, i in enumerate(sorted(rows.doc_id.unique(), key=lambda i: (int(i) * 0x9E3779B97F4A7C15) % 2**64))}
-    rows = rows.iloc[np.argsort(rows.doc_id.map(order_of).to_numpy(), kind="stable")]
+def fit(docs: DataFrame, per_lang: int = 600, chars: int = 32_000_000, labels: int = 256) -> Model:
+    """Learn from at most per_lang texts of each of labels languages, and chars characters in all, none held out."""
+    spark = docs.sparkSession
+    draw = F.xxhash64("doc_id", "text")
+    known = docs.where("lang is not null and doc_id is not null and text is not null").where(~held_out()).select("lang", draw.alias("draw"), "text")
+    counts = known.groupBy("lang").agg(F.approx_count_distinct("draw").alias("n")).orderBy(F.desc("n"), "lang").limit(labels).collect()
+    if not counts:
+        return Model([], [])
+    # thinned out by the draw to about twice the sample before any row moves; `labels` rows go to all tasks
+    share = spark.createDataFrame([(r["lang"], min(2**63 - 1, int((2 * per_lang + 100) / r["n"] * 2**63))) for r in counts], "lang string, upto long")
+    thin = known.join(F.broadcast(share), "lang").where(F.col("draw").bitwiseAND(2**63 - 1) <= F.col("upto"))
+    # repeated rows are one candidate; keyed by the draw, so no language meets in one task
+    found = thin.groupBy("lang", "draw").agg(F.max(F.length("text")).alias("size")).toPandas()
+    each = chars // len(counts)
+    found = found.assign(long=found["size"] > each // 8).sort_values(["lang", "long", "draw"], kind="stable")
+    found["at"] = found.groupby("lang").cumcount()
+    found = found[(found["at"] < per_lang) & ((found.groupby("lang")["size"].cumsum() <= each) | (found["at"] == 0))]
+    chosen = spark.createDataFrame(found[["lang", "draw"]].astype({"lang": object}), "lang string, draw long")
+    rows = known.join(F.broadcast(chosen), ["lang", "draw"]).groupBy("lang", "draw").agg(F.min("text").alias("text")).toPandas()
+    rows = rows.sort_values(["draw", "lang"], kind="stable")
     return Model(rows.text.tolist(), rows.lang.tolist())
 
 

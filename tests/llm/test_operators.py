@@ -341,6 +341,22 @@ def test_language_id(spark: SparkSession) -> None:
     assert again == got  # labels that are held out teach nothing
 
 
+def test_language_id_learns_from_repeated_ids(spark: SparkSession) -> None:
+    rng = random.Random(5)
+    alphabets = {"aa": "abcde", "bb": "klmno"}
+    body = lambda a, k=40: " ".join("".join(rng.choices(a, k=4)) for _ in range(k))
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2][:40]
+    rows = [(i, t, lang, "s", 0) for i in ids for lang in ["ab"[i % 2] * 2] for t in [body(alphabets[lang])] for _ in range(500)]
+    rows += [(ids[0], body("abcde"), "aa", "s", 0) for _ in range(3000)]  # one id, many texts
+    rows += [(5000, body("abcde", 100_000), "aa", "s", 0), (5001, body("klmno"), None, "s", 0)]
+    docs = frame(spark, rows)
+    model = langid.fit(docs, per_lang=50, chars=200_000)
+    assert model.langs == ["aa", "bb"]
+    grams = langid.Grams()
+    assert model.predict([grams.of(body(a)) for a in alphabets.values()])[0] == ["aa", "bb"]
+    assert langid.fit(docs, labels=1).langs == ["aa"]
+
+
 def test_long_texts_of_many_characters_keep_their_ngrams() -> None:
     rng = np.random.default_rng(4)
     draw = lambda lang, k: "".join(map(chr, rng.integers(0x4E00, 0x4E00 + 3000, k) + (3000 if lang == "b" else 0)))
