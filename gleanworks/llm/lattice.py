@@ -11,12 +11,15 @@ There is such a model for each language label of the training documents (the ``C
 one for the rest); a text's probability is their mixture, weighted by the labels' shares. A text's own
 label is never looked at.
 
-Piece probabilities start from the existing vocabulary's own scores (which are ranks: Zipf weights) and are
-learnt by expectation steps over all distinct training words.
+The existing vocabulary's own scores (which are ranks: Zipf weights) weigh the segmentations as a prior of ``PRIOR``
+pieces; expectation steps over all distinct training words add the corpus's evidence to it. So a piece that the
+corpus hardly shows keeps the weight that its score gives, and with ``prior`` large the scores alone decide.
 
 Scale: word counts are combined in the tasks, then by word; each distinct word's lattice is computed once.
-Scoring joins words with their probabilities: the ``HEAD`` most frequent words (a fixed number) go to all
-tasks, which sum them on the spot; only a text's other words are shuffled and summed by document.
+Scoring joins words with their probabilities: the ``HEAD`` most frequent words (a fixed number, of at most
+``WORD_BYTES`` bytes each) go to all tasks, which sum them on the spot; only a text's other words are shuffled and
+summed by document. Words of any length are spelled whole (long ones by a ring of ends, many at once); only in the
+expectation steps are words over ``LONG`` characters learnt from in parts.
 
 Defined results: null and empty texts hold the end alone; rows with equal doc_id and text are scored each;
 a null doc_id counts as training; without training documents all words are spelled; an empty table gives an
@@ -40,6 +43,7 @@ from gleanworks.llm.common import RELEASE, as_bytes, materialize, scramble
 
 #: Words that go to every task; words that a task counts before it passes its counts on.
 HEAD, HELD = 65_536, 150_000
+WORD_BYTES = 64
 #: What stands for the end of a text: no word holds a line feed.
 END = b"\n"
 DISCOUNT = 0.75
@@ -47,7 +51,11 @@ DISCOUNT = 0.75
 AT_ONCE = 40_000
 #: Classes besides the rest, and expectation steps.
 CLASSES, STEPS = 5, 2
+#: The weight of the vocabulary's own scores, in pieces seen.
+PRIOR = 600.0
 LONGEST = 16
+#: Characters from which words are spelled by a ring of ends; ends whose spans are found at once, times words.
+LONG, BLOCK = 160, 1 << 16
 START = "▁"
 
 
@@ -107,7 +115,7 @@ class Lattice:
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(lengths, kind="stable")
         for at in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1) if len(order) else []:
-            for part in np.array_split(at, -(-len(at) * (int(lengths[at[0]]) + 1) // 200_000)):
+            for part in np.array_split(at, min(len(at), -(-len(at) * (int(lengths[at[0]]) + 1) // 200_000))):
                 n = int(lengths[part[0]]) + 1
                 points = np.frombuffer("".join(START + words[i] for i in part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), n)
                 size = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
@@ -141,8 +149,58 @@ class Lattice:
     def spelled(self, words: list[str], log_p: np.ndarray) -> np.ndarray:
         """(words x models) log-probabilities."""
         out = np.zeros((len(words), len(log_p)))
-        for at, _, spans, size in self.groups(words):
-            out[at] = self.forward(spans, size, log_p)[-1].T
+        long = [i for i, w in enumerate(words) if len(w) > LONG]
+        short = words if not long else [w for w in words if len(w) <= LONG]
+        place = np.arange(len(words)) if not long else np.flatnonzero(np.fromiter((len(w) <= LONG for w in words), bool, len(words)))
+        for at, _, spans, size in self.groups(short):
+            out[place[at]] = self.forward(spans, size, log_p)[-1].T
+        long.sort(key=lambda i: len(words[i]))
+        while long:
+            # words of similar lengths go together, the longest of them at most twice as long as the least
+            part = [i for i in long[:64] if len(words[i]) <= 2 * len(words[long[0]])]
+            long = long[len(part) :]
+            out[part] = self.spelled_long([words[i] for i in part], log_p)
+        return out
+
+    def spelled_long(self, words: list[str], log_p: np.ndarray) -> np.ndarray:
+        """The forward recursion of a few long words in step: it keeps the last LONGEST ends, and finds the spans of a block of ends at once."""
+        ends = np.array([len(w) + 1 for w in words])
+        m, n = len(words), int(ends.max())
+        weight = np.append(log_p, np.full((len(log_p), 1), -np.inf), axis=1)  # the last column: no such piece
+        none = weight.shape[1] - 1
+        block = max(64, BLOCK // m)
+        before = np.zeros((LONGEST, m), np.uint64)  # the code points before the block
+        alpha = np.full((len(log_p), LONGEST, m), -np.inf)
+        alpha[:, -1] = 0.0
+        out = np.zeros((m, len(log_p)))
+        for first in range(0, n, block):
+            width = min(block, n - first)
+            points = np.zeros((width, m), np.uint64)
+            for c, w in enumerate(words):
+                x = np.frombuffer((START + w if first == 0 else w[first - 1 :])[:width].encode("utf-32-le", "surrogatepass"), np.uint32)
+                points[: len(x), c] = x
+            size = (1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)).astype(np.float64)
+            window = np.concatenate([before, points])
+            ids = np.full((width, LONGEST, m), none, np.int32)  # by end, and start among the LONGEST before it
+            h = np.zeros((LONGEST + width, m), np.uint64)
+            for k in range(1, LONGEST + 1):
+                h = np.concatenate([np.zeros((1, m), np.uint64), h[:-1]]) * self.BASE + window + np.uint64(1)
+                # a hash over more characters than there are is of no span: its start has no probability
+                found = self.find(h[LONGEST:].ravel()).reshape(width, m)
+                ids[:, LONGEST - k] = np.where(found >= 0, found, none)
+            before = window[-LONGEST:]
+            held = np.concatenate([alpha, np.empty((len(log_p), width, m))], axis=1)
+            last = {}
+            for c in np.flatnonzero((ends > first) & (ends <= first + width)):
+                last.setdefault(int(ends[c]) - first - 1, []).append(c)
+            for j in range(width):
+                t = held[:, j : j + LONGEST] + weight[:, ids[j]]
+                byte = held[:, j + LONGEST - 1] + log_p[:, self.byte, None] * size[j]
+                top = np.maximum(t.max(axis=1), byte)
+                held[:, j + LONGEST] = top + np.log(np.exp(t - top[:, None]).sum(axis=1) + np.exp(byte - top))
+                for c in last.get(j, ()):
+                    out[c] = held[:, j + LONGEST, c]
+            alpha = held[:, -LONGEST:]
         return out
 
     def expected(self, words: list[str], weight: np.ndarray, log_p: np.ndarray, counts: np.ndarray) -> None:
@@ -235,12 +293,17 @@ def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Recor
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def piece_scores(words: DataFrame, path: str, width: int, steps: int = STEPS, smooth: float = 0.02) -> np.ndarray:
-    """(classes x pieces) log-probabilities after some expectation steps over all training words.
+def piece_scores(words: DataFrame, path: str, width: int, steps: int = STEPS, prior: float = PRIOR) -> np.ndarray:
+    """(classes x pieces) log-probabilities: the vocabulary's scores as a prior of so many pieces, and the
+    expected numbers of pieces in all training words.
 
     What a step brings to the driver is bounded by the vocabulary and the number of classes."""
-    prior = np.array([*vocabulary(path).values()])
-    log_p = np.tile(np.append(prior, prior.min() - 3 if len(prior) else -8.0), (width, 1))
+    scores = np.array([*vocabulary(path).values()])
+    scores = np.append(scores, scores.min() + 2.5 if len(scores) else 0.0)  # any of 256 bytes: each like a rare piece
+    own = np.exp(scores - scores.max())
+    own = prior * own / own.sum()
+    log_p = np.tile(np.log(own / own.sum()), (width, 1))
+    log_p[:, -1] -= math.log(256)
     seen = words.where((F.greatest(F.lit(0), *(F.col(f"n{k}") for k in range(width))) > 0) & (F.col("word") != F.lit(END)))
     for _ in range(steps):
         shared: Broadcast = words.sparkSession.sparkContext.broadcast(log_p)
@@ -258,7 +321,7 @@ def piece_scores(words: DataFrame, path: str, width: int, steps: int = STEPS, sm
             for batch in batches:
                 text = [w.decode("utf-8", "replace") for w in batch.column("word").to_pylist()]
                 for k, own in enumerate(_counts_of(batch, width) > 0):
-                    mine[k] += [text[i] for i in np.flatnonzero(own)]
+                    mine[k] += [text[i][at : at + LONG] for i in np.flatnonzero(own) for at in range(0, len(text[i]), LONG)]
                     if len(mine[k]) >= AT_ONCE:
                         take(k)
             for k in range(width):
@@ -267,9 +330,8 @@ def piece_scores(words: DataFrame, path: str, width: int, steps: int = STEPS, sm
             yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(counts[k, piece])], names=["k", "piece", "n"])
 
         rows = seen.mapInArrow(expect, "k int, piece int, n double").groupBy("k", "piece").agg(F.sum("n").alias("n")).toPandas()
-        counts = np.full(log_p.shape, smooth)
+        counts = np.tile(own, (width, 1))
         counts[rows.k.to_numpy(), rows.piece.to_numpy()] += rows.n.to_numpy()
-        counts[:, -1] += 256 * smooth
         log_p = np.log(counts / counts.sum(axis=1, keepdims=True))
         log_p[:, -1] -= math.log(256)
     return log_p
@@ -323,7 +385,7 @@ def scored(docs: DataFrame, path: str) -> DataFrame:
     distinct, totals, kinds = sums[0], np.array(sums[1 : 1 + width], float), np.array(sums[1 + width :], float)
     total = int(totals.sum())
     table = materialize(scored_words(words, path, totals, kinds), "scores")
-    head = _most_frequent(table, HEAD).toPandas()  # at most HEAD rows, whatever the corpus
+    head = _most_frequent(table.where(F.length("word") <= WORD_BYTES), HEAD).toPandas()  # at most HEAD rows, whatever the corpus
     place = {w: i for i, w in enumerate(head.word)}
     scores = [f"p{k}" for k in range(width)]
     shared = docs.sparkSession.sparkContext.broadcast((place, head.n.to_numpy(np.float64), head[scores].to_numpy(np.float64)))

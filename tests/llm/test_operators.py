@@ -121,6 +121,54 @@ def test_quality_removes_boilerplate_and_rejects_the_depleted(spark: SparkSessio
     assert joined == judged
 
 
+def plain_kept(rows: list[tuple], min_docs: int = 20, share: float = 0.003, min_words: int = 50, left_words: int = 25, left_share: float = 0.5) -> list[bool]:
+    """The verdicts by plain sets: lines of equal line sets count once, then near copies of the depleted."""
+    keys = [[" ".join(words(lower(x))) for x in (r[1] or "").split("\n")] for r in rows]
+    docs = [(r[3], frozenset(filter(None, k))) for r, k in zip(rows, keys, strict=True)]
+    hosts = collections.Counter(r[3] for r in rows)
+
+    def beyond(class_of: dict) -> set:
+        held: dict = {}
+        for d in set(docs):
+            for line in d[1]:
+                held.setdefault((d[0], line), set()).add(class_of.get(d, d))
+        return {k for k, v in held.items() if len(v) > max(min_docs, share * hosts[k[0]])}
+
+    def left(i: int, bad: set) -> int:
+        return sum(len(k.split()) for k in keys[i] if (rows[i][3], k) not in bad)
+
+    total = [len(words(r[1])) for r in rows]
+    bad = beyond({})
+    out = {}
+    for i, d in enumerate(docs):
+        if d[1] and any((d[0], k) in bad for k in d[1]) and left(i, bad) < max(left_words, left_share * total[i]):
+            out[d] = min(out.get(d, rows[i][1]), rows[i][1])
+    names = list(out)
+    classes = plain_components([(i, out[d]) for i, d in enumerate(names)])
+    bad = beyond({d: ("class", classes[i]) for i, d in enumerate(names)}) & bad
+    return [n >= min_words and 100 * plain_quality(r[1])[4] <= 50 * n and left(i, bad) >= max(left_words, left_share * n) for i, (r, n) in enumerate(zip(rows, total, strict=True))]
+
+
+def test_quality_verdicts_by_brute_force(spark: SparkSession) -> None:
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    line = lambda k: " ".join(word() for _ in range(k))
+    menus = {h: [line(12) for _ in range(8)] for h in ("h1", "h2", None)}
+    rows = [(i, "\n".join([*rng.sample(menus[h], rng.randint(0, 8)), *(line(rng.choice([3, 12, 25])) for _ in range(rng.randint(1, 5)))]), "en", h, 0) for i in range(300) for h in [rng.choice([*menus])]]
+    article = [line(14) for _ in range(12)]
+    rows += [(1000 + i, "\n".join([*article[:j], line(7), *article[j:]]), "en", "h1", 0) for i in range(60) for j in [rng.randrange(12)]]
+    rows += [(2000 + i, rows[5][1].upper(), "en", rows[5][3], 0) for i in range(40)] + [(3000, None, "en", "h1", 0), (3001, "", "en", None, 0), rows[7], rows[7]]
+    found = collections.Counter((r["doc_id"], r["kept"]) for r in collected(quality.judged(frame(spark, rows))))
+    assert found == collections.Counter((r[0], k) for r, k in zip(rows, plain_kept(rows), strict=True))
+    assert {True, False} == {k for _, k in found}
+
+
+def test_quality_with_columns_named_like_results(spark: SparkSession) -> None:
+    docs = spark.createDataFrame([(1, "a b c", "s", "x", 5)], "doc_id long, text string, source string, kept string, n_words long")
+    (row,) = collected(quality.judged(docs, texts=True))
+    assert (row["kept"], row["n_words"], row["text"], row["source"]) == (False, 3, "a b c", "s")
+
+
 def test_quality_counts_pages_of_one_template(spark: SparkSession) -> None:
     rng = random.Random(8)
     line = lambda k: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(k))
@@ -424,6 +472,82 @@ def test_lm_scores(docs: DataFrame, rows: list[tuple], monkeypatch: pytest.Monke
         assert a["score"] == pytest.approx(b["score"], rel=1e-9)
 
 
+def test_long_words_are_spelled_like_short_ones(monkeypatch: pytest.MonkeyPatch) -> None:
+    import time
+
+    rng = random.Random(2)
+    found = lattice.lattice(public_tokenizers.path("piece_bpe_32k.model"))
+    values = np.log(np.random.default_rng(1).random((3, len(found.pieces) + 1)) / 1000)
+    texts = ["".join(rng.choices("abcdé日 𝄞stiong", k=k)) for k in (300, 170, 161, 160, 159, 5, 0, 700, 2500)]
+    monkeypatch.setattr(lattice, "BLOCK", 300)
+    got = found.spelled(texts, values)
+    monkeypatch.setattr(lattice, "LONG", 10**9)
+    assert got == pytest.approx(found.spelled(texts, values))
+    monkeypatch.undo()
+    start = time.time()
+    assert np.isfinite(found.spelled(["a" * 1_000_000], values[:1])).all() and time.time() - start < 60
+
+
+def plain_lm(rows: list[tuple], path: str, out) -> list[float]:
+    """Scores by enumerating segmentations."""
+    tokens = lambda t: [*words(lower(t or "")), "\n"]
+    learnt = [r for r in rows if not out(r[0])]
+    labels = sorted({r[2] for r in learnt if r[2]}, key=lambda x: (-sum(r[2] == x for r in learnt), x))[: lattice.CLASSES]
+    class_of = lambda r: labels.index(r[2]) if r[2] in labels else len(labels)
+    shares = [sum(class_of(r) == k for r in learnt) / len(learnt) for k in range(len(labels) + 1)]
+    vocabulary = lattice.vocabulary(path)
+    p = {x: math.exp(v) for x, v in vocabulary.items()}
+    p[None] = min(p.values()) * math.exp(2.5)  # all bytes
+    prior = {x: v / sum(p.values()) for x, v in p.items()}
+
+    def segmentations(word: str, p: dict):
+        text = lattice.START + word
+        for cuts in itertools.product((0, 1), repeat=len(text) - 1):
+            at = [0, *(i for i, c in enumerate(cuts, 1) if c), len(text)]
+            parts = [text[a:b] for a, b in itertools.pairwise(at)]
+            options = [(p.get(x, 0.0), (p[None] / 256) ** len(x.encode()) if len(x) == 1 else 0.0) for x in parts]
+            if all(map(sum, options)):
+                yield parts, options, math.prod(map(sum, options))
+
+    total = []
+    for k in range(len(shares)):
+        counts = collections.Counter(w for r in learnt if class_of(r) == k for w in tokens(r[1]))
+        p = prior
+        for _ in range(lattice.STEPS):
+            new = collections.Counter({x: lattice.PRIOR * v for x, v in prior.items()})
+            for w in counts:
+                if w != "\n":
+                    every = list(segmentations(w, p))
+                    for parts, options, weight in every:
+                        for x, (a, b) in zip(parts, options, strict=True):
+                            share = weight / sum(e[2] for e in every) / (a + b)
+                            new[x] += share * a
+                            new[None] += share * b * len(x.encode())
+            p = {x: v / sum(new.values()) for x, v in new.items()}
+        n = sum(counts.values())
+        known = {}
+        for w in {w for r in rows for w in tokens(r[1])}:
+            spelled = sum(e[2] for e in segmentations("\u2029" if w == "\n" else w, p))
+            known[w] = math.log10((lattice.DISCOUNT * len(counts) / n if n else 1.0) * spelled + max(counts[w] - lattice.DISCOUNT, 0) / max(n, 1))
+        total.append(known)
+    out = []
+    for r in rows:
+        terms = [math.log10(s) + sum(known[w] for w in tokens(r[1])) for s, known in zip(shares, total, strict=True) if s]
+        out.append(max(terms) + math.log10(sum(10 ** (x - max(terms)) for x in terms)))
+    return out
+
+
+def test_lm_scores_by_brute_force(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    rng = random.Random(6)
+    vocab = ["".join(rng.choices("abeinst日é", k=rng.randint(1, 6))) for _ in range(60)]
+    rows = [(i, " ".join(rng.choices(vocab, k=rng.randint(0, 25))), rng.choice(["en", "en", "de", None]), "s", 0) for i in range(60)] + [(None, "A unseen", "fr", "s", 0)]
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    monkeypatch.setattr(lattice, "HEAD", 20)
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["score"]) for r in collected(lattice.scored(frame(spark, rows), path)))
+    want = plain_lm(rows, path, lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2)
+    assert [x[2] for x in got] == pytest.approx(want, rel=1e-9)
+
+
 # ---- archives
 
 def pages_of(spark: SparkSession) -> tuple[DataFrame, list[tuple]]:
