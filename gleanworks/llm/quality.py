@@ -6,13 +6,14 @@ host)`` are boilerplate and are removed; a document that keeps fewer than ``left
 ``left_share`` of its words, is depleted and rejected.
 
 What counts as *distinct* documents: copies of one text are not independent evidence that its lines are
-boilerplate (else a copied article would be removed whole, before deduplication can keep one of it). So a
+boilerplate (else a copied article would be removed whole, before deduplication can keep one of it). So
 documents of equal sets of lines count once. Of the documents that would be depleted by that count, those
 that are near copies (linked as by operator 7, on the texts of one document per set of lines) count once,
 too, and lines are judged by the second count. All other documents count each.
 
 Defined results: null or empty text has no words, fails the base rules and is rejected; null source is a
-host of its own; repeated rows each get their row; extra columns are ignored; empty table, empty result.
+host of its own; repeated rows each get their row; empty table, empty result; extra columns are ignored (with
+texts they are kept, but for those named like a result, which the result replaces).
 """
 
 from __future__ import annotations
@@ -145,7 +146,8 @@ def base_counts(text: bytes, cache: WordHashes) -> tuple[int, int, int, int, int
 def judged(docs: DataFrame, min_docs: int = 20, share: float = 0.003, min_words: int = 50, left_words: int = 25, left_share: float = 0.5, texts: bool = False) -> DataFrame:
     """One row per document: base counts, verdict; with texts also all columns of docs, the text cleaned."""
     lines = frequent_lines(docs, min_docs, share, left_words, left_share)
-    extra = [f for f in docs.schema if f.name != "doc_id"] if texts else []
+    own = {x.split()[0] for x in OUT.split(", ")}
+    extra = [f for f in docs.schema if f.name not in own] if texts else []
     wide = docs.select("doc_id", "text", "source", *([f.name for f in extra if f.name not in ("text", "source")]))
     wide, known = _with_known(wide, lines)
 
