@@ -6,10 +6,11 @@ short, each length's gap is filled exactly by one length, else by a pair, else b
 sums, as often as the counts allow; lengths for which nothing fits exactly are packed best-fit, again by
 counts. The plan is a list of patterns (slots with lengths, and how often), so its size depends on
 ``size`` alone and it may go to every task. Each piece then finds its place by itself: its rank among the
-pieces of its length (counts per hash bucket, then ranks within buckets) falls into one run of the plan.
+pieces of its length (counts per hash bucket, then ranks within buckets) falls into one run of the plan. A length
+has as many buckets as its count asks for, so groups of copies, all of one length, are spread.
 
 Defined results: null or empty text is the end id alone (one piece of length 1); repeated rows are packed
-each; ties of length are ranked by doc_id, then text hash; extra columns are ignored; an empty table gives
+each; ties of length are ranked in any order; extra columns are ignored; an empty table gives
 an empty result.
 """
 
@@ -29,8 +30,8 @@ from pyspark.sql.window import Window
 from gleanworks.llm.common import RELEASE, as_bytes, materialize, release_kept
 
 SIZE = 2048
-#: Pieces of a rank bucket on average.
-BUCKET = 20_000
+#: Pieces of one length that are ranked together, on average.
+BUCKET = 1_000
 #: Words that a worker process keeps with their ids, about 200 bytes each.
 KNOWN = 300_000
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
@@ -123,7 +124,7 @@ RELEASE.append(tokenizer.cache_clear)
 
 
 def pieces(docs: DataFrame, path: str, size: int = SIZE, known: int = KNOWN) -> DataFrame:
-    """The pieces of every document: doc_id, row (a hash of doc_id and text), piece, start, length, ids_crc32."""
+    """The pieces of every document: doc_id, row (a number of its own), piece, start, length, ids_crc32."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = tokenizer(path, known)
@@ -136,7 +137,7 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, known: int = KNOWN) ->
                 n, *columns = (np.array(x) for x in zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()).take(pa.array(n)), batch.column("row").take(pa.array(n)), pa.array(columns[0], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["doc_id", "row", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row")).mapInArrow(cut, PIECES)
+    return docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).mapInArrow(cut, PIECES)
 
 
 def plan(counts: np.ndarray, size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
@@ -237,11 +238,11 @@ def packed(docs: DataFrame, path: str, size: int = SIZE, known: int = KNOWN) ->
     keys = (table["length"].to_numpy(np.int64) << 40) + table["first"].to_numpy(np.int64)
     shared = docs.sparkSession.sparkContext.broadcast((keys, table["length"].to_numpy(np.int64), table["first"].to_numpy(np.int64), table["base"].to_numpy(np.int64), table["offset"].to_numpy(np.int64)))
 
-    buckets = max(1, sum(counts.values()) // BUCKET)
-    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("row", "piece"), F.lit(buckets)))
+    buckets = F.lit([max(1, counts.get(x, 0) // BUCKET) for x in range(size + 1)])[F.col("length").cast("int")]
+    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("row", "piece"), buckets))
     per = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = per.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
-    rank = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "row", "piece")) - 1
+    rank = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("row", "piece")) - 1
     ranked = dealt.withColumn("rank", rank).join(before.select("length", "bucket", F.coalesce("before", F.lit(0)).alias("before")), ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("before"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
