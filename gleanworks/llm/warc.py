@@ -35,9 +35,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 from pyspark.sql.types import StructType
 
-from gleanworks.llm.common import as_bytes, new_path
+from gleanworks.llm.common import as_bytes, materialize, new_path
 
 SPLIT = 32 << 20
+#: Digests of several pages that go to all tasks (about 100 bytes each).
+SHARED = 500_000
 SCHEMA = "warc_type string, record_id string, target_uri string, date string, payload_digest string, refers_to string, http_length long, content_length long, payload binary, payload_length long, computed_digest string"
 #: Columns for which a record's whole block is inflated.
 WHOLE = {"payload", "payload_length", "computed_digest"}
@@ -79,11 +81,20 @@ def page_uri(page_id: int | None) -> str:
 
 
 def with_digests(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, digest (SHA-1, hex), first: the smallest page_id of those with an equal payload."""
+    """page_id, url, html, digest (SHA-1, hex), first: the smallest page_id of several with an equal payload, else null.
+
+    Payloads don't move: what several pages share goes to all tasks, and beyond ``SHARED`` such digests, is
+    joined by page, so that no digest's pages meet in one task."""
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha1(html).alias("digest"))
-    first = rows.groupBy("digest").agg(F.min("page_id").alias("first"))
-    return rows.join(first, "digest")
+    slim = rows.select("page_id", "digest")
+    shared = slim.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
+    shared = materialize(shared, "digests")
+    if shared.count() <= SHARED:
+        return rows.join(F.broadcast(shared), "digest", "left")
+    again = slim.join(shared, "digest").where("page_id is null or page_id <> first").distinct()
+    again = materialize(again.select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "first"), "revisits")
+    return rows.join(again, rows.page_id.eqNullSafe(again["_page"]) & (rows.digest == again["_digest"]), "left").drop("_page", "_digest")
 
 
 def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> None:
@@ -193,7 +204,7 @@ class WarcReader(DataSourceReader):
                         row["computed_digest"] = "sha1:" + payload_digest(row["payload"])
                     held += len(block) if "payload" in self.columns else 0
                 elif "http_length" in self.columns:
-                    row["http_length"], _ = split_block(fields, block_of(min(length, 1 << 12)))
+                    row["http_length"], _ = split_block(fields, http_head(block_of, length))
                 rows.append([row.get(c) for c in self.columns])
                 held += 500
                 if held > 8 << 20:
@@ -244,21 +255,30 @@ class WarcReader(DataSourceReader):
     def streamed(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], Callable[[int], bytes]]]:
         """Records one after another, where lengths aren't said in advance."""
         while (fields := parse_header(stream)) is not None:
-            left = [int(fields.get("content-length", 0))]
+            length = int(fields.get("content-length", 0))
+            done = bytearray()
 
-            def block(n: int, left: list[int] = left) -> bytes:
-                data = stream.read(min(n, left[0]))
-                left[0] -= len(data)
-                return data
+            def block(n: int, length: int = length, done: bytearray = done) -> bytes:
+                if len(done) < min(n, length):
+                    done.extend(stream.read(min(n, length) - len(done)))
+                return bytes(done[:n])
 
             yield fields, block
-            stream.seek(left[0], 1)
+            stream.seek(length - len(done), 1)
 
     @staticmethod
     def batch(rows: list[list], schema: pa.Schema) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
+def http_head(block_of: Callable[[int], bytes], length: int) -> bytes:
+    """As much of a block as its HTTP header takes, however long that is."""
+    n = 1 << 12
+    while n < length and b"\r\n\r\n" not in (data := block_of(n)):
+        n *= 4
+    return data if n < length else block_of(length)
+
+
 def split_block(fields: dict[str, str], block: bytes) -> tuple[int | None, bytes]:
     """The HTTP header's Content-Length, and the payload behind it; other blocks are all payload."""
     if not fields.get("content-type", "").startswith("application/http"):
