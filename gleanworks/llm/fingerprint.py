@@ -5,8 +5,9 @@ kept part of a document is the same whatever it is compared with: fingerprints m
 share of one document that another contains can be estimated however unequal their lengths. The string is
 the digest of the whole set, then 48 bits of each kept hash, base64. Comparison reads the strings alone.
 
-The contract's edited text needs the next document. Rows are dealt by ranges of doc_id; the first row of
-each range also goes, as a tail, to the range before it, so whole texts move once and each task streams.
+The contract's edited text needs the next document. Rows are dealt by ranges of doc_id, each a partition of
+its own; the first row of each range also goes, as a tail, to the range before it, so whole texts move once
+and each task streams.
 
 Defined results: null text is the empty text (its fingerprint keeps nothing); texts under five words are
 one shingle; likeness of two fingerprints that keep nothing is 1 if they are equal, else 0; rows with
@@ -31,8 +32,8 @@ from gleanworks.llm.common import WordHashes, scramble, shingles
 SCALE = 8
 #: Documents of a range on average.
 RANGE = 4_000
-#: Ranges at most: beyond it they grow, as rows stream through them.
-RANGES = 8_192
+#: Ranges at most: beyond it they grow, as rows stream through them (and are sorted on disk before).
+RANGES = 65_536
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, resemblance_edited double, resemblance_next double"
 
 
@@ -144,4 +145,4 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     own = F.struct(F.col("range"), F.lit(False).alias("tail"))
     places = F.when(F.col("before") >= 0, F.array(own, F.struct(F.col("before").alias("range"), F.lit(True).alias("tail")))).otherwise(F.array(own))
     rows = dealt.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.explode(places).alias("place")).select("place.range", "place.tail", "doc_id", "text")
-    return rows.repartition(parts, "range").sortWithinPartitions("range", "tail", "doc_id", "text").mapInArrow(_stream(first), OUT)
+    return rows.repartitionById(parts, "range").sortWithinPartitions("range", "tail", "doc_id", "text").mapInArrow(_stream(first), OUT)
