@@ -3,8 +3,8 @@
 Every document of a source gets the same fractional number of copies, target / size of the source; its
 whole part is certain, and what is left is rounded by the pivotal method: two units with fractional parts
 transfer mass at random, with the sum of words and every document's expectation unchanged, until one of
-them is integral; the other goes on (a unit is a document, or all documents still of one fraction). A leaf (a bounded number of documents, dealt by a hash of doc_id,
-so that the largest source is spread over all leaves) leaves at most one fractional document per source;
+them is integral; the other goes on (a unit is a document, or all documents still of one fraction). A leaf (a bounded number of documents, dealt by a hash of doc_id and text,
+so that the largest source is spread over all leaves; repeated rows are one unit) leaves at most one fractional document per source;
 these residuals meet in a reduction tree of fan-in ``FAN`` until each source has one, which is rounded by
 itself. So the words taken from a source miss its target by less than one document.
 
@@ -12,7 +12,8 @@ Draws come from a hash of the seed, the level and the documents, so reruns agree
 
 Defined results: null text or text without words has size 0, takes 0 words and target of its source; null
 source is a source (the last in order); a source of only empty documents has target 0; an empty table
-gives an empty result; repeated rows are documents of their own; null doc_id is rounded like the others.
+gives an empty result; repeated rows are documents of their own
+(their copies are rounded together and dealt evenly); null doc_id is rounded like the others.
 """
 
 from __future__ import annotations
@@ -24,29 +25,50 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gleanworks.llm.common import WORD, materialize
 
 #: Documents of a leaf on average, and nodes of the tree that meet in one.
 LEAF, FAN = 20_000, 64
+#: Sources of a range when they are put in order.
+SOURCES = 100_000
 WEIGHTS = (3.0, 1.0, 2.0)
 
 
-def targets(sizes: np.ndarray, weights: np.ndarray, total: float, most: float = 2.0) -> np.ndarray:
-    """Share total by weight; what exceeds most times a size is shared again, until none does."""
-    out = np.zeros(len(sizes))
-    free = sizes > 0
-    left = min(total, most * sizes.sum())
-    while free.any():
-        share = left * weights / weights[free].sum()
-        over = free & (share > most * sizes)
-        if not over.any():
-            out[free] = share[free]
+def _placed(sources: DataFrame) -> DataFrame:
+    """With source_at: the place by code point, null last. Sources are sorted in ranges; no task sees them all."""
+    parts = 1 + sources.count() // SOURCES
+    ranged = sources.repartitionByRange(parts, F.col("source").isNull(), "source").withColumn("range", F.spark_partition_id())
+    ranged = materialize(ranged, "sources")
+    sizes = {r["range"]: r["n"] for r in ranged.groupBy("range").agg(F.count("*").alias("n")).collect()}  # a row for each range
+    before, at = {}, 0
+    for k in sorted(sizes):
+        before[k], at = at, at + sizes[k]
+    first = F.lit([before.get(k, 0) for k in range(max(before, default=0) + 1)]).cast("array<long>")[F.col("range")]
+    order = Window.partitionBy("range").orderBy(F.col("source").isNull(), "source")
+    return ranged.withColumn("source_at", first + F.row_number().over(order) - 1).drop("range")
+
+
+def targets(sources: DataFrame, total: float, most: float = 2.0) -> DataFrame:
+    """With target: total is shared by weight; what exceeds most times a size is shared again, until none does.
+
+    sources: (size, weight, ...). A source gets ``level * weight`` or all that it may; raising the level only
+    ever fills more sources, so it settles after a few aggregates, each of one row."""
+    full = lambda level: F.lit(level) * F.col("weight") > F.lit(most) * F.col("size")
+    some = sources.where("size > 0")
+    weight, level, filled = some.agg(F.sum("weight")).first()[0] or 0.0, 0.0, 0
+    while weight:
+        level = total / weight if not filled else level
+        row = some.agg(F.count(F.when(full(level), 1)), F.sum(F.when(full(level), F.col("size"))), F.sum(F.when(~full(level), F.col("weight")))).first()
+        if row[0] == filled:
             break
-        out[over] = most * sizes[over]
-        left -= out[over].sum()
-        free &= ~over
-    return out
+        filled, weight = row[0], row[2] or 0.0
+        if weight:
+            level = (total - most * (row[1] or 0)) / weight
+    if not weight:  # all are full
+        return sources.withColumn("target", F.lit(most) * F.col("size"))
+    return sources.withColumn("target", F.when(F.col("size") <= 0, 0.0).when(full(level), F.lit(most) * F.col("size")).otherwise(F.lit(level) * F.col("weight")))
 
 
 def _transfer(x: float, w: float, y: float, v: float, draw: float) -> tuple[float, float]:
@@ -62,24 +84,26 @@ def _round(x: np.ndarray, w: np.ndarray, salt: int) -> None:
 
     While all fractions are alike, a document is paired with all that follow as one unit, so that large
     documents are settled against many small ones and what is left over is small; else pair by pair."""
-    draws = np.random.default_rng(salt).random(len(x))
+    draws, later = np.random.default_rng(salt).random((2, len(x)))
     for i in np.flatnonzero((w == 0) & (x > 0) & (x < 1)):  # no words to balance
         x[i] = float(draws[i] < x[i])
     todo = np.flatnonzero((x > 0) & (x < 1))
-    if len(todo) and np.ptp(x[todo]) == 0:
-        rest = np.cumsum(w[todo][::-1])[::-1]
-        common = x[todo[0]]
-        for k, i in enumerate(todo[:-1]):
+    values, times = np.unique(x[todo], return_counts=True)
+    if times.max(initial=0) > 1:
+        common = values[times.argmax()]
+        alike = todo[x[todo] == common]
+        rest = np.cumsum(w[alike][::-1])[::-1]
+        for k, i in enumerate(alike[:-1]):
             x[i], common = _transfer(common, w[i], common, rest[k + 1], draws[i])
             if common in (0.0, 1.0):
-                x[todo[k + 1 :]] = common
-                return
-        x[todo[-1:]] = common
-        return
+                x[alike[k + 1 :]] = common
+                break
+        else:
+            x[alike[-1]] = common
     live = -1
-    for i in todo:
+    for i in todo[(x[todo] > 0) & (x[todo] < 1)]:
         if live >= 0:
-            x[live], x[i] = _transfer(x[live], w[live], x[i], w[i], draws[i])
+            x[live], x[i] = _transfer(x[live], w[live], x[i], w[i], later[i])
         live = i if 0 < x[i] < 1 else live if live >= 0 and 0 < x[live] < 1 else -1
 
 
@@ -99,7 +123,7 @@ def _rounding(level: int, seed: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return lambda pdf: _node(pdf, level, seed)
 
 
-SCHEMA = "doc_id long, row long, source_at int, size long, whole int, part double, node long"
+SCHEMA = "doc_id long, row long, source_at long, size long, n long, whole long, part double, node long"
 
 
 def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
@@ -107,21 +131,21 @@ def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 17
 
     row is a hash of doc_id, source and text, for a join back; repeated rows share it.
     """
-    spark = docs.sparkSession
-    sized = materialize(docs.select("doc_id", "source", F.xxhash64("doc_id", "source", "text").alias("row"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
-    # one row per source, not per document
-    sources = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).toPandas()
-    sources = sources.assign(null=sources.source.isna(), key=[(s or "").encode() for s in sources.source]).sort_values(["null", "key"]).reset_index(drop=True)
-    weights = np.array([WEIGHTS[i % len(WEIGHTS)] for i in range(len(sources))])
-    goal = targets(sources["size"].to_numpy(float), weights, share * float(sources["size"].sum()), most)
-    known = pd.DataFrame({"source": sources.source.where(~sources.null, None), "source_at": np.arange(len(sources)), "source_size": sources["size"], "target": goal, "rate": np.divide(goal, sources["size"].to_numpy(float), out=np.zeros(len(goal)), where=sources["size"].to_numpy() > 0)})
-    table = spark.createDataFrame(known.astype({"source": object, "source_at": "int32", "source_size": "int64"}), "source string, source_at int, source_size long, target double, rate double")
-    table = materialize(table, "sources")
+    sized = docs.select("doc_id", "source", F.xxhash64("doc_id", "source", "text").alias("row"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    # repeated rows are one unit of n documents from here on, so no leaf holds all of them
+    units = materialize(sized.groupBy("doc_id", "source", "row", "size").agg(F.count("*").alias("n")), "sizes")
+    sources = _placed(units.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.count("*").alias("units")))
+    weight = F.lit([*WEIGHTS])[F.pmod("source_at", F.lit(len(WEIGHTS))).cast("int")]
+    sources = materialize(sources.withColumn("weight", weight), "weights")
+    words, count = sources.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("units"), F.lit(0))).first()
+    table = targets(sources, min(share, most) * float(words), most)
+    table = materialize(table.select("source", "source_at", F.col("size").alias("source_size"), "target", F.when(F.col("size") > 0, F.col("target") / F.col("size")).otherwise(0.0).alias("rate")), "targets")
     leaves = 1
-    while leaves * LEAF < int(sources.docs.sum()):
-        leaves *= FAN if leaves * LEAF * 8 < int(sources.docs.sum()) else 2
-    whole = F.floor("rate").cast("int")
-    rows = sized.join(table.select("source", "source_at", "rate"), sized.source.eqNullSafe(table.source)).select("doc_id", "row", "source_at", "size", whole.alias("whole"), (F.col("rate") - whole).alias("part"), F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(leaves)).alias("node"))
+    while leaves * LEAF < count:
+        leaves *= FAN if leaves * LEAF * 8 < count else 2
+    copies = F.col("rate") * F.col("n")
+    whole = F.floor(copies).cast("long")
+    rows = units.join(table.select("source", "source_at", "rate"), units.source.eqNullSafe(table.source)).select("doc_id", "row", "source_at", "size", "n", whole.alias("whole"), (copies - whole).alias("part"), F.pmod(F.xxhash64("doc_id", "row", F.lit(seed)), F.lit(leaves)).alias("node"))
     level, done = 0, []
     while True:
         rounded = rows.groupBy("node").applyInPandas(_rounding(level, seed), SCHEMA)
@@ -134,13 +158,15 @@ def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 17
         leaves = -(-leaves // FAN)
         rows = rows.withColumn("node", F.pmod("node", F.lit(leaves)))
         level += 1
-    # at most one document of each source is left
+    # at most one unit of each source is left
     chance = F.pmod(F.xxhash64("doc_id", "row", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     done.append(rows.withColumn("part", F.when(chance < F.col("part"), 1.0).otherwise(0.0)))
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    out = out.withColumn("copies", F.col("whole") + F.round("part").cast("int"))
+    # the copies of a unit are dealt to its documents evenly
+    out = out.withColumn("every", F.col("whole") + F.round("part").cast("long")).withColumn("at", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    out = out.withColumn("copies", (F.floor(F.col("every") / F.col("n")) + F.when(F.col("at") <= F.col("every") % F.col("n"), 1).otherwise(0)).cast("int"))
     return out.join(table.select("source_at", "source_size", "target"), "source_at").select("doc_id", "row", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 

@@ -259,10 +259,52 @@ def test_components_of_paths_and_stars(spark: SparkSession) -> None:
 
 # ---- mixing
 
-def test_mixing_targets() -> None:
-    assert mixing.targets(np.array([100.0, 100.0, 100.0]), np.array([3.0, 1.0, 2.0]), 450).tolist() == pytest.approx([200, 250 / 3, 500 / 3])
-    assert mixing.targets(np.array([0.0, 10.0]), np.array([3.0, 1.0]), 15).tolist() == [0, 15]
-    assert mixing.targets(np.array([1.0, 100.0]), np.array([3.0, 1.0]), 150).tolist() == [2, 148]
+def plain_targets(sizes: np.ndarray, weights: np.ndarray, total: float, most: float = 2.0) -> np.ndarray:
+    """Share by weight; what exceeds a source's limit is shared again among the others."""
+    out = np.zeros(len(sizes))
+    free = sizes > 0
+    left = min(total, most * sizes.sum())
+    while free.any():
+        part = left * weights / weights[free].sum()
+        over = free & (part > most * sizes)
+        if not over.any():
+            out[free] = part[free]
+            break
+        out[over] = most * sizes[over]
+        left -= out[over].sum()
+        free &= ~over
+    return out
+
+
+def test_mixing_targets(spark: SparkSession) -> None:
+    assert plain_targets(np.array([100.0, 100.0, 100.0]), np.array([3.0, 1.0, 2.0]), 450).tolist() == pytest.approx([200, 250 / 3, 500 / 3])
+    rng = random.Random(7)
+    cases = [[100, 100, 100], [0, 10], [1, 100], [5], [0, 0], *([rng.choice([0, 1, 7, 90, 4000]) for _ in range(rng.randint(1, 40))] for _ in range(4))]
+    for sizes in cases:
+        weights = [(3.0, 1.0, 2.0)[i % 3] for i in range(len(sizes))]
+        for share in (1.5, 3.0):
+            total = min(share, 2.0) * sum(sizes)
+            table = spark.createDataFrame([*zip(range(len(sizes)), sizes, weights, strict=True)], "at int, size long, weight double")
+            got = [r["target"] for r in sorted(mixing.targets(table, total).collect())]
+            assert got == pytest.approx(plain_targets(np.array(sizes, float), np.array(weights), total).tolist())
+
+
+def test_sources_are_placed_by_code_point(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    monkeypatch.setattr(mixing, "SOURCES", 10)
+    names = [None, "", *{chr(c) * k for c in (65, 97, 0xE9, 0xFFFD, 0x1F600, 48) for k in range(1, 8)}]
+    got = {r["source"]: r["source_at"] for r in collected(mixing._placed(spark.createDataFrame([(x,) for x in names], "source string").repartition(5)))}
+    assert got == {x: i for i, x in enumerate([*sorted(x for x in names if x is not None), None])}
+
+
+def test_repeated_rows_are_mixed_together(spark: SparkSession) -> None:
+    rows = [(1, "a b c", "en", "s", 0)] * 1000 + [(2, "a b c d", "en", "s", 0), (None, "x", "en", "s", 0), (3, "word " * 300, "en", "t", 0)]
+    got = collected(mixing.mixed(frame(spark, rows)))
+    assert len(got) == len(rows) and {r["copies"] for r in got} <= {0, 1, 2}
+    taken = collections.Counter()
+    for r in got:
+        taken[r["source_size"]] += r["taken"]
+    goal = {r["source_size"]: r["target"] for r in got}
+    assert all(abs(taken[s] - goal[s]) <= 300 for s in goal) and abs(taken[3005] - goal[3005]) <= 5
 
 
 def test_mixing(docs: DataFrame, rows: list[tuple], monkeypatch: pytest.MonkeyPatch) -> None:
@@ -270,7 +312,7 @@ def test_mixing(docs: DataFrame, rows: list[tuple], monkeypatch: pytest.MonkeyPa
     for _, text, _, source, _ in rows:
         sizes[source] += len(words(text))
     order = sorted((s for s in sizes if s is not None), key=str.encode) + [None]
-    goal = dict(zip(order, mixing.targets(np.array([sizes[s] for s in order], float), np.array([(3, 1, 2)[i % 3] for i in range(len(order))], float), 1.5 * sum(sizes.values())), strict=True))
+    goal = dict(zip(order, plain_targets(np.array([sizes[s] for s in order], float), np.array([(3, 1, 2)[i % 3] for i in range(len(order))], float), 1.5 * sum(sizes.values())), strict=True))
     got = collected(mixing.mixed(docs))
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["size"]) for r in got) == sorted((r[0] is None, r[0] or 0, len(words(r[1]))) for r in rows)
     taken, found = collections.Counter(), {}
@@ -602,6 +644,24 @@ def test_warc_pushes_predicates_and_skips_payloads(spark: SparkSession, tmp_path
     assert (got.payload, got.http_length, got.record_id) == (b"abc", 3, "<urn:page:1>")
 
 
+def test_warc_reads_long_http_headers(spark: SparkSession, tmp_path) -> None:
+    block = b"HTTP/1.1 200 OK\r\n" + b"".join(b"Set-Cookie: %d=%s\r\n" % (i, b"x" * 500) for i in range(90)) + b"Content-Length: 7\r\n\r\npayload"
+    head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nContent-Type: application/http\r\nContent-Length: {len(block)}\r\n\r\n".encode()
+    data = head + block + b"\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes(data * 2)
+    (tmp_path / "b.warc.gz").write_bytes(warc.member(data) * 3)
+    found = warc.read_archives(spark, f"file://{tmp_path}", "record_id string, http_length long").collect()
+    assert [r.http_length for r in found] == [7] * 5
+
+
+def test_warc_joined_by_page(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    pages, rows = pages_of(spark)
+    key = lambda df: collections.Counter((r["page_id"], r["record_type"], r["refers_to"], r["payload_digest"]) for r in collected(df))
+    one = key(warc.archived(pages))
+    monkeypatch.setattr(warc, "SHARED", 0)
+    assert key(warc.archived(pages)) == one
+
+
 # ---- urls
 
 def test_url_filter(spark: SparkSession) -> None:
@@ -718,3 +778,14 @@ def test_empty_tables(empty: DataFrame, spark: SparkSession) -> None:
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     for found in (quality.judged(empty), jaccard.linked(empty), mixing.mixed(empty), mixing.taken(empty), packing.packed(empty, word), langid.identified(empty), lattice.scored(empty, piece), licenses.scanned(empty), fingerprint.fingerprinted(empty), warc.archived(pages), urls.judged(pages)):
         assert found.count() == 0
+
+
+def test_no_local_folder_on_a_cluster() -> None:
+    class Conf(dict):
+        get = dict.get
+
+    class Session:
+        conf = Conf({"spark.master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(Session())
