@@ -36,9 +36,14 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only if unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir).
+
+    Where it is unset, a temporary folder of this machine serves a local master alone; on a cluster each
+    executor would write to its own disk, so that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not (spark.conf.get("spark.master", "") or "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='gleanworks-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
