@@ -31,14 +31,15 @@ from gleanworks.llm.common import RELEASE, as_bytes, materialize, release_kept
 
 SIZE = 2048
 #: Pieces of one length that are ranked together, on average.
-BUCKET = 1_000
+BUCKET = 256
 #: Words that a worker process keeps with their ids, about 200 bytes each.
 KNOWN = 300_000
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 
 
 class ByWord:
-    """Ids of texts by a tokenizer that drops white space before it merges: a text's ids are its words' ids.
+    """Ids of texts by a tokenizer that lower-cases, drops white space and cuts letters from punctuation before it
+    merges: a text's ids are its words' ids, and a word's are those of its letters and of the marks behind them.
 
     Words not met before are encoded together in one call, with a mark between them whose id nothing else
     gives. Words and texts for which that could fail (special tokens, the mark itself) are encoded alone.
@@ -46,12 +47,17 @@ class ByWord:
     """
 
     MARK = "\x01"
+    #: Marks behind a word that are cut from it (an apostrophe isn't: it may begin a contraction).
+    TAIL = b".,;:!?#%*&$()[]"
 
     def __init__(self, path: str, bound: int = KNOWN) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         (self.mark,) = self.encode(self.MARK)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for piece, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = piece.endswith("</w>")
         self.known = _Places(bound)
         self.start, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
@@ -60,6 +66,8 @@ class ByWord:
 
     def runs(self, words: list[str]) -> list[np.ndarray]:
         """The ids of each word, in one array, with their counts."""
+        if not words:
+            return [np.zeros(0, np.uint32), np.zeros(0, np.int64)]
         odd = {i for i, w in enumerate(words) if self.MARK in w}
         found = np.array(self.tokenizer.encode_batch_fast([f" {self.MARK} ".join([w for i, w in enumerate(words) if i not in odd] + [""])], add_special_tokens=False)[0].ids, np.uint32)
         marks = np.flatnonzero(found == self.mark)
@@ -71,12 +79,60 @@ class ByWord:
             return [np.concatenate(parts), np.array([len(p) for p in parts])]
         return [ids, counts]
 
+    def cut(self, word: bytes) -> tuple[bytes, bytes]:
+        """A word's letters or digits and the marks behind them, where the tokenizer cuts there, too."""
+        core = word.rstrip(self.TAIL)
+        if core and len(core) < len(word):
+            last = core[-1:]
+            if last.isalnum() or (last >= b"\x80" and core.decode().lower()[-1].isalpha()):
+                return core, word[len(core) :]
+        return word, b""
+
+    def learn(self, fresh: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words not met before, in one array, with their counts; parts that are known aren't encoded again."""
+        known, old = self.known, len(self.count)
+        letters: dict[bytes, int] = {}  # words that the tokenizer doesn't cut
+        others: dict[bytes, int] = {}
+
+        def place(x: bytes) -> int:
+            """Where a part will stand: known ones first, then one's own in either table (others are counted down from -2)."""
+            at = known.get(x, old)
+            if at < old:
+                return at
+            if x.isalpha() or x.decode().lower().isalpha():
+                return old + letters.setdefault(x, len(letters))
+            return -2 - others.setdefault(x, len(others))
+
+        at = np.full((len(fresh), 2), -1, np.int64)
+        for i, w in enumerate(fresh):
+            if w.isalpha():
+                at[i, 0] = old + letters.setdefault(w, len(letters))
+                continue
+            core, tail = self.cut(w)
+            at[i, 0] = place(core)
+            if tail:
+                at[i, 1] = place(tail)
+        ids, n = self.whole([w.decode() for w in letters])
+        more, m = self.runs([w.decode() for w in others])
+        at = np.where(at < -1, old + len(n) - 2 - at, np.where(at == -1, old + len(n) + len(m), at)).ravel()
+        count = np.concatenate([self.count, n, m, [0]])  # the last one stands for no marks
+        start = np.concatenate([self.start, len(self.ids) + np.cumsum(n) - n, len(self.ids) + len(ids) + np.cumsum(m) - m, [0]])
+        return _gathered(np.concatenate([self.ids, ids, more]), start[at], count[at]), count[at].reshape(-1, 2).sum(axis=1)
+
+    def whole(self, words: list[str]) -> list[np.ndarray]:
+        """As runs(), of words of letters alone: the tokenizer doesn't cut them, and the last id of each says that it ends."""
+        if not words:
+            return [np.zeros(0, np.uint32), np.zeros(0, np.int64)]
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        counts = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+        return [ids, counts] if len(counts) == len(words) else self.runs(words)
+
     def of(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
         alone = {i for i, t in enumerate(texts) if t and b"<|" in t}
-        places = [np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)) for i, t in enumerate(texts) for words in (t.split() if t and i not in alone else [],)]
+        places = [np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)) for i, t in enumerate(texts) for words in (t.lower().split() if t and i not in alone else [],)]
         start, count, ids = self.start, self.count, self.ids
         if fresh := self.known.fresh:
-            more, n = self.runs([w.decode() for w in fresh])
+            more, n = self.learn(fresh)
             start = np.concatenate([start, len(ids) + np.cumsum(n) - n])
             count, ids = np.concatenate([count, n]), np.concatenate([ids, more])
             kept = len(self.known)
@@ -87,11 +143,12 @@ class ByWord:
             if i in alone:
                 yield np.array([*self.encode(texts[i].decode()), 0], np.uint32)
                 continue
-            n = count[at]
-            total = int(n.sum())
-            out = np.zeros(total + 1, np.uint32)
-            out[:total] = ids[np.arange(total) + np.repeat(start[at] - np.cumsum(n) + n, n)]
-            yield out
+            yield np.append(_gathered(ids, start[at], count[at]), np.uint32(0))
+
+
+def _gathered(ids: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Runs of ids, one after another."""
+    return ids[np.arange(int(count.sum())) + np.repeat(start - np.cumsum(count) + count, count)]
 
 
 class _Places(dict):
@@ -129,8 +186,8 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, known: int = KNOWN) ->
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = tokenizer(path, known)
         for whole in batches:
-            for at in range(0, len(whole), 500):
-                batch = whole.slice(at, 500)
+            for at in range(0, len(whole), 1000):
+                batch = whole.slice(at, 1000)
                 rows = []
                 for n, ids in enumerate(ids_of.of(as_bytes(batch.column("text")))):
                     rows += [(n, k, start, len(part), zlib.crc32(part.astype("<u4", copy=False).tobytes())) for k, start in enumerate(range(0, len(ids), size)) for part in (ids[start : start + size],)]

@@ -407,7 +407,7 @@ def test_plan_uses_every_piece_once(seed: int) -> None:
 def test_words_tokenized_alone_are_words_of_the_whole() -> None:
     found = packing.ByWord(public_tokenizers.path("word_bpe_49k.json"))
     found.known.bound = 4  # beyond it, words are known for one batch
-    texts = ["a\x01b c", "", None, "<|endoftext|> x", "\x01", "é é İ ﬁ ≠ 's don't 12 3a", "\u0085x　y", "the\x1cof", "the the of", "x" * 5000]
+    texts = ["a\x01b c", "", None, "<|endoftext|> x", "\x01", "é é İ ﬁ ≠ 's don't 12 3a", "\u0085x　y", "the\x1cof", "the the of", "x" * 5000, "The THE, the. The.! thE?% (the), we're. it's, a1, 1. é. É, \u0301. e\u0301, ½! x\u0338. …. a…. don't.", "new, New. NEW new!? new.,", "K. İ, ß! I\u0307."]
     for batch in (texts, texts[::-1], ["new words here"]):
         for text, ids in zip(batch, found.of([t and t.encode() for t in batch]), strict=True):
             assert ids.tolist() == [*found.encode(text or ""), 0]
