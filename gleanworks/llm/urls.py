@@ -4,7 +4,9 @@ Rules give some URLs their verdict; these are the labelled URLs. From a sample o
 (the least hashes of page_id; a bound that doesn't grow with the input) boosted trees, each over a random part
 of the features, learn log-odds of
 block from the URL's spelling: length, depth, digit ratio, entropy, parameters, and smoothed statistics
-of suffixes of host and path, which are the sample's own. The trees judge every URL that no rule fits.
+of suffixes of host and path. Trees are grown on statistics of the other folds (a row's own label is not in what
+it is described by), and read the whole sample's when they judge. They judge every URL that no rule fits.
+URLs over ``longest`` characters are judged, but not learnt from.
 
 Defined results: a null URL, or one without ``://``, has empty host and path; no rule fits it, and the
 trees judge its empty features; if labelled URLs are all of one verdict (or there are none), that verdict
@@ -67,7 +69,7 @@ def plain_features(url: str | None, host: str, path: str, query: str, fragment:
 class Boosted:
     """Gradient-boosted regression trees on binned features with logistic loss, and the suffix statistics they read."""
 
-    def __init__(self, urls: list[str], blocked: list[bool], trees: int = 80, depth: int = 3, rate: float = 0.2, bins: int = 32, smooth: float = 5.0, columns: float = 0.3, seed: int = 7) -> None:
+    def __init__(self, urls: list[str], blocked: list[bool], trees: int = 80, depth: int = 3, rate: float = 0.2, bins: int = 32, smooth: float = 5.0, columns: float = 0.3, folds: int = 5, seed: int = 7) -> None:
         y = np.array(blocked, float)
         self.prior = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))) if len(y) else -1.0
         self.trees: list[list[tuple[int, float, float, float]]] = []
@@ -78,17 +80,26 @@ class Boosted:
         split = [split_url(u) for u in urls]
         base = y.mean()
         keys = [suffixes(h, p) for h, p, _, _ in split]
-        tables: dict[tuple[int, str], list[float]] = {}
-        for k, b in zip(keys, y, strict=True):
-            for i, s in enumerate(k):
-                t = tables.setdefault((i, s), [0.0, 0.0])
-                t[0] += b
-                t[1] += 1
+        fold = np.random.default_rng(seed).permutation(len(y)) % folds
+        tables: dict[tuple[int, str], np.ndarray] = {}
+        for k, b, f in zip(keys, y, fold, strict=True):
+            for pair in enumerate(k):
+                t = tables.get(pair)
+                if t is None:
+                    t = tables[pair] = np.zeros((folds, 2))
+                t[f] += (b, 1.0)
         self.base = base
-        self.stats = {k: (t[0] + smooth * base) / (t[1] + smooth) for k, t in tables.items()}
+        whole = {k: t.sum(axis=0) for k, t in tables.items()}
+        self.stats = {k: float((t[0] + smooth * base) / (t[1] + smooth)) for k, t in whole.items()}
         x = self.features(urls)
-        self.cuts = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
-        binned = np.stack([np.searchsorted(c, v, side="left") for c, v in zip(self.cuts, x.T, strict=True)], axis=1)
+        for row, (k, f) in enumerate(zip(keys, fold, strict=True)):
+            for i, pair in enumerate(enumerate(k)):
+                b, n = whole[pair] - tables[pair][f]
+                x[row, len(FEATURES) - len(k) + i] = (b + smooth * base) / (n + smooth) if n else math.nan
+        seen = [c[~np.isnan(c)] for c in x.T]
+        self.cuts = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) if len(c) else np.zeros(0) for c in seen]
+        # -1: not known; such a row stays at a node that asks for it, in growing as in judging
+        binned = np.stack([np.where(np.isnan(v), -1, np.searchsorted(c, v, side="left")) for c, v in zip(self.cuts, x.T, strict=True)], axis=1)
         score = np.full(len(y), self.prior)
         draws = np.random.default_rng(seed)
         for _ in range(trees):
@@ -111,21 +122,22 @@ class Boosted:
             value = rate * gs.sum() / (hs.sum() + 1.0)
             best = (1e-6, -1, 0)
             if node < 2**depth - 1:
-                whole = gs.sum() ** 2 / (hs.sum() + 1.0)
                 for f in map(int, some):
-                    cuts = self.cuts[f]
-                    if not len(cuts):
+                    cuts, own = self.cuts[f], x[here, f]
+                    told = own >= 0
+                    if not len(cuts) or not told.any():
                         continue
-                    left_g = np.cumsum(np.bincount(x[here, f], gs, len(cuts) + 1))[:-1]
-                    left_h = np.cumsum(np.bincount(x[here, f], hs, len(cuts) + 1))[:-1]
-                    gain = left_g**2 / (left_h + 1.0) + (gs.sum() - left_g) ** 2 / (hs.sum() - left_h + 1.0) - whole
+                    all_g, all_h = gs[told].sum(), hs[told].sum()
+                    left_g = np.cumsum(np.bincount(own[told], gs[told], len(cuts) + 1))[:-1]
+                    left_h = np.cumsum(np.bincount(own[told], hs[told], len(cuts) + 1))[:-1]
+                    gain = left_g**2 / (left_h + 1.0) + (all_g - left_g) ** 2 / (all_h - left_h + 1.0) - all_g**2 / (all_h + 1.0)
                     i = int(np.argmax(gain))
                     if gain[i] > best[0]:
                         best = (float(gain[i]), f, i)
             gain, f, i = best
             tree[node] = (f, float(self.cuts[f][i]) if f >= 0 else 0.0, float(value), gain)
             if f >= 0:
-                rows = np.flatnonzero(here)
+                rows = np.flatnonzero(here & (x[:, f] >= 0))
                 at[rows] = 2 * node + 1 + (x[rows, f] > i)
         return tree
 
@@ -169,9 +181,20 @@ def judge_by_rules(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     return pages.select("page_id", "url").mapInArrow(run, "page_id long, url string, host string, path string, rule string, verdict string")
 
 
-def fit(pages: DataFrame, rules: tuple = RULES, sample: int = 20_000) -> Boosted:
-    """Learn from at most sample labelled URLs."""
-    labelled = judge_by_rules(pages, rules).where("verdict is not null").select("page_id", "url", "verdict")
+def held_out_quality(urls: list[str], blocked: list[bool], parts: int = 5) -> float:
+    """The share of URLs that models of the other parts judge right."""
+    part = np.random.default_rng(3).permutation(len(urls)) % parts
+    right = 0
+    for k in range(parts):
+        model = Boosted([u for u, p in zip(urls, part, strict=True) if p != k], [b for b, p in zip(blocked, part, strict=True) if p != k])
+        test = [i for i, p in enumerate(part) if p == k]
+        right += int(((model.odds([urls[i] for i in test]) > 0) == np.array([blocked[i] for i in test])).sum())
+    return right / max(1, len(urls))
+
+
+def fit(pages: DataFrame, rules: tuple = RULES, sample: int = 20_000, longest: int = 4_096) -> Boosted:
+    """Learn from at most sample labelled URLs of at most longest characters."""
+    labelled = judge_by_rules(pages, rules).where("verdict is not null").where(F.length("url") <= longest).select("page_id", "url", "verdict")
     # thin out by the hash first, a little more than asked for: each task then brings its share of the sample
     share = min(1.0, 1.2 * sample / max(1, labelled.count()) + 1e-9)
     thin = labelled.where(F.pmod(F.xxhash64("page_id"), F.lit(1 << 30)) <= F.lit(int(share * (1 << 30))))

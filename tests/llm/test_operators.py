@@ -251,6 +251,33 @@ def test_prefixes_share_what_they_must() -> None:
                 assert np.unpackbits(jaccard.parities(x, bits) ^ jaccard.parities(y, bits)).sum() <= len(x) + len(y) - 2 * both
 
 
+def test_signatures_bound_what_sets_differ_in() -> None:
+    rng = np.random.default_rng(12)
+    for n, m, shared in ((10, 12, 9), (3000, 3500, 2800), (3000, 40_000, 2900), (70_000, 70_000, 100), (70_000, 60_000, 55_000), (1, 1, 0)):
+        x = np.unique(rng.integers(0, 2**63, n + m - shared, dtype=np.uint64))
+        a, b = x[:n], np.concatenate([x[:shared], x[n:]])
+        apart = jaccard.bits_apart(jaccard.wide_signature(a), jaccard.wide_signature(b))
+        assert apart == jaccard.bits_apart(jaccard.wide_signature(b), jaccard.wide_signature(a)) <= n + m - 2 * shared
+    a, b = (np.unique(rng.integers(0, 2**63, 50_000, dtype=np.uint64)) for _ in range(2))
+    assert 180 * jaccard.bits_apart(jaccard.wide_signature(a), jaccard.wide_signature(b)) > 20 * 100_000  # unrelated long texts don't pass
+
+
+def test_jaccard_long_texts_that_share_passages(spark: SparkSession) -> None:
+    rng = random.Random(21)
+    vocab = [f"w{i}" for i in range(4000)]
+    passage = rng.choices(vocab, k=120)
+    rows = []
+    for i in range(14):
+        words_ = rng.choices(vocab, k=2500)
+        rows.append((i, " ".join([*words_[:900], *passage, *words_[900:]]), "en", "s", 0))
+        if i % 3 == 0:
+            near = list(words_)
+            near[rng.randrange(2500)] = "zz"
+            rows.append((100 + i, " ".join([*near[:900], *passage, *near[900:]]), "en", "s", 0))
+    got = {r["doc_id"]: r["component_id"] for r in collected(jaccard.linked(frame(spark, rows)))}
+    assert got == {r[0]: r[0] % 100 for r in rows}
+
+
 def test_components_of_paths_and_stars(spark: SparkSession) -> None:
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(7, 7)]
     got = {r["node"]: r["component"] for r in collected(common.components(spark.createDataFrame(edges, "a long, b long")))}
@@ -674,6 +701,8 @@ def test_url_filter(spark: SparkSession) -> None:
     assert (by[904]["host"], by[904]["path"], by[904]["rule"]) == ("example.com", "", None)
     assert by[905]["rule"] == "com/" and by[906]["rule"] is None and by[907]["rule"] == "net/es/"
     assert all((by[i]["host"], by[i]["path"], by[i]["rule"]) == ("", "", None) and by[i]["verdict"] in ("allow", "block") for i in (900, 901, 902))
+    long = collected(urls.judged(spark.createDataFrame([(None, "http://a.net/es/" + "x" * 100_000), (1, "http://b.com/" + "y" * 50_000), (None, None)], "page_id long, url string")))
+    assert {(r["page_id"], r["rule"], r["verdict"]) for r in long} == {(None, "net/es/", "block"), (1, "com/", "allow"), (None, None, "allow")}
     rest = [r for r in got if r["rule"] is None and r["page_id"] < 600]
     assert {r["verdict"] for r in rest} == {"allow", "block"}
     labelled = [r for r in got if r["rule"]]
@@ -686,6 +715,9 @@ def test_trees_generalise() -> None:
     train, test = ([(make(b), b) for b in rng.choices([True, False], k=400)] for _ in range(2))
     model = urls.Boosted([u for u, _ in train], [b for _, b in train])
     assert np.mean((model.odds([u for u, _ in test]) > 0) == [b for _, b in test]) > 0.97
+    assert urls.held_out_quality(*map(list, zip(*train, strict=True))) > 0.95
+    noise = [(f"http://{'x' * rng.randint(3, 9)}{i}.org/a", rng.random() < 0.5) for i in range(400)]  # a label that nothing tells isn't learnt from itself
+    assert 0.35 < urls.held_out_quality(*map(list, zip(*noise, strict=True))) < 0.65
     assert urls.Boosted([], []).odds(["a"])[0] < 0 and urls.Boosted(["http://a/b"], [True]).odds([None])[0] > 0
 
 
