@@ -97,6 +97,67 @@ def remote_scope(raw: Column) -> Column:
     return text.bound(text.bound(text.bound(texts, read), areas_of), settle)
 
 
+ANYWHERE = "(?:anywhere|world[- ]?wide|globally|global|any location)"
+REGION_TOKENS = sorted({r.upper() for r in vocab.REGIONS} | {"TIMEZONE"})
+SUBDIVISION = "^[A-Z]{2}-[A-Z0-9]{1,3}$"
+#: What names no place: a search for it is a search for an arrangement.
+NO_PLACES = ("", "remote", "anywhere", "any")
+
+
+def is_placeless_query(location: Column) -> Column:
+    return F.lower(F.trim(text.empty_if_null(location))).isin(*NO_PLACES)
+
+
+def legal_scope(token: Column) -> Column:
+    """Whether a policy's token is an area, a region, or one of the two words that stand for none."""
+    up = F.upper(token)
+    return up.rlike("^[A-Z]{2}(-[A-Z0-9]{1,3})?$") | up.isin(*REGION_TOKENS, "UNSTATED", "ANY")
+
+
+def stated_scope(raw: Column) -> Column:
+    """(areas, regions, raw) of a vendor's own list of places where one may live: a JSON list, or text.
+
+    Null says nothing, and so does blank text or a list of blanks; an empty list, or names that all mean anywhere,
+    is the whole world (areas []). Text is looked up whole before its commas cut it. Names that map to nothing
+    leave areas null: unknown is never unbounded. raw is the text as sent, or the list joined."""
+    codes = sorted(set(vocab.iso_names().values()))
+    none, nothing = F.lit(None).cast("array<string>"), F.lit(None).cast("string")
+
+    def result(areas: Column, regions: Column, said: Column) -> Column:
+        return F.struct(areas.cast("array<string>").alias("areas"), regions.cast("array<string>").alias("regions"), said.cast("string").alias("raw"))
+
+    def code(n: Column) -> Column:
+        up = F.upper(n)
+        return F.coalesce(vocab.iso_code(n), F.when(up.rlike(SUBDIVISION) & F.left(up, F.lit(2)).isin(*codes), up), F.when(up.isin(*codes) & ~up.isin(*vocab.AMBIGUOUS), up))
+
+    listed = F.when(F.trim(raw).startswith("["), F.from_json(raw, "array<string>"))
+    clean = lambda a: F.filter(F.transform(a, lambda n: F.trim(F.regexp_replace(n, r"(?U)\s+", " "))), lambda n: F.coalesce(n, F.lit("")) != "")
+    parts = F.when(listed.isNotNull(), listed).when(vocab.iso_code(raw).isNotNull(), F.array(raw)).otherwise(F.split(raw, ","))
+    first = F.struct(raw.alias("raw"), listed.isNotNull().alias("is_list"), F.size(parts).alias("sent"), clean(parts).alias("names"))
+
+    def read(x: Column) -> Column:
+        each = F.transform(x["names"], lambda n: F.struct(code(n).alias("code"), F.upper(n).alias("up")))
+        return F.struct(
+            x["raw"].alias("raw"), x["is_list"].alias("is_list"), x["sent"].alias("sent"), F.size(x["names"]).alias("named"), F.array_join(x["names"], ", ").alias("joined"),
+            F.forall(x["names"], lambda n: F.lower(n).rlike(f"^{ANYWHERE}$")).alias("anywhere"),
+            F.array_sort(F.array_distinct(F.transform(F.filter(each, lambda e: e["code"].isNotNull()), lambda e: e["code"]))).alias("areas"),
+            F.array_sort(F.array_distinct(F.transform(F.filter(each, lambda e: e["code"].isNull() & e["up"].isin(*REGION_TOKENS)), lambda e: e["up"]))).alias("regions"),
+        )
+
+    def settle(x: Column) -> Column:
+        empty = F.array().cast("array<string>")
+        said = F.when(x["is_list"], F.nullif(x["joined"], F.lit(""))).otherwise(x["raw"])
+        return (
+            F.when(x["raw"].isNull() | (~x["is_list"] & (F.trim(x["raw"]) == "")), result(none, none, nothing))
+            .when(x["sent"] == 0, result(empty, none, nothing))
+            .when(x["named"] == 0, result(none, none, F.when(~x["is_list"], x["raw"])))
+            .when(x["anywhere"], result(empty, none, said))
+            .otherwise(result(F.when(F.size(x["areas"]) > 0, x["areas"]), F.when(F.size(x["regions"]) > 0, x["regions"]), said))
+        )
+
+    return text.bound(text.bound(first, read), settle)
+
+
 def excluded(title: Column, location: Column, tokens: tuple[str, ...] = vocab.EXCLUDED_PLACES) -> Column:
     """Whether title or location names an excluded place and the location doesn't name the US."""
     if not tokens:

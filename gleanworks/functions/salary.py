@@ -34,6 +34,7 @@ def range_text(lo: Column, hi: Column) -> Column:
 
 def parsed(text: Column) -> Column:
     """``$120K–$150K a year`` and the like: figures with K or M, and a period that is said."""
+    # How a figure, a range and a period are written.
     number_of = r"(?:[^\d\s]{0,3}\s?)?([\d,]+(?:\.\d+)?)\s*([KkMm])?"
     pattern = rf"(?i){number_of}\s*(?:[-–—]|to)?\s*(?:{number_of})?\s*(?:an?|per)\s+(hour|hr|week|wk|month|mo|year|yr|day)"
     part = lambda i: F.regexp_extract(F.coalesce(text, F.lit("")), pattern, i)

@@ -53,6 +53,11 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(empty_if_null(c)), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+def padded(low: Column) -> Column:
+    """The a-z, 0-9 tokens of lower-cased text, a blank on either side of each: membership is a plain search."""
+    return F.regexp_replace(F.concat(F.lit(" "), low, F.lit(" ")), "[^a-z0-9]+", " ")
+
+
 def java_quote(s: str) -> str:
     return re.sub(r"([^A-Za-z0-9 ])", r"\\\1", s)
 

@@ -29,6 +29,7 @@ OPENINGS = {
     "rippling": [r"ats\.rippling\.com/[^/?#]+/jobs/([0-9a-z-]{6,})"],
     "teamtailor": [r"teamtailor\.com/jobs/(\d+)"],
 }
+# Path parts that are no slug, and where a Workday board and a requisition stand.
 NO_SLUGS = ("embed", "job_app", "j", "jobs", "robots", "robots.txt", "favicon.ico", "sitemap.xml", "api", "static", "assets", "index.html", "en-us", "www")
 WORKDAY = r"(?i)^https?://([a-z0-9-]+)\.(wd\d+)\.myworkdayjobs\.com/(?:[A-Za-z]{2}-[A-Za-z]{2}/)?([A-Za-z0-9_-]+)"
 REQUISITION = r"(?i)myworkdayjobs\.com/.*_([a-z]{0,4}\d{3,}(?:-\d+)?)(?:[/?#]|$)"

@@ -5,6 +5,8 @@ Everything here is a fixed value: results must agree on it, so it is stated plai
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,8 +119,59 @@ def us_state_code(raw: Column) -> Column:
     return F.coalesce(F.when(F.upper(s).isin(*STATE_CODES), F.upper(s)), lookup(STATES, F.lower(s)))
 
 
-def iso_names(spark: SparkSession) -> dict[str, str]:
-    """English country names to alpha-2 codes, from the JVM's locale data, with the aliases above."""
-    locale = spark._jvm.java.util.Locale
-    english = locale.ENGLISH
-    return {locale("", c).getDisplayCountry(english).lower(): c for c in locale.getISOCountries()} | COUNTRIES
+# ISO short names, and forms that people use, which the locale data spells another way.
+ISO_FORMS = {
+    "antigua and barbuda": "AG", "bolivia, plurinational state of": "BO", "bonaire, sint eustatius and saba": "BQ",
+    "bosnia and herzegovina": "BA", "brunei darussalam": "BN", "brunei": "BN", "cabo verde": "CV", "cape verde": "CV",
+    "cocos (keeling) islands": "CC", "congo": "CG", "republic of the congo": "CG", "congo, the democratic republic of the": "CD",
+    "congo, democratic republic of the": "CD", "the democratic republic of the congo": "CD", "democratic republic of the congo": "CD",
+    "côte d'ivoire": "CI", "cote d'ivoire": "CI", "ivory coast": "CI", "curaçao": "CW", "curacao": "CW", "czechia": "CZ",
+    "east timor": "TL", "timor-leste": "TL", "eswatini": "SZ", "swaziland": "SZ", "falkland islands (malvinas)": "FK",
+    "heard island and mcdonald islands": "HM", "holy see (vatican city state)": "VA", "holy see": "VA", "vatican city": "VA",
+    "hong kong": "HK", "iran, islamic republic of": "IR", "islamic republic of iran": "IR", "korea, democratic people's republic of": "KP",
+    "democratic people's republic of korea": "KP", "korea, republic of": "KR", "republic of korea": "KR", "kosovo": "XK",
+    "lao people's democratic republic": "LA", "macao": "MO", "macau": "MO", "micronesia, federated states of": "FM",
+    "federated states of micronesia": "FM", "moldova, republic of": "MD", "republic of moldova": "MD", "myanmar": "MM", "burma": "MM",
+    "north macedonia": "MK", "palestine, state of": "PS", "the state of palestine": "PS", "palestine": "PS", "pitcairn": "PN",
+    "people's republic of china": "CN", "reunion": "RE", "réunion": "RE", "russian federation": "RU", "russia": "RU",
+    "saint barthélemy": "BL", "saint helena, ascension and tristan da cunha": "SH", "saint kitts and nevis": "KN", "saint lucia": "LC",
+    "saint martin (french part)": "MF", "saint pierre and miquelon": "PM", "saint vincent and the grenadines": "VC",
+    "sao tome and principe": "ST", "scotland": "GB", "wales": "GB", "northern ireland": "GB",
+    "united kingdom of great britain and northern ireland": "GB", "sint maarten (dutch part)": "SX",
+    "south georgia and the south sandwich islands": "GS", "svalbard and jan mayen": "SJ", "swiss confederation": "CH",
+    "syrian arab republic": "SY", "taiwan, province of china": "TW", "tanzania, united republic of": "TZ",
+    "united republic of tanzania": "TZ", "trinidad and tobago": "TT", "turks and caicos islands": "TC", "turkey": "TR", "türkiye": "TR",
+    "u.s.a.": "US", "united mexican states": "MX", "venezuela, bolivarian republic of": "VE", "bolivarian republic of venezuela": "VE",
+    "viet nam": "VN", "virgin islands, british": "VG", "british virgin islands": "VG", "virgin islands, u.s.": "VI",
+    "virgin islands of the united states": "VI", "wallis and futuna": "WF", "french republic": "FR", "hellenic republic": "GR",
+    "argentine republic": "AR", "portuguese republic": "PT", "italian republic": "IT", "slovak republic": "SK", "gabonese republic": "GA",
+    "togolese republic": "TG", "arab republic of egypt": "EG", "kyrgyz republic": "KG", "hashemite kingdom of jordan": "JO",
+    "grand duchy of luxembourg": "LU", "principality of monaco": "MC", "principality of andorra": "AD", "principality of liechtenstein": "LI",
+}
+#: What stands before a country's name in its official form.
+OFFICIAL = r"^(?:the )?(?:(?:federal |federative |democratic |islamic |oriental |plurinational |independent |people's )*(?:republic|kingdom|state|commonwealth|sultanate|union|federation) of (?:the )?)"
+#: Codes that are also states of the US: alone they say neither.
+AMBIGUOUS = ("AR", "CA", "CO", "DE", "ID", "IL", "IN")
+
+
+def iso_names(spark: SparkSession | None = None) -> dict[str, str]:
+    """English country names, lower case, to alpha-2 codes: the JVM's locale data, and the forms above."""
+    return _iso_names(spark or SparkSession.getActiveSession())
+
+
+@lru_cache(maxsize=1)
+def _iso_names(spark: SparkSession) -> dict[str, str]:
+    jvm = spark._jvm
+    found = {}
+    for code in jvm.java.util.Locale.getISOCountries():
+        name = jvm.java.util.Locale("", code).getDisplayCountry(jvm.java.util.Locale.ENGLISH).lower().replace("’", "'")
+        for form in (name, name.replace(" & ", " and "), name.replace("st. ", "saint "), name.replace("st. ", "saint ").replace(" & ", " and "), name.split(" (")[0], name.removesuffix(" sar china")):
+            found[form] = code
+    return found | COUNTRIES | ISO_FORMS
+
+
+def iso_code(name: Column) -> Column:
+    """The code of a country's name as a vendor's field has it, official forms too; null rather than a guess."""
+    table = iso_names()
+    low = F.trim(F.regexp_replace(F.lower(name), r"(?U)\s+", " "))
+    return F.coalesce(lookup(table, low), lookup(table, F.regexp_replace(low, OFFICIAL, "")))

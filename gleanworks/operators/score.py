@@ -13,15 +13,16 @@ from gleanworks.functions import arrangement, dates, places, text
 from gleanworks.plans.config import Config
 
 
-def _present(keyword: str, low: Column, toks: Column) -> Column:
-    """A lone token by membership; a phrase by pattern, if its first token is there."""
-    if re.fullmatch("[a-z0-9]+", keyword):
-        return F.array_contains(toks, keyword)
-    return text.whole_word(keyword, low)
+def _present(keyword: str, low: Column, padded: Column) -> Column:
+    """A lone token is a plain substring of the padded tokens; a phrase has to pass that before its pattern runs."""
+    tokens = " ".join(re.findall("[a-z0-9]+", keyword))
+    if tokens == keyword:
+        return padded.contains(f" {tokens} ") if " " not in keyword else padded.contains(f" {tokens} ") & text.whole_word(keyword, low)
+    return (padded.contains(f" {tokens} ") & text.whole_word(keyword, low)) if tokens else text.whole_word(keyword, low)
 
 
-def weight_sum(weights: dict[str, int], low: Column, toks: Column) -> Column:
-    return reduce(add, (F.when(_present(k, low, toks), w).otherwise(0) for k, w in weights.items()), F.lit(0))
+def weight_sum(weights: dict[str, int], low: Column, padded: Column) -> Column:
+    return reduce(add, (F.when(_present(k, low, padded), w).otherwise(0) for k, w in weights.items()), F.lit(0))
 
 
 def relevant(title: Column, cfg: Config) -> Column:
@@ -30,20 +31,28 @@ def relevant(title: Column, cfg: Config) -> Column:
 
 
 def with_score(df: DataFrame, cfg: Config) -> DataFrame:
-    """Adds score and signals to rows with title, location, text, company."""
-    blob = F.lower(F.concat_ws(" ", *(text.empty_if_null(F.col(c)) for c in ("title", "location", "text"))))
-    df = df.withColumns({"_blob": blob, "_title": F.lower(text.empty_if_null(F.col("title"))), "_agency": F.lower(F.concat_ws(" ", text.empty_if_null(F.col("company")), text.empty_if_null(F.col("text"))))})
-    df = df.withColumn("_all", F.regexp_extract_all("_blob", F.lit("[a-z0-9]+"), F.lit(0)))
-    df = df.withColumns({"_dl": F.size("_all"), "_toks": F.array_distinct("_all"), "_ttoks": F.regexp_extract_all("_title", F.lit("[a-z0-9]+"), F.lit(0)), "_atoks": F.array_distinct(F.regexp_extract_all("_agency", F.lit("[a-z0-9]+"), F.lit(0)))})
-    hits = F.filter(F.array(*(F.when(_present(k, F.col("_blob"), F.col("_toks")), F.struct(F.lit(w).alias("w"), F.lit(k).alias("k"))) for k, w in cfg.fit_weights.items())), lambda x: x.isNotNull())
-    df = df.withColumn("_hits", hits)
+    """Adds score and signals to rows with title, location, text, company.
+
+    A body is tokenised once, into one string that serves blob and agency sums. Score and signals come out of a
+    generator: a filter on them stays above it, so Catalyst can't put the whole computation in their place again."""
+    c = lambda n: text.empty_if_null(F.col(n))
+    names = [n for n in df.columns if n not in ("score", "signals")]
+    rows = df.select(*names).withColumns({
+        "_text": F.lower(c("text")), "_head": F.lower(F.concat_ws(" ", c("title"), c("location"))), "_title": F.lower(c("title")), "_company": F.lower(c("company")),
+    })
+    rows = rows.withColumns({f"_p{n}": text.padded(F.col(n)) for n in ("_text", "_head", "_title", "_company")})
+    joined = lambda a: F.concat(F.col(a), F.substr("_p_text", F.lit(2)))  # noqa: E731  one blank between the two
+    rows = rows.withColumns({"_pblob": joined("_p_head"), "_pagency": joined("_p_company"), "_blob": F.concat_ws(" ", "_head", "_text"), "_agency": F.concat_ws(" ", "_company", "_text")})
+    hits = F.filter(F.array(*(F.when(_present(k, F.col("_blob"), F.col("_pblob")), F.struct(F.lit(w).alias("w"), F.lit(k).alias("k"))) for k, w in cfg.fit_weights.items())), lambda x: x.isNotNull())
+    rows = rows.withColumns({"_hits": hits, "_dl": F.length("_pblob") - F.length(F.replace("_pblob", F.lit(" "), F.lit(""))) - 1})
     raw = F.aggregate("_hits", F.lit(0), lambda a, x: a + x["w"])
     norm = F.lit(1 - cfg.score_len_b) + F.lit(cfg.score_len_b) * (F.col("_dl") / F.lit(float(cfg.avg_jd_tokens)))
     body = F.least(F.when(norm > 0, raw * F.lit(cfg.score_k1 + 1) / (F.lit(1.0) + F.lit(cfg.score_k1) * norm)).otherwise(raw.cast("double")), F.lit(float(cfg.blob_score_cap)))
-    body = body + F.least(weight_sum(cfg.fit_weights, F.col("_title"), F.col("_ttoks")), F.lit(cfg.title_score_cap))
-    body = body - weight_sum(cfg.title_penalty, F.col("_title"), F.col("_ttoks")) - F.least(weight_sum(cfg.agency_penalty, F.col("_agency"), F.col("_atoks")), F.lit(cfg.agency_penalty_cap))
+    body = body + F.least(weight_sum(cfg.fit_weights, F.col("_title"), F.col("_p_title")), F.lit(cfg.title_score_cap))
+    body = body - weight_sum(cfg.title_penalty, F.col("_title"), F.col("_p_title")) - F.least(weight_sum(cfg.agency_penalty, F.col("_agency"), F.col("_pagency")), F.lit(cfg.agency_penalty_cap))
     top = F.slice(F.sort_array("_hits", asc=False), 1, 7)
-    return df.withColumns({"score": F.bround(body).cast("int"), "signals": F.array_join(F.transform(top, lambda x: x["k"]), ", ")}).drop("_blob", "_title", "_agency", "_all", "_dl", "_toks", "_ttoks", "_atoks", "_hits")
+    scored = F.struct(F.bround(body).cast("int").alias("score"), F.array_join(F.transform(top, lambda x: x["k"]), ", ").alias("signals"))
+    return rows.select(*names, F.inline(F.array(scored)))
 
 
 def adjusted(df: DataFrame, cfg: Config, as_of: Column) -> DataFrame:
