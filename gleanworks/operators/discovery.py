@@ -5,6 +5,9 @@ What needs the network takes a function for it; everything else is a plan over r
 
 from __future__ import annotations
 
+import json
+import os
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -104,6 +107,98 @@ def seeded(mined_boards: DataFrame, watchlist: DataFrame, limit: int) -> DataFra
     return mined_boards.join(watchlist.select("entry_key"), "entry_key", "left_anti").orderBy(F.lower("slug"), "entry_key").limit(limit)
 
 
+Ask = Callable[[str, str], tuple[int | None, int, str | None]]
+
+
+def discovered(boards: DataFrame, known: DataFrame, ask: Ask, services: tuple[str, ...]) -> DataFrame:
+    """Boards that nobody knows yet and that are alive, those with most roles first."""
+    fresh = boards.join(known.select("entry_key").distinct(), "entry_key", "left_anti")
+    return probed(fresh, ask, services).where("outcome = 'ok'").orderBy(F.desc("roles"), "entry_key")
+
+
+def guesses(names: DataFrame, services: tuple[str, ...], known: DataFrame) -> DataFrame:
+    """(at, ats, slug, name): slugs that a company (seq, name) may have at each service, each guess once, known boards not.
+
+    A bare first word is tried only where the service tells who owns a board."""
+    each = names.select(F.col("seq").alias("n"), "name", F.posexplode(F.array(*map(F.lit, services))).alias("a", "ats"))
+    bold = F.col("ats").isin(*OWNER_TOLD)
+    tried = each.select("n", "a", "ats", "name", F.posexplode(F.when(bold, text.name_variants(F.col("name"), aggressive=True)).otherwise(text.name_variants(F.col("name")))).alias("v", "slug"))
+    first = tried.groupBy("ats", "slug").agg(F.min(F.struct("n", "a", "v", "name")).alias("x"))
+    fresh = first.withColumn("entry_key", F.concat_ws("/", "ats", "slug")).join(known.select("entry_key").distinct(), "entry_key", "left_anti")
+    return fresh.select((F.col("x.n").cast("long") * 10_000 + F.col("x.a") * 100 + F.col("x.v")).alias("at"), "ats", "slug", "x.name", "entry_key")
+
+
+def from_names(names: DataFrame, services: tuple[str, ...], known: DataFrame, ask: Ask) -> DataFrame:
+    """Boards guessed from names that are alive and, where the service tells, the company's own; most roles first."""
+    rows = guesses(names, services, known)
+    return probed(rows, ask, services).where("outcome = 'ok'").orderBy(F.desc("roles"), "at").drop("at")
+
+
+def seeded_alive(mined_boards: DataFrame, watchlist: DataFrame, limit: int, ask: Ask, services: tuple[str, ...]) -> DataFrame:
+    """As seeded, with a probe: slices in the slug's order are asked until limit boards have answered."""
+    spark = mined_boards.sparkSession
+    ordered = mined_boards.join(watchlist.select("entry_key"), "entry_key", "left_anti").orderBy(F.lower("slug"), "entry_key")
+    step, at, found = max(limit, 50), 0, []
+    while len(found) < limit:
+        part = ordered.offset(at).limit(step)
+        rows = probed(part, ask, services).orderBy(F.lower("slug"), "entry_key").collect()  # at most `step` rows
+        if not rows:
+            break
+        found += [r.asDict() for r in rows if r["outcome"] == "ok"]
+        at += step
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in mined_boards.schema) + ", status int, roles int, owner string, outcome string"
+    return spark.createDataFrame(found[:limit], schema)
+
+
+def watch_entries(boards: DataFrame, industry: str, name: str = "slug") -> DataFrame:
+    """Boards as entries of a watchlist."""
+    have = set(boards.columns)
+    c = lambda n: F.col(n) if n in have else F.lit(None).cast("string")
+    return boards.select(F.col(name).alias("name"), "ats", "slug", c("host").alias("host"), c("site").alias("site"), F.lit(industry).alias("industry"), "entry_key")
+
+
+def append_watchlist(entries: DataFrame, path: str) -> list[dict]:
+    """Add entries to a watchlist file, each board once; a shipped example is never touched. What was added.
+
+    A watchlist is one person's file, and what a run adds is bounded by the funnel's own limits."""
+    if path.endswith(".example.json"):
+        return []
+    with open(path, encoding="utf-8") as f:
+        doc = json.load(f)
+
+    def key(e: dict) -> str:
+        parts = [e.get("ats") or "", (e.get("slug") or "").lower()]
+        return "/".join(parts + ([(e.get("host") or "").lower(), (e.get("site") or "").lower()] if e.get("ats") == "workday" else []))
+
+    have, added = {key(e) for e in doc.get("companies", [])}, []
+    for row in entries.collect():
+        entry = {k: v for k, v in row.asDict().items() if v is not None and k in ("name", "ats", "slug", "host", "site", "industry")}
+        if key(entry) not in have:
+            have.add(key(entry))
+            added.append(entry)
+    if added:
+        doc.setdefault("companies", []).extend(added)
+        part = f"{path}.{uuid.uuid4().hex}.part"
+        with open(part, "w", encoding="utf-8") as f:
+            f.write(json.dumps(doc, indent=2) + "\n")
+        os.replace(part, path)
+    return added
+
+
+def valid_slug(c: Column) -> Column:
+    """Whether a slug, host or site can't lead a request elsewhere."""
+    return F.coalesce(c.rlike(r"^[A-Za-z0-9._-]+$"), F.lit(False))
+
+
+def rejected(companies: DataFrame, services: tuple[str, ...]) -> DataFrame:
+    """Adds error: why a company of the watchlist can't be asked, or null."""
+    name = F.coalesce(F.col("name"), F.col("slug"), F.lit("?"))
+    unset = F.when(F.col("ats") == "workday", F.when(~valid_slug(F.col("host")), "host").when(~valid_slug(F.col("site")), "site"))
+    error = F.when(~F.coalesce(F.col("ats").isin(*services), F.lit(False)), F.concat(name, F.lit(": source '"), F.coalesce("ats", F.lit("")), F.lit("' not enabled")))
+    error = error.when(~valid_slug(F.col("slug")), F.concat(name, F.lit(": invalid slug"))).when(unset.isNotNull(), F.concat(name, F.lit(" (workday): missing/invalid "), unset))
+    return companies.withColumn("error", error)
+
+
 # ---- statistics of sources
 
 def junk_parameter(control_status: Column, control_rows: Column, status: Column, rows: Column) -> Column:

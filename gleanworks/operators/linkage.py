@@ -87,44 +87,58 @@ def _matches(p: dict, q: dict, threshold: float, floor: float) -> bool:
     a, b = set(p["_quals"]) - set(q["_words"]), set(q["_quals"]) - set(p["_words"])
     if a != b:
         return False
-    if not p["_nt"] or not q["_nt"] or token_set_ratio(p["_nt"], q["_nt"]) < threshold:
+    if not p["_nt"] or not q["_nt"]:
         return False
-    return token_sort_ratio(p["_core"], q["_core"]) >= floor
+    short, long = sorted((len(p["_core"]), len(q["_core"])))
+    if long and 200 * short < floor * (short + long) - 200:  # lengths alone rule the ratio out (sorting keeps blanks but for doubles)
+        return False
+    return token_sort_ratio(p["_core"], q["_core"]) >= floor and token_set_ratio(p["_nt"], q["_nt"]) >= threshold
+
+
+def join_one(kept: list[dict], p: dict, threshold: float, floor: float) -> list[dict]:
+    """The survivors after one more row: it joins the one with its key, else the first that it matches, else is one.
+
+    The survivor that changed carries the mark ``_hit``. Of the two the better row stays, under the older key."""
+    at = next((i for i, q in enumerate(kept) if q["dedup_key"] == p["dedup_key"]), None)
+    if at is None and p["_blk"]:
+        at = next((i for i, q in enumerate(kept) if _matches(p, q, threshold, floor)), None)
+    if at is None:
+        kept.append({**p, "_hit": True})
+        return kept
+    q = kept[at]
+    wins = (p["_pref"], p["_len"], p["score"]) > (q["_pref"], q["_len"], q["score"])
+    kept[at] = {**(p if wins else q), "dedup_key": q["dedup_key"], "sources": sorted({*p["sources"], *q["sources"]}), "_hit": True}
+    return kept
 
 
 def fold_block(rows: list[dict], threshold: float = 90, floor: float = 82) -> list[dict]:
     """Survivors of one block, in arrival order; a row joins the first earlier survivor that it matches."""
     kept: list[dict] = []
     for p in rows:
-        for i, q in enumerate(kept):
-            if _matches(p, q, threshold, floor):
-                sources = sorted({*p["sources"], *q["sources"]})
-                wins = (p["_pref"], p["_len"], p["score"]) > (q["_pref"], q["_len"], q["score"])
-                kept[i] = {**(p if wins else q), "dedup_key": q["dedup_key"], "sources": sources}
-                break
-        else:
-            kept.append(p)
-    return kept
+        kept = join_one(kept, p, threshold, floor)
+    return [{k: v for k, v in q.items() if k != "_hit"} for q in kept]
 
 
 def linked(df: DataFrame, threshold: float = 90, floor: float = 82, seq: str = "seq") -> DataFrame:
     """Exact fold, then the fuzzy fold of the blocks that hold several keys.
 
-    Only slim rows (keys, titles, marks) go through Python; the survivors' other columns are joined back."""
+    Only slim rows (keys, titles, marks) go through Python; the survivors' other columns are joined back. Titles
+    of different levels never match, so a block is folded level by level, each in a task of its own."""
     exact = exact_fold(with_keys(df), seq)
     slim = ["dedup_key", "_blk", "_nt", "_core", "_levels", "_quals", "_words", "_ats", "_slug", "_ref", "_pref", "_len", "score", "sources", "_first", "_own"]
     rows = exact.withColumn("_own", F.col("dedup_key"))
-    several = rows.where("_blk <> ''").groupBy("_blk").agg(F.count("*").alias("_n")).where("_n > 1").select("_blk")
-    many = rows.join(several, "_blk", "left_semi")
-    alone = rows.join(several, "_blk", "left_anti")
+    rows = rows.withColumn("_part", F.array_join("_levels", ","))
+    several = rows.where("_blk <> ''").groupBy("_blk", "_part").agg(F.count("*").alias("_n")).where("_n > 1").select("_blk", "_part")
+    many = rows.join(several, ["_blk", "_part"], "left_semi")
+    alone = rows.join(several, ["_blk", "_part"], "left_anti")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         kept = fold_block(pdf.sort_values("_first").to_dict("records"), threshold, floor)
         return pd.DataFrame([{"dedup_key": r["dedup_key"], "_own": r["_own"], "sources": r["sources"]} for r in kept])
 
-    folded = many.select(*slim).groupBy("_blk").applyInPandas(fold, "dedup_key string, _own string, sources array<string>")
+    folded = many.select(*slim, "_part").groupBy("_blk", "_part").applyInPandas(fold, "dedup_key string, _own string, sources array<string>")
     fuzzy = many.drop("dedup_key", "sources").join(folded, "_own")
-    return fuzzy.unionByName(alone).drop("_own", "_blk", "_nt", "_core", "_levels", "_quals", "_words", "_ats", "_slug", "_ref", "_pref", "_len", "_first")
+    return fuzzy.unionByName(alone).drop("_own", "_blk", "_part", "_nt", "_core", "_levels", "_quals", "_words", "_ats", "_slug", "_ref", "_pref", "_len", "_first")
 
 
 def ratios(pairs: DataFrame, a: str, b: str) -> DataFrame:

@@ -61,6 +61,16 @@ def mark_status(store: DataFrame, row_id: str, status: str) -> DataFrame:
     return store.withColumn("status", F.when(F.col("id") == row_id, status).otherwise(F.col("status")))
 
 
+def has_id(store: DataFrame, row_id: str) -> bool:
+    """Whether a status could be set: an id that no row has is a slip of the pen."""
+    return not store.where(F.col("id") == row_id).limit(1).isEmpty()
+
+
+def by_score(rows: DataFrame) -> DataFrame:
+    """All rows, hidden ones too, by score down."""
+    return rows.orderBy(tolerant_int(F.col("score")).desc(), "dedup_key")
+
+
 def surface(rows: DataFrame, cfg: Config, only_new: bool = False, limit: int | None = None) -> DataFrame:
     """Visible rows with enough score and no excess of age; by the reviewer's score, else the score, down."""
     score, age = tolerant_int(F.col("score")), F.coalesce(F.col("age_days").cast("string"), F.lit(""))
@@ -74,8 +84,7 @@ def surface(rows: DataFrame, cfg: Config, only_new: bool = False, limit: int | N
 
 def guarded_csv(rows: DataFrame) -> DataFrame:
     """Every cell as text that no spreadsheet runs, sorted by score."""
-    ordered = rows.orderBy(tolerant_int(F.col("score")).desc(), "dedup_key")
-    return ordered.select(*(text.guarded(F.col(c)).alias(c) for c in COLUMNS))
+    return by_score(rows).select(*(text.guarded(F.col(c)).alias(c) for c in COLUMNS))
 
 
 def with_meta(df: DataFrame, watchlist: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanworks.operators import coerce, linkage, score, store
@@ -10,10 +10,20 @@ from gleanworks.plans.config import Config
 from gleanworks.sources import payloads
 
 
-def harvest(landed: dict[str, DataFrame], cfg: Config, watchlist: DataFrame, as_of: str, harvested_at: str) -> DataFrame:
-    """Project, coerce, gate (titles before bodies), score, link. landed: payloads by source."""
+def listed(df: DataFrame, name: str, cfg: Config, day: Column, details: DataFrame | None) -> DataFrame:
+    """One source's rows; where details have landed, the title gate comes first, as a fetch of details would have it."""
+    rows = payloads.postings(df, name, **({"as_of": day} if name in ("workday", "google_jobs") else {}))
+    if name not in payloads.DETAILS:
+        return rows
+    if details is not None:
+        rows = payloads.with_details(rows.where(score.relevant(F.col("title"), cfg)), payloads.details(details, name))
+    return rows.drop("detail_key")
+
+
+def harvest(landed: dict[str, DataFrame], cfg: Config, watchlist: DataFrame, as_of: str, harvested_at: str, details: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Project, coerce, gate (titles before bodies), score, link. landed: payloads by source; details likewise."""
     day = F.lit(as_of).cast("date")
-    rows = store.union_all([payloads.postings(df, name, **({"as_of": day} if name in ("workday", "google_jobs") else {})) for name, df in landed.items()])
+    rows = store.union_all([listed(df, name, cfg, day, (details or {}).get(name)) for name, df in landed.items()])
     rows = coerce.coerced(rows, harvested_at).where(score.relevant(F.col("title"), cfg))
     rows = score.gated(coerce.with_arrangement(rows), cfg, day)
     rows = store.with_meta(rows, watchlist)

@@ -1,38 +1,146 @@
-"""Landing payloads over HTTP: a Python data source whose partitions are pages (nothing here runs in tests' paths).
+"""Landing payloads over HTTP: Python data sources whose partitions are pages, or boards that are walked.
 
-``template`` has ``{page}``; ``pages`` bounds the walk, and a partition that fails yields an error row.
+``pages`` reads numbered pages of a ``{page}`` template, each a partition. ``walk`` reads one board per partition,
+page by page, until a rule ends it. A page that fails yields a row without a payload, never an exception.
 """
 
 from __future__ import annotations
 
+import http.client
 import json
+import threading
 import urllib.error
+import urllib.parse
 import urllib.request
-from collections.abc import Iterator
+from collections import OrderedDict
+from collections.abc import Callable, Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+#: Connections that a thread keeps open, redirects that a request follows, and seconds that it may take.
+KEPT, REDIRECTS, TIMEOUT = 8, 5, 20.0
+
+
+class Refused(Exception):
+    """An answer of 400 or more."""
+
+    def __init__(self, status: int) -> None:
+        super().__init__(f"HTTP {status}")
+        self.status = status
+
+
+class Pool(threading.local):
+    """Open connections of one thread by host; the least used goes first."""
+
+    def __init__(self) -> None:
+        self.open: OrderedDict[tuple[str, str], http.client.HTTPConnection] = OrderedDict()
+
+    def take(self, scheme: str, host: str) -> tuple[http.client.HTTPConnection, bool]:
+        """A connection, and whether it has been used before."""
+        key = (scheme, host)
+        if key in self.open:
+            self.open.move_to_end(key)
+            return self.open[key], True
+        kind = http.client.HTTPSConnection if scheme == "https" else http.client.HTTPConnection
+        self.open[key] = kind(host, timeout=TIMEOUT)
+        while len(self.open) > KEPT:
+            self.open.popitem(last=False)[1].close()
+        return self.open[key], False
+
+    def drop(self, scheme: str, host: str) -> None:
+        if (c := self.open.pop((scheme, host), None)) is not None:
+            c.close()
+
+
+POOL = Pool()
+
+
+def request(url: str, body: bytes | None = None) -> bytes:
+    """The answer's bytes; a stale connection is tried once more on a new one. Raises Refused, or OSError."""
+    for _ in range(REDIRECTS + 1):
+        parts = urllib.parse.urlsplit(url)
+        if parts.scheme == "file":
+            with urllib.request.urlopen(url) as r:
+                return r.read()
+        if parts.scheme not in ("http", "https"):
+            raise OSError(f"no transport for {parts.scheme}")
+        path = urllib.parse.urlunsplit(("", "", parts.path or "/", parts.query, ""))
+        headers = {"Connection": "keep-alive"} | ({"Content-Type": "application/json"} if body else {})
+        for attempt in range(2):
+            connection, used = POOL.take(parts.scheme, parts.netloc)
+            try:
+                connection.request("POST" if body else "GET", path, body, headers)
+                answer = connection.getresponse()
+                data = answer.read()
+                break
+            except (http.client.HTTPException, OSError) as e:
+                POOL.drop(parts.scheme, parts.netloc)
+                if attempt or not used:
+                    raise OSError(type(e).__name__) from None
+        if answer.status in (301, 302, 303, 307, 308) and (to := answer.getheader("Location")):
+            url = urllib.parse.urljoin(url, to)
+            continue
+        if answer.status >= 400:
+            raise Refused(answer.status)
+        return data
+    raise OSError("too many redirects")
+
+
+def fetch(url: str, body: bytes | None = None) -> tuple[int | None, str | None]:
+    """Status and text; a refused request is its status, an unreachable host no status."""
+    try:
+        return 200, request(url, body).decode("utf-8", "replace")
+    except Refused as e:
+        return e.status, None
+    except urllib.error.URLError:
+        return None, None
+    except OSError:
+        return None, None
+
+
+def parsed(text: str | None) -> object:
+    try:
+        return json.loads(text) if text else None
+    except ValueError:
+        return None
+
+
+def host_of(url: str) -> str:
+    return urllib.parse.urlsplit(url).netloc.lower()
+
+
+def walk(ask: Callable[[str], tuple[int | None, str | None]], template: str, rule: str, most: int, size: int, items: str, total: str = "") -> Iterator[tuple[int, str | None, int | None]]:
+    """(page, payload, status) of one board's walk.
+
+    rule ``short`` steps {offset} by size and ends with a page that has fewer items, or at the total that the first
+    page told; rule ``next`` follows the payload's next link as long as it stays on the host. A failed page ends it."""
+    url, told = template.format(page=1, offset=0), None
+    for n in range(most):
+        status, text = ask(url)
+        data = parsed(text)
+        yield n, (json.dumps(data) if data is not None else None), status if data is not None else (status if status != 200 else None)
+        if data is None:
+            return
+        if rule == "next":
+            following = data.get("next") if isinstance(data, dict) else None
+            if not following or host_of(following) != host_of(url):
+                return
+            url = following
+            continue
+        rows = data.get(items) if isinstance(data, dict) and items else data
+        if told is None and isinstance(data, dict) and isinstance(data.get(total), int):
+            told = data[total]
+        if not isinstance(rows, list) or len(rows) < size or (told is not None and (n + 1) * size >= told):
+            return
+        url = template.format(page=n + 2, offset=(n + 1) * size)
+
 
 class Page(InputPartition):
     def __init__(self, number: int) -> None:
         self.number = number
 
 
-def fetch(url: str, timeout: float = 20.0) -> tuple[int | None, str | None]:
-    """Status and body; a refused request is its status, an unreachable host no status."""
-    for attempt in range(2):  # a stale connection is tried once more
-        try:
-            with urllib.request.urlopen(url, timeout=timeout) as r:
-                return r.status, r.read().decode("utf-8", "replace")
-        except urllib.error.HTTPError as e:
-            return e.code, None
-        except OSError:
-            if attempt:
-                return None, None
-    return None, None
-
-
 class PagesReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.options = options
@@ -43,11 +151,8 @@ class PagesReader(DataSourceReader):
 
     def read(self, part: Page) -> Iterator[tuple]:
         status, body = fetch(self.options["template"].format(page=part.number))
-        try:
-            raw = json.dumps(json.loads(body)) if body else None
-        except ValueError:
-            raw, status = None, None
-        yield part.number, raw, status, self.options.get("slug"), self.options.get("company")
+        data = parsed(body)
+        yield part.number, json.dumps(data) if data is not None else None, status if data is not None or status != 200 else None, self.options.get("slug"), self.options.get("company")
 
 
 class PagesSource(DataSource):
@@ -62,3 +167,36 @@ class PagesSource(DataSource):
 
     def reader(self, schema: StructType) -> PagesReader:
         return PagesReader(self.options)
+
+
+class Board(InputPartition):
+    def __init__(self, at: int, slug: str) -> None:
+        self.at, self.slug = at, slug
+
+
+class WalkReader(DataSourceReader):
+    def __init__(self, options: dict) -> None:
+        self.options = options
+
+    def partitions(self) -> list[Board]:
+        return [Board(i, s) for i, s in enumerate(self.options["slugs"].split(","))]
+
+    def read(self, part: Board) -> Iterator[tuple]:
+        o = self.options
+        template = o["template"].replace("{slug}", part.slug)
+        for n, raw, status in walk(fetch, template, o.get("rule", "short"), int(o.get("most", 10)), int(o.get("size", 100)), o.get("items", ""), o.get("total", "")):
+            yield part.at * 10**6 + n, raw, status, part.slug
+
+
+class WalkSource(DataSource):
+    """spark.read.format("walk").options(template="https://host/{slug}?offset={offset}", slugs="a,b", size=100, items="content", total="totalFound").load()"""
+
+    @classmethod
+    def name(cls) -> str:
+        return "walk"
+
+    def schema(self) -> str:
+        return "seq long, raw string, status int, slug string"
+
+    def reader(self, schema: StructType) -> WalkReader:
+        return WalkReader(self.options)

@@ -76,6 +76,7 @@ def with_remote(place: Column) -> Column:
 
 def money(body: Column) -> Column:
     """The first ``$`` range of a text that a k, a comma or a unit anchors as pay."""
+    # How a range of pay is written, and what follows one that is no pay.
     found = F.regexp_extract(body, r"(\$\s?\d[\d,.]*[kK]?\s?(?:-|–|—|to)\s?\$?\s?\d[\d,.]*[kK]?)(?!\s?(?:[MmBb]\b|[mb]illion))", 1)
     unit = body.rlike(r"\$\s?\d[\d,.]*[kK]?\s?(?:-|–|—|to)\s?\$?\s?\d[\d,.]*[kK]?\s?(?:/|per|an?)\s?(?:hr|hour|year|yr|month|week|day)")
     return F.when(found.rlike("[kK,]") | unit, found).otherwise("")
@@ -123,16 +124,67 @@ def workable() -> dict[str, Column]:
     return {"title": first_of(item("title"), item("full_title")), "location": F.when(far, with_remote(place)).otherwise(F.coalesce(place, F.lit(""))), "url": link, **posted(item("created_at"), item("published_on")), "department": item("department"), "team": said(item("department")), "city": city, "state": state, "country": country, "locations": F.when(F.size(every) > 0, every), "remote_type": F.when(far, "remote").when(far.isNotNull(), "onsite"), "remote_basis": F.when(far.isNotNull(), "stated"), "seniority": said(item("experience")), "category": said(item("function")), "source_extra": extra(industry=item("industry"), education=item("education"), shortcode=item("shortcode")), "employment_type": item("employment_type"), "salary": money(body), "text": body}
 
 
+# How a list's bullets tell a date and a requisition.
+POSTING_DATE = r"Posting Date:\s*(\d{1,2})/(\d{1,2})/(\d{4})"
+REQUISITION = r"^[A-Za-z]{0,4}[-_]?\d{3,}$"
+
+
+def unslugged(segment: Column) -> Column:
+    """A path's segment as the words it was made from: ``---`` was a dash between blanks, ``--`` a dash, ``-`` a blank."""
+    marked = F.replace(F.replace(F.coalesce(segment, F.lit("")), F.lit("---"), F.lit(" \x00 ")), F.lit("--"), F.lit("\x00"))
+    return F.trim(F.regexp_replace(F.replace(F.replace(marked, F.lit("-"), F.lit(" ")), F.lit("\x00"), F.lit("-")), " +", " "))
+
+
 def workday(as_of: Column | None = None) -> dict[str, Column]:
     as_of = as_of if as_of is not None else F.current_date()
-    bullets = F.filter(item("bulletFields"), lambda b: ~F.lower(b).startswith("posted") & ~b.rlike(r"^[A-Za-z]{0,4}[-_]?\d{3,}(-\d+)?$"))
-    segment = F.replace(F.replace(F.replace(F.regexp_extract(F.coalesce(item("externalPath"), F.lit("")), "^/job/([^/]+)/", 1), F.lit("---"), F.lit("\x00")), F.lit("-"), F.lit(" ")), F.lit("\x00"), F.lit(" - "))
-    date = F.coalesce(F.get(F.filter(F.transform(item("bulletFields"), lambda b: dates.to_date(b)), lambda d: d != ""), F.lit(0)), dates.relative_date(item("postedOn"), as_of))
-    return {"title": item("title"), "location": first_of(item("locationsText"), F.get(bullets, F.lit(0)), segment), "url": F.concat(F.lit("https://"), F.col("slug"), F.lit("."), F.col("host"), F.lit(".myworkdayjobs.com/"), F.col("site"), item("externalPath")), "posted": date, "posted_basis": F.when(date.isNotNull(), "relative"), "salary": F.lit(""), "text": F.lit("")}
+    bullets = F.transform(item("bulletFields"), lambda b: F.trim(b))
+    places_said = F.filter(bullets, lambda b: (b != "") & ~b.rlike(POSTING_DATE) & ~b.rlike(REQUISITION))
+    parts = F.filter(F.split(F.coalesce(item("externalPath"), F.lit("")), "/"), lambda x: x != "")
+    segment = F.when((F.size(parts) >= 3) & (F.get(parts, F.lit(0)) == "job"), unslugged(F.get(parts, F.lit(1))))
+    dated = F.get(F.filter(bullets, lambda b: b.rlike(POSTING_DATE)), F.lit(0))
+    part = lambda i: F.regexp_extract(dated, POSTING_DATE, i)
+    on = F.when(dated.isNotNull(), F.concat_ws("-", part(3), F.lpad(part(1), 2, "0"), F.lpad(part(2), 2, "0")))
+    ago = dates.relative_date(item("postedOn"), as_of)
+    path = F.coalesce(item("externalPath"), F.lit(""))
+    url = F.concat(F.lit("https://"), F.col("slug"), F.lit("."), F.col("host"), F.lit(".myworkdayjobs.com/en-US/"), F.col("site"), path)
+    return {
+        "title": item("title"), "location": first_of(F.trim(item("locationsText")), F.get(places_said, F.lit(0)), segment), "url": url,
+        "posted": F.coalesce(on, ago), "posted_basis": F.when(on.isNotNull(), "stated").when(ago.isNotNull(), "relative"),
+        "employment_type": F.lit(""), "salary": F.lit(""), "text": F.lit(""), "detail_key": F.concat_ws("/", "slug", "host", "site", F.nullif(path, F.lit(""))),
+    }
+
+
+def workday_detail() -> dict[str, Column]:
+    body = text.clean(F.col("info.jobDescription"))
+    return {"text": body, "salary": money(body), **posted(F.col("info.startDate")), "employment_type": F.col("info.timeType")}
 
 
 def rippling() -> dict[str, Column]:
-    return {"title": item("name"), "location": item("workLocation.label"), "url": item("url"), "department": item("department.label"), "team": said(item("department.label")), "salary": F.lit(""), "text": F.lit("")}
+    return {
+        "title": item("name"), "location": item("workLocation.label"), "url": item("url"), "department": item("department.label"), "team": said(item("department.label")),
+        "employment_type": F.lit(""), "salary": F.lit(""), "text": F.lit(""), "detail_key": F.concat_ws("/", "slug", F.nullif(item("uuid"), F.lit(""))),
+    }
+
+
+def rippling_detail() -> dict[str, Column]:
+    """The role's text before the company's; the first pay range with a figure; the kind's name stands in its id."""
+    raw = F.col("info.description")
+    parts = F.from_json(raw, "STRUCT<role:STRING,company:STRING>")
+    body = text.clean(F.when(raw.startswith("{"), F.concat_ws(" ", said(parts["role"]), said(parts["company"]))).otherwise(F.coalesce(raw, F.lit(""))))
+    ranges = F.filter(F.col("info.payRangeDetails"), lambda r: F.coalesce(salary.number(r["rangeStart"]), salary.number(r["rangeEnd"])).isNotNull())
+    first = F.get(ranges, F.lit(0))
+    spots = F.filter(F.col("info.workLocations"), lambda x: F.coalesce(x, F.lit("")) != "")
+    return {
+        "text": body, "salary": money(body), **posted(F.col("info.createdOn")), "employment_type": first_of(F.col("info.employmentType.id"), F.col("info.employmentType.label")),
+        "location": F.when(F.size(spots) > 0, F.array_join(spots, "; ")), **pay(first["rangeStart"], first["rangeEnd"], first["currency"], first["frequency"]),
+    }
+
+
+# Where a detail payload holds what it tells, and its type.
+DETAILS: dict[str, tuple[str, str, Callable[[], dict[str, Column]]]] = {
+    "workday": ("jobPostingInfo", "jobDescription STRING, startDate STRING, timeType STRING", workday_detail),
+    "rippling": ("", "description STRING, createdOn STRING, payRangeDetails ARRAY<STRUCT<rangeStart:DOUBLE,rangeEnd:DOUBLE,currency:STRING,frequency:STRING>>, employmentType STRUCT<id:STRING,label:STRING>, workLocations ARRAY<STRING>", rippling_detail),
+}
 
 
 def teamtailor() -> dict[str, Column]:
@@ -143,9 +195,9 @@ def teamtailor() -> dict[str, Column]:
 
 
 def stated(raw: Column) -> dict[str, Column]:
-    """Residence requirements: stated boundary, by the place parser; a list is joined."""
-    s = places.remote_scope(F.trim(joined(raw)))
-    return {"remote_areas": s["areas"], "remote_regions": s["regions"], "remote_scope_raw": said(joined(raw))}
+    """Residence requirements as the vendor states them, a list or text."""
+    s = places.stated_scope(raw)
+    return {"remote_areas": s["areas"], "remote_regions": s["regions"], "remote_scope_raw": s["raw"]}
 
 
 def remotive() -> dict[str, Column]:
@@ -254,6 +306,7 @@ TYPES: dict[str, tuple[str, str]] = {
     "usajobs": ("SearchResult.SearchResultItems", "MatchedObjectDescriptor STRUCT<PositionTitle:STRING,OrganizationName:STRING,DepartmentName:STRING,SubAgency:STRING,PositionLocationDisplay:STRING,PositionLocation:ARRAY<STRUCT<CityName:STRING,CountrySubDivisionCode:STRING,CountryCode:STRING>>,PositionURI:STRING,PositionID:STRING,PublicationStartDate:STRING,ApplicationCloseDate:STRING,JobCategory:ARRAY<STRUCT<Name:STRING,Code:STRING>>,JobGrade:ARRAY<STRUCT<Code:STRING>>,PositionSchedule:ARRAY<STRUCT<Code:STRING,Name:STRING>>,PositionRemuneration:ARRAY<STRUCT<MinimumRange:STRING,MaximumRange:STRING,RateIntervalCode:STRING,Description:STRING>>,UserArea:STRUCT<Details:STRUCT<JobSummary:STRING,MajorDuties:STRING,QualificationSummary:STRING,Requirements:STRING,Evaluations:STRING,LowGrade:STRING,HighGrade:STRING,RemoteIndicator:BOOLEAN,TeleworkEligible:BOOLEAN>>>"),
     "themuse": ("results", f"id BIGINT, name STRING, contents STRING, publication_date STRING, type STRING, company {NAMED}, locations ARRAY<{NAMED}>, categories ARRAY<{NAMED}>, levels ARRAY<{NAMED}>, refs STRUCT<landing_page:STRING>"),
 }
+# Fixed value: titles of low-paid labelling work.
 GIGS = r"(?i)trainer|annotat|\bai training\b|evaluation|labeler|labelling|linguist|\bvoice\b|transcrib|data collection|\bevaluator\b|quality analyst|quality specialist|\bqa\b"
 PROJECTIONS: dict[str, Callable[..., dict[str, Column]]] = {"greenhouse": greenhouse, "lever": lever, "ashby": ashby, "smartrecruiters": smartrecruiters, "workable": workable, "workday": workday, "rippling": rippling, "teamtailor": teamtailor, "remotive": remotive, "jobicy": jobicy, "arbeitnow": arbeitnow, "remoteok": remoteok, "himalayas": himalayas, "adzuna": adzuna, "google_jobs": google_jobs, "hn": hn, "braintrust": braintrust, "usajobs": usajobs, "themuse": themuse}
 DEPTH = ("greenhouse", "lever", "ashby", "smartrecruiters", "workable", "workday", "rippling", "teamtailor")
@@ -323,8 +376,37 @@ def first_wins(rows: DataFrame, key: Column, order: tuple[str, ...] = ("seq", "p
     return keyed.where("_key is not null").withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_key").unionByName(keyed.where("_key is null").drop("_key"))
 
 
-def with_details(listed: DataFrame, details: DataFrame, key: str = "url") -> DataFrame:
-    """A list's rows filled from their detail rows (body, pay, date, type); a row without one stays as it is."""
-    cols = [c for c in details.columns if c != key and c in listed.columns]
-    d = details.select(key, *(F.col(c).alias(f"_{c}") for c in cols))
-    return listed.join(d, key, "left").withColumns({c: F.coalesce(F.nullif(F.col(f"_{c}").cast("string"), F.lit("")), F.col(c).cast("string")) for c in cols}).drop(*(f"_{c}" for c in cols))
+def details(landed: DataFrame, source: str) -> DataFrame:
+    """Rows of landed detail payloads (raw, detail_key), as far as a list row lacks them; one that doesn't parse has nothing."""
+    path, item_type, project = DETAILS[source]
+    schema = f"STRUCT<{_colons(item_type)}>"
+    info = F.from_json("raw", f"STRUCT<{path}:{schema}>")[path] if path else F.from_json("raw", schema)
+    return landed.withColumn("info", info).select("detail_key", *(c.alias(k) for k, c in project().items()))
+
+
+def with_details(listed: DataFrame, details: DataFrame, key: str = "detail_key") -> DataFrame:
+    """A list's rows filled from their detail rows; a row without one stays as it is.
+
+    Columns keep the list's types, or come in with the detail's. What a detail leaves null or empty stays the
+    list's. Of several details of one key the one with the least hash counts, so rows don't double."""
+    types = dict(listed.dtypes)
+    cols = [c for c in details.columns if c != key]
+    own = lambda c: F.col(c).cast(types[c]) if c in types else F.col(c)
+    told = lambda c: F.nullif(own(c), F.lit("")) if types.get(c, dict(details.dtypes)[c]) == "string" else own(c)
+    plain = [c for c, t in details.dtypes if c != key and not t.startswith("map")]
+    one = details.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*(told(c).alias(c) for c in cols)), F.xxhash64(*plain)).alias("_d"))
+    return listed.join(one, key, "left").withColumns({c: F.coalesce(F.col(f"_d.{c}"), F.col(c)) if c in types else F.col(f"_d.{c}") for c in cols}).drop("_d")
+
+
+# The field in which a service tells how many roles a board has.
+TOTALS = {"smartrecruiters": "$.totalFound", "workday": "$.total"}
+
+
+def role_counts(landed: DataFrame, source: str) -> DataFrame:
+    """(slug, roles): the total that a board's first page tells (later pages may say 0), else its items; none is parsed."""
+    path, _ = TYPES[source]
+    listed = F.coalesce(F.json_array_length(F.get_json_object("raw", "$." + path if path else "$")), F.lit(0))
+    if source in TOTALS:
+        told = F.coalesce(F.get_json_object("raw", TOTALS[source]).try_cast("long"), F.lit(0))
+        return landed.groupBy("slug").agg(F.max(told).alias("roles"))
+    return landed.groupBy("slug").agg(F.sum(listed.cast("long")).alias("roles"))

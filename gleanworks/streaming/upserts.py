@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
-from gleanworks.operators import store
+from gleanworks.operators import linkage, store, versions
 
 
-def upsert_batch(spark: SparkSession, base: str, today: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch body: each batch writes the store's next version, and a replayed batch the same one."""
+STORE = ", ".join(f"{c} string" for c in store.COLUMNS)
+
+
+def upsert_batch(spark: SparkSession, base: str, today: str, name: str = "stream") -> Callable[[DataFrame, int], None]:
+    """A foreachBatch body: each batch is one change of the versioned store; a batch that is replayed changes nothing."""
+    table = versions.Versions(spark, base, STORE)
 
     def write(batch: DataFrame, number: int) -> None:
         run = store.store_rows(batch, F.lit(today).cast("date"))
-        before = spark.read.parquet(f"{base}/v{number - 1}") if number else spark.createDataFrame([], run.schema)
-        store.upsert(before.select(*store.COLUMNS), run).drop("is_new").write.mode("overwrite").parquet(f"{base}/v{number}")
+        table.change(lambda before: store.upsert(before, run).drop("is_new"), mark=(name, number))
 
     return write
 
@@ -28,6 +34,36 @@ def start_upserts(spark: SparkSession, landing: str, schema: str, base: str, che
     return rows.writeStream.foreachBatch(upsert_batch(spark, base, today)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+SLIM = ("dedup_key", "_blk", "_nt", "_core", "_levels", "_quals", "_words", "_ats", "_slug", "_ref", "_pref", "_len", "score", "source", "seq")
+LINKS = "dedup_key string, block string, seq long, sources array<string>, fresh boolean"
+
+
+def linked_stream(rows: DataFrame, threshold: float = 90, floor: float = 82) -> DataFrame:
+    """Incremental linkage: a stream's postings (with seq) against all that came before, block by block.
+
+    The state of a block (and level) is its survivors, as slim rows without texts; a posting joins the first that it
+    matches, or becomes one. Rows out are the survivors that a batch touched, with their sources so far."""
+    slim = linkage.with_keys(rows).withColumn("_levels", F.array_join("_levels", ",")).withColumn("_quals", F.array_join("_quals", ",")).withColumn("_words", F.array_join("_words", ","))
+    keyed = slim.select(*(F.col(c) for c in SLIM), F.when(F.col("_blk") == "", F.concat(F.lit("="), "dedup_key")).otherwise(F.col("_blk")).alias("_key"))
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept = [dict(r, _levels=r["_levels"].split(","), _quals=r["_quals"], _words=r["_words"]) for r in json.loads(state.get[0])] if state.exists else []
+        before = {r["dedup_key"] for r in kept}
+        split = lambda x: [w for w in x.split(",") if w]
+        new = pd.concat(list(batches)).sort_values("seq").to_dict("records")
+        touched: dict[str, dict] = {}
+        for r in new:
+            row = {**r, "_levels": r["_levels"].split(","), "_quals": split(r["_quals"]), "_words": split(r["_words"]), "sources": [r["source"]] if r["source"] else [], "seq": int(r["seq"]), "score": int(r["score"]), "_pref": int(r["_pref"]), "_len": int(r["_len"])}
+            row = {k: (None if isinstance(v, float) and v != v else v) for k, v in row.items()}
+            kept = linkage.join_one(kept, row, threshold, floor)
+            hit = next(k for k in kept if k.pop("_hit", False))
+            touched[hit["dedup_key"]] = hit
+        state.update((json.dumps([{**k, "_levels": ",".join(k["_levels"])} for k in kept]),))
+        yield pd.DataFrame([(k["dedup_key"], k["_blk"], k["seq"], k["sources"], k["dedup_key"] not in before) for k in touched.values()], columns=["dedup_key", "block", "seq", "sources", "fresh"])
+
+    return keyed.groupBy("_key", "_levels").applyInPandasWithState(fold, LINKS, "survivors string", "update", "NoTimeout")
+
+
 def tumbling_counts(events: DataFrame, width: str = "1 hour", late: str | None = None) -> DataFrame:
     """Events and their value per window and type; with a watermark where the input is a stream."""
     if late:
