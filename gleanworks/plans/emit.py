@@ -56,6 +56,36 @@ def credits(spark: SparkSession, df: DataFrame) -> DataFrame:
     return table.join(by_source(df), "source", "left_semi").orderBy("name")
 
 
+def credit_line(spark: SparkSession, df: DataFrame) -> str:
+    """One line that names the sources owed, or nothing."""
+    owed = credits(spark, df).collect()  # at most as many as there are sources with terms
+    return "Jobs from " + ", ".join(f"{r['name']} ({r['url']})" for r in owed) if owed else ""
+
+
+#: What the store keeps of its own; everything else of a record comes from the harvest.
+HISTORY = ("id", "first_seen", "status", "llm_score", "llm_note", "age_days", "signals", "score")
+
+
+def grafted(stored: DataFrame, harvested: DataFrame) -> DataFrame:
+    """Store rows with the harvest's record fields by dedup_key: history from the store, the record from the harvest.
+
+    Fields of the contract are overwritten even with null; body and sources stay the store's where a harvest has none."""
+    kept = [c for c in stored.columns if c not in ("dedup_key", "text", "sources")]
+    fields = [c for c in harvested.columns if c not in (*stored.columns, "dedup_key", "text", "sources", "id", "seq", "position", "frontier", "local")]
+    have = set(stored.columns)
+    h = harvested.select("dedup_key", *(F.col(c).alias(f"_h_{c}") for c in (*fields, "text", "sources")))
+    body = F.coalesce(F.nullif("_h_text", F.lit("")), *([F.col("text")] if "text" in have else []))
+    own = F.col("sources") if "sources" in have else F.when(F.coalesce("source", F.lit("")) != "", F.split("source", ", ")).otherwise(F.array().cast("array<string>"))
+    sources = F.when(F.size("_h_sources") > 0, F.col("_h_sources")).otherwise(own)
+    return stored.join(h, "dedup_key", "left").select("dedup_key", *kept, *(F.col(f"_h_{c}").alias(c) for c in fields), body.alias("text"), sources.alias("sources"))
+
+
+def summary(merged: DataFrame, surfaced: DataFrame, errors: int) -> DataFrame:
+    """One row: roles tracked, on the shortlist, new among those, and feeds that failed."""
+    seen = surfaced.agg(F.count("*").alias("shortlisted"), F.count_if(F.coalesce("is_new", F.lit(False))).alias("fresh"))
+    return merged.agg(F.count("*").alias("tracked")).crossJoin(seen).withColumn("errors", F.lit(errors).cast("long"))
+
+
 def line(cfg: Config) -> Column:
     """A store row as one line of text."""
     c = lambda n: F.coalesce(F.col(n).cast("string"), F.lit(""))
