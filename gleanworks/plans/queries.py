@@ -38,9 +38,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of fewer files than there are cores, dealt to all of them; with more files, as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def posting(spark: SparkSession, sf: str) -> DataFrame:
     d, p, s, n, r, o, g = (table(spark, sf, t) for t in ("documents", "part", "supplier", "nation", "region", "orders", "pages"))
-    at = lambda t: F.col("doc_id") % F.lit(t.count())
+    d = spread(d)
+    at = lambda t: F.col("doc_id") % t.agg(F.count("*")).scalar()  # noqa: E731  a subquery of the plan, not a job of its own
     rows = d.withColumns({"kp": at(p), "ks": at(s), "ko": at(o), "kg": at(g)})
     # Spark broadcasts a dimension only where its statistics say that it is small
     s = s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
@@ -185,27 +192,6 @@ def epoch_date(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", dates.epoch_date(F.when(F.col("event_id") % 2 == 0, s).otherwise(s * 1000)).alias("day"))
 
 
-@query("select c_custkey, n_name, r_name from customer left join nation on c_nationkey = n_nationkey and n_nationkey % 3 <> 0 left join region on n_regionkey = r_regionkey")
-def meta_left_join(spark: SparkSession, sf: str) -> DataFrame:
-    """Left join of a deduplicated dimension on a normal form."""
-    n = table(spark, sf, "nation").where("n_nationkey % 3 <> 0").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    c = table(spark, sf, "customer")
-    return c.join(n, c.c_nationkey == n.n_nationkey, "left").select("c_custkey", "n_name", "r_name")
-
-
-@query("select c_custkey, c_name from customer where exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 200000)")
-def semi_join(spark: SparkSession, sf: str) -> DataFrame:
-    """J10."""
-    o = table(spark, sf, "orders").where("o_totalprice > 200000")
-    return table(spark, sf, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey", "c_name")
-
-
-@query("select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
-def anti_join(spark: SparkSession, sf: str) -> DataFrame:
-    """What isn't known yet."""
-    return table(spark, sf, "customer").join(table(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
-
-
 @query("select doc_id, source, 'a' as lane from documents where doc_id % 3 = 0 union all select doc_id, source, 'b' from documents where doc_id % 2 = 0")
 def union_sources(spark: SparkSession, sf: str) -> DataFrame:
     """All lanes, doubles kept."""
@@ -213,24 +199,6 @@ def union_sources(spark: SparkSession, sf: str) -> DataFrame:
     return store.union_all([d.where("doc_id % 3 = 0").withColumn("lane", F.lit("a")), d.where("doc_id % 2 = 0").withColumn("lane", F.lit("b"))])
 
 
-@query("select md5(text) as h, min(doc_id) as doc_id, count(*) as copies from documents group by 1")
-def first_wins(spark: SparkSession, sf: str) -> DataFrame:
-    """The first of equal texts, as an aggregate: no window over a key that may be hot."""
-    return table(spark, sf, "documents").groupBy(F.md5("text").alias("h")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-
-
-@query("select source, count(*) as rows from documents group by source")
-def rows_by_source(spark: SparkSession, sf: str) -> DataFrame:
-    """A01."""
-    return table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("rows"))
-
-
-@query("select count(*) as rows, count(distinct source) as sources, cast(count(*) filter (where text is null or text = '') as bigint) as errors, sum(n_chars)::bigint as chars from documents")
-def manifest(spark: SparkSession, sf: str) -> DataFrame:
-    """Totals of a run."""
-    return table(spark, sf, "documents").agg(F.count("*").alias("rows"), F.countDistinct("source").alias("sources"), F.count_if(F.coalesce("text", F.lit("")) == "").alias("errors"), F.sum("n_chars").alias("chars"))
-
-
 def _copies(spark: SparkSession, sf: str) -> DataFrame:
     p = posting(spark, sf)
     return p.withColumn("title", F.regexp_replace("title", ", .*", "")).withColumn("score", F.length("text") % 50).withColumn("source", F.when(F.col("seq") % 4 == 0, "greenhouse").when(F.col("seq") % 4 == 1, "google_jobs").otherwise(F.col("source")))
@@ -299,13 +267,6 @@ def surface_topk(spark: SparkSession, sf: str) -> DataFrame:
     return store.surface(store.upsert(old, run.select(*store.COLUMNS), order="o_orderkey"), CFG, limit=25).select("id", "dedup_key", "score")
 
 
-@query("select n_nationkey, cast(len(string_split(x, ';')) as bigint) as n, trim(string_split(x, ';')[1]) as first_place, trim(string_split(x, ';')[2]) as second_place from (select n_nationkey, n_name || ', TX; ' || n_name || ', Germany' as x from nation)")
-def locations_array(spark: SparkSession, sf: str) -> DataFrame:
-    """A list of places."""
-    parts = F.transform(F.split(F.concat("n_name", F.lit(", TX; "), "n_name", F.lit(", Germany")), ";"), lambda x: F.trim(x))
-    return table(spark, sf, "nation").select("n_nationkey", F.size(parts).cast("long").alias("n"), F.get(parts, F.lit(0)).alias("first_place"), F.get(parts, F.lit(1)).alias("second_place"))
-
-
 PLACES = {0: ("Waco, TX", "Waco", "TX", "US"), 1: ("Paris, France", "Paris", None, "FR"), 2: ("Toronto, ON, CA", "Toronto", None, "CA"), 3: ("Toronto, ON", None, None, None), 4: ("Remote, ON, CA", None, None, "CA"), 5: ("Singapore", None, None, "SG"), 6: ("CA", None, None, None)}
 
 
@@ -347,52 +308,18 @@ def title_parts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", d["root"].alias("title_root"), d["seniority"].alias("seniority"), d["level"].alias("level"), F.array_join(d["qualifiers"], ",").alias("qualifiers"))
 
 
-@query("select event_id, json_extract_string(props, '$.k') as k, coalesce(json_extract_string(props, '$.k'), '') <> '' as has_k from events")
-def props_json(spark: SparkSession, sf: str) -> DataFrame:
-    """A path into JSON."""
-    k = F.get_json_object("props", "$.k")
-    return table(spark, sf, "events").select("event_id", k.alias("k"), (F.coalesce(k, F.lit("")) != "").alias("has_k"))
-
-
 @query("select c_custkey, case when substr(a, 1, 1) in ('=', '+', '-', '@') then '''' || a else a end as cell from (select c_custkey, case when c_acctbal < 0 then '-' else '' end || c_name as a from customer)")
 def csv_guard(spark: SparkSession, sf: str) -> DataFrame:
     """No cell is a formula."""
     return table(spark, sf, "customer").select("c_custkey", text.guarded(F.concat(F.when(F.col("c_acctbal") < 0, "-").otherwise(""), "c_name")).alias("cell"))
 
 
-@query(f"select strftime(o_orderdate, '%Y-%m') as page, cast(median(date_diff('day', cast(o_orderdate as date), date '{AS_OF}')) as double) as median_age, cast(count(*) filter (where date_diff('day', cast(o_orderdate as date), date '{AS_OF}') <= 100) as double) / count(*) as fresh_share from orders group by 1")
-def freshness(spark: SparkSession, sf: str) -> DataFrame:
-    """Median age, and share of the fresh, by page."""
-    age = dates.age_days(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(AS_OF).cast("date"))
-    return table(spark, sf, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("page")).agg(F.median(age).alias("median_age"), (F.count_if(age <= 100).cast("double") / F.count("*")).alias("fresh_share"))
-
-
-@query(f"with p as (select strftime(o_orderdate, '%Y-%m') as page, cast(median(date_diff('day', cast(o_orderdate as date), date '{AS_OF}')) as double) as m from orders group by 1), l as (select page, m, lag(m) over (order by page desc) as before from p) select bool_and(before is null or m >= before - 5) and max(m) - min(m) > 30 as date_sorted from l")
-def date_sorted(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages whose median ages never fall by more than five days; one row per page, so one window is small."""
-    p = freshness(spark, sf).select("page", F.col("median_age").alias("m"))
-    lagged = p.withColumn("before", F.lag("m").over(Window.partitionBy(F.lit(1)).orderBy(F.desc("page"))))
-    return lagged.agg((F.bool_and(F.col("before").isNull() | (F.col("m") >= F.col("before") - 5)) & (F.max("m") - F.min("m") > 30)).alias("date_sorted"))
-
-
-@query("select lang, cast(count(*) filter (where contains(lower(text), 'the')) as double) / count(*) as share from documents group by 1")
-def relevance_share(spark: SparkSession, sf: str) -> DataFrame:
-    """A11."""
-    return table(spark, sf, "documents").groupBy("lang").agg((F.count_if(F.lower("text").contains("the")).cast("double") / F.count("*")).alias("share"))
-
-
 @query("select doc_id from documents where length(text) >= 200 and length(text) - length(replace(text, ' ', '')) >= 20 and not starts_with(text, 'http')")
 def prose_filter(spark: SparkSession, sf: str) -> DataFrame:
     """P16."""
     return table(spark, sf, "documents").where(text.is_prose(F.col("text"))).select("doc_id")
 
 
-@query("select n_name, r_name from nation cross join region")
-def fanout(spark: SparkSession, sf: str) -> DataFrame:
-    """A fan-out of two fixed lists (25 nations, 5 regions)."""
-    return table(spark, sf, "nation").crossJoin(table(spark, sf, "region")).select("n_name", "r_name")
-
-
 @query("select time_bucket(interval 1 hour, ts) as window_start, event_type, count(*) as n, cast(sum(cast(value as decimal(18, 4))) as double) as total from events group by 1, 2")
 def tumbling_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Counts per hour and type."""
@@ -406,21 +333,6 @@ def session_counts(spark: SparkSession, sf: str) -> DataFrame:
     return upserts.sessions(table(spark, sf, "events"))
 
 
-@query("select conv_id, role, min(turn) as first_turn from conversations group by 1, 2")
-def role_first_turn(spark: SparkSession, sf: str) -> DataFrame:
-    """A08 over conversations."""
-    return table(spark, sf, "conversations").groupBy("conv_id", "role").agg(F.min("turn").alias("first_turn"))
-
-
-@query("select p_partkey, cast(case when r > 0 then r end as double) as salary_min, case p_size % 3 when 0 then 'year' when 1 then 'hour' end as salary_period from (select p_partkey, p_size, case when p_size % 4 = 0 then 0 else p_retailprice end as r from part)")
-def salaries(spark: SparkSession, sf: str) -> DataFrame:
-    """Zero is no salary, a period is never guessed."""
-    lo = F.when(F.col("p_size") % 4 == 0, 0.0).otherwise(F.col("p_retailprice"))
-    per = F.when(F.col("p_size") % 3 == 0, "Per Year").when(F.col("p_size") % 3 == 1, "hourly").otherwise("fortnight")
-    s = salary.salary(lo, F.lit(None).cast("double"), F.lit("usd"), per)
-    return table(spark, sf, "part").select("p_partkey", s["salary_min"].alias("salary_min"), F.when(F.col("p_size") % 4 == 0, F.when(F.col("p_size") % 3 == 0, "year").when(F.col("p_size") % 3 == 1, "hour")).otherwise(s["salary_period"]).alias("salary_period"))
-
-
 @query("select c_custkey, case c_mktsegment when 'BUILDING' then 'FULL_TIME' when 'MACHINERY' then 'CONTRACTOR' else 'OTHER' end as employment_type from customer")
 def employment_types(spark: SparkSession, sf: str) -> DataFrame:
     """A closed vocabulary by a map literal."""
@@ -473,16 +385,3 @@ def filter_detection(spark: SparkSession, sf: str) -> DataFrame:
     """Whether a parameter filters, by what its rows are about."""
     g = table(spark, sf, "documents").groupBy("lang").agg(F.avg(F.lower("text").contains("the").cast("double")).alias("rel"), F.count("*").alias("n"))
     return g.select("lang", discovery.filters(F.lit(200), F.col("n"), F.col("rel"), F.lit(0.05), F.lit(100)).alias("verdict"))
-
-
-@query("select doc_id, item_id from documents d join benchmark b on contains(d.text, b.text)")
-def contamination(spark: SparkSession, sf: str) -> DataFrame:
-    """J10, as a containment join: a passage meets the documents that hold its longest inner word, then is searched.
-
-    Its first and last words may be parts of longer ones; the words between are whole in any text that
-    holds it. So no document is compared with all passages."""
-    b = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage"))
-    inner = F.slice(F.split("passage", " "), 2, F.greatest(F.size(F.split("passage", " ")) - 2, F.lit(0)))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    docs = table(spark, sf, "documents").where("text is not null").select("doc_id", "text", F.explode(F.array_distinct(F.split("text", " "))).alias("h"))
-    return docs.join(b.withColumn("h", longest), "h").where(F.col("text").contains(F.col("passage"))).select("doc_id", "item_id").distinct()

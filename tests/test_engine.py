@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tests.conftest import SF
 
-from gleanworks.operators import coerce, linkage, score, store
-from gleanworks.plans import config, emit, harvest, queries
+from gleanworks.operators import coerce, linkage, score, store, versions
+from gleanworks.plans import config, emit, harvest, queries, registry
 from gleanworks.sources import payloads
 from gleanworks.streaming import upserts
 
@@ -172,7 +172,11 @@ def test_streamed_upserts_equal_batches(spark: SparkSession, tmp_path) -> None:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(landing)
     query = upserts.start_upserts(spark, landing, schema, f"{tmp_path}/store", f"{tmp_path}/ck", DAY, files_per_batch=1)
     query.awaitTermination(120)
-    assert query.exception() is None and {r.dedup_key for r in spark.read.parquet(f"{tmp_path}/store/v1").collect()} <= {"a", "b"}
+    table = versions.Versions(spark, f"{tmp_path}/store", upserts.STORE)
+    assert query.exception() is None and table.state()[0] == 2 and len(table.read().collect()) == 1
+    body = upserts.upsert_batch(spark, f"{tmp_path}/store", DAY)
+    body(spark.createDataFrame([("c", "z", "w", 3, None)], schema), 1)  # a batch that is replayed changes nothing
+    assert table.state()[0] == 2
 
 
 def test_config() -> None:
@@ -185,7 +189,13 @@ def test_score_plan_has_no_python(spark: SparkSession) -> None:
     assert "Python" not in plan and "Arrow" not in plan
 
 
-@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_score_is_computed_once(spark: SparkSession) -> None:
+    """A filter on the score must not put the whole computation in its place again."""
+    count = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("[^a-z0-9]+")
+    assert count(queries.shortlist(spark, SF)) == count(queries.kw_score(spark, SF))
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_queries_match_sql(spark: SparkSession, name: str) -> None:
     import glob
     import os
@@ -195,8 +205,8 @@ def test_queries_match_sql(spark: SparkSession, name: str) -> None:
     con = duckdb.connect()
     for f in glob.glob(f"{SF}/*.parquet"):
         con.sql(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
-    df = queries.QUERIES[name](spark, SF)
-    want = con.sql(queries.ORACLES[name])
+    df = registry.QUERIES[name](spark, SF)
+    want = con.sql(registry.ORACLES[name])
     assert sorted(df.columns) == sorted(want.columns)
     order = sorted(df.columns)
     plain = lambda v: repr(round(v, 6)) if isinstance(v, float) else str(v)
@@ -250,8 +260,13 @@ def test_files(spark: SparkSession, tmp_path) -> None:
     now = spark.createDataFrame([("a", "1", "x"), ("b", "2", None)], "name string, rows string, auth string")
     index = spark.createDataFrame([("a", "1", "y")], "name string, rows string, auth string")
     assert {(r.name, r.field, r.indexed) for r in files.drift(now, index, ("rows", "auth")).collect()} == {("a", "auth", "y"), ("b", "rows", None)}
-    frames, errors = files.each_apart({"ok": lambda: now, "bad": lambda: 1 / 0})
-    assert list(frames) == ["ok"] and errors == [("bad", "ZeroDivisionError")]
+    late = now.select(F.raise_error(F.lit("down")).alias("x"))
+    for landing in (None, f"file://{tmp_path}/landing"):
+        frames, errors = files.each_apart({"ok": lambda: now, "bad": lambda: 1 / 0, "late": lambda: late}, landing)
+        assert list(frames) == ["ok"] and [n for n, _ in errors] == ["bad", "late"] and frames["ok"].count() == 2
+    (tmp_path / "broken.csv").write_bytes(b"id,title\n1,\xff\xe9\n")
+    with pytest.raises(files.UnreadableStore, match="UTF-8"):
+        files.store_csv(spark, f"{tmp_path}/broken.csv")
 
 
 def test_pages_source(spark: SparkSession, tmp_path) -> None:
