@@ -52,8 +52,9 @@ HUB = 256
 #: A node's entries before each, which tell whether two nodes have met in an earlier list.
 BEFORE = ("b1", "b2")
 SIGNATURE = ("s0", "s1", "s2")
-#: Bits of the signature that a pair has to pass before its sets are read.
+#: Bits at least of the signature that a pair has to pass before its sets are read.
 WIDE = 2048
+ONES = np.array([i.bit_count() for i in range(256)], np.uint8)
 
 
 def digest(s: np.ndarray) -> int:
@@ -80,6 +81,21 @@ def parities(s: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(odd.astype(bool))
 
 
+def wide_signature(s: np.ndarray) -> bytes:
+    """Parities over as many bits as the set has shingles, to the next power of two: so two unrelated sets differ in
+    more bits than the threshold allows, however long they are. A signature folds to any lesser width."""
+    return parities(s, max(WIDE, 1 << (len(s) - 1).bit_length() if len(s) else 0)).tobytes()
+
+
+def bits_apart(a: bytes, b: bytes) -> int:
+    """In how many bits two signatures differ, at the width of the narrower."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    while len(y) > len(x):
+        half = len(y) // 2
+        y = y[:half] ^ y[half:]
+    return int(ONES[x ^ y].sum(dtype=np.int64))
+
+
 def _blocks(counts: np.ndarray, dtype: type) -> tuple[list[int], list[bytes]]:
     parts = np.minimum(counts, np.iinfo(dtype).max).astype(dtype).reshape(-1, min(len(counts), 1 << BLOCK))
     at = [i for i, p in enumerate(parts) if p.any()]
@@ -125,7 +141,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nodes.append(digest(s) if len(s) else None)
             sizes.append(len(s))
             bits.append(parities(s, 64 * len(SIGNATURE)).view(np.int64).tolist())
-            wide.append(parities(s, WIDE).tobytes())
+            wide.append(wide_signature(s))
             held.append(s)
         if sum(map(len, held)) > 1_500_000 or len(held) > 50_000:
             pour()
@@ -326,26 +342,25 @@ def verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, num: int, den
 
 
 def _capped(entries: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Entries with their node's size, signature and cap, and the node's two entries before.
+    """Entries with their node's size and signature, what bounds what it shares, and the node's two entries before.
 
-    The cap is the most shingles that the node can share with another that has this entry. Prefixes are the
-    first shingles of one global order. So another node that has this entry has, of the shingles before it,
-    only such as stand in its prefix, too: what this node has alone before the entry is not shared. What it
-    has alone behind the entry may well be, beyond the other's prefix. One shuffle by node gives all of it."""
+    Prefixes are the first shingles of one global order. So of two nodes that both have an entry, the shingles
+    that they share before it stand in both prefixes: at most as many as either has there that any other node
+    has, too (held). From the entry on, neither can share more than it has left (rest). One shuffle by node gives all of it."""
     order = Window.partitionBy("node").orderBy("place", "token")
-    alone = F.col("place") - F.col("held")
     coded = entries.select("token", "node", F.shiftright("code", 3).alias("place"), F.element_at(F.array(*map(F.lit, MATCHES)), F.col("code").bitwiseAND(7) + 1).alias("need"))
-    rows = coded.withColumns({"held": F.row_number().over(order) - 1, "b1": F.lag("token", 1).over(order), "b2": F.lag("token", 2).over(order)}).join(nodes.select("node", "n", *SIGNATURE), "node")
-    return rows.select("token", "node", "need", "n", (F.col("n") - F.greatest(alone, F.lit(0))).alias("cap"), *SIGNATURE, *BEFORE)
+    rows = coded.withColumns({"held": (F.row_number().over(order) - 1).cast("long"), "b1": F.lag("token", 1).over(order), "b2": F.lag("token", 2).over(order)}).join(nodes.select("node", "n", *SIGNATURE), "node")
+    return rows.select("token", "node", "need", "n", "held", (F.col("n") - F.col("place")).alias("rest"), *SIGNATURE, *BEFORE)
 
 
 def _viable(entries: DataFrame, num: int, den: int) -> DataFrame:
-    """Entries whose list holds another size with which their cap lets their node link.
+    """Entries whose list holds another size with which their own bound lets their node link.
 
     A list's sizes are kept as a set of steps of two hundredths, so a list needs a bounded number of them
     however long it is."""
     step = lambda x: F.floor(F.log(x) * 50).cast("int")
-    least, most = F.col("n") * num / den, F.least(F.col("n") * den / num, F.col("cap") * (num + den) / num - F.col("n"))
+    cap = F.least(F.col("held") + F.col("rest"), F.col("n"))
+    least, most = F.col("n") * num / den, F.least(F.col("n") * den / num, cap * (num + den) / num - F.col("n"))
     # a list of one node has one size but no partner
     lists = entries.groupBy("token").agg(F.collect_set(step(F.col("n").cast("double"))).alias("steps"), F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("token", "steps")
     low, high = step(F.greatest(least - 0.5, F.lit(0.1))), step(most + 0.5)
@@ -357,14 +372,12 @@ def _near_by_signature(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("wide").alias(f"wide_{c}"))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ones = np.array([i.bit_count() for i in range(256)], np.uint16)
-        for batch in batches:
-            if not len(batch):
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(f"wide_{c}").to_pylist()), np.uint8).reshape(len(batch), -1) for c in "ab")
-            apart = ones[x ^ y].sum(axis=1, dtype=np.int64)
-            sizes = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
-            yield batch.select(["a", "b", "need"]).take(pa.array(np.flatnonzero((num + den) * apart <= (den - num) * sizes)))
+        for whole in batches:
+            for first in range(0, len(whole), 500):
+                batch = whole.slice(first, 500)
+                apart = np.array([bits_apart(x, y) for x, y in zip(batch.column("wide_a").to_pylist(), batch.column("wide_b").to_pylist(), strict=True)], np.int64)
+                sizes = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+                yield batch.select(["a", "b", "need"]).take(pa.array(np.flatnonzero((num + den) * apart <= (den - num) * sizes)))
 
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(near, "a long, b long, need int")
 
@@ -383,19 +396,21 @@ def linked(docs: DataFrame, num: int = 80, den: int = 100, hot: float = HOT) ->
     # only makes the bounds below looser
     shared = entries.repartition(parts, "part").mapInArrow(_shared_entries, "token long, node long, code int")
     placed = materialize(_viable(_capped(shared, nodes), num, den), "entries")
-    node = [F.col(c) for c in ("node", "need", "n", "cap", *SIGNATURE)]
+    node = [F.col(c) for c in ("node", "need", "n", "held", "rest", *SIGNATURE)]
 
     def may_link(a: str, b: str) -> Column:
-        """Sizes, caps and signatures that allow the threshold."""
+        """Sizes, places and signatures that allow the threshold."""
         apart = " + ".join(f"bit_count({a}.{s} ^ {b}.{s})" for s in SIGNATURE)
-        return F.expr(f"{num + den} * ({apart}) <= {den - num} * ({a}.n + {b}.n) and {den} * least({a}.n, {b}.n) >= {num} * greatest({a}.n, {b}.n) and {num + den} * least({a}.cap, {b}.cap) >= {num} * ({a}.n + {b}.n)")
+        return F.expr(f"{num + den} * ({apart}) <= {den - num} * ({a}.n + {b}.n) and {den} * least({a}.n, {b}.n) >= {num} * greatest({a}.n, {b}.n) and {num + den} * (least({a}.held, {b}.held) + least({a}.rest, {b}.rest)) >= {num} * ({a}.n + {b}.n)")
 
     # each list's most typical node (the one with the least of its own) with every other
-    typical = placed.groupBy("token").agg(F.max(F.struct((F.col("cap") / F.col("n")).alias("typical"), *node)).alias("x"), F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("token", "x")
+    typical = placed.groupBy("token").agg(F.max(F.struct(((F.col("held") + F.col("rest")) / F.col("n")).alias("typical"), *node)).alias("x"), F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("token", "x")
     star = placed.select("token", F.struct(*node).alias("y")).join(typical, "token").where("x.node <> y.node").where(may_link("x", "y"))
     star = star.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("k"), F.min(F.least("x.need", "y.need")).alias("need")).where("k >= need")
-    tried = materialize(star.groupBy("b").agg(F.max_by("a", F.struct("k", "a")).alias("a")).select("a", "b"), "star")
-    links = materialize(verified(docs, tried, nodes.select("node", "doc_id"), num, den), "links-star")
+    tried = star.groupBy("b").agg(F.max_by(F.struct("a", "need"), F.struct("k", "a")).alias("x")).select("x.a", "b", "x.need")
+    tried = materialize(tried, "star")
+    near = materialize(_near_by_signature(tried, nodes, num, den).select("a", "b"), "star-near")
+    links = materialize(verified(docs, near, nodes.select("node", "doc_id"), num, den), "links-star")
 
     # entries of lists that still hold several components
     so_far = components(links)
