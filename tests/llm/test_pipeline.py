@@ -37,3 +37,15 @@ def test_one_document_of_repeated_rows_stays(spark: SparkSession) -> None:
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted((r["doc_id"] or 0) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect())
     assert got == [0, 1, 3, 4]
+
+
+def test_stages_take_nulls_long_texts_and_empty_tables(spark: SparkSession) -> None:
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, row long"
+    body = " ".join(f"word{i * 7 % 101} of{i % 13}" for i in range(90))
+    rows = [(None, None, None, None, None), (1, "", "en", None, 0), (2, body, None, None, 5), (2, body, None, None, 5), (3, body.upper(), "en", "s", None), (None, body[::-1], "de", "s", 1), (4, "\n".join(f"{body} {i}" for i in range(300)), "en", "s", 1), (5, "x" * 300_000, "en", "t", 1)]
+    for data in (rows, []):
+        docs = spark.createDataFrame([(*r, "x", 7) for r in data], schema)
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, SF).cache()
+            assert docs.count() <= 4 * len(data) + 400 and (name == "best_fit_packing" or docs.columns == list(corpus_pipeline.COLUMNS))
+        assert (docs.count() > 0) == bool(data)
