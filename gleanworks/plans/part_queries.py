@@ -619,8 +619,8 @@ def report_texts(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"select o_orderkey, case o_orderkey % 5 when 0 then strftime(o_orderdate, '%Y-%m-%d') when 1 then '2025-07-08' when 2 then strftime(o_orderdate, '%Y-%m-%d') end as posted, case when o_orderkey % 5 < 3 then 'stated' end as basis, strftime(date '{AS_OF}' - cast(case o_orderkey % 4 when 0 then 0 when 1 then 1 when 2 then 14 else 90 end as integer), '%Y-%m-%d') as said_ago from orders")
 def posted_dates(spark: SparkSession, sf: str) -> DataFrame:
     """Dates by any of the ways in which they are sent, and phrases like three months ago."""
-    k, day = c("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
-    raw = F.when(k % 5 == 0, F.concat(day, F.lit("T10:00:00Z"))).when(k % 5 == 1, "1752000000000").when(k % 5 == 2, day).when(k % 5 == 3, "soon")
+    k, on = c("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    raw = F.when(k % 5 == 0, F.concat(on, F.lit("T10:00:00Z"))).when(k % 5 == 1, "1752000000000").when(k % 5 == 2, on).when(k % 5 == 3, "soon")
     p = payloads.posted(raw)
     phrase = F.element_at(F.array(F.lit("Posted Today"), F.lit("posted yesterday"), F.lit("Posted 2 Weeks Ago"), F.lit("Posted 3+ months ago")), (k % 4 + 1).cast("int"))
     return table(spark, sf, "orders").select("o_orderkey", p["posted"].alias("posted"), p["posted_basis"].alias("basis"), dates.relative_date(phrase, day()).alias("said_ago"))

@@ -221,7 +221,7 @@ def test_command_line(spark: SparkSession, tmp_path: Path, monkeypatch: pytest.M
     assert app.main(["scan"], spark) == 0
     captured = capsys.readouterr()
     assert "2 roles tracked · 2 on the shortlist · 2 new · 0 feed errors" in captured.out and "ignoring llm.base_url" in captured.err
-    row = files.store_csv(spark, "shortlist.csv").where("title = 'Data Engineer'").first()
+    row = files.store_csv(spark, f"{tmp_path}/shortlist.csv").where("title = 'Data Engineer'").first()
     assert app.main(["apply", row.id], spark) == 0 and app.main(["dismiss", "zzz"], spark) == 1
     assert app.main(["scan", "--format", "ndjson", "--all"], spark) == 0
     captured = capsys.readouterr()
