@@ -11,20 +11,23 @@ from gleanworks.sources import payloads
 
 
 def listed(df: DataFrame, name: str, cfg: Config, day: Column, details: DataFrame | None) -> DataFrame:
-    """One source's rows; where details have landed, the title gate comes first, as a fetch of details would have it."""
-    rows = payloads.postings(df, name, **({"as_of": day} if name in ("workday", "google_jobs") else {}))
+    """One source's rows with a title that is wanted: the gate comes before bodies are cleaned or details joined."""
+    rows = payloads.postings(df, name, **({"as_of": day} if name in ("workday", "google_jobs") else {})).where(score.relevant(F.col("title"), cfg))
     if name not in payloads.DETAILS:
         return rows
     if details is not None:
-        rows = payloads.with_details(rows.where(score.relevant(F.col("title"), cfg)), payloads.details(details, name))
+        rows = payloads.with_details(rows, payloads.details(details, name))
     return rows.drop("detail_key")
 
 
 def harvest(landed: dict[str, DataFrame], cfg: Config, watchlist: DataFrame, as_of: str, harvested_at: str, details: dict[str, DataFrame] | None = None) -> DataFrame:
-    """Project, coerce, gate (titles before bodies), score, link. landed: payloads by source; details likewise."""
+    """Project, coerce, gate (titles before bodies), score, link. landed: payloads by source; details likewise.
+
+    The union is observed (a count of the relevant rows), which also keeps the optimizer from writing all that
+    follows into each of its branches: nineteen copies of the record contract would take minutes to compile."""
     day = F.lit(as_of).cast("date")
     rows = store.union_all([listed(df, name, cfg, day, (details or {}).get(name)) for name, df in landed.items()])
-    rows = coerce.coerced(rows, harvested_at).where(score.relevant(F.col("title"), cfg))
+    rows = coerce.coerced(rows.observe("relevant", F.count(F.lit(1)).alias("rows")), harvested_at)
     rows = score.gated(coerce.with_arrangement(rows), cfg, day)
     rows = store.with_meta(rows, watchlist)
     rows = score.adjusted(score.with_score(rows, cfg), cfg, day)
