@@ -286,6 +286,34 @@ def sort_ratios(spark: SparkSession, sf: str) -> DataFrame:
     return linkage.ratios(a.join(b, "p_partkey"), "a", "b").select("p_partkey", "sort_ratio")
 
 
+def sql_chars(x: str) -> str:
+    return f"list_transform(range(1, len({x}) + 1), lambda i: {x}[i])"
+
+
+SQL_VARIANT = "case p_size % 5 when 0 then p_name || ' ' || p_type when 1 then p_type || ' ' || p_name || 's' when 2 then p_type || ' ' || p_name || ' II' when 3 then p_type || ' ' || p_name || ', Berlin' else p_brand || ' ' || p_name end"
+FUZZY = f"""with t as (select p_partkey as k, p_size, p_type || ' ' || p_name as ta, {SQL_VARIANT} as tb, {sql_norm("p_type || ' ' || p_name")} as na, {sql_norm(SQL_VARIANT)} as nb from part),
+  w as (select *, list_sort(string_split(na, ' ')) as wa, list_sort(string_split(nb, ' ')) as wb from t),
+  g as (select *, array_to_string(wa, ' ') as sa, array_to_string(wb, ' ') as sb, list_sort(list_distinct(list_filter(wa, lambda x: list_contains(wb, x)))) as com, list_sort(list_distinct(list_filter(wa, lambda x: not list_contains(wb, x)))) as oa, list_sort(list_distinct(list_filter(wb, lambda x: not list_contains(wa, x)))) as ob from w),
+  h as (select *, array_to_string(com, ' ') as base, array_to_string(com || oa, ' ') as xa, array_to_string(com || ob, ' ') as xb from g),
+  c as (select *, {sql_chars("sa")} as csa, {sql_chars("sb")} as csb, {sql_chars("base")} as cb, {sql_chars("xa")} as cxa, {sql_chars("xb")} as cxb from h),
+  r as (select *, 200.0 * {sql_lcs("csa", "csb")} / (len(sa) + len(sb)) as sorted, case when len(com) > 0 and (len(oa) = 0 or len(ob) = 0) then 100.0 else greatest(200.0 * {sql_lcs("cxa", "cxb")} / (len(xa) + len(xb)),
+    case when len(com) > 0 then 200.0 * {sql_lcs("cb", "cxa")} / (len(base) + len(xa)) else 0 end, case when len(com) > 0 then 200.0 * {sql_lcs("cb", "cxb")} / (len(base) + len(xb)) else 0 end) end as setted from c),
+  v as (select *, 'co ' || k || '|' || na || '|' as ka, 'co ' || k || '|' || nb || '|' as kb, na = nb or (p_size % 5 not in (2, 3) and len(list_filter(wb, lambda x: x in ('1', '2', '3', '4'))) = 0 and setted >= 90 and sorted >= 82) as one from r)
+  select ka as dedup_key, case when one then 2 * k + 1 else 2 * k end as seq, case when one then tb else ta end as title, case when one then 'hn,lever' else 'hn' end as sources from v union all select kb, 2 * k + 1, tb, 'lever' from v where not one"""
+
+
+@query(FUZZY)
+def fuzzy_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Companies with two postings each: one role under two titles, or two roles."""
+    p = table(spark, sf, "part")
+    k, kind = c("p_partkey"), c("p_size") % 5
+    plain = F.concat_ws(" ", "p_type", "p_name")
+    other = F.when(kind == 0, F.concat_ws(" ", "p_name", "p_type")).when(kind == 1, F.concat(plain, F.lit("s"))).when(kind == 2, F.concat(plain, F.lit(" II"))).when(kind == 3, F.concat(plain, F.lit(", Berlin"))).otherwise(F.concat_ws(" ", "p_brand", "p_name"))
+    both = F.explode(F.array(F.struct((k * 2).alias("seq"), plain.alias("title"), F.lit("hn").alias("source")), F.struct((k * 2 + 1).alias("seq"), other.alias("title"), F.lit("lever").alias("source")))).alias("x")
+    rows = p.select(F.concat(F.lit("Co "), k.cast("string")).alias("company"), both).select("company", "x.*").withColumns({"location": F.lit(""), "url": F.lit(""), "text": F.lit("t"), "score": F.lit(1)})
+    return linkage.linked(rows).select("dedup_key", "seq", "title", F.array_join("sources", ",").alias("sources"))
+
+
 # ---- joins
 
 @query("""with watch as (select s_suppkey as seq, case when s_suppkey % 2 = 0 then s_name else upper(replace(s_name, '#', ' # ')) end as name, s_suppkey % 3 = 0 as frontier, s_suppkey % 4 = 0 as local, case when s_suppkey % 5 = 0 then 'i' || s_suppkey end as industry from supplier
