@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,9 +12,11 @@ from gleanworks.plans.config import Config
 from gleanworks.sources import payloads
 
 
-def listed(df: DataFrame, name: str, cfg: Config, day: Column, details: DataFrame | None) -> DataFrame:
-    """One source's rows with a title that is wanted: the gate comes before bodies are cleaned or details joined."""
-    rows = payloads.postings(df, name, **({"as_of": day} if name in ("workday", "google_jobs") else {})).where(score.relevant(F.col("title"), cfg))
+def listed(df: DataFrame, name: str, cfg: Config, day: Column, details: DataFrame | None, keep: Callable[[Column], Column] | None = None) -> DataFrame:
+    """One source's rows with a title that is wanted (keep; else the configuration's): the gate comes before bodies
+    are cleaned or details joined."""
+    wanted = keep(F.coalesce("title", F.lit(""))) if keep else score.relevant(F.col("title"), cfg)
+    rows = payloads.postings(df, name, **({"as_of": day} if name in ("workday", "google_jobs") else {})).where(wanted)
     if name not in payloads.DETAILS:
         return rows
     if details is not None:

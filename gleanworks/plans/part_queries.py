@@ -337,6 +337,16 @@ def semi_join(spark: SparkSession, sf: str) -> DataFrame:
     return emit.credits(spark, rows).select("name", "url")
 
 
+@query("select p_partkey, 'Name ' || (p_partkey // 50) as company, 'workday' as source, case when (p_partkey // 50) % 2 = 0 then 'x' else '' end as industry from part where (p_partkey // 50) % 3 <> 0")
+def stamped_boards(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of a board with what the watchlist says of its company."""
+    board = F.floor(c("p_partkey") / 50).cast("long")
+    rows = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("B"), board.cast("string")).alias("slug"), F.lit("wd1").alias("host"), F.lit("Site").alias("site"))
+    each = table(spark, sf, "part").select(board.alias("b")).distinct().where("b % 3 <> 0")
+    entry = lambda site, name: each.select(F.concat(F.lit(name), c("b").cast("string")).alias("name"), F.lit("workday").alias("ats"), F.concat(F.lit("b"), c("b").cast("string")).alias("slug"), F.lit("WD1").alias("host"), F.lit(site).alias("site"), F.when(c("b") % 2 == 0, "x").alias("industry"))
+    return payloads.stamped(rows, entry("site", "Name ").unionByName(entry("other", "No ")), "workday").select("p_partkey", "company", "source", "industry")
+
+
 @query("""with boards as (select distinct 'lever/co' || (page_id % 7) as entry_key, 'co' || (page_id % 7) as slug from pages where page_id % 5 = 1) select slug, 'lever' as ats, '(seeded)' as industry from boards where slug not in ('co0', 'co3')""")
 def anti_join(spark: SparkSession, sf: str) -> DataFrame:
     """Mined boards that the watchlist lacks, as its new entries."""

@@ -110,16 +110,23 @@ def host_of(url: str) -> str:
     return urllib.parse.urlsplit(url).netloc.lower()
 
 
-def walk(ask: Callable[[str], tuple[int | None, str | None]], template: str, rule: str, most: int, size: int, items: str, total: str = "") -> Iterator[tuple[int, str | None, int | None]]:
-    """(page, payload, status) of one board's walk.
+def at_path(data: object, path: str) -> object:
+    for part in path.split(".") if path else []:
+        data = data.get(part) if isinstance(data, dict) else None
+    return data
+
+
+def walk(ask: Callable[..., tuple[int | None, str | None]], template: str, rule: str, most: int, size: int, items: str, total: str = "", body: str = "") -> Iterator[tuple[int, str | None, int | None]]:
+    """(page, payload, status) of one board's walk; a failed page ends it, and so do most pages.
 
     rule ``short`` steps {offset} by size and ends with a page that has fewer items, or at the total that the first
-    page told; rule ``next`` follows the payload's next link as long as it stays on the host. A failed page ends it."""
-    url, told = template.format(page=1, offset=0), None
+    page told (later ones may say 0); with a body, which holds {offset}, it posts. Rule ``next`` follows the payload's
+    next link as long as it stays on the host. Rule ``token`` hands on what the payload has at the path ``total``."""
+    offset, url, told = 0, template.replace("{offset}", "0").replace("{page}", "1").replace("{token}", ""), None
     for n in range(most):
-        status, text = ask(url)
+        status, text = ask(url, body.replace("{offset}", str(offset)).encode()) if body else ask(url)
         data = parsed(text)
-        yield n, (json.dumps(data) if data is not None else None), status if data is not None else (status if status != 200 else None)
+        yield n, (json.dumps(data) if data is not None else None), status if data is not None or status != 200 else None
         if data is None:
             return
         if rule == "next":
@@ -128,12 +135,19 @@ def walk(ask: Callable[[str], tuple[int | None, str | None]], template: str, rul
                 return
             url = following
             continue
-        rows = data.get(items) if isinstance(data, dict) and items else data
-        if told is None and isinstance(data, dict) and isinstance(data.get(total), int):
-            told = data[total]
-        if not isinstance(rows, list) or len(rows) < size or (told is not None and (n + 1) * size >= told):
+        if rule == "token":
+            token = at_path(data, total)
+            if not token:
+                return
+            url = template.replace("{token}", urllib.parse.quote(str(token), safe=""))
+            continue
+        rows = at_path(data, items)
+        if told is None and isinstance(at_path(data, total) if total else None, int):
+            told = at_path(data, total)
+        offset += size
+        if not isinstance(rows, list) or len(rows) < size or (told is not None and offset >= told):
             return
-        url = template.format(page=n + 2, offset=(n + 1) * size)
+        url = template.replace("{offset}", str(offset)).replace("{page}", str(n + 2)).replace("{token}", "")
 
 
 class Page(InputPartition):
@@ -184,7 +198,7 @@ class WalkReader(DataSourceReader):
     def read(self, part: Board) -> Iterator[tuple]:
         o = self.options
         template = o["template"].replace("{slug}", part.slug)
-        for n, raw, status in walk(fetch, template, o.get("rule", "short"), int(o.get("most", 10)), int(o.get("size", 100)), o.get("items", ""), o.get("total", "")):
+        for n, raw, status in walk(fetch, template, o.get("rule", "short"), int(o.get("most", 10)), int(o.get("size", 100)), o.get("items", ""), o.get("total", ""), o.get("body", "")):
             yield part.at * 10**6 + n, raw, status, part.slug
 
 

@@ -398,6 +398,17 @@ def with_details(listed: DataFrame, details: DataFrame, key: str = "detail_key")
     return listed.join(one, key, "left").withColumns({c: F.coalesce(F.col(f"_d.{c}"), F.col(c)) if c in types else F.col(f"_d.{c}") for c in cols}).drop("_d")
 
 
+def stamped(rows: DataFrame, companies: DataFrame, source: str) -> DataFrame:
+    """A board's rows with their company's name and industry from the watchlist; boards that it lacks have no rows.
+
+    rows: with slug (and host, site); companies: (name, ats, slug, host, site, industry). Slugs differ by case alone
+    nowhere, so they meet in lower case; of two entries of one board the first by name counts."""
+    keys = ("slug", "host", "site") if source == "workday" else ("slug",)
+    own = companies.where(F.col("ats") == source).groupBy(*(F.lower(k).alias(f"_{k}") for k in keys)).agg(F.min(F.struct("name", "industry")).alias("_c"))
+    joined = rows.drop("company", "industry", "source").join(own, [F.lower(rows[k]) == own[f"_{k}"] for k in keys])
+    return joined.select(*(c for c in rows.columns if c not in ("company", "industry", "source")), F.col("_c.name").alias("company"), F.lit(source).alias("source"), F.coalesce("_c.industry", F.lit("")).alias("industry"))
+
+
 # The field in which a service tells how many roles a board has.
 TOTALS = {"smartrecruiters": "$.totalFound", "workday": "$.total"}
 

@@ -84,6 +84,14 @@ def server() -> Iterator[str]:
             self.end_headers()
             self.wfile.write(body)
 
+        def do_POST(self) -> None:  # noqa: N802
+            at = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["offset"]
+            body = json.dumps({"total": 5 if at == 0 else 0, "jobPostings": [{"title": f"t{at + i}"} for i in range(2 if at < 4 else 1)]}).encode()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
         def log_message(self, *_: object) -> None:
             return
 
@@ -112,6 +120,11 @@ def test_walks(spark: SparkSession, server: str) -> None:
     assert pages(f"{server}/total?offset={{offset}}", "short", 9, 2, "content", "totalFound") == [(0, True, 200), (1, True, 200)]
     assert pages(f"{server}/next?offset={{offset}}", "next", 9, 1, "results") == [(0, True, 200), (1, True, 200), (2, True, 200)]
     assert pages(f"{server}/gone", "short", 9, 2, "content") == [(0, False, 404)]
+    asked: list[str] = []
+    told = lambda url: (asked.append(url), (200, json.dumps({"page": {"next": "a&b"} if len(asked) == 1 else {}})))[1]
+    assert len(list(transport.walk(told, "http://h/x?t={token}", "token", 9, 1, "", "page.next"))) == 2 and asked == ["http://h/x?t=", "http://h/x?t=a%26b"]
+    posted = [json.loads(raw) for _, raw, _ in transport.walk(transport.fetch, f"{server}/jobs", "short", 9, 2, "jobPostings", "total", '{"limit": 2, "offset": {offset}}')]
+    assert [x["title"] for p in posted for x in p["jobPostings"]] == ["t0", "t1", "t2", "t3", "t4"]
     spark.dataSource.register(transport.WalkSource)
     rows = spark.read.format("walk").options(template=f"{server}/{{slug}}?offset={{offset}}", slugs="a,gone", size=2, items="content").load().collect()
     assert sorted((r.slug, r.seq, r.status, r.raw is None) for r in rows) == [("a", 0, 200, False), ("a", 1, 200, False), ("a", 2, 200, False), ("gone", 1_000_000, 404, True)]
