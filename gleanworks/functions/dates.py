@@ -18,7 +18,9 @@ def epoch_date(seconds_or_millis: Column) -> Column:
 def to_date(raw: Column) -> Column:
     """Epoch text or the first ten characters if they have the shape; else empty."""
     s = F.trim(F.coalesce(raw.cast("string"), F.lit("")))
-    return F.when(s.rlike(r"^\d+(\.\d+)?$"), epoch_date(s.try_cast("double"))).when(F.left(s, F.lit(10)).rlike(r"^\d{4}-\d{2}-\d{2}$"), F.left(s, F.lit(10))).otherwise("")
+    return F.when(s.rlike(r"^\d+(\.\d+)?$"), epoch_date(s.try_cast("double"))).when(
+        F.left(s, F.lit(10)).rlike(r"^\d{4}-\d{2}-\d{2}$"), F.left(s, F.lit(10))
+    ).otherwise("")
 
 
 def age_days(posted: Column, as_of: Column) -> Column:

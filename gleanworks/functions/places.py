@@ -59,10 +59,16 @@ def split_place(raw: Column) -> Column:
 
     def parts(x: Column) -> Column:
         s, head, tail = x["s"], x["head"], x["tail"]
-        return F.struct(s.alias("s"), head.alias("head"), tail.alias("tail"), F.trim(F.regexp_extract(head, SPLIT, 1)).alias("inner"), F.upper(F.trim(F.regexp_extract(head, SPLIT, 2))).alias("outer"), F.upper(tail).alias("up"))
+        return F.struct(
+            s.alias("s"), head.alias("head"), tail.alias("tail"), F.trim(F.regexp_extract(head, SPLIT, 1)).alias("inner"),
+            F.upper(F.trim(F.regexp_extract(head, SPLIT, 2))).alias("outer"), F.upper(tail).alias("up")
+        )
 
     s = F.trim(text.empty_if_null(raw))
-    first = text.bound(s, lambda x: F.struct(x.alias("s"), F.trim(F.regexp_extract(x, SPLIT, 1)).alias("head"), F.trim(F.regexp_extract(x, SPLIT, 2)).alias("tail")))
+    first = text.bound(
+        s,
+        lambda x: F.struct(x.alias("s"), F.trim(F.regexp_extract(x, SPLIT, 1)).alias("head"), F.trim(F.regexp_extract(x, SPLIT, 2)).alias("tail"))
+    )
     return text.bound(text.bound(text.bound(first, parts), choose), real)
 
 
@@ -77,15 +83,24 @@ def remote_scope(raw: Column) -> Column:
         rest = F.regexp_replace(low, COUNTRY, "#")
         zone = F.when(s.rlike("(?i)(?<![a-z])(?:utc|gmt|est|pst|cst|cet)(?![a-z])"), F.array(F.lit("TIMEZONE"))).otherwise(empty)
         regions = F.array_sort(F.array_union(F.transform(F.regexp_extract_all(rest, F.lit(f"({REGION})"), F.lit(1)), F.upper), zone))
-        named = F.array_union(F.transform(countries_in(low), lambda c: vocab.lookup(vocab.COUNTRIES, c)), F.when(s.rlike(US), F.array(F.lit("US"))).otherwise(empty))
+        named = F.array_union(
+            F.transform(countries_in(low), lambda c: vocab.lookup(vocab.COUNTRIES, c)),
+            F.when(s.rlike(US), F.array(F.lit("US"))).otherwise(empty)
+        )
         anywhere = s.rlike("(?i)(?<![a-z])(?:anywhere|world[- ]?wide|globally|global|any location)(?![a-z])")
-        return F.struct(regions.alias("regions"), named.alias("named"), low.rlike(STATE).alias("state_named"), (anywhere & (s != "")).alias("anywhere"), F.when(F.upper(bare).isin(*vocab.STATE_CODES), F.upper(bare)).alias("bare_state"), split_place(bare).alias("place"))
+        return F.struct(
+            regions.alias("regions"), named.alias("named"), low.rlike(STATE).alias("state_named"), (anywhere & (s != "")).alias("anywhere"),
+            F.when(F.upper(bare).isin(*vocab.STATE_CODES), F.upper(bare)).alias("bare_state"), split_place(bare).alias("place")
+        )
 
     def areas_of(x: Column) -> Column:
         state = F.coalesce(x["bare_state"], x["place"]["state"])
         states = F.when(state.isNotNull(), F.array(F.concat(F.lit("US-"), state))).otherwise(empty)
         areas = F.when(x["place"]["city"].isNull(), F.array_sort(F.array_union(x["named"], states))).otherwise(empty)
-        return F.struct(areas.alias("areas"), x["regions"].alias("regions"), ((F.size(x["named"]) > 0) | x["state_named"]).alias("guarded"), x["anywhere"].alias("anywhere"))
+        return F.struct(
+            areas.alias("areas"), x["regions"].alias("regions"), ((F.size(x["named"]) > 0) | x["state_named"]).alias("guarded"),
+            x["anywhere"].alias("anywhere")
+        )
 
     def settle(x: Column) -> Column:
         some = (F.size(x["areas"]) > 0) | (F.size(x["regions"]) > 0)
@@ -128,7 +143,10 @@ def stated_scope(raw: Column) -> Column:
 
     def code(n: Column) -> Column:
         up = F.upper(n)
-        return F.coalesce(vocab.iso_code(n), F.when(up.rlike(SUBDIVISION) & F.left(up, F.lit(2)).isin(*codes), up), F.when(up.isin(*codes) & ~up.isin(*vocab.AMBIGUOUS), up))
+        return F.coalesce(
+            vocab.iso_code(n), F.when(up.rlike(SUBDIVISION) & F.left(up, F.lit(2)).isin(*codes), up),
+            F.when(up.isin(*codes) & ~up.isin(*vocab.AMBIGUOUS), up)
+        )
 
     listed = F.when(F.trim(raw).startswith("["), F.from_json(raw, "array<string>"))
     clean = lambda a: F.filter(F.transform(a, lambda n: F.trim(F.regexp_replace(n, r"(?U)\s+", " "))), lambda n: F.coalesce(n, F.lit("")) != "")
@@ -141,7 +159,9 @@ def stated_scope(raw: Column) -> Column:
             x["raw"].alias("raw"), x["is_list"].alias("is_list"), x["sent"].alias("sent"), F.size(x["names"]).alias("named"), F.array_join(x["names"], ", ").alias("joined"),
             F.forall(x["names"], lambda n: F.lower(n).rlike(f"^{ANYWHERE}$")).alias("anywhere"),
             F.array_sort(F.array_distinct(F.transform(F.filter(each, lambda e: e["code"].isNotNull()), lambda e: e["code"]))).alias("areas"),
-            F.array_sort(F.array_distinct(F.transform(F.filter(each, lambda e: e["code"].isNull() & e["up"].isin(*REGION_TOKENS)), lambda e: e["up"]))).alias("regions"),
+            F.array_sort(
+                F.array_distinct(F.transform(F.filter(each, lambda e: e["code"].isNull() & e["up"].isin(*REGION_TOKENS)), lambda e: e["up"]))
+            ).alias("regions"),
         )
 
     def settle(x: Column) -> Column:
@@ -175,4 +195,6 @@ def scope_allowed(areas: Column, regions: Column, allowed: list[str] | None) ->
     of_us = "US" in up
     area_ok = F.exists(areas, lambda a: F.upper(a).isin(*up) | (F.lit(of_us) & F.upper(a).startswith("US-")))
     region_ok = F.exists(regions, lambda r: F.upper(r).isin(*up) | (F.lit(inclusive) & F.upper(r).isin(*vocab.US_INCLUSIVE)))
-    return F.when(areas.isNull() & regions.isNull(), F.lit("UNSTATED" in up)).otherwise((F.coalesce(F.size(areas) == 0, F.lit(False))) | F.coalesce(area_ok, F.lit(False)) | F.coalesce(region_ok, F.lit(False)))
+    return F.when(areas.isNull() & regions.isNull(), F.lit("UNSTATED" in up)).otherwise(
+        (F.coalesce(F.size(areas) == 0, F.lit(False))) | F.coalesce(area_ok, F.lit(False)) | F.coalesce(region_ok, F.lit(False))
+    )

@@ -29,7 +29,9 @@ def range_text(lo: Column, hi: Column) -> Column:
     """``$lo–$hi`` with thousands separators; one figure alone; else empty."""
     lo, hi = number(lo), number(hi)
     one = lambda x: F.concat(F.lit("$"), F.format_number(x, 0))
-    return F.when(lo.isNotNull() & hi.isNotNull() & (lo != hi), F.concat(one(lo), F.lit("–"), one(hi))).when(F.coalesce(lo, hi).isNotNull(), one(F.coalesce(lo, hi))).otherwise("")
+    return F.when(
+        lo.isNotNull() & hi.isNotNull() & (lo != hi), F.concat(one(lo), F.lit("–"), one(hi))
+    ).when(F.coalesce(lo, hi).isNotNull(), one(F.coalesce(lo, hi))).otherwise("")
 
 
 def parsed(text: Column) -> Column:

@@ -30,7 +30,9 @@ def norm(c: Column) -> Column:
 def norm_location(c: Column) -> Column:
     """The first of several places, without words of arrangement."""
     first = F.lower(F.split_part(empty_if_null(c), F.lit(";"), F.lit(1)))
-    return F.trim(F.regexp_replace(F.regexp_replace(first, r"\b(remote|onsite|on site|hybrid|wfh|telecommute|anywhere|flexible)\b", " "), "[^a-z0-9]+", " "))
+    return F.trim(
+        F.regexp_replace(F.regexp_replace(first, r"\b(remote|onsite|on site|hybrid|wfh|telecommute|anywhere|flexible)\b", " "), "[^a-z0-9]+", " ")
+    )
 
 
 def company_block(c: Column) -> Column:

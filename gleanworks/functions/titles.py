@@ -54,4 +54,7 @@ def decompose(title: Column) -> Column:
     root = F.regexp_replace(F.array_join(kept, " "), r"^[ \-–—,/]+|[ \-–—,/]+$", "")
     pieces = F.flatten(F.transform(_qualifier_texts(F.lower(t)), lambda x: F.split(x, "[(),]")))
     quals = F.filter(F.transform(pieces, lambda x: F.trim(x)), lambda q: (q != "") & ~q.isin(*vocab.TITLE_NOISE))
-    return F.struct(F.when(root != "", root).otherwise(t).alias("root"), F.get(marks, level_at).alias("level"), F.when(F.size(quals) > 0, quals).alias("qualifiers"), seniority.alias("seniority"))
+    return F.struct(
+        F.when(root != "", root).otherwise(t).alias("root"), F.get(marks, level_at).alias("level"),
+        F.when(F.size(quals) > 0, quals).alias("qualifiers"), seniority.alias("seniority")
+    )

@@ -30,12 +30,22 @@ OPENINGS = {
     "teamtailor": [r"teamtailor\.com/jobs/(\d+)"],
 }
 # Path parts that are no slug, and where a Workday board and a requisition stand.
-NO_SLUGS = ("embed", "job_app", "j", "jobs", "robots", "robots.txt", "favicon.ico", "sitemap.xml", "api", "static", "assets", "index.html", "en-us", "www")
+NO_SLUGS = (
+    "embed", "job_app", "j", "jobs", "robots", "robots.txt", "favicon.ico", "sitemap.xml", "api", "static", "assets", "index.html", "en-us",
+    "www"
+)
 WORKDAY = r"(?i)^https?://([a-z0-9-]+)\.(wd\d+)\.myworkdayjobs\.com/(?:[A-Za-z]{2}-[A-Za-z]{2}/)?([A-Za-z0-9_-]+)"
 REQUISITION = r"(?i)myworkdayjobs\.com/.*_([a-z]{0,4}\d{3,}(?:-\d+)?)(?:[/?#]|$)"
 # Hosts that repost, and hosts of employers' own boards.
-AGGREGATORS = ("linkedin.", "indeed.", "ziprecruiter.", "glassdoor.", "monster.", "bebee.", "jobleads.", "theladders.", "lensa.", "careerbuilder.", "talent.com", "jobrapido.", "bandana.", "snagajob.", "simplyhired.", "adzuna.", "jooble.", "trabajo.")
-DIRECT = ("greenhouse.io", "lever.co", "ashbyhq.com", "myworkdayjobs.com", "smartrecruiters.com", "workable.com", "rippling.com", "teamtailor.com", "icims.com", "taleo.net", "successfactors.com", "bamboohr.com", "jobvite.com", "breezy.hr", "recruitee.com", "personio.de", "usajobs.gov", "paylocity.com", "ultipro.com", "adp.com", "oraclecloud.com")
+AGGREGATORS = (
+    "linkedin.", "indeed.", "ziprecruiter.", "glassdoor.", "monster.", "bebee.", "jobleads.", "theladders.", "lensa.", "careerbuilder.",
+    "talent.com", "jobrapido.", "bandana.", "snagajob.", "simplyhired.", "adzuna.", "jooble.", "trabajo."
+)
+DIRECT = (
+    "greenhouse.io", "lever.co", "ashbyhq.com", "myworkdayjobs.com", "smartrecruiters.com", "workable.com", "rippling.com",
+    "teamtailor.com", "icims.com", "taleo.net", "successfactors.com", "bamboohr.com", "jobvite.com", "breezy.hr", "recruitee.com",
+    "personio.de", "usajobs.gov", "paylocity.com", "ultipro.com", "adp.com", "oraclecloud.com"
+)
 
 
 def found(c: Column, pattern: str) -> Column:
@@ -45,7 +55,10 @@ def found(c: Column, pattern: str) -> Column:
 
 def _first_board(low: Column) -> Column:
     """(ats, slug, id) of the first known board; null without one. Each pattern runs once."""
-    each = [F.struct(F.lit(ats).alias("ats"), found(low, pattern).alias("slug"), F.coalesce(*(found(low, p) for p in OPENINGS[ats])).alias("id")) for ats, pattern in BOARDS]
+    each = [
+        F.struct(F.lit(ats).alias("ats"), found(low, pattern).alias("slug"), F.coalesce(*(found(low, p) for p in OPENINGS[ats])).alias("id")) for ats,
+        pattern in BOARDS
+    ]
     return F.get(F.filter(F.array(*each), lambda x: x["slug"].isNotNull() & ~x["slug"].isin("embed", "j", "www")), F.lit(0))
 
 
@@ -61,7 +74,10 @@ def opening(url: Column) -> Column:
 
     def choose(x: Column) -> Column:
         own = F.struct(F.when(x["id"].isNotNull(), x["ats"]).alias("ats"), F.when(x["id"].isNotNull(), x["slug"]).alias("slug"), x["id"].alias("id"))
-        other = F.struct(F.when(jid.isNotNull(), "greenhouse").when(req.isNotNull(), "workday").alias("ats"), F.when(F.coalesce(jid, req).isNotNull(), "").alias("slug"), F.coalesce(jid, req).alias("id"))
+        other = F.struct(
+            F.when(jid.isNotNull(), "greenhouse").when(req.isNotNull(), "workday").alias("ats"),
+            F.when(F.coalesce(jid, req).isNotNull(), "").alias("slug"), F.coalesce(jid, req).alias("id")
+        )
         return F.when(x.isNotNull(), own).otherwise(other)
 
     return bound(_first_board(F.lower(u)), choose)
@@ -78,13 +94,18 @@ def board_entry(url: Column) -> Column:
     def entry(ats: Column, slug: Column, h: Column, s: Column) -> Column:
         return F.struct(ats.alias("ats"), slug.alias("slug"), h.alias("host"), s.alias("site"))
 
-    return F.when(site != "", F.when(~F.lower(site).isin(*NO_SLUGS), entry(F.lit("workday"), F.lower(tenant), F.lower(host), site)).otherwise(entry(null, null, null, null))).otherwise(entry(F.when(ok, at["ats"]), F.when(ok, F.lower(at["slug"])), null, null))
+    return F.when(
+        site != "",
+        F.when(~F.lower(site).isin(*NO_SLUGS), entry(F.lit("workday"), F.lower(tenant), F.lower(host), site)).otherwise(entry(null, null, null, null))
+    ).otherwise(entry(F.when(ok, at["ats"]), F.when(ok, F.lower(at["slug"])), null, null))
 
 
 def entry_key(entry: Column) -> Column:
     """One string for a board's identity: Workday boards by host and site, too."""
     parts = [empty_if_null(entry["ats"]), F.lower(empty_if_null(entry["slug"]))]
-    return F.when(entry["ats"] == "workday", F.concat_ws("/", *parts, F.lower(empty_if_null(entry["host"])), F.lower(empty_if_null(entry["site"])))).otherwise(F.concat_ws("/", *parts))
+    return F.when(
+        entry["ats"] == "workday", F.concat_ws("/", *parts, F.lower(empty_if_null(entry["host"])), F.lower(empty_if_null(entry["site"])))
+    ).otherwise(F.concat_ws("/", *parts))
 
 
 def host(url: Column) -> Column:
@@ -109,4 +130,6 @@ def best_link(links: Column, company: Column, fallback: Column) -> Column:
     """First direct link, else first that isn't an aggregator's, else first, else the fallback."""
     some = F.filter(links, lambda x: x.isNotNull() & (x != ""))
     first = lambda a: F.get(a, F.lit(0))
-    return F.coalesce(first(F.filter(some, lambda x: is_direct(x, company))), first(F.filter(some, lambda x: ~is_aggregator(x))), first(some), fallback)
+    return F.coalesce(
+        first(F.filter(some, lambda x: is_direct(x, company))), first(F.filter(some, lambda x: ~is_aggregator(x))), first(some), fallback
+    )

@@ -68,15 +68,27 @@ STATES = {
 }
 STATE_CODES = sorted({*STATES.values(), "MP"})
 CONTINENTS = ("asia", "africa", "oceania")
-REGIONS = ("north america", "south america", "latin america", "central america", "latam", *CONTINENTS, "northern america", "emea", "apac", "asia-pacific", "asia pacific", "americas", "europe", "european union")
+REGIONS = (
+    "north america", "south america", "latin america", "central america", "latam", *CONTINENTS, "northern america", "emea", "apac",
+    "asia-pacific", "asia pacific", "americas", "europe", "european union"
+)
 NON_US_REGIONS = ("emea", "apac", "asia-pacific", "asia pacific", "latam", *CONTINENTS, "europe", "european", "(eu)", "dubai", "uae")
 EXCLUDED_PLACES = (*sorted(k for k, v in COUNTRIES.items() if v != "US"), *NON_US_REGIONS)
 US_INCLUSIVE = ("US", "ANY", "AMERICAS", "NORTH AMERICA")
-PLACELESS = ("remote", "onsite", "on", "site", "hybrid", "wfh", "telecommute", "anywhere", "work from home", "work-from-home", "virtual", "distributed", "home based", "home-based")
+PLACELESS = (
+    "remote", "onsite", "on", "site", "hybrid", "wfh", "telecommute", "anywhere", "work from home", "work-from-home", "virtual",
+    "distributed", "home based", "home-based"
+)
 INTENSIFIERS = ("fully", "100%", "completely", "permanently", "partially")
-SENIORITY = {"jr": "junior", "junior": "junior", "sr": "senior", "senior": "senior", "staff": "staff", "principal": "principal", "lead": "lead", "associate": "associate", "head": "head", "chief": "chief", "vp": "vp", "director": "director", "intern": "intern"}
+SENIORITY = {
+    "jr": "junior", "junior": "junior", "sr": "senior", "senior": "senior", "staff": "staff", "principal": "principal", "lead": "lead",
+    "associate": "associate", "head": "head", "chief": "chief", "vp": "vp", "director": "director", "intern": "intern"
+}
 LEVELS = {"i": "I", "1": "I", "ii": "II", "2": "II", "iii": "III", "3": "III", "iv": "IV", "4": "IV"}
-MATCH_LEVELS = {"i": "L1", "1": "L1", "ii": "L2", "2": "L2", "iii": "L3", "3": "L3", "iv": "L4", "4": "L4", "jr": "junior", "junior": "junior", "sr": "senior", "senior": "senior", "staff": "staff", "principal": "principal", "lead": "lead", "associate": "associate"}
+MATCH_LEVELS = {
+    "i": "L1", "1": "L1", "ii": "L2", "2": "L2", "iii": "L3", "3": "L3", "iv": "L4", "4": "L4", "jr": "junior", "junior": "junior",
+    "sr": "senior", "senior": "senior", "staff": "staff", "principal": "principal", "lead": "lead", "associate": "associate"
+}
 TITLE_NOISE = ("remote", "onsite", "hybrid", "wfh", "telecommute", "anywhere", "us", "usa")
 QUALIFIER_NOISE = ("remote", "onsite", "on", "site", "hybrid", "wfh", "telecommute", "anywhere")
 USAJOBS_SCHEDULES = {"1": "FULL_TIME", "2": "PART_TIME", "3": "PART_TIME", "4": "TEMPORARY", "5": "PER_DIEM", "6": "TEMPORARY"}
@@ -166,7 +178,10 @@ def _iso_names(spark: SparkSession) -> dict[str, str]:
     found = {}
     for code in jvm.java.util.Locale.getISOCountries():
         name = jvm.java.util.Locale("", code).getDisplayCountry(jvm.java.util.Locale.ENGLISH).lower().replace("’", "'")
-        for form in (name, name.replace(" & ", " and "), name.replace("st. ", "saint "), name.replace("st. ", "saint ").replace(" & ", " and "), name.split(" (")[0], name.removesuffix(" sar china")):
+        for form in (
+            name, name.replace(" & ", " and "), name.replace("st. ", "saint "), name.replace("st. ", "saint ").replace(" & ", " and "),
+            name.split(" (")[0], name.removesuffix(" sar china")
+        ):
             found[form] = code
     return found | COUNTRIES | ISO_FORMS
 

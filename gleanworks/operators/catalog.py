@@ -69,9 +69,13 @@ def freshness(rows: DataFrame, source: str, page: str, posted: Column, as_of: Co
 
     Pages are put in order within their source, as an array: a sample has a handful of them."""
     age = dates.age_days(posted, as_of)
-    whole = rows.groupBy(source).agg(F.median(age).alias("median_age_days"), F.bround(F.count_if(age <= FRESH) / F.count(age), 2).alias("pct_within_100d"))
+    whole = rows.groupBy(source).agg(
+        F.median(age).alias("median_age_days"), F.bround(F.count_if(age <= FRESH) / F.count(age), 2).alias("pct_within_100d")
+    )
     pages = page_ages(rows, source, page, posted, as_of).where("median_age is not null")
-    medians = pages.groupBy(source).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(page).alias("p"), F.col("median_age").alias("m")))), lambda x: x["m"]).alias("_m"))
+    medians = pages.groupBy(source).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct(F.col(page).alias("p"), F.col("median_age").alias("m")))), lambda x: x["m"]).alias("_m")
+    )
     return whole.join(medians, source, "left").select(source, "median_age_days", "pct_within_100d", date_sorted(F.col("_m")).alias("date_sorted"))
 
 
@@ -88,8 +92,13 @@ def burst(answers: DataFrame, source: str = "source", attempt: str = "attempt",
     rows = answers.groupBy(source).agg(at.alias("x"), F.count("*").alias("n"))
     n, s = F.col("x.n").cast("string"), F.col("x.s").cast("string")
     told = F.when(F.col("x.s") == 429, F.concat(F.lit("429 after "), n, F.lit(" consecutive requests with no pause")))
-    told = told.when(F.col("x").isNotNull(), F.concat(F.lit("HTTP "), s, F.lit(" after "), n, F.lit(" requests — server-side, not a documented limit")))
-    return rows.select(source, told.otherwise(F.concat(F.lit("unknown — "), F.col("n").cast("string"), F.lit(" consecutive requests, no 429"))).alias("rate_limit"))
+    told = told.when(
+        F.col("x").isNotNull(), F.concat(F.lit("HTTP "), s, F.lit(" after "), n, F.lit(" requests — server-side, not a documented limit"))
+    )
+    return rows.select(
+        source,
+        told.otherwise(F.concat(F.lit("unknown — "), F.col("n").cast("string"), F.lit(" consecutive requests, no 429"))).alias("rate_limit")
+    )
 
 
 # ---- text of reports
@@ -102,7 +111,9 @@ def bar(share: Column) -> Column:
 
 def truncated(c: Column, limit: int = 600) -> Column:
     """Long text with a mark that says so."""
-    return F.when(F.length(c) > limit, F.concat(F.left(c, F.lit(limit)), F.lit("…[truncated, "), F.length(c).cast("string"), F.lit(" chars total]"))).otherwise(c)
+    return F.when(
+        F.length(c) > limit, F.concat(F.left(c, F.lit(limit)), F.lit("…[truncated, "), F.length(c).cast("string"), F.lit(" chars total]"))
+    ).otherwise(c)
 
 
 def with_param(url: Column, key: str, value: Column) -> Column:
@@ -110,15 +121,22 @@ def with_param(url: Column, key: str, value: Column) -> Column:
     base, rest = F.substring_index(url, "#", 1), F.regexp_extract(url, "(#.*)$", 1)
     path, query = F.substring_index(base, "?", 1), F.regexp_extract(base, r"^[^?]*\?(.*)$", 1)
     kept = F.filter(F.split(query, "&"), lambda p: (p != "") & (F.substring_index(p, "=", 1) != key))
-    return F.concat(path, F.lit("?"), F.array_join(F.concat(kept, F.array(F.concat(F.lit(f"{key}="), F.url_encode(value.cast("string"))))), "&"), rest)
+    return F.concat(
+        path, F.lit("?"), F.array_join(F.concat(kept, F.array(F.concat(F.lit(f"{key}="), F.url_encode(value.cast("string"))))), "&"), rest
+    )
 
 
 def frontmatter(df: DataFrame) -> DataFrame:
     """(source, report): what a probe measured, as the lines of a profile; what it didn't is unknown."""
     had = set(df.columns)
     c = lambda n: F.coalesce(F.col(n).cast("string"), F.lit("unknown")) if n in had else F.lit("unknown")
-    reach = F.coalesce((F.col("page_size").try_cast("long") * F.col("max_page").try_cast("long")).cast("string"), F.lit("unknown")) if {"page_size", "max_page"} <= had else F.lit("unknown")
-    within = F.concat(c("pct_within_100d"), F.when(F.col("pct_within_100d").isNotNull(), F.concat(F.lit("  # "), bar(F.col("pct_within_100d")))).otherwise("")) if "pct_within_100d" in had else F.lit("unknown")
+    reach = F.coalesce(
+        (F.col("page_size").try_cast("long") * F.col("max_page").try_cast("long")).cast("string"), F.lit("unknown")
+    ) if {"page_size", "max_page"} <= had else F.lit("unknown")
+    within = F.concat(
+        c("pct_within_100d"),
+        F.when(F.col("pct_within_100d").isNotNull(), F.concat(F.lit("  # "), bar(F.col("pct_within_100d")))).otherwise("")
+    ) if "pct_within_100d" in had else F.lit("unknown")
     lines = [
         F.lit("query:"), F.concat(F.lit("  title_search: "), c("title_search")), F.concat(F.lit("  param_validation: "), c("param_validation")),
         F.lit("limits:"), F.concat(F.lit("  page_size: "), c("page_size")), F.concat(F.lit("  max_page: "), c("max_page")), F.concat(F.lit("  reachable_per_query: "), reach), F.concat(F.lit("  rate_limit: "), c("rate_limit")),
@@ -134,7 +152,10 @@ CANONICAL = {
     "title": ("title", "jobTitle", "position", "text", "name"),
     "company": ("company_name", "companyName", "company", "employer"),
     "body": ("description", "jobDescription", "content_html", "role_description", "content", "descriptionHtml"),
-    "posted": ("publication_date", "pubDate", "date", "created_at", "createdAt", "posted", "published_at", "date_published", "pub_date", "activeFrom"),
+    "posted": (
+        "publication_date", "pubDate", "date", "created_at", "createdAt", "posted", "published_at", "date_published", "pub_date",
+        "activeFrom"
+    ),
     "url": ("url", "applicationLink", "application_url", "hostedUrl", "absolute_url"),
     "tags": ("tags", "job_skills", "main_skills", "filterTags"),
     "salary": ("salary", "salaryMin", "minSalary", "annualSalaryFrom", "gross_salary_low", "budget_minimum_usd"),
@@ -161,7 +182,9 @@ def unmapped_keys(raw: Column) -> Column:
 def draft(name: str, measured: dict[str, str], record: dict, base: str = TODO, lane: str = "breadth", status: str = TODO) -> str:
     """A profile to finish by hand: measured values, a field map of what names prove, the record itself."""
     found = {f: next((k for k in keys if k in record), None) for f, keys in CANONICAL.items()}
-    fields = [f"  {f}: null" if k is None else f"  {f}: {{ path: {k}, type: {type(record[k]).__name__} }}" for f, k in found.items()] + [f"  {f}: {TODO}" for f in BY_HAND]
+    fields = [
+        f"  {f}: null" if k is None else f"  {f}: {{ path: {k}, type: {type(record[k]).__name__} }}" for f, k in found.items()
+    ] + [f"  {f}: {TODO}" for f in BY_HAND]
     if left := sorted(set(record) - set(found.values())):
         fields.append(f"  # unmapped keys in the record: {', '.join(left)}")
     shown = {k: f"{v[:600]}…[truncated, {len(v)} chars total]" if isinstance(v, str) and len(v) > 600 else v for k, v in record.items()}
@@ -185,7 +208,9 @@ def expected_cells(profile: dict) -> dict[str, str]:
     checked = str(profile["query"]["param_validation"])
     return {
         "status": STATUS_MARKS[profile["status"]], "rights": str(profile["license"]["commercial_use"]),
-        "title?": {"true": "yes", "false": "no"}.get(searched, searched), "junk params": {"ignores_unknown": "silently ignores", "rejects_unknown_400": "rejects (400)"}.get(checked, checked),
+        "title?": {"true": "yes", "false": "no"}.get(searched, searched), "junk params": {
+            "ignores_unknown": "silently ignores", "rejects_unknown_400": "rejects (400)"
+        }.get(checked, checked),
     }
 
 

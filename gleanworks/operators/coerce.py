@@ -10,7 +10,11 @@ from gleanworks.sources.payloads import DEPTH
 
 REQUIRED = ("title", "company", "url", "source", "industry")
 TEXTS = ("posted", "salary", "text", "location", "department", "employment_type")
-STRINGS = ("title_root", "title_level", "category", "team", "parent_company", "city", "state", "country", "remote_type", "remote_basis", "remote_scope_raw", "salary_currency", "salary_period", "salary_basis", "employment_type_raw", "seniority", "seniority_basis", "posted_basis", "expires", "harvested_at")
+STRINGS = (
+    "title_root", "title_level", "category", "team", "parent_company", "city", "state", "country", "remote_type", "remote_basis",
+    "remote_scope_raw", "salary_currency", "salary_period", "salary_basis", "employment_type_raw", "seniority", "seniority_basis",
+    "posted_basis", "expires", "harvested_at"
+)
 NUMBERS = ("salary_min", "salary_max", "salary_estimated_min", "salary_estimated_max")
 ARRAYS = ("title_qualifiers", "tags", "remote_areas", "remote_regions")
 LOCATION = "array<struct<raw:string,city:string,state:string,country:string,url:string>>"
@@ -25,7 +29,10 @@ def _complete(df: DataFrame) -> DataFrame:
     out: dict[str, Column] = {c: F.coalesce(get(c, "string"), F.lit("")) for c in REQUIRED}
     out |= {c: F.nullif(get(c, "string"), F.lit("")) for c in (*TEXTS, *STRINGS)}
     out |= {c: get(c, "double") for c in NUMBERS} | {c: get(c, "array<string>") for c in ARRAYS}
-    out |= {"remote": get("remote", "boolean"), "direct_apply": get("direct_apply", "boolean"), "locations": get("locations", LOCATION), "source_extra": get("source_extra", "map<string,string>")}
+    out |= {
+        "remote": get("remote", "boolean"), "direct_apply": get("direct_apply", "boolean"), "locations": get("locations", LOCATION),
+        "source_extra": get("source_extra", "map<string,string>")
+    }
     return df.withColumns(out)
 
 
@@ -34,7 +41,17 @@ def coerced(df: DataFrame, harvested_at: str) -> DataFrame:
     df = _complete(df)
     c = F.col
     parsed = titles.decompose(c("title"))
-    df = df.withColumn("_t", parsed).withColumns({"title_root": c("_t.root"), "title_level": F.coalesce("title_level", c("_t.level")), "title_qualifiers": F.coalesce("title_qualifiers", c("_t.qualifiers")), "seniority_basis": F.when(c("seniority").isNotNull(), F.coalesce("seniority_basis", F.lit("stated"))).when(c("_t.seniority").isNotNull(), "title"), "seniority": F.coalesce("seniority", c("_t.seniority")), "remote": c("remote_type") == "remote", "country": vocab.country_code(c("country"))}).drop("_t")
+    df = df.withColumn("_t", parsed).withColumns(
+        {
+            "title_root": c("_t.root"), "title_level": F.coalesce("title_level", c("_t.level")),
+            "title_qualifiers": F.coalesce("title_qualifiers", c("_t.qualifiers")),
+            "seniority_basis": F.when(
+                c("seniority").isNotNull(), F.coalesce("seniority_basis", F.lit("stated"))
+            ).when(c("_t.seniority").isNotNull(), "title"),
+            "seniority": F.coalesce("seniority", c("_t.seniority")), "remote": c("remote_type") == "remote",
+            "country": vocab.country_code(c("country"))
+        }
+    ).drop("_t")
     df = df.withColumn("state", F.when(c("country") == "US", F.coalesce(vocab.us_state_code(c("state")), c("state"))).otherwise(c("state")))
     first = F.split_part(text.empty_if_null(c("location")), F.lit(";"), F.lit(1))
     bare = places.split_place(text.strip_arrangement(first))
@@ -54,8 +71,20 @@ def coerced(df: DataFrame, harvested_at: str) -> DataFrame:
     kind = vocab.employment_type(c("employment_type"))
     closed = c("employment_type").isin(*sorted({*vocab.EMPLOYMENT.values(), "OTHER"}))
     unset = c("employment_type_raw").isNull()
-    df = df.withColumns({"employment_type": F.when(unset, F.when(closed, c("employment_type")).otherwise(kind)).otherwise(c("employment_type")), "employment_type_raw": F.when(unset & ~F.coalesce(closed, F.lit(False)), F.nullif(F.trim("employment_type"), F.lit(""))).otherwise(c("employment_type_raw"))})
-    return df.withColumns({"direct_apply": F.coalesce("direct_apply", F.when(c("source") != "", c("source").isin(*DEPTH, *DIRECT_SOURCES))), "harvested_at": F.coalesce("harvested_at", F.lit(harvested_at))})
+    df = df.withColumns(
+        {
+            "employment_type": F.when(unset, F.when(closed, c("employment_type")).otherwise(kind)).otherwise(c("employment_type")),
+            "employment_type_raw": F.when(
+                unset & ~F.coalesce(closed, F.lit(False)), F.nullif(F.trim("employment_type"), F.lit(""))
+            ).otherwise(c("employment_type_raw"))
+        }
+    )
+    return df.withColumns(
+        {
+            "direct_apply": F.coalesce("direct_apply", F.when(c("source") != "", c("source").isin(*DEPTH, *DIRECT_SOURCES))),
+            "harvested_at": F.coalesce("harvested_at", F.lit(harvested_at))
+        }
+    )
 
 
 def with_arrangement(df: DataFrame) -> DataFrame:
@@ -63,6 +92,15 @@ def with_arrangement(df: DataFrame) -> DataFrame:
 
     It reads whole bodies: call it behind the title gate."""
     c = F.col
-    df = df.withColumn("_s", F.when(c("remote_type").isNull(), arrangement.signal(c("title"), c("location"), c("text")))).withColumn("_r", F.when(c("remote_areas").isNull() & c("remote_regions").isNull(), places.remote_scope(c("location"))))
-    df = df.withColumns({"remote_basis": F.when(c("remote_type").isNull() & c("_s.type").isNotNull(), c("_s.basis")).otherwise(c("remote_basis")), "remote_type": F.coalesce("remote_type", c("_s.type")), "remote_areas": F.coalesce("remote_areas", c("_r.areas")), "remote_regions": F.coalesce("remote_regions", c("_r.regions")), "remote_scope_raw": F.coalesce("remote_scope_raw", F.nullif("location", F.lit("")))})
+    df = df.withColumn("_s", F.when(c("remote_type").isNull(), arrangement.signal(c("title"), c("location"), c("text")))).withColumn(
+        "_r", F.when(c("remote_areas").isNull() & c("remote_regions").isNull(), places.remote_scope(c("location")))
+    )
+    df = df.withColumns(
+        {
+            "remote_basis": F.when(c("remote_type").isNull() & c("_s.type").isNotNull(), c("_s.basis")).otherwise(c("remote_basis")),
+            "remote_type": F.coalesce("remote_type", c("_s.type")), "remote_areas": F.coalesce("remote_areas", c("_r.areas")),
+            "remote_regions": F.coalesce("remote_regions", c("_r.regions")),
+            "remote_scope_raw": F.coalesce("remote_scope_raw", F.nullif("location", F.lit("")))
+        }
+    )
     return df.withColumn("remote", c("remote_type") == "remote").drop("_s", "_r")

@@ -27,7 +27,9 @@ def with_entry(df: DataFrame, url: str = "url") -> DataFrame:
     """Adds ats, slug, host, site of the board that the URL names, and its key; rows without one go."""
     entry = urls.board_entry(F.col(url))
     rows = df.withColumn("_e", entry).where("_e.ats is not null")
-    return rows.withColumns({c: F.col(f"_e.{c}") for c in ("ats", "slug", "host", "site")}).withColumn("entry_key", urls.entry_key(F.col("_e"))).drop("_e")
+    return rows.withColumns(
+        {c: F.col(f"_e.{c}") for c in ("ats", "slug", "host", "site")}
+    ).withColumn("entry_key", urls.entry_key(F.col("_e"))).drop("_e")
 
 
 def mined(lines: DataFrame) -> DataFrame:
@@ -60,7 +62,13 @@ def probed(candidates: DataFrame, ask: Callable[[str, str], tuple[int | None, in
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in candidates.schema) + ", status int, roles int, owner string"
     rows = candidates.mapInPandas(run, schema)
-    return rows.withColumn("outcome", outcome(F.col("ats").isin(*known), F.col("status"), F.col("roles"), same_owner(F.col("ats"), F.col("owner"), F.col("name")) if "name" in candidates.columns else None))
+    return rows.withColumn(
+        "outcome",
+        outcome(
+            F.col("ats").isin(*known), F.col("status"), F.col("roles"),
+            same_owner(F.col("ats"), F.col("owner"), F.col("name")) if "name" in candidates.columns else None
+        )
+    )
 
 
 def same_owner(ats: Column, owner: Column, company: Column) -> Column:
@@ -98,7 +106,9 @@ def funnel(postings: DataFrame, known: DataFrame, boards: DataFrame, cfg: Config
     """Boards worth a probe: of relevant postings of unknown companies, not known themselves; the feature's own limit."""
     rows = unknown(with_entry(postings.where(score.relevant(F.col("title"), cfg))), known)
     fresh = rows.join(boards.select("entry_key"), "entry_key", "left_anti")
-    first = fresh.groupBy("entry_key").agg(F.min_by(F.struct("seq", "company", "ats", "slug", "host", "site"), "seq").alias("x")).select("entry_key", "x.*")
+    first = fresh.groupBy("entry_key").agg(
+        F.min_by(F.struct("seq", "company", "ats", "slug", "host", "site"), "seq").alias("x")
+    ).select("entry_key", "x.*")
     return first.orderBy("seq").limit(probes)
 
 
@@ -122,7 +132,10 @@ def guesses(names: DataFrame, services: tuple[str, ...], known: DataFrame) -> Da
     A bare first word is tried only where the service tells who owns a board."""
     each = names.select(F.col("seq").alias("n"), "name", F.posexplode(F.array(*map(F.lit, services))).alias("a", "ats"))
     bold = F.col("ats").isin(*OWNER_TOLD)
-    tried = each.select("n", "a", "ats", "name", F.posexplode(F.when(bold, text.name_variants(F.col("name"), aggressive=True)).otherwise(text.name_variants(F.col("name")))).alias("v", "slug"))
+    tried = each.select(
+        "n", "a", "ats", "name",
+        F.posexplode(F.when(bold, text.name_variants(F.col("name"), aggressive=True)).otherwise(text.name_variants(F.col("name")))).alias("v", "slug")
+    )
     first = tried.groupBy("ats", "slug").agg(F.min(F.struct("n", "a", "v", "name")).alias("x"))
     fresh = first.withColumn("entry_key", F.concat_ws("/", "ats", "slug")).join(known.select("entry_key").distinct(), "entry_key", "left_anti")
     return fresh.select((F.col("x.n").cast("long") * 10_000 + F.col("x.a") * 100 + F.col("x.v")).alias("at"), "ats", "slug", "x.name", "entry_key")
@@ -146,7 +159,9 @@ def seeded_alive(mined_boards: DataFrame, watchlist: DataFrame, limit: int, ask:
             break
         found += [r.asDict() for r in rows if r["outcome"] == "ok"]
         at += step
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in mined_boards.schema) + ", status int, roles int, owner string, outcome string"
+    schema = ", ".join(
+        f"`{f.name}` {f.dataType.simpleString()}" for f in mined_boards.schema
+    ) + ", status int, roles int, owner string, outcome string"
     return spark.createDataFrame(found[:limit], schema)
 
 
@@ -154,7 +169,10 @@ def watch_entries(boards: DataFrame, industry: str, name: str = "slug") -> DataF
     """Boards as entries of a watchlist."""
     have = set(boards.columns)
     c = lambda n: F.col(n) if n in have else F.lit(None).cast("string")
-    return boards.select(F.col(name).alias("name"), "ats", "slug", c("host").alias("host"), c("site").alias("site"), F.lit(industry).alias("industry"), "entry_key")
+    return boards.select(
+        F.col(name).alias("name"), "ats", "slug", c("host").alias("host"), c("site").alias("site"), F.lit(industry).alias("industry"),
+        "entry_key"
+    )
 
 
 def append_watchlist(entries: DataFrame, path: str) -> list[dict]:
@@ -194,8 +212,13 @@ def rejected(companies: DataFrame, services: tuple[str, ...]) -> DataFrame:
     """Adds error: why a company of the watchlist can't be asked, or null."""
     name = F.coalesce(F.col("name"), F.col("slug"), F.lit("?"))
     unset = F.when(F.col("ats") == "workday", F.when(~valid_slug(F.col("host")), "host").when(~valid_slug(F.col("site")), "site"))
-    error = F.when(~F.coalesce(F.col("ats").isin(*services), F.lit(False)), F.concat(name, F.lit(": source '"), F.coalesce("ats", F.lit("")), F.lit("' not enabled")))
-    error = error.when(~valid_slug(F.col("slug")), F.concat(name, F.lit(": invalid slug"))).when(unset.isNotNull(), F.concat(name, F.lit(" (workday): missing/invalid "), unset))
+    error = F.when(
+        ~F.coalesce(F.col("ats").isin(*services), F.lit(False)),
+        F.concat(name, F.lit(": source '"), F.coalesce("ats", F.lit("")), F.lit("' not enabled"))
+    )
+    error = error.when(~valid_slug(F.col("slug")), F.concat(name, F.lit(": invalid slug"))).when(
+        unset.isNotNull(), F.concat(name, F.lit(" (workday): missing/invalid "), unset)
+    )
     return companies.withColumn("error", error)
 
 
@@ -203,7 +226,9 @@ def rejected(companies: DataFrame, services: tuple[str, ...]) -> DataFrame:
 
 def junk_parameter(control_status: Column, control_rows: Column, status: Column, rows: Column) -> Column:
     """What a made-up parameter shows: rejected, ignored, or nothing that tells."""
-    return F.when(status == 400, "rejects_unknown_400").when(status.isin(401, 403), "unknown").when((status == control_status) & (rows == control_rows), "ignores_unknown").otherwise("unknown")
+    return F.when(status == 400, "rejects_unknown_400").when(status.isin(401, 403), "unknown").when(
+        (status == control_status) & (rows == control_rows), "ignores_unknown"
+    ).otherwise("unknown")
 
 
 def filters(status: Column, rows: Column, relevance: Column, base: Column, control_rows: Column) -> Column:

@@ -75,7 +75,10 @@ def exact_fold(df: DataFrame, seq: str = "seq") -> DataFrame:
     """One row per dedup_key: the best by (preference, length of text, score), first on ties; sources united."""
     names = [c for c in df.columns if c != "dedup_key"]
     best = F.max_by(F.struct(*names), F.struct("_pref", "_len", "score", -F.col(seq)))
-    grouped = df.groupBy("dedup_key").agg(best.alias("_best"), F.min(seq).alias("_first"), F.array_sort(F.collect_set(F.when(F.col("source") != "", F.col("source")))).alias("sources"))
+    grouped = df.groupBy("dedup_key").agg(
+        best.alias("_best"), F.min(seq).alias("_first"),
+        F.array_sort(F.collect_set(F.when(F.col("source") != "", F.col("source")))).alias("sources")
+    )
     return grouped.select("dedup_key", *(F.col(f"_best.{c}").alias(c) for c in names), "_first", "sources")
 
 
@@ -125,7 +128,10 @@ def linked(df: DataFrame, threshold: float = 90, floor: float = 82, seq: str = "
     Only slim rows (keys, titles, marks) go through Python; the survivors' other columns are joined back. Titles
     of different levels never match, so a block is folded level by level, each in a task of its own."""
     exact = exact_fold(with_keys(df), seq)
-    slim = ["dedup_key", "_blk", "_nt", "_core", "_levels", "_quals", "_words", "_ats", "_slug", "_ref", "_pref", "_len", "score", "sources", "_first", "_own"]
+    slim = [
+        "dedup_key", "_blk", "_nt", "_core", "_levels", "_quals", "_words", "_ats", "_slug", "_ref", "_pref", "_len", "score", "sources",
+        "_first", "_own"
+    ]
     rows = exact.withColumn("_own", F.col("dedup_key"))
     rows = rows.withColumn("_part", F.array_join("_levels", ","))
     several = rows.where("_blk <> ''").groupBy("_blk", "_part").agg(F.count("*").alias("_n")).where("_n > 1").select("_blk", "_part")
@@ -138,7 +144,9 @@ def linked(df: DataFrame, threshold: float = 90, floor: float = 82, seq: str = "
 
     folded = many.select(*slim, "_part").groupBy("_blk", "_part").applyInPandas(fold, "dedup_key string, _own string, sources array<string>")
     fuzzy = many.drop("dedup_key", "sources").join(folded, "_own")
-    return fuzzy.unionByName(alone).drop("_own", "_blk", "_part", "_nt", "_core", "_levels", "_quals", "_words", "_ats", "_slug", "_ref", "_pref", "_len", "_first")
+    return fuzzy.unionByName(alone).drop(
+        "_own", "_blk", "_part", "_nt", "_core", "_levels", "_quals", "_words", "_ats", "_slug", "_ref", "_pref", "_len", "_first"
+    )
 
 
 def ratios(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -146,6 +154,11 @@ def ratios(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.assign(set_ratio=[token_set_ratio(x or "", y or "") for x, y in zip(pdf[a], pdf[b], strict=True)], sort_ratio=[token_sort_ratio(x or "", y or "") for x, y in zip(pdf[a], pdf[b], strict=True)])
-
-    return pairs.mapInPandas(score, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema) + ", set_ratio double, sort_ratio double")
+            yield pdf.assign(
+                set_ratio=[token_set_ratio(x or "", y or "") for x, y in zip(pdf[a], pdf[b], strict=True)],
+                sort_ratio=[token_sort_ratio(x or "", y or "") for x, y in zip(pdf[a], pdf[b], strict=True)]
+            )
+
+    return pairs.mapInPandas(
+        score, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema) + ", set_ratio double, sort_ratio double"
+    )

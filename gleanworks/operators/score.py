@@ -42,14 +42,32 @@ def with_score(df: DataFrame, cfg: Config) -> DataFrame:
     })
     rows = rows.withColumns({f"_p{n}": text.padded(F.col(n)) for n in ("_text", "_head", "_title", "_company")})
     joined = lambda a: F.concat(F.col(a), F.substr("_p_text", F.lit(2)))  # noqa: E731  one blank between the two
-    rows = rows.withColumns({"_pblob": joined("_p_head"), "_pagency": joined("_p_company"), "_blob": F.concat_ws(" ", "_head", "_text"), "_agency": F.concat_ws(" ", "_company", "_text")})
-    hits = F.filter(F.array(*(F.when(_present(k, F.col("_blob"), F.col("_pblob")), F.struct(F.lit(w).alias("w"), F.lit(k).alias("k"))) for k, w in cfg.fit_weights.items())), lambda x: x.isNotNull())
+    rows = rows.withColumns(
+        {
+            "_pblob": joined("_p_head"), "_pagency": joined("_p_company"), "_blob": F.concat_ws(" ", "_head", "_text"),
+            "_agency": F.concat_ws(" ", "_company", "_text")
+        }
+    )
+    hits = F.filter(
+        F.array(
+            *(
+                F.when(_present(k, F.col("_blob"), F.col("_pblob")), F.struct(F.lit(w).alias("w"), F.lit(k).alias("k"))) for k,
+                w in cfg.fit_weights.items()
+            )
+        ),
+        lambda x: x.isNotNull()
+    )
     rows = rows.withColumns({"_hits": hits, "_dl": F.length("_pblob") - F.length(F.replace("_pblob", F.lit(" "), F.lit(""))) - 1})
     raw = F.aggregate("_hits", F.lit(0), lambda a, x: a + x["w"])
     norm = F.lit(1 - cfg.score_len_b) + F.lit(cfg.score_len_b) * (F.col("_dl") / F.lit(float(cfg.avg_jd_tokens)))
-    body = F.least(F.when(norm > 0, raw * F.lit(cfg.score_k1 + 1) / (F.lit(1.0) + F.lit(cfg.score_k1) * norm)).otherwise(raw.cast("double")), F.lit(float(cfg.blob_score_cap)))
+    body = F.least(
+        F.when(norm > 0, raw * F.lit(cfg.score_k1 + 1) / (F.lit(1.0) + F.lit(cfg.score_k1) * norm)).otherwise(raw.cast("double")),
+        F.lit(float(cfg.blob_score_cap))
+    )
     body = body + F.least(weight_sum(cfg.fit_weights, F.col("_title"), F.col("_p_title")), F.lit(cfg.title_score_cap))
-    body = body - weight_sum(cfg.title_penalty, F.col("_title"), F.col("_p_title")) - F.least(weight_sum(cfg.agency_penalty, F.col("_agency"), F.col("_pagency")), F.lit(cfg.agency_penalty_cap))
+    body = body - weight_sum(cfg.title_penalty, F.col("_title"), F.col("_p_title")) - F.least(
+        weight_sum(cfg.agency_penalty, F.col("_agency"), F.col("_pagency")), F.lit(cfg.agency_penalty_cap)
+    )
     top = F.slice(F.sort_array("_hits", asc=False), 1, 7)
     scored = F.struct(F.bround(body).cast("int").alias("score"), F.array_join(F.transform(top, lambda x: x["k"]), ", ").alias("signals"))
     return rows.select(*names, F.inline(F.array(scored)))
@@ -62,7 +80,10 @@ def adjusted(df: DataFrame, cfg: Config, as_of: Column) -> DataFrame:
     age = dates.age_days(F.col("posted"), as_of)
     far, near = F.coalesce("frontier", F.lit(False)) & ~door, F.coalesce("local", F.lit(False))
     old = F.coalesce(age > cfg.stale_after_days, F.lit(False))
-    labels = F.concat_ws(", ", F.when(near, "local"), F.when(far, "frontier-reach"), F.when(F.col("signals") != "", F.col("signals")), F.when(old, F.concat(age.cast("string"), F.lit("d-old"))))
+    labels = F.concat_ws(
+        ", ", F.when(near, "local"), F.when(far, "frontier-reach"), F.when(F.col("signals") != "", F.col("signals")),
+        F.when(old, F.concat(age.cast("string"), F.lit("d-old")))
+    )
     points = F.col("score") - F.when(far, cfg.frontier_penalty).otherwise(0) + F.when(near, cfg.local_bonus).otherwise(0) - F.when(old, dates.stale_penalty(age, cfg.stale_after_days)).otherwise(0)
     return df.withColumns({"score": points, "signals": labels})
 
@@ -72,7 +93,9 @@ def remote_gate(cfg: Config) -> Column:
     if not cfg.remote_only:
         return F.lit(True)
     c = F.col
-    remote = F.when(c("remote_type").isNotNull(), c("remote_type") == "remote").otherwise(arrangement.mentions_remote(c("title"), c("location"), c("text")))
+    remote = F.when(c("remote_type").isNotNull(), c("remote_type") == "remote").otherwise(
+        arrangement.mentions_remote(c("title"), c("location"), c("text"))
+    )
     out = F.coalesce(c("country") != "US", F.lit(True)) & places.excluded(c("title"), c("location"), tuple(cfg.exclude_locations))
     return remote & ~out & places.scope_allowed(c("remote_areas"), c("remote_regions"), list(cfg.allowed_scopes))
 

@@ -11,7 +11,10 @@ from pyspark.sql.window import Window
 from gleanworks.functions import dates, text, vocab
 from gleanworks.plans.config import Config
 
-COLUMNS = ("id", "first_seen", "posted", "age_days", "score", "llm_score", "llm_note", "status", "salary", "company", "industry", "title", "department", "employment_type", "location", "source", "url", "signals", "dedup_key")
+COLUMNS = (
+    "id", "first_seen", "posted", "age_days", "score", "llm_score", "llm_note", "status", "salary", "company", "industry", "title",
+    "department", "employment_type", "location", "source", "url", "signals", "dedup_key"
+)
 
 
 def tolerant_int(c: Column) -> Column:
@@ -25,7 +28,12 @@ def store_rows(postings: DataFrame, today: Column) -> DataFrame:
     age = dates.age_days(F.col("posted"), today)
     have = set(postings.columns)
     blank = lambda c: text.empty_if_null(F.col(c).cast("string")) if c in have else F.lit("")
-    made = {"id": text.short_id(F.col("dedup_key")), "first_seen": F.date_format(today, "yyyy-MM-dd"), "age_days": F.coalesce(age.cast("string"), F.lit("")), "status": F.lit("new"), "llm_score": F.lit(""), "llm_note": F.lit(""), "title": F.trim(blank("title")), "location": F.trim(blank("location")), "source": F.array_join("sources", ", ") if "sources" in have else blank("source"), "dedup_key": F.col("dedup_key")}
+    made = {
+        "id": text.short_id(F.col("dedup_key")), "first_seen": F.date_format(today, "yyyy-MM-dd"),
+        "age_days": F.coalesce(age.cast("string"), F.lit("")), "status": F.lit("new"), "llm_score": F.lit(""), "llm_note": F.lit(""),
+        "title": F.trim(blank("title")), "location": F.trim(blank("location")),
+        "source": F.array_join("sources", ", ") if "sources" in have else blank("source"), "dedup_key": F.col("dedup_key")
+    }
     return postings.select(*((made[c] if c in made else blank(c)).alias(c) for c in COLUMNS))
 
 
@@ -41,20 +49,31 @@ def upsert(store: DataFrame, run: DataFrame, order: str = "dedup_key") -> DataFr
     A row that was retitled replaces its old key's. Adds is_new."""
     numbered = store.withColumn("_at", F.col(order))
     old = lambda key, tag: _last_by(numbered, key).select(F.col(key).alias(f"_{tag}"), *(F.col(c).alias(f"{tag}_{c}") for c in ("first_seen", "status", "llm_score", "llm_note", "dedup_key")))
-    fresh = run.join(old("dedup_key", "k"), F.col("dedup_key") == F.col("_k"), "left").join(old("url", "u"), (F.col("url") == F.col("_u")) & F.col("_k").isNull(), "left")
+    fresh = run.join(old("dedup_key", "k"), F.col("dedup_key") == F.col("_k"), "left").join(
+        old("url", "u"), (F.col("url") == F.col("_u")) & F.col("_k").isNull(), "left"
+    )
     of = lambda c: F.when(F.col("_k").isNotNull(), F.col(f"k_{c}")).otherwise(F.col(f"u_{c}"))
     known = F.col("_k").isNotNull() | F.col("_u").isNotNull()
     keep = lambda c, default: F.when(known, F.coalesce(F.nullif(of(c), F.lit("")), default)).otherwise(default)
-    merged = fresh.withColumns({"first_seen": keep("first_seen", F.col("first_seen")), "status": keep("status", F.col("status")), "llm_score": keep("llm_score", F.lit("")), "llm_note": keep("llm_note", F.lit("")), "is_new": ~known, "_old": of("dedup_key")})
+    merged = fresh.withColumns(
+        {
+            "first_seen": keep("first_seen", F.col("first_seen")), "status": keep("status", F.col("status")),
+            "llm_score": keep("llm_score", F.lit("")), "llm_note": keep("llm_note", F.lit("")), "is_new": ~known, "_old": of("dedup_key")
+        }
+    )
     replaced = merged.select(F.col("_old").alias("dedup_key")).where("dedup_key is not null").unionByName(merged.select("dedup_key")).distinct()
-    sticky = _last_by(numbered.where(F.col("status").isin(*vocab.STICKY)), "dedup_key").drop("_at").join(replaced, "dedup_key", "left_anti").withColumn("is_new", F.lit(False))
+    sticky = _last_by(
+        numbered.where(F.col("status").isin(*vocab.STICKY)), "dedup_key"
+    ).drop("_at").join(replaced, "dedup_key", "left_anti").withColumn("is_new", F.lit(False))
     return merged.select(*COLUMNS, "is_new").unionByName(sticky.select(*COLUMNS, "is_new"))
 
 
 def annotate(store: DataFrame, notes: DataFrame) -> DataFrame:
     """Graft llm_score and llm_note on by dedup_key."""
     n = notes.select("dedup_key", F.col("llm_score").alias("_s"), F.col("llm_note").alias("_n"))
-    return store.join(n, "dedup_key", "left").withColumns({"llm_score": F.coalesce("_s", "llm_score"), "llm_note": F.coalesce("_n", "llm_note")}).drop("_s", "_n")
+    return store.join(n, "dedup_key", "left").withColumns(
+        {"llm_score": F.coalesce("_s", "llm_score"), "llm_note": F.coalesce("_n", "llm_note")}
+    ).drop("_s", "_n")
 
 
 def mark_status(store: DataFrame, row_id: str, status: str) -> DataFrame:
@@ -90,9 +109,13 @@ def guarded_csv(rows: DataFrame) -> DataFrame:
 def with_meta(df: DataFrame, watchlist: DataFrame) -> DataFrame:
     """Left join of the watchlist on the company's normal form; of doubles the last wins."""
     w = Window.partitionBy("_nk").orderBy(F.desc("seq"))
-    meta = watchlist.withColumn("_nk", text.norm(F.col("name"))).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select("_nk", "frontier", "local", F.col("industry").alias("_industry"))
+    meta = watchlist.withColumn("_nk", text.norm(F.col("name"))).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select(
+        "_nk", "frontier", "local", F.col("industry").alias("_industry")
+    )
     joined = df.withColumn("_nk", text.norm(F.col("company"))).join(meta, "_nk", "left")
-    return joined.withColumn("industry", F.coalesce(F.nullif(text.empty_if_null(F.col("industry")), F.lit("")), F.col("_industry"), F.lit(""))).drop("_nk", "_industry")
+    return joined.withColumn(
+        "industry", F.coalesce(F.nullif(text.empty_if_null(F.col("industry")), F.lit("")), F.col("_industry"), F.lit(""))
+    ).drop("_nk", "_industry")
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -85,9 +85,14 @@ class Run:
     errors: list[tuple[str, str]] = field(default_factory=list)
 
 
-def scan(spark: SparkSession, cfg: config.Config, landed: str, out: str, watchlist: str | None, work: str, day: str, judge: Callable[[str], str] | None = None) -> Run:
+def scan(
+    spark: SparkSession, cfg: config.Config, landed: str, out: str, watchlist: str | None, work: str, day: str,
+    judge: Callable[[str], str] | None = None
+) -> Run:
     """One run: land, harvest, guard, upsert, second opinion, surface. work: a folder that driver and executors share."""
-    wanted = payloads.selected([*(cfg.depth_sources or payloads.DEPTH), *(cfg.breadth_sources or [s for s in payloads.PROJECTIONS if s not in payloads.DEPTH])])
+    wanted = payloads.selected(
+        [*(cfg.depth_sources or payloads.DEPTH), *(cfg.breadth_sources or [s for s in payloads.PROJECTIONS if s not in payloads.DEPTH])]
+    )
     have = {n for n in wanted if files.exists(spark, f"{landed}/{n}")}
     frames, errors = files.each_apart({n: (lambda n=n: files.landed(spark, landed, n)) for n in wanted if n in have}, f"{work}/landed")
     watch = spark.createDataFrame([], files.WATCHLIST)
@@ -226,7 +231,14 @@ def _scan(args: argparse.Namespace, cfg: config.Config, spark: SparkSession) ->
     else:
         (s,) = emit.summary(run.merged, run.surfaced, len(run.errors)).collect()
         print(f"{s.tracked} roles tracked · {s.shortlisted} on the shortlist · {s.fresh} new · {s.errors} feed errors")
-        print("\n".join([*([f"    {a}: {b}" for a, b in run.errors] if args.verbose else []), *show(run.surfaced, cfg, args.limit), emit.credit_line(spark, run.harvested)]))
+        print(
+            "\n".join(
+                [
+                    *([f"    {a}: {b}" for a, b in run.errors] if args.verbose else []), *show(run.surfaced, cfg, args.limit),
+                    emit.credit_line(spark, run.harvested)
+                ]
+            )
+        )
     return 1 if args.strict and run.errors else 0
 
 

@@ -11,11 +11,26 @@ from dataclasses import dataclass, field
 from gleanworks.functions import vocab
 
 # Default keywords and weights.
-TITLE_SIGNAL = ("ai", "ml", "machine learning", "llm", "genai", "generative", "agent", "applied scientist", "forward deployed", "fde", "engineer", "developer", "architect", "automation", "solutions", "data scientist")
-TITLE_EXCLUDE = ("intern", "internship", "recruiter", "sales", "account executive", "marketing", "customer success", "support engineer", "people partner", "talent", "controller", "accountant", "office manager")
-TITLE_PENALTY = {"research scientist": 8, "quantitative researcher": 8, "machine learning researcher": 7, "ai researcher": 6, "member of technical staff": 6}
-AGENCY_PENALTY = {"staff augmentation": 15, "staffing agency": 15, "staffing firm": 15, "our client": 12, "multiple clients": 12, "talent solutions": 12, "consulting firm": 10, "consultancy": 10, "contract-to-hire": 10, "staffing": 8, "recruiter": 8, "c2c": 8}
-APPLIED_DOOR = ("forward deployed", "forward-deployed", "fde", "solutions engineer", "solutions architect", "applied ai", "deployment engineer", "customer engineer")
+TITLE_SIGNAL = (
+    "ai", "ml", "machine learning", "llm", "genai", "generative", "agent", "applied scientist", "forward deployed", "fde", "engineer",
+    "developer", "architect", "automation", "solutions", "data scientist"
+)
+TITLE_EXCLUDE = (
+    "intern", "internship", "recruiter", "sales", "account executive", "marketing", "customer success", "support engineer",
+    "people partner", "talent", "controller", "accountant", "office manager"
+)
+TITLE_PENALTY = {
+    "research scientist": 8, "quantitative researcher": 8, "machine learning researcher": 7, "ai researcher": 6,
+    "member of technical staff": 6
+}
+AGENCY_PENALTY = {
+    "staff augmentation": 15, "staffing agency": 15, "staffing firm": 15, "our client": 12, "multiple clients": 12, "talent solutions": 12,
+    "consulting firm": 10, "consultancy": 10, "contract-to-hire": 10, "staffing": 8, "recruiter": 8, "c2c": 8
+}
+APPLIED_DOOR = (
+    "forward deployed", "forward-deployed", "fde", "solutions engineer", "solutions architect", "applied ai", "deployment engineer",
+    "customer engineer"
+)
 FIT_WEIGHTS = {
     "forward deployed": 4, "fde": 4, "applied ai": 4, "ai engineer": 3, "ml engineer": 3, "solutions engineer": 3,
     "solutions architect": 3, "automation engineer": 3, "platform engineer": 2, "applied scientist": 2, "developer": 1,
@@ -30,7 +45,9 @@ FIT_WEIGHTS = {
 }
 
 
-TITLE_QUERIES = ("AI Engineer", "Applied AI Engineer", "Machine Learning Engineer", "Forward Deployed Engineer", "LLM Engineer", "Software Engineer LLM")
+TITLE_QUERIES = (
+    "AI Engineer", "Applied AI Engineer", "Machine Learning Engineer", "Forward Deployed Engineer", "LLM Engineer", "Software Engineer LLM"
+)
 
 
 # How deep a walk of each source goes at most.
@@ -110,18 +127,29 @@ class Config:
 #: Keys of the file that are named otherwise than the field, by section.
 NAMES = {
     "profile": {"signal_titles": "title_signal"},
-    "scoring": {"title_penalties": "title_penalty", "agency_penalties": "agency_penalty", "length_norm_b": "score_len_b", "body_cap": "blob_score_cap", "title_cap": "title_score_cap"},
+    "scoring": {
+        "title_penalties": "title_penalty", "agency_penalties": "agency_penalty", "length_norm_b": "score_len_b",
+        "body_cap": "blob_score_cap", "title_cap": "title_score_cap"
+    },
     "sources": {"ats": "depth_sources", "boards": "breadth_sources"},
     "tiers": {"strong": "tier_strong", "worth_a_look": "tier_look"},
     "adzuna": {"app_id_env": "adzuna_app_id_env", "app_key_env": "adzuna_app_key_env", "pages": "adzuna_pages"},
-    "google_jobs": {"key_env": "serpapi_key_env", "pages": "google_jobs_pages", "max_searches_per_run": "serpapi_max_searches_per_run", "reserve": "serpapi_reserve"},
+    "google_jobs": {
+        "key_env": "serpapi_key_env", "pages": "google_jobs_pages", "max_searches_per_run": "serpapi_max_searches_per_run",
+        "reserve": "serpapi_reserve"
+    },
     "usajobs": {"results_per_page": "usajobs_results_per_page", "max_pages": "usajobs_max_pages"},
     "funnel": {"auto_grow": "funnel_auto_grow", "max_probes_per_run": "funnel_max_probes_per_run", "max_new_per_run": "funnel_max_new_per_run"},
 }
 #: Fields that the environment may set, under the field's name in capitals; the file goes before it.
-FROM_ENVIRONMENT = ("adzuna_pages", "serpapi_max_searches_per_run", "serpapi_reserve", "google_jobs_pages", "usajobs_results_per_page", "usajobs_max_pages")
+FROM_ENVIRONMENT = (
+    "adzuna_pages", "serpapi_max_searches_per_run", "serpapi_reserve", "google_jobs_pages", "usajobs_results_per_page", "usajobs_max_pages"
+)
 #: Fields that decide where a request goes, or which secret goes with it.
-REDIRECTS = {"llm.base_url": ("llm", "base_url"), "llm.api_key_env": ("llm", "api_key_env"), "sources.google_jobs.key_env": ("serpapi_key_env",), "sources.adzuna.app_key_env": ("adzuna_app_key_env",)}
+REDIRECTS = {
+    "llm.base_url": ("llm", "base_url"), "llm.api_key_env": ("llm", "api_key_env"), "sources.google_jobs.key_env": ("serpapi_key_env",),
+    "sources.adzuna.app_key_env": ("adzuna_app_key_env",)
+}
 
 
 def _from_environment(kind: type, names: tuple[str, ...], environ: Mapping[str, str]) -> dict:

@@ -12,7 +12,9 @@ from gleanworks.plans.config import Config
 from gleanworks.sources import payloads
 
 
-def listed(df: DataFrame, name: str, cfg: Config, day: Column, details: DataFrame | None, keep: Callable[[Column], Column] | None = None) -> DataFrame:
+def listed(
+    df: DataFrame, name: str, cfg: Config, day: Column, details: DataFrame | None, keep: Callable[[Column], Column] | None = None
+) -> DataFrame:
     """One source's rows with a title that is wanted (keep; else the configuration's): the gate comes before bodies
     are cleaned or details joined."""
     wanted = keep(F.coalesce("title", F.lit(""))) if keep else score.relevant(F.col("title"), cfg)
@@ -24,7 +26,10 @@ def listed(df: DataFrame, name: str, cfg: Config, day: Column, details: DataFram
     return rows.drop("detail_key")
 
 
-def harvest(landed: dict[str, DataFrame], cfg: Config, watchlist: DataFrame, as_of: str, harvested_at: str, details: dict[str, DataFrame] | None = None) -> DataFrame:
+def harvest(
+    landed: dict[str, DataFrame], cfg: Config, watchlist: DataFrame, as_of: str, harvested_at: str,
+    details: dict[str, DataFrame] | None = None
+) -> DataFrame:
     """Project, coerce, gate (titles before bodies), score, link. landed: payloads by source; details likewise.
 
     The union is observed (a count of the relevant rows), which also keeps the optimizer from writing all that

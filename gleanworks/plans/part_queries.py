@@ -46,7 +46,9 @@ def sql_chosen(*values: str | None) -> str:
 
 # ---- sources: what to ask for, and where a walk ends
 
-@query("select n_nationkey, case when n_nationkey % 5 = 0 then least(n_nationkey, 10) else least(n_nationkey, 10, greatest(n_nationkey * 3 - 20, 0)) end as spend from nation")
+@query(
+    "select n_nationkey, case when n_nationkey % 5 = 0 then least(n_nationkey, 10) else least(n_nationkey, 10, greatest(n_nationkey * 3 - 20, 0)) end as spend from nation"
+)
 def search_budget(spark: SparkSession, sf: str) -> DataFrame:
     """Planned, cap, balance less reserve; an unknown balance leaves the cap."""
     n = c("n_nationkey")
@@ -68,7 +70,10 @@ def walked_pages(spark: SparkSession, sf: str) -> DataFrame:
     """An offset walk ends with a short or failed page, at the first page's total, or after eight."""
     k = c("p_partkey")
     rows = F.when(c("p_size") % 7 == 0, F.lit(None)).when(c("p_size") % 5 == 0, 3).otherwise(10).cast("int")
-    pages = table(spark, sf, "part").select(F.floor(k / 10).cast("long").alias("slug"), (k % 10).alias("page"), rows.alias("rows"), F.when(k % 10 == 0, c("p_size") * 2).otherwise(0).alias("total"))
+    pages = table(spark, sf, "part").select(
+        F.floor(k / 10).cast("long").alias("slug"), (k % 10).alias("page"), rows.alias("rows"),
+        F.when(k % 10 == 0, c("p_size") * 2).otherwise(0).alias("total")
+    )
     return paging.walked(pages, 10, 8).select("slug", "page", "rows")
 
 
@@ -78,7 +83,10 @@ def walked_pages(spark: SparkSession, sf: str) -> DataFrame:
 def fresh_pages(spark: SparkSession, sf: str) -> DataFrame:
     """A walk from new to old ends with the first page whose youngest row is too old."""
     k = c("o_orderkey")
-    rows = table(spark, sf, "orders").select((k % 20).alias("slug"), (F.floor(k / 20) % 12).cast("long").alias("page"), dates.age_days(F.date_format("o_orderdate", "yyyy-MM-dd"), day()).alias("age"))
+    rows = table(spark, sf, "orders").select(
+        (k % 20).alias("slug"), (F.floor(k / 20) % 12).cast("long").alias("page"),
+        dates.age_days(F.date_format("o_orderdate", "yyyy-MM-dd"), day()).alias("age")
+    )
     return paging.fresh_pages(paging.youngest(rows, c("age")), 20, 10)
 
 
@@ -88,7 +96,10 @@ def followed_links(spark: SparkSession, sf: str) -> DataFrame:
     """A walk along next links ends where there is none, or one that leaves the host."""
     k = c("p_partkey")
     ahead = F.when(c("p_size") % 6 == 0, "").when(c("p_size") % 6 == 1, "https://evil.example/x").otherwise("https://A.example/y")
-    pages = table(spark, sf, "part").select(F.floor(k / 10).cast("long").alias("slug"), (k % 10).alias("page"), F.lit("https://a.example/jobs").alias("url"), ahead.alias("next"))
+    pages = table(spark, sf, "part").select(
+        F.floor(k / 10).cast("long").alias("slug"), (k % 10).alias("page"), F.lit("https://a.example/jobs").alias("url"),
+        ahead.alias("next")
+    )
     return paging.followed(pages, 8).select("slug", "page")
 
 
@@ -96,20 +107,30 @@ def followed_links(spark: SparkSession, sf: str) -> DataFrame:
 def hiring_threads(spark: SparkSession, sf: str) -> DataFrame:
     """The newest threads with the right title."""
     title = F.when(c("o_orderkey") % 3 == 0, "Ask HN: Who is HIRING? (May)").otherwise("Who wants to be hired?")
-    return paging.threads(table(spark, sf, "orders").select("o_orderkey", title.alias("title"), F.struct("o_orderdate", "o_orderkey").alias("created")), 5).select("o_orderkey")
+    return paging.threads(
+        table(spark, sf, "orders").select("o_orderkey", title.alias("title"), F.struct("o_orderdate", "o_orderkey").alias("created")), 5
+    ).select("o_orderkey")
 
 
-@query("select (q.i * 2 + k.i) * 3 + p.page as at, q.x as query, k.x as category, cast(p.page as integer) as page from (values (0, 'a'), (1, 'b')) as q(i, x) cross join (values (0, 'x'), (1, 'y')) as k(i, x) cross join (select unnest(range(3)) as page) as p where (q.i * 2 + k.i) * 3 + p.page < 7")
+@query(
+    "select (q.i * 2 + k.i) * 3 + p.page as at, q.x as query, k.x as category, cast(p.page as integer) as page from (values (0, 'a'), (1, 'b')) as q(i, x) cross join (values (0, 'x'), (1, 'y')) as k(i, x) cross join (select unnest(range(3)) as page) as p where (q.i * 2 + k.i) * 3 + p.page < 7"
+)
 def fanout(spark: SparkSession, sf: str) -> DataFrame:
     """Queries by categories by pages, as far as a budget goes."""
     return paging.within_budget(paging.fan_out(spark, ["a", "b"], 3, ["x", "y"]), 7)
 
 
-@query("select s_suppkey, case s_suppkey % 6 when 0 then 'S' || s_suppkey || ': source ''zzz'' not enabled' when 1 then 'S' || s_suppkey || ': invalid slug' when 2 then 'S' || s_suppkey || ' (workday): missing/invalid site' end as error from supplier")
+@query(
+    "select s_suppkey, case s_suppkey % 6 when 0 then 'S' || s_suppkey || ': source ''zzz'' not enabled' when 1 then 'S' || s_suppkey || ': invalid slug' when 2 then 'S' || s_suppkey || ' (workday): missing/invalid site' end as error from supplier"
+)
 def watchlist_errors(spark: SparkSession, sf: str) -> DataFrame:
     """Companies whose slug, host or site can't go into a request."""
     k = c("s_suppkey") % 6
-    rows = table(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit("S"), c("s_suppkey").cast("string")).alias("name"), F.when(k == 0, "zzz").when(k == 2, "workday").otherwise("lever").alias("ats"), F.when(k == 1, "../x").otherwise("ok-1.a_b").alias("slug"), F.lit("wd1").alias("host"), F.lit(None).cast("string").alias("site"))
+    rows = table(spark, sf, "supplier").select(
+        "s_suppkey", F.concat(F.lit("S"), c("s_suppkey").cast("string")).alias("name"),
+        F.when(k == 0, "zzz").when(k == 2, "workday").otherwise("lever").alias("ats"),
+        F.when(k == 1, "../x").otherwise("ok-1.a_b").alias("slug"), F.lit("wd1").alias("host"), F.lit(None).cast("string").alias("site")
+    )
     return discovery.rejected(rows, payloads.DEPTH).select("s_suppkey", "error")
 
 
@@ -117,19 +138,37 @@ def watchlist_errors(spark: SparkSession, sf: str) -> DataFrame:
 def isolated_sources(spark: SparkSession, sf: str) -> DataFrame:
     """A source that fails, now or when it is read, is an error; the others go on."""
     nation = table(spark, sf, "nation")
-    readers = {"ok": lambda: nation, "broken": lambda: nation.limit(1 // 0), "late": lambda: nation.select(F.raise_error(F.lit("down")).cast("string").alias("x"))}
+    readers = {
+        "ok": lambda: nation, "broken": lambda: nation.limit(1 // 0),
+        "late": lambda: nation.select(F.raise_error(F.lit("down")).cast("string").alias("x"))
+    }
     frames, errors = files.each_apart(readers, scratch(spark, "landing"))
     rows = [(n, e if n == "broken" else "failed") for n, e in errors] + [(n, f"{f.count()} rows") for n, f in frames.items()]
     return spark.createDataFrame(rows, "source string, outcome string")
 
 
-@query("select n_nationkey, 'b' || n_nationkey as slug, case when n_nationkey % 2 = 0 then 'workday/b' || n_nationkey || '/wd1/site' else 'lever/b' || n_nationkey end as entry_key from nation")
+@query(
+    "select n_nationkey, 'b' || n_nationkey as slug, case when n_nationkey % 2 = 0 then 'workday/b' || n_nationkey || '/wd1/site' else 'lever/b' || n_nationkey end as entry_key from nation"
+)
 def watchlist_file(spark: SparkSession, sf: str) -> DataFrame:
     """A watchlist document."""
     n = c("n_nationkey")
-    one = F.struct(F.col("n_name").alias("name"), F.when(n % 2 == 0, "workday").otherwise("lever").alias("ats"), F.concat(F.lit("b"), n.cast("string")).alias("slug"), F.when(n % 2 == 0, "wd1").alias("host"), F.when(n % 2 == 0, "Site").alias("site"))
+    one = F.struct(
+        F.col("n_name").alias("name"), F.when(n % 2 == 0, "workday").otherwise("lever").alias("ats"),
+        F.concat(F.lit("b"), n.cast("string")).alias("slug"), F.when(n % 2 == 0, "wd1").alias("host"),
+        F.when(n % 2 == 0, "Site").alias("site")
+    )
     path = scratch(spark, "watchlist")
-    table(spark, sf, "nation").agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct(n, one.alias("x")))).alias("all"))).alias("j")).select(F.to_json(F.struct(F.transform(F.from_json("j", "all ARRAY<STRUCT<x:STRUCT<name:STRING,ats:STRING,slug:STRING,host:STRING,site:STRING>>>")["all"], lambda x: x["x"]).alias("companies"))).alias("value")).write.text(path)
+    table(spark, sf, "nation").agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct(n, one.alias("x")))).alias("all"))).alias("j")).select(
+        F.to_json(
+            F.struct(
+                F.transform(
+                    F.from_json("j", "all ARRAY<STRUCT<x:STRUCT<name:STRING,ats:STRING,slug:STRING,host:STRING,site:STRING>>>")["all"],
+                    lambda x: x["x"]
+                ).alias("companies")
+            )
+        ).alias("value")
+    ).write.text(path)
     rows = files.watchlist_companies(spark, path)
     return rows.select(F.regexp_extract("slug", "b([0-9]+)", 1).cast("int").alias("n_nationkey"), "slug", "entry_key")
 
@@ -138,13 +177,20 @@ def watchlist_file(spark: SparkSession, sf: str) -> DataFrame:
 def feed_items(spark: SparkSession, sf: str) -> DataFrame:
     """Feeds whose text has HTML entities."""
     path = scratch(spark, "feeds")
-    item = F.concat(F.lit("<item><title>T "), "n_name", F.lit(" &eacute; &amp; co</title><link>https://x.example/"), c("n_nationkey").cast("string"), F.lit("</link><pubDate>d</pubDate><description>a &ndash; b</description></item>"))
-    docs = table(spark, sf, "nation").groupBy("n_regionkey").agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list(item), "\n"), F.lit("</channel></rss>")).alias("value"))
+    item = F.concat(
+        F.lit("<item><title>T "), "n_name", F.lit(" &eacute; &amp; co</title><link>https://x.example/"), c("n_nationkey").cast("string"),
+        F.lit("</link><pubDate>d</pubDate><description>a &ndash; b</description></item>")
+    )
+    docs = table(spark, sf, "nation").groupBy("n_regionkey").agg(
+        F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list(item), "\n"), F.lit("</channel></rss>")).alias("value")
+    )
     docs.select("value").repartition(5).write.text(path)
     return files.feed_text(spark, path).select("title", "link", "body")
 
 
-@query("select 'NATION_' || n_nationkey as name, 1 + case when n_nationkey % 2 = 0 then 1 else 0 end as todos, case when n_nationkey % 2 = 0 then '' else 'auth' end as missing from nation")
+@query(
+    "select 'NATION_' || n_nationkey as name, 1 + case when n_nationkey % 2 = 0 then 1 else 0 end as todos, case when n_nationkey % 2 = 0 then '' else 'auth' end as missing from nation"
+)
 def profile_gaps(spark: SparkSession, sf: str) -> DataFrame:
     """What profiles still lack."""
     path = scratch(spark, "profiles")
@@ -152,7 +198,9 @@ def profile_gaps(spark: SparkSession, sf: str) -> DataFrame:
     table(spark, sf, "nation").repartitionById(25, c("n_nationkey")).select(doc.alias("value")).write.text(path)
     front = files.profiles(spark, path)
     gaps = files.completeness(front, ("name", "auth"))
-    return gaps.join(front.select("path", F.regexp_extract("front", "name: (.*)", 1).alias("name")), "path").where("name <> ''").select("name", "todos", F.array_join("missing", ",").alias("missing"))
+    return gaps.join(
+        front.select("path", F.regexp_extract("front", "name: (.*)", 1).alias("name")), "path"
+    ).where("name <> ''").select("name", "todos", F.array_join("missing", ",").alias("missing"))
 
 
 # ---- predicates
@@ -197,7 +245,9 @@ SCOPED = f"scoped as (select *, case when a = '' then cast([] as varchar[]) else
 
 def _scoped(spark: SparkSession, sf: str) -> DataFrame:
     a, g = chosen(*AREA_LISTS), chosen(*REGION_LISTS)
-    return _placed(spark, sf).withColumns({"remote_areas": F.when(a == "", F.array().cast("array<string>")).otherwise(F.split(a, ",")), "remote_regions": F.split(g, ",")})
+    return _placed(spark, sf).withColumns(
+        {"remote_areas": F.when(a == "", F.array().cast("array<string>")).otherwise(F.split(a, ",")), "remote_regions": F.split(g, ",")}
+    )
 
 
 @query(f"with {PLACED}, {SCOPED} select p_partkey, {SQL_SCOPE} as allowed from scoped")
@@ -214,7 +264,11 @@ def remote_gate(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where(score.remote_gate(config.Config(allowed_scopes=ALLOWED))).select("p_partkey")
 
 
-@query(f"""with {VIEW} select seq from posting where seq % 7 <> 0 and date_diff('day', cast(posted as date), date '{AS_OF}') <= {CFG.max_age_days} and not ({' or '.join(sql_word(k, 'lower(title)') for k in CFG.exclude_titles)}) and ({' or '.join(sql_word(k, 'lower(title)') for k in CFG.title_signal)})""")
+@query(
+    f"""with {VIEW} select seq from posting where seq % 7 <> 0 and date_diff('day', cast(posted as date), date '{AS_OF}') <= {CFG.max_age_days} and not ({
+        ' or '.join(sql_word(k, 'lower(title)') for k in CFG.exclude_titles)
+    }) and ({' or '.join(sql_word(k, 'lower(title)') for k in CFG.title_signal)})"""
+)
 def cheap_gates(spark: SparkSession, sf: str) -> DataFrame:
     """No URL, too old, or off topic."""
     import dataclasses
@@ -223,16 +277,24 @@ def cheap_gates(spark: SparkSession, sf: str) -> DataFrame:
     return score.gated(rows, dataclasses.replace(CFG, remote_only=False), day()).select("seq")
 
 
-@query(f"select p_partkey, trim(lower(coalesce({sql_chosen('Remote', ' ANY ', 'Oslo', '', None, 'anywhere', 'Anywhere, US')}, ''))) in ('', 'remote', 'anywhere', 'any') as placeless from part")
+@query(
+    f"select p_partkey, trim(lower(coalesce({
+        sql_chosen('Remote', ' ANY ', 'Oslo', '', None, 'anywhere', 'Anywhere, US')
+    }, ''))) in ('', 'remote', 'anywhere', 'any') as placeless from part"
+)
 def placeless_queries(spark: SparkSession, sf: str) -> DataFrame:
     """Searches for an arrangement, not a place."""
-    return table(spark, sf, "part").select("p_partkey", places.is_placeless_query(chosen("Remote", " ANY ", "Oslo", "", None, "anywhere", "Anywhere, US")).alias("placeless"))
+    return table(spark, sf, "part").select(
+        "p_partkey", places.is_placeless_query(chosen("Remote", " ANY ", "Oslo", "", None, "anywhere", "Anywhere, US")).alias("placeless")
+    )
 
 
 @query(f"select p_partkey, {sql_chosen('true', 'true', 'false', 'true', 'false', 'true', 'true', 'false')} = 'true' as legal from part")
 def legal_scopes(spark: SparkSession, sf: str) -> DataFrame:
     """Tokens that a policy may hold."""
-    return table(spark, sf, "part").select("p_partkey", places.legal_scope(chosen("us", "US-TX", "USA", "emea", "Narnia", "unstated", "TIMEZONE", "")).alias("legal"))
+    return table(spark, sf, "part").select(
+        "p_partkey", places.legal_scope(chosen("us", "US-TX", "USA", "emea", "Narnia", "unstated", "TIMEZONE", "")).alias("legal")
+    )
 
 
 SQL_LEVEL = "case w " + " ".join(f"when {q(k)} then {q(v)}" for k, v in vocab.MATCH_LEVELS.items()) + " end"
@@ -245,12 +307,17 @@ def sql_title(k: str) -> str:
 
 def _title(prefix: str) -> Column:
     size = c(f"{prefix}.p_size")
-    return F.concat(F.when(size % 3 == 0, "Senior ").otherwise(""), c(f"{prefix}.p_type"), F.when(size % 2 == 0, " II").otherwise(""), F.when(size % 5 == 0, "").otherwise(F.concat(F.lit(", "), c(f"{prefix}.p_name"))))
+    return F.concat(
+        F.when(size % 3 == 0, "Senior ").otherwise(""), c(f"{prefix}.p_type"), F.when(size % 2 == 0, " II").otherwise(""),
+        F.when(size % 5 == 0, "").otherwise(F.concat(F.lit(", "), c(f"{prefix}.p_name")))
+    )
 
 
 def _title_pairs(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part")
-    return p.alias("a").join(p.alias("b"), F.expr("a.p_partkey + 1 = b.p_partkey")).select(c("a.p_partkey").alias("p_partkey"), _title("a").alias("a"), _title("b").alias("b"))
+    return p.alias("a").join(p.alias("b"), F.expr("a.p_partkey + 1 = b.p_partkey")).select(
+        c("a.p_partkey").alias("p_partkey"), _title("a").alias("a"), _title("b").alias("b")
+    )
 
 
 TITLE_PAIRS = f"pairs as (select a.p_partkey, {sql_title('a')} as a, {sql_title('b')} as b from part a join part b on a.p_partkey + 1 = b.p_partkey)"
@@ -260,11 +327,16 @@ SQL_MARKS = ", ".join(
 )
 
 
-@query(f"with {TITLE_PAIRS}, marks as (select *, {SQL_MARKS} from pairs) select p_partkey, array_to_string(la, ',') as levels, array_to_string(list_sort(qa), ',') as qualifiers, la = lb and list_sort(list_filter(qa, lambda x: not list_contains(wb, x))) = list_sort(list_filter(qb, lambda x: not list_contains(wa, x))) as same from marks")
+@query(
+    f"with {TITLE_PAIRS}, marks as (select *, {SQL_MARKS} from pairs) select p_partkey, array_to_string(la, ',') as levels, array_to_string(list_sort(qa), ',') as qualifiers, la = lb and list_sort(list_filter(qa, lambda x: not list_contains(wb, x))) = list_sort(list_filter(qb, lambda x: not list_contains(wa, x))) as same from marks"
+)
 def same_roles(spark: SparkSession, sf: str) -> DataFrame:
     """Levels and qualifiers of two titles speak against one role, or don't."""
     a, b = c("a"), c("b")
-    return _title_pairs(spark, sf).select("p_partkey", F.array_join(titles.levels(a), ",").alias("levels"), F.array_join(titles.qualifiers(a), ",").alias("qualifiers"), titles.same_role(a, b).alias("same"))
+    return _title_pairs(spark, sf).select(
+        "p_partkey", F.array_join(titles.levels(a), ",").alias("levels"), F.array_join(titles.qualifiers(a), ",").alias("qualifiers"),
+        titles.same_role(a, b).alias("same")
+    )
 
 
 def sql_lcs(a: str, b: str) -> str:
@@ -309,8 +381,15 @@ def fuzzy_pairs(spark: SparkSession, sf: str) -> DataFrame:
     k, kind = c("p_partkey"), c("p_size") % 5
     plain = F.concat_ws(" ", "p_type", "p_name")
     other = F.when(kind == 0, F.concat_ws(" ", "p_name", "p_type")).when(kind == 1, F.concat(plain, F.lit("s"))).when(kind == 2, F.concat(plain, F.lit(" II"))).when(kind == 3, F.concat(plain, F.lit(", Berlin"))).otherwise(F.concat_ws(" ", "p_brand", "p_name"))
-    both = F.explode(F.array(F.struct((k * 2).alias("seq"), plain.alias("title"), F.lit("hn").alias("source")), F.struct((k * 2 + 1).alias("seq"), other.alias("title"), F.lit("lever").alias("source")))).alias("x")
-    rows = p.select(F.concat(F.lit("Co "), k.cast("string")).alias("company"), both).select("company", "x.*").withColumns({"location": F.lit(""), "url": F.lit(""), "text": F.lit("t"), "score": F.lit(1)})
+    both = F.explode(
+        F.array(
+            F.struct((k * 2).alias("seq"), plain.alias("title"), F.lit("hn").alias("source")),
+            F.struct((k * 2 + 1).alias("seq"), other.alias("title"), F.lit("lever").alias("source"))
+        )
+    ).alias("x")
+    rows = p.select(F.concat(F.lit("Co "), k.cast("string")).alias("company"), both).select("company", "x.*").withColumns(
+        {"location": F.lit(""), "url": F.lit(""), "text": F.lit("t"), "score": F.lit(1)}
+    )
     return linkage.linked(rows).select("dedup_key", "seq", "title", F.array_join("sources", ",").alias("sources"))
 
 
@@ -324,30 +403,55 @@ def meta_left_join(spark: SparkSession, sf: str) -> DataFrame:
     """Postings with what the watchlist says of their company; of doubles the last counts."""
     k = c("s_suppkey")
     s = table(spark, sf, "supplier")
-    first = s.where(k % 7 != 0).select(k.cast("long").alias("seq"), F.when(k % 2 == 0, c("s_name")).otherwise(F.upper(F.replace("s_name", F.lit("#"), F.lit(" # ")))).alias("name"), (k % 3 == 0).alias("frontier"), (k % 4 == 0).alias("local"), F.when(k % 5 == 0, F.concat(F.lit("i"), k.cast("string"))).alias("industry"))
-    late = s.where((k % 6 == 0) & (k % 7 != 0)).select((k + 1_000_000).alias("seq"), c("s_name").alias("name"), F.lit(True).alias("frontier"), F.lit(False).alias("local"), F.lit("late").alias("industry"))
-    rows = table(spark, sf, "lineitem").join(s, c("l_suppkey") == k).select("l_orderkey", "l_linenumber", c("s_name").alias("company"), F.lit("").alias("industry"))
+    first = s.where(k % 7 != 0).select(
+        k.cast("long").alias("seq"),
+        F.when(k % 2 == 0, c("s_name")).otherwise(F.upper(F.replace("s_name", F.lit("#"), F.lit(" # ")))).alias("name"),
+        (k % 3 == 0).alias("frontier"), (k % 4 == 0).alias("local"),
+        F.when(k % 5 == 0, F.concat(F.lit("i"), k.cast("string"))).alias("industry")
+    )
+    late = s.where((k % 6 == 0) & (k % 7 != 0)).select(
+        (k + 1_000_000).alias("seq"), c("s_name").alias("name"), F.lit(True).alias("frontier"), F.lit(False).alias("local"),
+        F.lit("late").alias("industry")
+    )
+    rows = table(spark, sf, "lineitem").join(s, c("l_suppkey") == k).select(
+        "l_orderkey", "l_linenumber", c("s_name").alias("company"), F.lit("").alias("industry")
+    )
     return store.with_meta(rows, first.unionByName(late)).select("l_orderkey", "l_linenumber", "frontier", "local", "industry")
 
 
-@query("select name, url from (values ('remoteok', 'Remote OK', 'https://remoteok.com'), ('remotive', 'Remotive', 'https://remotive.com'), ('adzuna', 'Adzuna', 'https://www.adzuna.com'), ('himalayas', 'Himalayas', 'https://himalayas.app')) as t(source, name, url) where exists (select 1 from documents where doc_id % 5 = 0) and source <> 'himalayas'")
+@query(
+    "select name, url from (values ('remoteok', 'Remote OK', 'https://remoteok.com'), ('remotive', 'Remotive', 'https://remotive.com'), ('adzuna', 'Adzuna', 'https://www.adzuna.com'), ('himalayas', 'Himalayas', 'https://himalayas.app')) as t(source, name, url) where exists (select 1 from documents where doc_id % 5 = 0) and source <> 'himalayas'"
+)
 def semi_join(spark: SparkSession, sf: str) -> DataFrame:
     """The credits owed for sources that contributed."""
-    rows = table(spark, sf, "documents").select(F.when(c("doc_id") % 5 == 0, F.array(F.lit("remoteok"), F.lit("lever"))).when(c("doc_id") % 5 == 1, F.array(F.lit("remotive"))).otherwise(F.array().cast("array<string>")).alias("sources"), F.when(c("doc_id") % 5 == 2, "adzuna").otherwise("").alias("source"))
+    rows = table(spark, sf, "documents").select(
+        F.when(
+            c("doc_id") % 5 == 0, F.array(F.lit("remoteok"), F.lit("lever"))
+        ).when(c("doc_id") % 5 == 1, F.array(F.lit("remotive"))).otherwise(F.array().cast("array<string>")).alias("sources"),
+        F.when(c("doc_id") % 5 == 2, "adzuna").otherwise("").alias("source")
+    )
     return emit.credits(spark, rows).select("name", "url")
 
 
-@query("select p_partkey, 'Name ' || (p_partkey // 50) as company, 'workday' as source, case when (p_partkey // 50) % 2 = 0 then 'x' else '' end as industry from part where (p_partkey // 50) % 3 <> 0")
+@query(
+    "select p_partkey, 'Name ' || (p_partkey // 50) as company, 'workday' as source, case when (p_partkey // 50) % 2 = 0 then 'x' else '' end as industry from part where (p_partkey // 50) % 3 <> 0"
+)
 def stamped_boards(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of a board with what the watchlist says of its company."""
     board = F.floor(c("p_partkey") / 50).cast("long")
-    rows = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("B"), board.cast("string")).alias("slug"), F.lit("wd1").alias("host"), F.lit("Site").alias("site"))
+    rows = table(spark, sf, "part").select(
+        "p_partkey", F.concat(F.lit("B"), board.cast("string")).alias("slug"), F.lit("wd1").alias("host"), F.lit("Site").alias("site")
+    )
     each = table(spark, sf, "part").select(board.alias("b")).distinct().where("b % 3 <> 0")
     entry = lambda site, name: each.select(F.concat(F.lit(name), c("b").cast("string")).alias("name"), F.lit("workday").alias("ats"), F.concat(F.lit("b"), c("b").cast("string")).alias("slug"), F.lit("WD1").alias("host"), F.lit(site).alias("site"), F.when(c("b") % 2 == 0, "x").alias("industry"))
-    return payloads.stamped(rows, entry("site", "Name ").unionByName(entry("other", "No ")), "workday").select("p_partkey", "company", "source", "industry")
+    return payloads.stamped(
+        rows, entry("site", "Name ").unionByName(entry("other", "No ")), "workday"
+    ).select("p_partkey", "company", "source", "industry")
 
 
-@query("""with boards as (select distinct 'lever/co' || (page_id % 7) as entry_key, 'co' || (page_id % 7) as slug from pages where page_id % 5 = 1) select slug, 'lever' as ats, '(seeded)' as industry from boards where slug not in ('co0', 'co3')""")
+@query(
+    """with boards as (select distinct 'lever/co' || (page_id % 7) as entry_key, 'co' || (page_id % 7) as slug from pages where page_id % 5 = 1) select slug, 'lever' as ats, '(seeded)' as industry from boards where slug not in ('co0', 'co3')"""
+)
 def anti_join(spark: SparkSession, sf: str) -> DataFrame:
     """Mined boards that the watchlist lacks, as its new entries."""
     lines = table(spark, sf, "pages").where("page_id % 5 = 1").select(F.to_json(F.struct(F.expr(BOARD_URLS).alias("url"))).alias("value"))
@@ -360,8 +464,15 @@ def anti_join(spark: SparkSession, sf: str) -> DataFrame:
 def grafted_records(spark: SparkSession, sf: str) -> DataFrame:
     """The store's history with the harvest's record; a store row without a harvest keeps its own sources."""
     k = c("c_custkey")
-    stored = table(spark, sf, "customer").select(F.concat(F.lit("k"), k.cast("string")).alias("dedup_key"), F.when(k % 4 == 0, "applied").otherwise("new").alias("status"), F.floor(F.abs("c_acctbal")).cast("int").cast("string").alias("score"), F.lit("lever, hn").alias("source"))
-    harvested = table(spark, sf, "customer").where(k % 3 < 2).select(F.concat(F.lit("k"), k.cast("string")).alias("dedup_key"), F.lit("9").alias("score"), F.when(k % 3 == 1, "dept").alias("category"), F.when(k % 3 == 1, "body").otherwise("").alias("text"), F.when(k % 3 == 1, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>")).alias("sources"))
+    stored = table(spark, sf, "customer").select(
+        F.concat(F.lit("k"), k.cast("string")).alias("dedup_key"), F.when(k % 4 == 0, "applied").otherwise("new").alias("status"),
+        F.floor(F.abs("c_acctbal")).cast("int").cast("string").alias("score"), F.lit("lever, hn").alias("source")
+    )
+    harvested = table(spark, sf, "customer").where(k % 3 < 2).select(
+        F.concat(F.lit("k"), k.cast("string")).alias("dedup_key"), F.lit("9").alias("score"), F.when(k % 3 == 1, "dept").alias("category"),
+        F.when(k % 3 == 1, "body").otherwise("").alias("text"),
+        F.when(k % 3 == 1, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>")).alias("sources")
+    )
     return emit.grafted(stored, harvested).select("dedup_key", "status", "score", "category", "text", F.array_join("sources", ",").alias("sources"))
 
 
@@ -373,7 +484,9 @@ def _customers(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").select("c_custkey", *(own.get(n, F.lit("")).alias(n) for n in store.COLUMNS))
 
 
-@query("select c_custkey, case when c_custkey % 4 = 0 then '77' when c_custkey % 5 = 0 then cast(c_custkey % 100 as varchar) else '' end as llm_score, case when c_custkey % 4 = 0 then 'new' when c_custkey % 5 = 0 then 'note' else '' end as llm_note from customer")
+@query(
+    "select c_custkey, case when c_custkey % 4 = 0 then '77' when c_custkey % 5 = 0 then cast(c_custkey % 100 as varchar) else '' end as llm_score, case when c_custkey % 4 = 0 then 'new' when c_custkey % 5 = 0 then 'note' else '' end as llm_note from customer"
+)
 def annotations(spark: SparkSession, sf: str) -> DataFrame:
     """J05, ST2: notes grafted on by key."""
     rows = _customers(spark, sf)
@@ -390,7 +503,9 @@ def marked_status(spark: SparkSession, sf: str) -> DataFrame:
     return done.withColumns({"hit": F.lit(store.has_id(rows, row_id)), "slip": F.lit(store.has_id(rows, "nonsense"))})
 
 
-@query("select s_suppkey as n, s_name as name, case when s_suppkey % 2 = 0 then 'lever' else 'ashby' end as ats, case when s_suppkey % 2 = 0 then lower(replace(s_name, '#', '')) else lower(replace(s_name, '#', '-')) end as slug from supplier where s_suppkey % 3 = 0")
+@query(
+    "select s_suppkey as n, s_name as name, case when s_suppkey % 2 = 0 then 'lever' else 'ashby' end as ats, case when s_suppkey % 2 = 0 then lower(replace(s_name, '#', '')) else lower(replace(s_name, '#', '-')) end as slug from supplier where s_suppkey % 3 = 0"
+)
 def names_matched(spark: SparkSession, sf: str) -> DataFrame:
     """Companies with boards of a known universe, by exact slugs."""
     k = c("s_suppkey")
@@ -400,10 +515,14 @@ def names_matched(spark: SparkSession, sf: str) -> DataFrame:
     return discovery.match_known(s.select(k.alias("seq"), c("s_name").alias("name")), universe)
 
 
-@query("select n_name as name, 'region' as field, cast(n_regionkey as varchar) as profile, case when n_nationkey % 5 <> 0 then '9' end as indexed from nation where n_nationkey % 5 = 0 or (n_nationkey % 3 = 0 and n_nationkey % 5 <> 0) union all select n_name, 'key', cast(n_nationkey as varchar), null from nation where n_nationkey % 5 = 0")
+@query(
+    "select n_name as name, 'region' as field, cast(n_regionkey as varchar) as profile, case when n_nationkey % 5 <> 0 then '9' end as indexed from nation where n_nationkey % 5 = 0 or (n_nationkey % 3 = 0 and n_nationkey % 5 <> 0) union all select n_name, 'key', cast(n_nationkey as varchar), null from nation where n_nationkey % 5 = 0"
+)
 def index_drift(spark: SparkSession, sf: str) -> DataFrame:
     """Where an index disagrees with its profiles, or lacks one."""
-    n = table(spark, sf, "nation").select(c("n_name").alias("name"), c("n_regionkey").cast("string").alias("region"), c("n_nationkey").cast("string").alias("key"))
+    n = table(spark, sf, "nation").select(
+        c("n_name").alias("name"), c("n_regionkey").cast("string").alias("region"), c("n_nationkey").cast("string").alias("key")
+    )
     index = n.where("key % 5 <> 0").withColumn("region", F.when(c("key") % 3 == 0, "9").otherwise(c("region")))
     return files.drift(n, index, ("region", "key"))
 
@@ -420,7 +539,9 @@ def contamination(spark: SparkSession, sf: str) -> DataFrame:
     are searched for such pairs alone. Passages without an inner word are few and stated: they go over all texts in blocks."""
     b = table(spark, sf, "benchmark").where("text is not null")
     short = b.where("item_id % 4 = 0").select((c("item_id") + 1000).alias("item_id"), F.regexp_extract("text", r"^\S+ (\S+ \S+)", 1).alias("passage"))
-    passages = b.select("item_id", c("text").alias("passage")).unionByName(short).unionByName(spark.createDataFrame([(2000, "anha")], "item_id long, passage string"))
+    passages = b.select("item_id", c("text").alias("passage")).unionByName(short).unionByName(
+        spark.createDataFrame([(2000, "anha")], "item_id long, passage string")
+    )
     return contained(table(spark, sf, "documents").select("doc_id", "text"), passages)
 
 
@@ -430,36 +551,57 @@ def contained(docs: DataFrame, passages: DataFrame, block: int = 200) -> DataFra
     parts = F.split("passage", " ")
     inner = passages.withColumn("words", F.array_distinct(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))))
     wanted = inner.select("item_id", F.explode("words").alias("word"))
-    held = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("word")).join(wanted.select("word").distinct(), "word", "left_semi")
+    held = docs.select(
+        "doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("word")
+    ).join(wanted.select("word").distinct(), "word", "left_semi")
     often = held.groupBy("word").agg(F.count("*").alias("docs"))
-    rarest = wanted.join(often, "word", "left").groupBy("item_id").agg(F.min(F.struct(F.coalesce("docs", F.lit(0)).alias("docs"), "word")).alias("x")).where("x.docs > 0").select("item_id", "x.word")
+    rarest = wanted.join(often, "word", "left").groupBy("item_id").agg(
+        F.min(F.struct(F.coalesce("docs", F.lit(0)).alias("docs"), "word")).alias("x")
+    ).where("x.docs > 0").select("item_id", "x.word")
     pairs = held.join(rarest, "word").select("doc_id", "item_id").distinct()
     found = pairs.join(docs, "doc_id").join(passages, "item_id").where(F.contains("text", "passage")).select("doc_id", "item_id")
-    bare = inner.where(F.size("words") == 0).select(F.pmod(F.xxhash64("item_id", "passage"), F.lit(64)).alias("g"), F.struct("item_id", "passage").alias("p")).groupBy("g").agg(F.collect_list("p").alias("all"))
-    blocks = bare.select(F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.size("all") - 1) / block).cast("int")), lambda i: F.slice("all", i * block + 1, F.lit(block)))).alias("block"))
-    over = docs.crossJoin(F.broadcast(blocks)).select("doc_id", F.explode(F.filter("block", lambda p: F.contains(c("text"), p["passage"]))).alias("p")).select("doc_id", "p.item_id")
+    bare = inner.where(F.size("words") == 0).select(
+        F.pmod(F.xxhash64("item_id", "passage"), F.lit(64)).alias("g"), F.struct("item_id", "passage").alias("p")
+    ).groupBy("g").agg(F.collect_list("p").alias("all"))
+    blocks = bare.select(
+        F.explode(
+            F.transform(F.sequence(F.lit(0), F.floor((F.size("all") - 1) / block).cast("int")), lambda i: F.slice("all", i * block + 1, F.lit(block)))
+        ).alias("block")
+    )
+    over = docs.crossJoin(F.broadcast(blocks)).select(
+        "doc_id", F.explode(F.filter("block", lambda p: F.contains(c("text"), p["passage"]))).alias("p")
+    ).select("doc_id", "p.item_id")
     return found.unionByName(over).distinct()
 
 
 # ---- aggregates, order
 
-@query("select doc_id, source from documents where doc_id in (select min(doc_id) from documents where n_chars % 9 <> 0 group by n_chars) or n_chars % 9 = 0")
+@query(
+    "select doc_id, source from documents where doc_id in (select min(doc_id) from documents where n_chars % 9 <> 0 group by n_chars) or n_chars % 9 = 0"
+)
 def first_wins(spark: SparkSession, sf: str) -> DataFrame:
     """The first row of each key; rows without a key all stay."""
     d = table(spark, sf, "documents").select("doc_id", "source", "n_chars").withColumn("seq", c("doc_id")).withColumn("position", F.lit(0))
     return payloads.first_wins(d, F.when(c("n_chars") % 9 != 0, c("n_chars").cast("string"))).select("doc_id", "source")
 
 
-@query("select source, count(*) as rows from (select source from documents where doc_id % 3 <> 0 union all select 'extra' from documents where doc_id % 3 = 1) where source is not null and source <> '' group by 1")
+@query(
+    "select source, count(*) as rows from (select source from documents where doc_id % 3 <> 0 union all select 'extra' from documents where doc_id % 3 = 1) where source is not null and source <> '' group by 1"
+)
 def rows_by_source(spark: SparkSession, sf: str) -> DataFrame:
     """Rows that each source contributed to; a row without a list counts for its own source, or for none."""
     d = table(spark, sf, "documents")
     own = F.array(F.coalesce("source", F.lit("")))
-    rows = d.withColumn("sources", F.when(c("doc_id") % 3 == 1, F.concat(F.array_remove(own, ""), F.array(F.lit("extra")))).otherwise(F.array().cast("array<string>"))).withColumn("source", F.when(c("doc_id") % 3 == 0, "").otherwise(F.coalesce("source", F.lit(""))))
+    rows = d.withColumn(
+        "sources",
+        F.when(c("doc_id") % 3 == 1, F.concat(F.array_remove(own, ""), F.array(F.lit("extra")))).otherwise(F.array().cast("array<string>"))
+    ).withColumn("source", F.when(c("doc_id") % 3 == 0, "").otherwise(F.coalesce("source", F.lit(""))))
     return emit.by_source(rows)
 
 
-@query("""with s as (select source, count(*) as n from documents group by 1) select (select count(*) from documents) as rows, (select string_agg(source || '=' || n, ',' order by source) from s) as by_source, cast(2 as bigint) as sources_failed, 'a,b' as errors, 3 as companies_discovered, 'postings.manifest' as kind""")
+@query(
+    """with s as (select source, count(*) as n from documents group by 1) select (select count(*) from documents) as rows, (select string_agg(source || '=' || n, ',' order by source) from s) as by_source, cast(2 as bigint) as sources_failed, 'a,b' as errors, 3 as companies_discovered, 'postings.manifest' as kind"""
+)
 def manifest(spark: SparkSession, sf: str) -> DataFrame:
     """One row about a run."""
     rows = table(spark, sf, "documents").withColumn("sources", F.array("source"))
@@ -468,7 +610,9 @@ def manifest(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("rows", told.alias("by_source"), "sources_failed", F.array_join("errors", ",").alias("errors"), "companies_discovered", "kind")
 
 
-@query("select (select count(*) from customer) as tracked, count(*) as shortlisted, count(*) filter (where c_custkey % 2 = 0) as fresh, cast(4 as bigint) as errors from customer where c_custkey % 7 <> 0 and c_custkey % 50 >= 5 and (c_custkey % 3 = 0 or c_custkey % 90 <= 1200)")
+@query(
+    "select (select count(*) from customer) as tracked, count(*) as shortlisted, count(*) filter (where c_custkey % 2 = 0) as fresh, cast(4 as bigint) as errors from customer where c_custkey % 7 <> 0 and c_custkey % 50 >= 5 and (c_custkey % 3 = 0 or c_custkey % 90 <= 1200)"
+)
 def run_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Tracked, shortlisted, new, failed."""
     rows = _customers(spark, sf).withColumn("is_new", c("c_custkey") % 2 == 0)
@@ -489,18 +633,24 @@ def by_score(spark: SparkSession, sf: str) -> DataFrame:
     return store.by_score(_customers(spark, sf)).limit(30).select("c_custkey")
 
 
-@query("select c_custkey, left(sha1(c_name), 7) as id, cast(c_custkey % 50 as varchar) as score, case when c_custkey % 11 = 0 then '''=1+1' else c_mktsegment || ' engineer' end as title, case when c_custkey % 13 = 0 then 'a, \"b\"' || chr(10) || 'c' else '' end as signals from customer")
+@query(
+    "select c_custkey, left(sha1(c_name), 7) as id, cast(c_custkey % 50 as varchar) as score, case when c_custkey % 11 = 0 then '''=1+1' else c_mktsegment || ' engineer' end as title, case when c_custkey % 13 = 0 then 'a, \"b\"' || chr(10) || 'c' else '' end as signals from customer"
+)
 def store_sheet(spark: SparkSession, sf: str) -> DataFrame:
     """The store's CSV, written and read back."""
     k = c("c_custkey")
-    rows = _customers(spark, sf).withColumns({"title": F.when(k % 11 == 0, "=1+1").otherwise(c("title")), "signals": F.when(k % 13 == 0, 'a, "b"\nc').otherwise("")})
+    rows = _customers(spark, sf).withColumns(
+        {"title": F.when(k % 11 == 0, "=1+1").otherwise(c("title")), "signals": F.when(k % 13 == 0, 'a, "b"\nc').otherwise("")}
+    )
     path = f"{scratch(spark, 'sheet')}.csv"
     versions.write_sheet(rows, path)
     back = files.store_csv(spark, path)
     return back.select(F.regexp_extract("company", "#0*([0-9]+)", 1).cast("long").alias("c_custkey"), "id", "score", "title", "signals")
 
 
-@query("select o_orderpriority as source, cast(median(a) as double) as median_age_days, round_even(cast(count(*) filter (where a <= 100) as double) / count(*), 2) as pct_within_100d, case when o_orderpriority like '1%' then 'true' else 'false' end as date_sorted from (select *, a0 + case when o_orderpriority like '1%' then 0 else 0 end as a from (select *, " + AGE + " as a0 from orders)) group by 1, 4")
+@query(
+    "select o_orderpriority as source, cast(median(a) as double) as median_age_days, round_even(cast(count(*) filter (where a <= 100) as double) / count(*), 2) as pct_within_100d, case when o_orderpriority like '1%' then 'true' else 'false' end as date_sorted from (select *, a0 + case when o_orderpriority like '1%' then 0 else 0 end as a from (select *, " + AGE + " as a0 from orders)) group by 1, 4"
+)
 def freshness(spark: SparkSession, sf: str) -> DataFrame:
     """How old a source's sampled pages are, and whether they come by date (one source's do)."""
     o = table(spark, sf, "orders").withColumn("posted", F.date_format("o_orderdate", "yyyy-MM-dd"))
@@ -509,7 +659,9 @@ def freshness(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.freshness(o.withColumns({"source": c("o_orderpriority"), "page": page}), "source", "page", c("posted"), day())
 
 
-@query("select cast(list_position(['unknown', 'unknown', 'true', 'true', 'false', 'false'], v) as integer) as first, v as verdict, i from (select unnest(['unknown', 'unknown', 'true', 'true', 'false', 'false']) as v, unnest(range(6)) as i)")
+@query(
+    "select cast(list_position(['unknown', 'unknown', 'true', 'true', 'false', 'false'], v) as integer) as first, v as verdict, i from (select unnest(['unknown', 'unknown', 'true', 'true', 'false', 'false']) as v, unnest(range(6)) as i)"
+)
 def date_sorted(spark: SparkSession, sf: str) -> DataFrame:
     """Rising with slack, too little rise, a fall, too few pages."""
     rows = [(0, None), (1, [1.0, 90.0]), (2, [0.0, 20.0, 40.0]), (3, [0.0, 50.0, 46.0]), (4, [0.0, 50.0, 40.0]), (5, [0.0, 10.0, 30.0])]
@@ -519,23 +671,31 @@ def date_sorted(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("i", verdict.alias("verdict"), first.alias("first"))
 
 
-@query("select lang, cast(count(*) filter (where contains(lower(coalesce(text, '')), 'the')) as double) / count(*) as share from documents group by 1")
+@query(
+    "select lang, cast(count(*) filter (where contains(lower(coalesce(text, '')), 'the')) as double) / count(*) as share from documents group by 1"
+)
 def relevance_share(spark: SparkSession, sf: str) -> DataFrame:
     """The share of rows that are about a term."""
     return table(spark, sf, "documents").groupBy("lang").agg(catalog.relevance(c("text"), "THE").alias("share"))
 
 
-@query("select count(*) as bodies, cast(median(length(text)) as double) as median_chars from documents where length(text) >= 200 and length(text) - length(replace(text, ' ', '')) >= 20 and not starts_with(text, 'http')")
+@query(
+    "select count(*) as bodies, cast(median(length(text)) as double) as median_chars from documents where length(text) >= 200 and length(text) - length(replace(text, ' ', '')) >= 20 and not starts_with(text, 'http')"
+)
 def body_lengths(spark: SparkSession, sf: str) -> DataFrame:
     """The longest text of a record that reads as prose."""
     return catalog.body_lengths(table(spark, sf, "documents"), F.array("lang", "text", "source"))
 
 
-@query("select s_suppkey % 3 as source, case s_suppkey % 3 when 0 then '429 after 4 consecutive requests with no pause' when 1 then 'HTTP 503 after 2 requests — server-side, not a documented limit' else 'unknown — 6 consecutive requests, no 429' end as rate_limit from supplier where s_suppkey < 3")
+@query(
+    "select s_suppkey % 3 as source, case s_suppkey % 3 when 0 then '429 after 4 consecutive requests with no pause' when 1 then 'HTTP 503 after 2 requests — server-side, not a documented limit' else 'unknown — 6 consecutive requests, no 429' end as rate_limit from supplier where s_suppkey < 3"
+)
 def rate_bursts(spark: SparkSession, sf: str) -> DataFrame:
     """What a burst of requests ran into first."""
     n, k = c("n"), c("source")
-    rows = table(spark, sf, "supplier").where("s_suppkey < 3").select(c("s_suppkey").alias("source"), F.explode(F.sequence(F.lit(1), F.lit(6))).alias("n"))
+    rows = table(spark, sf, "supplier").where("s_suppkey < 3").select(
+        c("s_suppkey").alias("source"), F.explode(F.sequence(F.lit(1), F.lit(6))).alias("n")
+    )
     status = F.when((k == 0) & (n >= 4), 429).when((k == 1) & (n == 2), 503).when((k == 1) & (n == 3), 429).otherwise(200)
     return catalog.burst(rows.select("source", n.alias("attempt"), status.alias("status")))
 
@@ -547,24 +707,34 @@ def role_first_turn(spark: SparkSession, sf: str) -> DataFrame:
     return payloads.first_wins(rows, F.concat_ws("/", "conv_id", "role")).select("conv_id", "role", c("turn").alias("first_turn"))
 
 
-@query("select c_custkey, case c_custkey % 5 when 0 then 'ignores_unknown' when 1 then 'rejects_unknown_400' else 'unknown' end as verdict from customer")
+@query(
+    "select c_custkey, case c_custkey % 5 when 0 then 'ignores_unknown' when 1 then 'rejects_unknown_400' else 'unknown' end as verdict from customer"
+)
 def junk_parameters(spark: SparkSession, sf: str) -> DataFrame:
     """What a made-up parameter shows."""
     k = c("c_custkey") % 5
     status = F.when(k == 1, 400).when(k == 2, 403).otherwise(200)
-    return table(spark, sf, "customer").select("c_custkey", discovery.junk_parameter(F.lit(200), F.lit(10), status, F.when(k == 3, 9).when(k == 4, 0).otherwise(10)).alias("verdict"))
+    return table(spark, sf, "customer").select(
+        "c_custkey",
+        discovery.junk_parameter(F.lit(200), F.lit(10), status, F.when(k == 3, 9).when(k == 4, 0).otherwise(10)).alias("verdict")
+    )
 
 
 @query("select 37 as ceiling, 1 as one, cast(null as integer) as ignored")
 def page_ceilings(spark: SparkSession, sf: str) -> DataFrame:
     """The last page that returns rows, by doubling and halving."""
-    found = [discovery.page_ceiling(lambda n: (200, 20) if n <= 37 else (200, 0), 20), discovery.page_ceiling(lambda n: (200, 20) if n <= 1 else (404, 0), 20), discovery.page_ceiling(lambda n: (200, 20), 20)]
+    found = [
+        discovery.page_ceiling(lambda n: (200, 20) if n <= 37 else (200, 0), 20),
+        discovery.page_ceiling(lambda n: (200, 20) if n <= 1 else (404, 0), 20), discovery.page_ceiling(lambda n: (200, 20), 20)
+    ]
     return spark.createDataFrame([tuple(found)], "ceiling int, one int, ignored int")
 
 
 # ---- scalar functions
 
-@query(f"select p_partkey, case when core <> '' then core else whole end as core from (select p_partkey, {sql_norm('t')} as whole, array_to_string(list_filter(string_split({sql_norm('t')}, ' '), lambda w: w not in ({', '.join(q(w) for w in vocab.TITLE_NOISE)})), ' ') as core from (select p_partkey, case when p_size % 9 = 0 then 'Remote (US)' else 'Remote ' || p_type || ', USA / ' || p_name end as t from part))")
+@query(
+    f"select p_partkey, case when core <> '' then core else whole end as core from (select p_partkey, {sql_norm('t')} as whole, array_to_string(list_filter(string_split({sql_norm('t')}, ' '), lambda w: w not in ({', '.join(q(w) for w in vocab.TITLE_NOISE)})), ' ') as core from (select p_partkey, case when p_size % 9 = 0 then 'Remote (US)' else 'Remote ' || p_type || ', USA / ' || p_name end as t from part))"
+)
 def title_cores(spark: SparkSession, sf: str) -> DataFrame:
     """titles without words of arrangement, unless nothing else is left."""
     t = F.when(c("p_size") % 9 == 0, "Remote (US)").otherwise(F.concat(F.lit("Remote "), "p_type", F.lit(", USA / "), "p_name"))
@@ -574,18 +744,30 @@ def title_cores(spark: SparkSession, sf: str) -> DataFrame:
 @query("select p_partkey, replace(p_name, ' ', ' - ') || ' x-y' as place from part")
 def unslugged_places(spark: SparkSession, sf: str) -> DataFrame:
     """words out of a path's segment."""
-    return table(spark, sf, "part").select("p_partkey", payloads.unslugged(F.concat(F.replace("p_name", F.lit(" "), F.lit("---")), F.lit("-x--y"))).alias("place"))
+    return table(spark, sf, "part").select(
+        "p_partkey", payloads.unslugged(F.concat(F.replace("p_name", F.lit(" "), F.lit("---")), F.lit("-x--y"))).alias("place")
+    )
 
 
-@query("select p_partkey, case p_size % 4 when 0 then p_name when 1 then p_name || ', x' when 2 then 'a, ' || p_name else '' end as joined, case p_size % 3 when 0 then 'a' when 1 then 'b' end as first from part")
+@query(
+    "select p_partkey, case p_size % 4 when 0 then p_name when 1 then p_name || ', x' when 2 then 'a, ' || p_name else '' end as joined, case p_size % 3 when 0 then 'a' when 1 then 'b' end as first from part"
+)
 def text_or_lists(spark: SparkSession, sf: str) -> DataFrame:
     """a field that is text or a list, and the first that says something."""
     k = c("p_size") % 4
-    raw = F.when(k == 0, c("p_name")).when(k == 1, F.to_json(F.array("p_name", F.lit(""), F.lit("x")))).when(k == 2, F.to_json(F.array(F.lit("a"), c("p_name")))).otherwise("[]")
-    return table(spark, sf, "part").select("p_partkey", payloads.joined(raw).alias("joined"), F.nullif(payloads.first_of(chosen("a", "", None), chosen("x", "b", "")), F.lit("")).alias("first"))
+    raw = F.when(k == 0, c("p_name")).when(
+        k == 1, F.to_json(F.array("p_name", F.lit(""), F.lit("x")))
+    ).when(k == 2, F.to_json(F.array(F.lit("a"), c("p_name")))).otherwise("[]")
+    return table(spark, sf, "part").select(
+        "p_partkey", payloads.joined(raw).alias("joined"),
+        F.nullif(payloads.first_of(chosen("a", "", None), chosen("x", "b", "")), F.lit("")).alias("first")
+    )
 
 
-STRIPPED = {"Oslo (Remote)": "Oslo", "Remote - Oslo, [hybrid]": "Oslo", "(( ))": "", "Remoteville": "Remoteville", "On-site / Bergen |": "Bergen", "work from home": ""}
+STRIPPED = {
+    "Oslo (Remote)": "Oslo", "Remote - Oslo, [hybrid]": "Oslo", "(( ))": "", "Remoteville": "Remoteville", "On-site / Bergen |": "Bergen",
+    "work from home": ""
+}
 
 
 @query(f"select p_partkey, {sql_chosen(*STRIPPED.values())} as place from part")
@@ -597,13 +779,23 @@ def stripped_places(spark: SparkSession, sf: str) -> DataFrame:
 KINDS = {"Fully-Remote": "remote", "HYBRID": "hybrid", "On-Site": "onsite", "no remote": "onsite", "moon": None, "": None}
 
 
-@query(f"select p_partkey, {sql_chosen(*KINDS.values())} as remote_type, {sql_chosen('US', 'GB', None, 'KR', 'XX')} as country, {sql_chosen('TX', 'DC', None, 'LA')} as state from part")
+@query(
+    f"select p_partkey, {sql_chosen(*KINDS.values())} as remote_type, {sql_chosen('US', 'GB', None, 'KR', 'XX')} as country, {sql_chosen('TX', 'DC', None, 'LA')} as state from part"
+)
 def closed_vocabularies(spark: SparkSession, sf: str) -> DataFrame:
     """Arrangement, country and state by closed lists."""
-    return table(spark, sf, "part").select("p_partkey", vocab.remote_type(chosen(*KINDS)).alias("remote_type"), vocab.country_code(chosen("U.S.", " uk", "Narnia", "Korea, Republic of", "xx")).alias("country"), vocab.us_state_code(chosen("Texas", "dc", "Narnia", " la ")).alias("state"))
+    return table(spark, sf, "part").select(
+        "p_partkey", vocab.remote_type(chosen(*KINDS)).alias("remote_type"),
+        vocab.country_code(chosen("U.S.", " uk", "Narnia", "Korea, Republic of", "xx")).alias("country"),
+        vocab.us_state_code(chosen("Texas", "dc", "Narnia", " la ")).alias("state")
+    )
 
 
-ISO = {"Germany": "DE", "Republic of Korea": "KR", "Congo, The Democratic Republic of the": "CD", "The Federal Republic of Germany": "DE", "Bosnia and Herzegovina": "BA", "Saint Lucia": "LC", "Kingdom of Denmark": "DK", "USA": "US", "Côte d'Ivoire": "CI", "Narnia": None, "US": None}
+ISO = {
+    "Germany": "DE", "Republic of Korea": "KR", "Congo, The Democratic Republic of the": "CD", "The Federal Republic of Germany": "DE",
+    "Bosnia and Herzegovina": "BA", "Saint Lucia": "LC", "Kingdom of Denmark": "DK", "USA": "US", "Côte d'Ivoire": "CI", "Narnia": None,
+    "US": None
+}
 
 
 @query(f"select p_partkey, {sql_chosen(*ISO.values())} as code from part")
@@ -618,28 +810,49 @@ SCOPES = {  # what a vendor sends: areas, regions, raw
 }
 
 
-@query(f"select p_partkey, {', '.join(f'{sql_chosen(*(v[i] for v in SCOPES.values()))} as {n}' for i, n in enumerate(('areas', 'regions', 'raw')))} from part")
+@query(
+    f"select p_partkey, {
+        ', '.join(f'{sql_chosen(*(v[i] for v in SCOPES.values()))} as {n}' for i, n in enumerate(('areas', 'regions', 'raw')))
+    } from part"
+)
 def stated_scopes(spark: SparkSession, sf: str) -> DataFrame:
     """Lists and texts of places where one may live; nothing, blank, an empty list and unknown names differ."""
     s = places.stated_scope(chosen(*SCOPES))
-    return table(spark, sf, "part").select("p_partkey", F.array_join(s["areas"], ",").alias("areas"), F.array_join(s["regions"], ",").alias("regions"), s["raw"].alias("raw"))
+    return table(spark, sf, "part").select(
+        "p_partkey", F.array_join(s["areas"], ",").alias("areas"), F.array_join(s["regions"], ",").alias("regions"), s["raw"].alias("raw")
+    )
 
 
-@query("select p_partkey, cast(len(list_distinct(regexp_extract_all(replace(lower(place), 'new mexico', ''), '\\b(germany|france|mexico|japan)\\b'))) as integer) as countries from (select p_partkey, " + sql_chosen("Germany and France", "Germany, GERMANY", "Oslo", "New Mexico", "Japan; Mexico; france") + " as place from part)")
+@query(
+    "select p_partkey, cast(len(list_distinct(regexp_extract_all(replace(lower(place), 'new mexico', ''), '\\b(germany|france|mexico|japan)\\b'))) as integer) as countries from (select p_partkey, " + sql_chosen(
+        "Germany and France", "Germany, GERMANY", "Oslo", "New Mexico", "Japan; Mexico; france"
+    ) + " as place from part)"
+)
 def countries_named(spark: SparkSession, sf: str) -> DataFrame:
     """How many different countries a text names."""
-    return table(spark, sf, "part").select("p_partkey", F.size(places.countries_in(F.lower(chosen("Germany and France", "Germany, GERMANY", "Oslo", "New Mexico", "Japan; Mexico; france")))).alias("countries"))
+    return table(spark, sf, "part").select(
+        "p_partkey",
+        F.size(
+            places.countries_in(F.lower(chosen("Germany and France", "Germany, GERMANY", "Oslo", "New Mexico", "Japan; Mexico; france")))
+        ).alias("countries")
+    )
 
 
-@query("select page_id, case page_id % 4 when 0 then 'https://boards.greenhouse.io/co/jobs/' || page_id when 1 then url when 2 then 'https://www.linkedin.com/x' else 'fallback' end as best from pages")
+@query(
+    "select page_id, case page_id % 4 when 0 then 'https://boards.greenhouse.io/co/jobs/' || page_id when 1 then url when 2 then 'https://www.linkedin.com/x' else 'fallback' end as best from pages"
+)
 def best_links(spark: SparkSession, sf: str) -> DataFrame:
     """The employer's own link, else one that isn't an aggregator's, else any."""
     k, agg = c("page_id") % 4, F.lit("https://www.linkedin.com/x")
-    links = F.when(k == 0, F.array(agg, c("url"), F.concat(F.lit("https://boards.greenhouse.io/co/jobs/"), c("page_id").cast("string")))).when(k == 1, F.array(F.lit(""), agg, c("url"))).when(k == 2, F.array(agg, F.lit("https://uk.indeed.com/y")))
+    links = F.when(
+        k == 0, F.array(agg, c("url"), F.concat(F.lit("https://boards.greenhouse.io/co/jobs/"), c("page_id").cast("string")))
+    ).when(k == 1, F.array(F.lit(""), agg, c("url"))).when(k == 2, F.array(agg, F.lit("https://uk.indeed.com/y")))
     return table(spark, sf, "pages").select("page_id", urls.best_link(links, F.lit("Zzz"), F.lit("fallback")).alias("best"))
 
 
-@query("select p_partkey, case p_size % 4 when 0 then format('${:,}–${:,}', p_size * 1000, p_size * 2000) when 1 then format('${:,}', p_size * 1000) when 2 then format('${:,}', p_size * 1000) else '' end as range_text from part")
+@query(
+    "select p_partkey, case p_size % 4 when 0 then format('${:,}–${:,}', p_size * 1000, p_size * 2000) when 1 then format('${:,}', p_size * 1000) when 2 then format('${:,}', p_size * 1000) else '' end as range_text from part"
+)
 def range_texts(spark: SparkSession, sf: str) -> DataFrame:
     """ranges of pay for people; zero is no figure."""
     k, one = c("p_size") % 4, c("p_size") * 1000
@@ -647,29 +860,45 @@ def range_texts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", salary.range_text(lo, hi).alias("range_text"))
 
 
-@query("select p_partkey, repeat('█', cast(round_even(p_size / 50.0 * 5, 0) as integer)) || repeat('░', 5 - cast(round_even(p_size / 50.0 * 5, 0) as integer)) as bar, case when length(p_name) > 8 then left(p_name, 8) || '…[truncated, ' || length(p_name) || ' chars total]' else p_name end as short, 'https://x.example/a?b=2&page=' || p_size || '#top' as url from part")
+@query(
+    "select p_partkey, repeat('█', cast(round_even(p_size / 50.0 * 5, 0) as integer)) || repeat('░', 5 - cast(round_even(p_size / 50.0 * 5, 0) as integer)) as bar, case when length(p_name) > 8 then left(p_name, 8) || '…[truncated, ' || length(p_name) || ' chars total]' else p_name end as short, 'https://x.example/a?b=2&page=' || p_size || '#top' as url from part"
+)
 def report_texts(spark: SparkSession, sf: str) -> DataFrame:
     """bars, cut texts, a parameter in a URL."""
     url = F.lit("https://x.example/a?page=1&b=2&page=9#top")
-    return table(spark, sf, "part").select("p_partkey", catalog.bar(c("p_size") / 50).alias("bar"), catalog.truncated(c("p_name"), 8).alias("short"), catalog.with_param(url, "page", c("p_size")).alias("url"))
+    return table(spark, sf, "part").select(
+        "p_partkey", catalog.bar(c("p_size") / 50).alias("bar"), catalog.truncated(c("p_name"), 8).alias("short"),
+        catalog.with_param(url, "page", c("p_size")).alias("url")
+    )
 
 
-@query(f"select o_orderkey, case o_orderkey % 5 when 0 then strftime(o_orderdate, '%Y-%m-%d') when 1 then '2025-07-08' when 2 then strftime(o_orderdate, '%Y-%m-%d') end as posted, case when o_orderkey % 5 < 3 then 'stated' end as basis, strftime(date '{AS_OF}' - cast(case o_orderkey % 4 when 0 then 0 when 1 then 1 when 2 then 14 else 90 end as integer), '%Y-%m-%d') as said_ago from orders")
+@query(
+    f"select o_orderkey, case o_orderkey % 5 when 0 then strftime(o_orderdate, '%Y-%m-%d') when 1 then '2025-07-08' when 2 then strftime(o_orderdate, '%Y-%m-%d') end as posted, case when o_orderkey % 5 < 3 then 'stated' end as basis, strftime(date '{AS_OF}' - cast(case o_orderkey % 4 when 0 then 0 when 1 then 1 when 2 then 14 else 90 end as integer), '%Y-%m-%d') as said_ago from orders"
+)
 def posted_dates(spark: SparkSession, sf: str) -> DataFrame:
     """Dates by any of the ways in which they are sent, and phrases like three months ago."""
     k, on = c("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
     raw = F.when(k % 5 == 0, F.concat(on, F.lit("T10:00:00Z"))).when(k % 5 == 1, "1752000000000").when(k % 5 == 2, on).when(k % 5 == 3, "soon")
     p = payloads.posted(raw)
-    phrase = F.element_at(F.array(F.lit("Posted Today"), F.lit("posted yesterday"), F.lit("Posted 2 Weeks Ago"), F.lit("Posted 3+ months ago")), (k % 4 + 1).cast("int"))
-    return table(spark, sf, "orders").select("o_orderkey", p["posted"].alias("posted"), p["posted_basis"].alias("basis"), dates.relative_date(phrase, day()).alias("said_ago"))
+    phrase = F.element_at(
+        F.array(F.lit("Posted Today"), F.lit("posted yesterday"), F.lit("Posted 2 Weeks Ago"), F.lit("Posted 3+ months ago")),
+        (k % 4 + 1).cast("int")
+    )
+    return table(spark, sf, "orders").select(
+        "o_orderkey", p["posted"].alias("posted"), p["posted_basis"].alias("basis"), dates.relative_date(phrase, day()).alias("said_ago")
+    )
 
 
-@query("select o_orderkey, case o_orderkey % 6 when 4 then null when 5 then null else strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') end as at from orders")
+@query(
+    "select o_orderkey, case o_orderkey % 6 when 4 then null when 5 then null else strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') end as at from orders"
+)
 def lenient_times(spark: SparkSession, sf: str) -> DataFrame:
     """Epoch seconds and milliseconds, ISO, mail dates; else null."""
     k, t = c("o_orderkey") % 6, c("o_orderdate").cast("timestamp")
     epoch = F.unix_timestamp(t)
-    raw = F.when(k == 0, epoch.cast("string")).when(k == 1, (epoch * 1000).cast("string")).when(k == 2, F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k == 3, F.concat(F.date_format(t, "EEE, "), F.date_format(t, "d MMM yyyy HH:mm:ss"), F.lit(" GMT"))).when(k == 4, "last week")
+    raw = F.when(k == 0, epoch.cast("string")).when(k == 1, (epoch * 1000).cast("string")).when(k == 2, F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(
+        k == 3, F.concat(F.date_format(t, "EEE, "), F.date_format(t, "d MMM yyyy HH:mm:ss"), F.lit(" GMT"))
+    ).when(k == 4, "last week")
     return table(spark, sf, "orders").select("o_orderkey", F.date_format(catalog.lenient_time(raw), "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
@@ -680,18 +909,33 @@ def salaries(spark: SparkSession, sf: str) -> DataFrame:
     lo = F.when(c("p_size") % 4 == 0, 0.0).otherwise(c("p_retailprice"))
     per = F.when(c("p_size") % 3 == 0, "Per Year").when(c("p_size") % 3 == 1, "hourly").otherwise("fortnight")
     s = salary.salary(lo, F.when(c("p_size") % 5 == 0, c("p_retailprice") * 2), F.lit("usd"), per)
-    return table(spark, sf, "part").select("p_partkey", *(s[n].alias(n) for n in ("salary_min", "salary_max", "salary_currency", "salary_period", "salary_basis")))
+    return table(spark, sf, "part").select(
+        "p_partkey", *(s[n].alias(n) for n in ("salary_min", "salary_max", "salary_currency", "salary_period", "salary_basis"))
+    )
 
 
-PAY = {"Comp: $120k-$150k": "$120k-$150k", "Rate $100-150/hr": "$100-150", "raised $20-40M": "", "just $20-40": "", "$90,000 to $110,000": "$90,000 to $110,000", "": ""}
-PARSED = {"120K–150K a year": ("120000", "150000", "year"), "$50 an hour": ("50", "50", "hour"), "1.5M to 1M per year": ("1000000", "1500000", "year"), "120K–150K": (None, None, None), None: (None, None, None)}
+PAY = {
+    "Comp: $120k-$150k": "$120k-$150k", "Rate $100-150/hr": "$100-150", "raised $20-40M": "", "just $20-40": "",
+    "$90,000 to $110,000": "$90,000 to $110,000", "": ""
+}
+PARSED = {
+    "120K–150K a year": ("120000", "150000", "year"), "$50 an hour": ("50", "50", "hour"),
+    "1.5M to 1M per year": ("1000000", "1500000", "year"), "120K–150K": (None, None, None), None: (None, None, None)
+}
 
 
-@query(f"select p_partkey, {sql_chosen(*PAY.values())} as pay, " + ", ".join(f"cast({sql_chosen(*(v[i] for v in PARSED.values()))} as double) as {n}" for i, n in enumerate(("low", "high"))) + f", {sql_chosen(*(v[2] for v in PARSED.values()))} as period from part")
+@query(
+    f"select p_partkey, {sql_chosen(*PAY.values())} as pay, " + ", ".join(
+        f"cast({sql_chosen(*(v[i] for v in PARSED.values()))} as double) as {n}" for i, n in enumerate(("low", "high"))
+    ) + f", {sql_chosen(*(v[2] for v in PARSED.values()))} as period from part"
+)
 def pay_in_text(spark: SparkSession, sf: str) -> DataFrame:
     """Ranges of pay in prose, and parsed with their period."""
     s = salary.parsed(chosen(*PARSED))
-    return table(spark, sf, "part").select("p_partkey", payloads.money(chosen(*PAY)).alias("pay"), s["salary_min"].alias("low"), s["salary_max"].alias("high"), s["salary_period"].alias("period"))
+    return table(spark, sf, "part").select(
+        "p_partkey", payloads.money(chosen(*PAY)).alias("pay"), s["salary_min"].alias("low"), s["salary_max"].alias("high"),
+        s["salary_period"].alias("period")
+    )
 
 
 @query("select event_id, json_extract_string(props, '$.k') as k, 'v' || (event_id % 3) as deep from events")
@@ -701,13 +945,21 @@ def props_json(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", catalog.dig(c("props"), "k").alias("k"), catalog.dig(nested, "a.b").alias("deep"))
 
 
-@query("select p_partkey, case p_size % 3 when 0 then 'jobTitle' when 1 then 'name' end as title, case when p_size % 2 = 0 then 'companyName' end as company, 'description' as body, array_to_string(list_sort(list_filter([case when p_size % 3 = 2 then 'titel' end, 'zz', case when p_size % 2 = 1 then 'org' end, case when p_size % 3 = 0 then 'name' end], lambda x: x is not null)), ',') as unmapped from part")
+@query(
+    "select p_partkey, case p_size % 3 when 0 then 'jobTitle' when 1 then 'name' end as title, case when p_size % 2 = 0 then 'companyName' end as company, 'description' as body, array_to_string(list_sort(list_filter([case when p_size % 3 = 2 then 'titel' end, 'zz', case when p_size % 2 = 1 then 'org' end, case when p_size % 3 = 0 then 'name' end], lambda x: x is not null)), ',') as unmapped from part"
+)
 def mapped_fields(spark: SparkSession, sf: str) -> DataFrame:
     """Which of a record's keys hold the canonical fields, as far as names prove it."""
     k = c("p_size")
-    raw = F.concat(F.lit('{"zz":1,'), F.when(k % 3 == 0, '"name":"n","jobTitle":"t",').when(k % 3 == 1, '"name":"t",').otherwise('"titel":"t",'), F.when(k % 2 == 0, '"companyName":"c",').otherwise('"org":"c",'), F.lit('"description":"d"}'))
+    raw = F.concat(
+        F.lit('{"zz":1,'), F.when(k % 3 == 0, '"name":"n","jobTitle":"t",').when(k % 3 == 1, '"name":"t",').otherwise('"titel":"t",'),
+        F.when(k % 2 == 0, '"companyName":"c",').otherwise('"org":"c",'), F.lit('"description":"d"}')
+    )
     m = catalog.mapped_fields(raw)
-    return table(spark, sf, "part").select("p_partkey", m["title"].alias("title"), m["company"].alias("company"), m["body"].alias("body"), F.array_join(catalog.unmapped_keys(raw), ",").alias("unmapped"))
+    return table(spark, sf, "part").select(
+        "p_partkey", m["title"].alias("title"), m["company"].alias("company"), m["body"].alias("body"),
+        F.array_join(catalog.unmapped_keys(raw), ",").alias("unmapped")
+    )
 
 
 @query("""select n_name as source, 'query:' || chr(10) || '  title_search: ' || case when n_nationkey % 2 = 0 then 'true' else 'unknown' end || chr(10) || '  param_validation: unknown' || chr(10) || 'limits:' || chr(10) || '  page_size: 20' || chr(10) || '  max_page: ' || case when n_nationkey % 3 = 0 then 'unknown' else cast(n_nationkey as varchar) end || chr(10)
@@ -715,11 +967,17 @@ def mapped_fields(spark: SparkSession, sf: str) -> DataFrame:
 def probe_reports(spark: SparkSession, sf: str) -> DataFrame:
     """What a probe measured, as lines of a profile."""
     n = c("n_nationkey")
-    rows = table(spark, sf, "nation").select(c("n_name").alias("source"), F.when(n % 2 == 0, "true").alias("title_search"), F.lit(20).alias("page_size"), F.when(n % 3 != 0, n).alias("max_page"), F.lit(7).alias("median_age_days"), F.lit(0.6).cast("double").alias("pct_within_100d"), F.lit("2001-01-01").alias("measured_at"))
+    rows = table(spark, sf, "nation").select(
+        c("n_name").alias("source"), F.when(n % 2 == 0, "true").alias("title_search"), F.lit(20).alias("page_size"),
+        F.when(n % 3 != 0, n).alias("max_page"), F.lit(7).alias("median_age_days"), F.lit(0.6).cast("double").alias("pct_within_100d"),
+        F.lit("2001-01-01").alias("measured_at")
+    )
     return catalog.frontmatter(rows)
 
 
-@query("select n_name as name, case when n_nationkey % 4 = 0 then 'failed: ValueError' else 'ok' end as status, case when n_nationkey % 4 <> 0 then 'probed ' || n_nationkey end as report from nation")
+@query(
+    "select n_name as name, case when n_nationkey % 4 = 0 then 'failed: ValueError' else 'ok' end as status, case when n_nationkey % 4 <> 0 then 'probed ' || n_nationkey end as report from nation"
+)
 def probes_in_turn(spark: SparkSession, sf: str) -> DataFrame:
     """Targets one after another; one that fails doesn't stop the rest."""
 
@@ -744,9 +1002,17 @@ COERCED = {  # location: city, state, country, places
 def locations_array(spark: SparkSession, sf: str) -> DataFrame:
     """The record contract: places, title parts, employment, direct links."""
     k = c("p_size")
-    rows = table(spark, sf, "part").select("p_partkey", F.concat(F.when(k % 2 == 0, "Senior ").otherwise(""), c("p_type")).alias("title"), chosen(*COERCED).alias("location"), chosen("Full time", "odd", "").alias("employment_type"), F.when(k % 4 < 2, "lever").otherwise("hn").alias("source"), F.lit("co").alias("company"), F.lit("u").alias("url"))
+    rows = table(spark, sf, "part").select(
+        "p_partkey", F.concat(F.when(k % 2 == 0, "Senior ").otherwise(""), c("p_type")).alias("title"), chosen(*COERCED).alias("location"),
+        chosen("Full time", "odd", "").alias("employment_type"), F.when(k % 4 < 2, "lever").otherwise("hn").alias("source"),
+        F.lit("co").alias("company"), F.lit("u").alias("url")
+    )
     out = coerce.coerced(rows, "t")
-    return out.select("p_partkey", "city", "state", "country", F.when(c("locations").isNotNull(), F.size("locations")).alias("places"), F.get("locations", F.lit(1))["city"].alias("second_city"), "employment_type", "employment_type_raw", "seniority", "seniority_basis", "title_root", "direct_apply")
+    return out.select(
+        "p_partkey", "city", "state", "country", F.when(c("locations").isNotNull(), F.size("locations")).alias("places"),
+        F.get("locations", F.lit(1))["city"].alias("second_city"), "employment_type", "employment_type_raw", "seniority", "seniority_basis",
+        "title_root", "direct_apply"
+    )
 
 
 ARRANGED = {  # location: type, basis, areas, regions
@@ -754,27 +1020,47 @@ ARRANGED = {  # location: type, basis, areas, regions
 }
 
 
-@query("select p_partkey, " + ", ".join(f"case when p_size % 7 = 0 and {i} < 2 then {q(v)} else {sql_chosen(*(x[i] for x in ARRANGED.values()))} end as {n}" for i, (n, v) in enumerate((("remote_type", "onsite"), ("remote_basis", "stated"), ("areas", ""), ("regions", "")))) + f", {sql_chosen(*ARRANGED)} as raw from part")
+@query(
+    "select p_partkey, " + ", ".join(
+        f"case when p_size % 7 = 0 and {i} < 2 then {q(v)} else {sql_chosen(*(x[i] for x in ARRANGED.values()))} end as {n}" for i,
+        (n, v) in enumerate((("remote_type", "onsite"), ("remote_basis", "stated"), ("areas", ""), ("regions", "")))
+    ) + f", {sql_chosen(*ARRANGED)} as raw from part"
+)
 def arrangements(spark: SparkSession, sf: str) -> DataFrame:
     """Arrangement and boundary from the posting's own text where the source stated none."""
     stated = c("p_size") % 7 == 0
-    rows = table(spark, sf, "part").select("p_partkey", c("p_name").alias("title"), chosen(*ARRANGED).alias("location"), F.lit("We build.").alias("text"), F.when(stated, "onsite").alias("remote_type"), F.when(stated, "stated").alias("remote_basis"))
+    rows = table(spark, sf, "part").select(
+        "p_partkey", c("p_name").alias("title"), chosen(*ARRANGED).alias("location"), F.lit("We build.").alias("text"),
+        F.when(stated, "onsite").alias("remote_type"), F.when(stated, "stated").alias("remote_basis")
+    )
     out = coerce.with_arrangement(coerce.coerced(rows, "t"))
-    return out.select("p_partkey", "remote_type", "remote_basis", F.array_join("remote_areas", ",").alias("areas"), F.array_join("remote_regions", ",").alias("regions"), c("remote_scope_raw").alias("raw"))
+    return out.select(
+        "p_partkey", "remote_type", "remote_basis", F.array_join("remote_areas", ",").alias("areas"),
+        F.array_join("remote_regions", ",").alias("regions"), c("remote_scope_raw").alias("raw")
+    )
 
 
 @query(f"with {VIEW} select seq, title, company, null::varchar as city, 'null' as salary_min, true as nulls_stay, 'a,b' as sources from posting")
 def nested_records(spark: SparkSession, sf: str) -> DataFrame:
     """Records as lines of JSON; nulls stay."""
-    rows = coerce.coerced(posting(spark, sf), "t").withColumns({"id": c("seq").cast("string"), "dedup_key": F.lit("k"), "score": F.lit(1), "signals": F.lit(""), "sources": F.array(F.lit("b"), F.lit("a"))})
+    rows = coerce.coerced(posting(spark, sf), "t").withColumns(
+        {"id": c("seq").cast("string"), "dedup_key": F.lit("k"), "score": F.lit(1), "signals": F.lit(""), "sources": F.array(F.lit("b"), F.lit("a"))}
+    )
     v = emit.ndjson(rows)
     get = lambda p: F.get_json_object("value", p)
-    return v.select(get("$.id").cast("long").alias("seq"), get("$.title.raw").alias("title"), get("$.company").alias("company"), get("$.location.city").alias("city"), F.regexp_extract("value", '"salary":\\{"raw":null,"min":(null)', 1).alias("salary_min"), c("value").contains('"signals":null').alias("nulls_stay"), F.array_join(F.from_json(get("$.sources"), "array<string>"), ",").alias("sources"))
+    return v.select(
+        get("$.id").cast("long").alias("seq"), get("$.title.raw").alias("title"), get("$.company").alias("company"),
+        get("$.location.city").alias("city"), F.regexp_extract("value", '"salary":\\{"raw":null,"min":(null)', 1).alias("salary_min"),
+        c("value").contains('"signals":null').alias("nulls_stay"),
+        F.array_join(F.from_json(get("$.sources"), "array<string>"), ",").alias("sources")
+    )
 
 
 # ---- store, discovery, second opinion, streams
 
-@query("select c_custkey, case when c_custkey % 7 = 0 or c_custkey < 10 then 'applied' when c_custkey % 7 = 1 then 'interviewing' else 'new' end as status, 3 as version from customer")
+@query(
+    "select c_custkey, case when c_custkey % 7 = 0 or c_custkey < 10 then 'applied' when c_custkey % 7 = 1 then 'interviewing' else 'new' end as status, 3 as version from customer"
+)
 def versioned_store(spark: SparkSession, sf: str) -> DataFrame:
     """ST5, K01: changes of the versioned store; the second of two with one mark does nothing."""
     table_of = versions.Versions(spark, scratch(spark, "store"), upserts.STORE)
@@ -782,8 +1068,15 @@ def versioned_store(spark: SparkSession, sf: str) -> DataFrame:
     table_of.change(lambda _: rows, mark=("load", 0))
     table_of.change(lambda _: rows.limit(0), mark=("load", 0))
     for low, high in ((0, 5), (5, 10)):
-        table_of.change(lambda now, low=low, high=high: now.withColumn("status", F.when(F.regexp_extract("company", "#0*([0-9]+)$", 1).cast("long").between(low, high - 1), "applied").otherwise(c("status"))))
-    return table_of.read().select(F.regexp_extract("company", "#0*([0-9]+)$", 1).cast("long").alias("c_custkey"), "status").withColumn("version", F.lit(table_of.state()[0]))
+        table_of.change(
+            lambda now, low=low, high=high: now.withColumn(
+                "status",
+                F.when(F.regexp_extract("company", "#0*([0-9]+)$", 1).cast("long").between(low, high - 1), "applied").otherwise(c("status"))
+            )
+        )
+    return table_of.read().select(
+        F.regexp_extract("company", "#0*([0-9]+)$", 1).cast("long").alias("c_custkey"), "status"
+    ).withColumn("version", F.lit(table_of.state()[0]))
 
 
 @query("select true as kept, '1 sources failed: lever (OSError)' as why, (select count(*) from nation) as rows")
@@ -794,7 +1087,10 @@ def failure_guard(spark: SparkSession, sf: str) -> DataFrame:
         versions.guarded(rows.limit(0), [("lever", "OSError")])
     except versions.NothingHarvested as e:
         why = str(e)
-    return spark.createDataFrame([(versions.guarded(rows.limit(0), []).isEmpty(), why, versions.guarded(rows, [("a", "b")]).count())], "kept boolean, why string, rows long")
+    return spark.createDataFrame(
+        [(versions.guarded(rows.limit(0), []).isEmpty(), why, versions.guarded(rows, [("a", "b")]).count())],
+        "kept boolean, why string, rows long"
+    )
 
 
 def _ask(ats: str, slug: str) -> tuple[int | None, int, str | None]:
@@ -803,7 +1099,9 @@ def _ask(ats: str, slug: str) -> tuple[int | None, int, str | None]:
     return (200, n % 5 + 1, "Someone Else" if n % 6 == 0 else f"Supplier#{n:09d}") if n % 2 == 0 else (404, 0, None)
 
 
-@query("select s_name as name, 'greenhouse' as ats, lower(replace(s_name, '#', v)) as slug, cast(s_suppkey % 5 + 1 as integer) as roles from supplier cross join (values (''), ('-')) as t(v) where s_suppkey % 2 = 0 and s_suppkey % 6 <> 0 union all select s_name, 'lever', lower(replace(s_name, '#', v)), cast(s_suppkey % 5 + 1 as integer) from supplier cross join (values (''), ('-')) as t(v) where s_suppkey % 2 = 0 and not (s_suppkey = 2 and v = '')")
+@query(
+    "select s_name as name, 'greenhouse' as ats, lower(replace(s_name, '#', v)) as slug, cast(s_suppkey % 5 + 1 as integer) as roles from supplier cross join (values (''), ('-')) as t(v) where s_suppkey % 2 = 0 and s_suppkey % 6 <> 0 union all select s_name, 'lever', lower(replace(s_name, '#', v)), cast(s_suppkey % 5 + 1 as integer) from supplier cross join (values (''), ('-')) as t(v) where s_suppkey % 2 = 0 and not (s_suppkey = 2 and v = '')"
+)
 def guessed_boards(spark: SparkSession, sf: str) -> DataFrame:
     """Boards guessed from names that are alive and the company's own."""
     names = table(spark, sf, "supplier").select(c("s_suppkey").alias("seq"), c("s_name").alias("name"))
@@ -811,44 +1109,65 @@ def guessed_boards(spark: SparkSession, sf: str) -> DataFrame:
     return discovery.from_names(names, ("greenhouse", "lever"), known, _ask).select("name", "ats", "slug", "roles")
 
 
-@query("""with boards as (select distinct page_id % 7 as n from pages where page_id % 5 = 1) select 'lever' as ats, 'co' || n as slug, cast(n % 5 + 1 as integer) as roles from boards where n % 2 = 0 and n <> 4""")
+@query(
+    """with boards as (select distinct page_id % 7 as n from pages where page_id % 5 = 1) select 'lever' as ats, 'co' || n as slug, cast(n % 5 + 1 as integer) as roles from boards where n % 2 = 0 and n <> 4"""
+)
 def discovered_boards(spark: SparkSession, sf: str) -> DataFrame:
     """Mined boards that nobody knows and that are alive."""
     lines = table(spark, sf, "pages").where("page_id % 5 = 1").select(F.to_json(F.struct(F.expr(BOARD_URLS).alias("url"))).alias("value"))
-    return discovery.discovered(discovery.mined(lines), spark.createDataFrame([("lever/co4",)], "entry_key string"), _ask, ("lever",)).select("ats", "slug", "roles")
+    return discovery.discovered(
+        discovery.mined(lines), spark.createDataFrame([("lever/co4",)], "entry_key string"), _ask, ("lever",)
+    ).select("ats", "slug", "roles")
 
 
-@query("""with boards as (select distinct page_id % 7 as n from pages where page_id % 5 = 1) select 'co' || n as slug from boards where n % 2 = 0 and n <> 0 order by n limit 2""")
+@query(
+    """with boards as (select distinct page_id % 7 as n from pages where page_id % 5 = 1) select 'co' || n as slug from boards where n % 2 = 0 and n <> 0 order by n limit 2"""
+)
 def seeded_boards(spark: SparkSession, sf: str) -> DataFrame:
     """The first mined boards, in order, that answer."""
     lines = table(spark, sf, "pages").where("page_id % 5 = 1").select(F.to_json(F.struct(F.expr(BOARD_URLS).alias("url"))).alias("value"))
-    return discovery.seeded_alive(discovery.mined(lines), spark.createDataFrame([("lever/co0",)], "entry_key string"), 2, _ask, ("lever",)).select("slug")
+    return discovery.seeded_alive(
+        discovery.mined(lines), spark.createDataFrame([("lever/co0",)], "entry_key string"), 2, _ask, ("lever",)
+    ).select("slug")
 
 
 @query(f"""with {VIEW}, r as (select seq, 'co' || (seq % 40) as company, 'https://jobs.lever.co/b' || (seq % 60) || '/x' as url, title from posting), s as (select * from r where not ({' or '.join(sql_word(k, 'lower(title)') for k in CFG.exclude_titles)}) and ({' or '.join(sql_word(k, 'lower(title)') for k in CFG.title_signal)}) and company not in ('co1', 'co2')),
   first as (select * from (select *, row_number() over (partition by company order by seq) as rn from s) where rn = 1), e as (select 'lever/b' || (seq % 60) as entry_key, seq, row_number() over (partition by seq % 60 order by seq) as rn from first) select entry_key, seq from e where rn = 1 and entry_key <> 'lever/b3' order by seq limit 12""")
 def funnel_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Boards worth a probe: relevant postings of companies that nobody knows; a probe budget."""
-    rows = posting(spark, sf).withColumns({"company": F.concat(F.lit("co"), (c("seq") % 40).cast("string")), "url": F.concat(F.lit("https://jobs.lever.co/b"), (c("seq") % 60).cast("string"), F.lit("/x"))})
+    rows = posting(spark, sf).withColumns(
+        {
+            "company": F.concat(F.lit("co"), (c("seq") % 40).cast("string")),
+            "url": F.concat(F.lit("https://jobs.lever.co/b"), (c("seq") % 60).cast("string"), F.lit("/x"))
+        }
+    )
     known = spark.createDataFrame([("CO1",), ("co-2 ",), ("co2",)], "name string")
     return discovery.funnel(rows, known, spark.createDataFrame([("lever/b3",)], "entry_key string"), CFG, 12).select("entry_key", "seq")
 
 
-@query("select dedup_key, cast(90 - pos as varchar) as llm_score, 'n' || pos as llm_note from (select c_name as dedup_key, row_number() over (order by case when c_custkey % 5 = 0 then c_custkey % 100 else c_custkey % 50 end desc, c_name) - 1 as pos from customer where c_custkey % 7 <> 0 and c_custkey % 50 >= 5) where pos < 4 and pos <> 2")
+@query(
+    "select dedup_key, cast(90 - pos as varchar) as llm_score, 'n' || pos as llm_note from (select c_name as dedup_key, row_number() over (order by case when c_custkey % 5 = 0 then c_custkey % 100 else c_custkey % 50 end desc, c_name) - 1 as pos from customer where c_custkey % 7 <> 0 and c_custkey % 50 >= 5) where pos < 4 and pos <> 2"
+)
 def second_opinion(spark: SparkSession, sf: str) -> DataFrame:
     """Notes of a judge on the best rows; items that don't fit are skipped."""
     reply = 'Here: [{"id": 0, "fit": 90, "note": "n0"}, {"id": 1, "fit": 89, "note": "n1"}, {"fit": 1}, {"id": 3, "fit": "87", "note": "n3"}, {"id": 99, "fit": 5}] bye'
     return rerank.rerank(spark, store.surface(_customers(spark, sf), CFG), CFG, lambda prompt: reply if "Values" in prompt else "", 4)
 
 
-@query("select 'k' || o_custkey as dedup_key, cast(max(cast(floor(o_totalprice / 10000) as integer)) as varchar) as score, 2 as batches from orders where o_orderkey % 2 = 1 group by 1, 3")
+@query(
+    "select 'k' || o_custkey as dedup_key, cast(max(cast(floor(o_totalprice / 10000) as integer)) as varchar) as score, 2 as batches from orders where o_orderkey % 2 = 1 group by 1, 3"
+)
 def streamed_store(spark: SparkSession, sf: str) -> DataFrame:
     """Landed files, one at a time, upserted into the versioned store: what the second run lacks goes."""
     landing, base = scratch(spark, "landing"), scratch(spark, "store")
     schema = "dedup_key string, title string, url string, score int, posted string"
     for part in (0, 1):
-        rows = table(spark, sf, "orders").where(c("o_orderkey") % 2 == part).groupBy(F.concat(F.lit("k"), c("o_custkey").cast("string")).alias("dedup_key")).agg(F.max(F.floor(c("o_totalprice") / 10000)).cast("int").alias("score"))
-        rows.select("dedup_key", F.lit("t").alias("title"), c("dedup_key").alias("url"), "score", F.lit(None).cast("string").alias("posted")).coalesce(1).write.mode("append").parquet(landing)
+        rows = table(spark, sf, "orders").where(c("o_orderkey") % 2 == part).groupBy(
+            F.concat(F.lit("k"), c("o_custkey").cast("string")).alias("dedup_key")
+        ).agg(F.max(F.floor(c("o_totalprice") / 10000)).cast("int").alias("score"))
+        rows.select(
+            "dedup_key", F.lit("t").alias("title"), c("dedup_key").alias("url"), "score", F.lit(None).cast("string").alias("posted")
+        ).coalesce(1).write.mode("append").parquet(landing)
     run = upserts.start_upserts(spark, landing, schema, base, scratch(spark, "checkpoint"), AS_OF, files_per_batch=1)
     run.awaitTermination()
     table_of = versions.Versions(spark, base, upserts.STORE)

@@ -51,8 +51,14 @@ def posting(spark: SparkSession, sf: str) -> DataFrame:
     rows = d.withColumns({"kp": at(p), "ks": at(s), "ko": at(o), "kg": at(g)})
     # Spark broadcasts a dimension only where its statistics say that it is small
     s = s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
-    rows = rows.join(p, rows.kp == p.p_partkey).join(s, rows.ks == s.s_suppkey).join(o.select("o_orderkey", "o_orderdate"), rows.ko == F.col("o_orderkey")).join(g.select("page_id", "url"), rows.kg == F.col("page_id"))
-    return rows.select(F.col("doc_id").alias("seq"), F.concat("p_type", F.lit(" "), "p_name", F.lit(", "), "p_brand").alias("title"), F.col("s_name").alias("company"), F.concat("n_name", F.lit(", "), "r_name").alias("location"), "url", F.date_format("o_orderdate", "yyyy-MM-dd").alias("posted"), F.coalesce("text", F.lit("")).alias("text"), "source", "lang")
+    rows = rows.join(p, rows.kp == p.p_partkey).join(s, rows.ks == s.s_suppkey).join(
+        o.select("o_orderkey", "o_orderdate"), rows.ko == F.col("o_orderkey")
+    ).join(g.select("page_id", "url"), rows.kg == F.col("page_id"))
+    return rows.select(
+        F.col("doc_id").alias("seq"), F.concat("p_type", F.lit(" "), "p_name", F.lit(", "), "p_brand").alias("title"),
+        F.col("s_name").alias("company"), F.concat("n_name", F.lit(", "), "r_name").alias("location"), "url",
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("posted"), F.coalesce("text", F.lit("")).alias("text"), "source", "lang"
+    )
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,47 +121,75 @@ def norm_key(spark: SparkSession, sf: str) -> DataFrame:
     c = F.col
     key = linkage.dedup_key(c("company"), c("title"), c("location"), c("url"))
     rows = posting(spark, sf).withColumn("dedup_key", key)
-    return rows.select("seq", text.norm(c("title")).alias("title_norm"), text.norm(c("company")).alias("company_norm"), text.company_block(c("company")).alias("block"), "dedup_key", text.short_id(c("dedup_key")).alias("id"))
+    return rows.select(
+        "seq", text.norm(c("title")).alias("title_norm"), text.norm(c("company")).alias("company_norm"),
+        text.company_block(c("company")).alias("block"), "dedup_key", text.short_id(c("dedup_key")).alias("id")
+    )
 
 
-@query("select doc_id, cast(len(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) as bigint) as n_tokens, cast(len(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'))) as bigint) as n_distinct from documents")
+@query(
+    "select doc_id, cast(len(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) as bigint) as n_tokens, cast(len(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'))) as bigint) as n_distinct from documents"
+)
 def tokens(spark: SparkSession, sf: str) -> DataFrame:
     """Token counts."""
     t = text.tokens(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"))
+    return table(spark, sf, "documents").select(
+        "doc_id", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct")
+    )
 
 
-@query(f"select doc_id, {', '.join(f'{sql_word(k, chr(108) + chr(111) + chr(119))} as has_{i}' for i, k in enumerate(('of the', 'und', 'to')))} from (select doc_id, lower(coalesce(text, '')) as low from documents)")
+@query(
+    f"select doc_id, {
+        ', '.join(f'{sql_word(k, chr(108) + chr(111) + chr(119))} as has_{i}' for i, k in enumerate(('of the', 'und', 'to')))
+    } from (select doc_id, lower(coalesce(text, '')) as low from documents)"
+)
 def whole_word(spark: SparkSession, sf: str) -> DataFrame:
     """Whole words and phrases."""
     low = F.lower(F.coalesce("text", F.lit("")))
     return table(spark, sf, "documents").select("doc_id", *(text.whole_word(k, low).alias(f"has_{i}") for i, k in enumerate(("of the", "und", "to"))))
 
 
-@query(f"with {VIEW} select seq, title from posting where not ({' or '.join(sql_word(k, 'lower(title)') for k in CFG.exclude_titles)}) and ({' or '.join(sql_word(k, 'lower(title)') for k in CFG.title_signal)})")
+@query(
+    f"with {VIEW} select seq, title from posting where not ({
+        ' or '.join(sql_word(k, 'lower(title)') for k in CFG.exclude_titles)
+    }) and ({' or '.join(sql_word(k, 'lower(title)') for k in CFG.title_signal)})"
+)
 def relevance_gate(spark: SparkSession, sf: str) -> DataFrame:
     """Exclusions veto, then any signal word."""
     return posting(spark, sf).where(score.relevant(F.col("title"), CFG)).select("seq", "title")
 
 
-@query("with " + "hits as (select doc_id, list_filter([" + ", ".join(f"case when {sql_word(k, chr(108) + chr(111) + chr(119))} then {{'w': {w}, 'k': {q(k)}}} end" for k, w in CFG.fit_weights.items()) + "], lambda x: x is not null) as h from (select doc_id, lower(coalesce(text, '')) as low from documents)) select doc_id, coalesce(array_to_string(list_transform(list_sort(h, 'DESC')[1:7], lambda x: x.k), ', '), '') as signals from hits")
+@query(
+    "with " + "hits as (select doc_id, list_filter([" + ", ".join(
+        f"case when {sql_word(k, chr(108) + chr(111) + chr(119))} then {{'w': {w}, 'k': {q(k)}}} end" for k, w in CFG.fit_weights.items()
+    ) + "], lambda x: x is not null) as h from (select doc_id, lower(coalesce(text, '')) as low from documents)) select doc_id, coalesce(array_to_string(list_transform(list_sort(h, 'DESC')[1:7], lambda x: x.k), ', '), '') as signals from hits"
+)
 def top_signals(spark: SparkSession, sf: str) -> DataFrame:
     """The seven heaviest keywords, ties by name, down."""
-    d = table(spark, sf, "documents").select("doc_id", F.lit("").alias("title"), F.lit("").alias("location"), F.lit("").alias("company"), F.coalesce("text", F.lit("")).alias("text"))
+    d = table(spark, sf, "documents").select(
+        "doc_id", F.lit("").alias("title"), F.lit("").alias("location"), F.lit("").alias("company"),
+        F.coalesce("text", F.lit("")).alias("text")
+    )
     return score.with_score(d, CFG).select("doc_id", "signals")
 
 
-@query("select page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\\s+', ' ', 'g')) as body from pages")
+@query(
+    "select page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\\s+', ' ', 'g')) as body from pages"
+)
 def strip_html(spark: SparkSession, sf: str) -> DataFrame:
     """tags, entities, blanks."""
     return table(spark, sf, "pages").select("page_id", text.clean(F.col("html")).alias("body"))
 
 
-@query("select page_id, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)) as host, cast(null as varchar) as ats, contains(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)), 'linkedin.') as aggregator from pages")
+@query(
+    "select page_id, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)) as host, cast(null as varchar) as ats, contains(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)), 'linkedin.') as aggregator from pages"
+)
 def url_parts(spark: SparkSession, sf: str) -> DataFrame:
     """Host, known board, aggregator."""
     u = F.col("url")
-    return table(spark, sf, "pages").select("page_id", urls.host(u).alias("host"), urls.board(u)["ats"].alias("ats"), urls.is_aggregator(u).alias("aggregator"))
+    return table(spark, sf, "pages").select(
+        "page_id", urls.host(u).alias("host"), urls.board(u)["ats"].alias("ats"), urls.is_aggregator(u).alias("aggregator")
+    )
 
 
 BOARD_URLS = "concat('https://', case page_id % 5 when 0 then 'boards.greenhouse.io/co' when 1 then 'jobs.lever.co/co' when 2 then 'apply.workable.com/co' when 3 then 'co' else 'example.org/co' end, page_id % 7, case page_id % 5 when 3 then '.teamtailor.com/jobs/' when 2 then '/j/' else '/jobs/' end, 10000000 + page_id)"
@@ -168,17 +202,26 @@ def board_refs(spark: SparkSession, sf: str) -> DataFrame:
     """Board, opening and entry key of generated board URLs."""
     u = table(spark, sf, "pages").select("page_id", F.expr(BOARD_URLS).alias("u"))
     at, ref, entry = urls.board(F.col("u")), urls.opening(F.col("u")), urls.board_entry(F.col("u"))
-    return u.select("page_id", at["ats"].alias("ats"), at["slug"].alias("slug"), ref["id"].alias("ref"), F.when(entry["ats"].isNotNull(), urls.entry_key(entry)).alias("board"))
+    return u.select(
+        "page_id", at["ats"].alias("ats"), at["slug"].alias("slug"), ref["id"].alias("ref"),
+        F.when(entry["ats"].isNotNull(), urls.entry_key(entry)).alias("board")
+    )
 
 
-@query(f"select o_orderkey, cast(date_diff('day', cast(o_orderdate as date), date '{AS_OF}') as integer) as age_days from orders where date_diff('day', cast(o_orderdate as date), date '{AS_OF}') <= 400")
+@query(
+    f"select o_orderkey, cast(date_diff('day', cast(o_orderdate as date), date '{AS_OF}') as integer) as age_days from orders where date_diff('day', cast(o_orderdate as date), date '{AS_OF}') <= 400"
+)
 def age_gate(spark: SparkSession, sf: str) -> DataFrame:
     """Whole days, a null age passes."""
-    o = table(spark, sf, "orders").select("o_orderkey", dates.age_days(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(AS_OF).cast("date")).alias("age_days"))
+    o = table(spark, sf, "orders").select(
+        "o_orderkey", dates.age_days(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(AS_OF).cast("date")).alias("age_days")
+    )
     return o.where("age_days is null or age_days <= 400")
 
 
-@query(f"select o_orderkey, cast(case when a > 30 then least(12, ((a - 30) // 10) * 2) else 0 end as integer) as penalty from (select o_orderkey, date_diff('day', cast(o_orderdate as date), date '{AS_OF}') as a from orders)")
+@query(
+    f"select o_orderkey, cast(case when a > 30 then least(12, ((a - 30) // 10) * 2) else 0 end as integer) as penalty from (select o_orderkey, date_diff('day', cast(o_orderdate as date), date '{AS_OF}') as a from orders)"
+)
 def stale_penalty(spark: SparkSession, sf: str) -> DataFrame:
     """T07."""
     age = dates.age_days(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(AS_OF).cast("date"))
@@ -192,7 +235,9 @@ def epoch_date(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", dates.epoch_date(F.when(F.col("event_id") % 2 == 0, s).otherwise(s * 1000)).alias("day"))
 
 
-@query("select doc_id, source, 'a' as lane from documents where doc_id % 3 = 0 union all select doc_id, source, 'b' from documents where doc_id % 2 = 0")
+@query(
+    "select doc_id, source, 'a' as lane from documents where doc_id % 3 = 0 union all select doc_id, source, 'b' from documents where doc_id % 2 = 0"
+)
 def union_sources(spark: SparkSession, sf: str) -> DataFrame:
     """All lanes, doubles kept."""
     d = table(spark, sf, "documents").select("doc_id", "source")
@@ -201,7 +246,9 @@ def union_sources(spark: SparkSession, sf: str) -> DataFrame:
 
 def _copies(spark: SparkSession, sf: str) -> DataFrame:
     p = posting(spark, sf)
-    return p.withColumn("title", F.regexp_replace("title", ", .*", "")).withColumn("score", F.length("text") % 50).withColumn("source", F.when(F.col("seq") % 4 == 0, "greenhouse").when(F.col("seq") % 4 == 1, "google_jobs").otherwise(F.col("source")))
+    return p.withColumn("title", F.regexp_replace("title", ", .*", "")).withColumn("score", F.length("text") % 50).withColumn(
+        "source", F.when(F.col("seq") % 4 == 0, "greenhouse").when(F.col("seq") % 4 == 1, "google_jobs").otherwise(F.col("source"))
+    )
 
 
 EXACT = f"""with {VIEW}, c as (select seq, regexp_replace(title, ', .*', '') as title, company, location, length(text) as n, length(text) % 50 as score,
@@ -214,7 +261,9 @@ w as (select *, row_number() over (partition by dedup_key order by pref desc, n
 def exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """D10 (exact branch), A04: one survivor for each key, by preference, length, score, arrival."""
     rows = linkage.with_keys(_copies(spark, sf)).withColumn("one", F.lit(1))
-    return rows.groupBy("dedup_key").agg(F.max_by("seq", F.struct("_pref", "_len", "score", -F.col("seq"))).alias("survivor"), F.count("*").alias("copies"))
+    return rows.groupBy("dedup_key").agg(
+        F.max_by("seq", F.struct("_pref", "_len", "score", -F.col("seq"))).alias("survivor"), F.count("*").alias("copies")
+    )
 
 
 @query(f"{EXACT} select dedup_key, array_to_string(list_sort(list_distinct(list(source))), ',') as sources from w group by 1")
@@ -233,14 +282,23 @@ def fuzzy_block(spark: SparkSession, sf: str) -> DataFrame:
 def title_ratios(spark: SparkSession, sf: str) -> DataFrame:
     """Ratios of neighbouring titles (tested against the longest common subsequence)."""
     p = table(spark, sf, "part")
-    a, b = p.select("p_partkey", F.concat("p_name", F.lit(" "), "p_type").alias("a")), p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.concat("p_name", F.lit(" "), "p_type").alias("b"))
+    a, b = p.select("p_partkey", F.concat("p_name", F.lit(" "), "p_type").alias("a")), p.select(
+        (F.col("p_partkey") - 1).alias("p_partkey"), F.concat("p_name", F.lit(" "), "p_type").alias("b")
+    )
     return linkage.ratios(a.join(b, "p_partkey"), "a", "b")
 
 
 def _store(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Orders before 2001 as the store, later ones as the run; keys by customer."""
     o = table(spark, sf, "orders")
-    base = o.select(*(F.lit("").alias(c) for c in store.COLUMNS if c not in ("dedup_key", "url", "status", "score", "first_seen", "age_days", "id")), F.col("o_orderkey").cast("string").alias("id"), F.concat(F.lit("k"), F.col("o_custkey").cast("string")).alias("dedup_key"), F.concat(F.lit("u"), (F.col("o_orderkey") % 997).cast("string")).alias("url"), F.when(F.col("o_orderstatus") == "F", "applied").when(F.col("o_orderstatus") == "P", "dismissed").otherwise("new").alias("status"), F.floor(F.col("o_totalprice") / 10000).cast("int").cast("string").alias("score"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("first_seen"), F.lit("").alias("age_days"), "o_orderkey", "o_orderdate")
+    base = o.select(
+        *(F.lit("").alias(c) for c in store.COLUMNS if c not in ("dedup_key", "url", "status", "score", "first_seen", "age_days", "id")),
+        F.col("o_orderkey").cast("string").alias("id"), F.concat(F.lit("k"), F.col("o_custkey").cast("string")).alias("dedup_key"),
+        F.concat(F.lit("u"), (F.col("o_orderkey") % 997).cast("string")).alias("url"),
+        F.when(F.col("o_orderstatus") == "F", "applied").when(F.col("o_orderstatus") == "P", "dismissed").otherwise("new").alias("status"),
+        F.floor(F.col("o_totalprice") / 10000).cast("int").cast("string").alias("score"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("first_seen"), F.lit("").alias("age_days"), "o_orderkey", "o_orderdate"
+    )
     one = lambda df: df.withColumn("_rn", F.row_number().over(Window.partitionBy("dedup_key").orderBy("o_orderkey"))).where("_rn = 1").drop("_rn", "o_orderdate")
     return one(base.where("o_orderdate < '2000-07-01'")), one(base.where("o_orderdate >= '2000-07-01'")).drop("o_orderkey")
 
@@ -257,20 +315,33 @@ merged as (select id, dedup_key, url, score, first_seen, status, is_new from m u
 def upsert(spark: SparkSession, sf: str) -> DataFrame:
     """ST1, J03, U05: carry sticky rows, inherit by key, else by URL, drop the rest."""
     old, run = _store(spark, sf)
-    return store.upsert(old, run.select(*store.COLUMNS), order="o_orderkey").select("id", "dedup_key", "url", "score", "first_seen", "status", "is_new")
+    return store.upsert(old, run.select(*store.COLUMNS), order="o_orderkey").select(
+        "id", "dedup_key", "url", "score", "first_seen", "status", "is_new"
+    )
 
 
-@query(f"{UPSERT} select id, dedup_key, score from merged where status not in ('applied', 'dismissed', 'rejected') and cast(score as integer) >= 5 order by cast(score as integer) desc, dedup_key limit 25")
+@query(
+    f"{UPSERT} select id, dedup_key, score from merged where status not in ('applied', 'dismissed', 'rejected') and cast(score as integer) >= 5 order by cast(score as integer) desc, dedup_key limit 25"
+)
 def surface_topk(spark: SparkSession, sf: str) -> DataFrame:
     """ST4, P10, O03: a report of the 25 best visible rows."""
     old, run = _store(spark, sf)
     return store.surface(store.upsert(old, run.select(*store.COLUMNS), order="o_orderkey"), CFG, limit=25).select("id", "dedup_key", "score")
 
 
-PLACES = {0: ("Waco, TX", "Waco", "TX", "US"), 1: ("Paris, France", "Paris", None, "FR"), 2: ("Toronto, ON, CA", "Toronto", None, "CA"), 3: ("Toronto, ON", None, None, None), 4: ("Remote, ON, CA", None, None, "CA"), 5: ("Singapore", None, None, "SG"), 6: ("CA", None, None, None)}
+PLACES = {
+    0: ("Waco, TX", "Waco", "TX", "US"), 1: ("Paris, France", "Paris", None, "FR"), 2: ("Toronto, ON, CA", "Toronto", None, "CA"),
+    3: ("Toronto, ON", None, None, None), 4: ("Remote, ON, CA", None, None, "CA"), 5: ("Singapore", None, None, "SG"),
+    6: ("CA", None, None, None)
+}
 
 
-@query("select n_nationkey, " + ", ".join(f"case n_nationkey % 7 {' '.join(f'when {k} then {q(v[i])}' for k, v in PLACES.items() if v[i])} end as {name}" for i, name in ((1, "city"), (2, "state"), (3, "country"))) + " from nation")
+@query(
+    "select n_nationkey, " + ", ".join(
+        f"case n_nationkey % 7 {' '.join(f'when {k} then {q(v[i])}' for k, v in PLACES.items() if v[i])} end as {name}" for i,
+        name in ((1, "city"), (2, "state"), (3, "country"))
+    ) + " from nation"
+)
 def split_places(spark: SparkSession, sf: str) -> DataFrame:
     """Places that are read with confidence."""
     raw = F.create_map(*(F.lit(x) for k, v in PLACES.items() for x in (k, v[0])))[F.col("n_nationkey") % 7]
@@ -278,21 +349,41 @@ def split_places(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "nation").select("n_nationkey", p["city"].alias("city"), p["state"].alias("state"), p["country"].alias("country"))
 
 
-SCOPES = {0: ("Remote - Brazil", "BR", None), 1: ("Remote - EMEA", None, "EMEA"), 2: ("Remote - US & Canada", "CA,US", None), 3: ("Remote - TX", "US-TX", None), 4: ("Worldwide", "", None), 5: ("Remote", None, None), 6: ("Munich, Germany", None, None)}
+SCOPES = {
+    0: ("Remote - Brazil", "BR", None), 1: ("Remote - EMEA", None, "EMEA"), 2: ("Remote - US & Canada", "CA,US", None),
+    3: ("Remote - TX", "US-TX", None), 4: ("Worldwide", "", None), 5: ("Remote", None, None), 6: ("Munich, Germany", None, None)
+}
 
 
-@query("select n_nationkey, " + ", ".join(f"case n_nationkey % 7 {' '.join(f'when {k} then {q(v[i])}' for k, v in SCOPES.items() if v[i] is not None)} end as {name}" for i, name in ((1, "areas"), (2, "regions"))) + " from nation")
+@query(
+    "select n_nationkey, " + ", ".join(
+        f"case n_nationkey % 7 {' '.join(f'when {k} then {q(v[i])}' for k, v in SCOPES.items() if v[i] is not None)} end as {name}" for i,
+        name in ((1, "areas"), (2, "regions"))
+    ) + " from nation"
+)
 def remote_scopes(spark: SparkSession, sf: str) -> DataFrame:
     """Stated boundaries, three-valued."""
     raw = F.create_map(*(F.lit(x) for k, v in SCOPES.items() for x in (k, v[0])))[F.col("n_nationkey") % 7]
     s = places.remote_scope(raw)
-    return table(spark, sf, "nation").select("n_nationkey", F.array_join(s["areas"], ",").alias("areas"), F.array_join(s["regions"], ",").alias("regions"))
+    return table(spark, sf, "nation").select(
+        "n_nationkey", F.array_join(s["areas"], ",").alias("areas"), F.array_join(s["regions"], ",").alias("regions")
+    )
 
 
-SIGNALS = {0: ("Engineer (Remote)", "", "", "remote", "title"), 1: ("Engineer", "Austin", "This role is fully remote.", "remote", "text"), 2: ("Engineer", "Remote - Hybrid", "", "hybrid", "location"), 3: ("Engineer", "Austin", "We sell hybrid cloud.", None, None), 4: ("Non-remote engineer", "", "", "onsite", "title"), 5: ("Engineer", "Remote", "Three 3 days in office", "hybrid", "text"), 6: ("Engineer", "Remote - US", "hybrid schedule", "remote", "location")}
+SIGNALS = {
+    0: ("Engineer (Remote)", "", "", "remote", "title"), 1: ("Engineer", "Austin", "This role is fully remote.", "remote", "text"),
+    2: ("Engineer", "Remote - Hybrid", "", "hybrid", "location"), 3: ("Engineer", "Austin", "We sell hybrid cloud.", None, None),
+    4: ("Non-remote engineer", "", "", "onsite", "title"), 5: ("Engineer", "Remote", "Three 3 days in office", "hybrid", "text"),
+    6: ("Engineer", "Remote - US", "hybrid schedule", "remote", "location")
+}
 
 
-@query("select n_nationkey, " + ", ".join(f"case n_nationkey % 7 {' '.join(f'when {k} then {q(v[i])}' for k, v in SIGNALS.items() if v[i])} end as {name}" for i, name in ((3, "remote_type"), (4, "remote_basis"))) + " from nation")
+@query(
+    "select n_nationkey, " + ", ".join(
+        f"case n_nationkey % 7 {' '.join(f'when {k} then {q(v[i])}' for k, v in SIGNALS.items() if v[i])} end as {name}" for i,
+        name in ((3, "remote_type"), (4, "remote_basis"))
+    ) + " from nation"
+)
 def remote_signals(spark: SparkSession, sf: str) -> DataFrame:
     """Arrangement and its basis."""
     pick = lambda i: F.create_map(*(F.lit(x) for k, v in SIGNALS.items() for x in (k, v[i])))[F.col("n_nationkey") % 7]
@@ -300,47 +391,69 @@ def remote_signals(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "nation").select("n_nationkey", s["type"].alias("remote_type"), s["basis"].alias("remote_basis"))
 
 
-@query("select p_partkey, p_type as title_root, case p_size % 3 when 0 then 'senior' end as seniority, case p_size % 2 when 0 then 'II' end as level, lower(p_brand) as qualifiers from part")
+@query(
+    "select p_partkey, p_type as title_root, case p_size % 3 when 0 then 'senior' end as seniority, case p_size % 2 when 0 then 'II' end as level, lower(p_brand) as qualifiers from part"
+)
 def title_parts(spark: SparkSession, sf: str) -> DataFrame:
     """F16: root, seniority, level, qualifiers of a decorated title."""
-    t = F.concat(F.when(F.col("p_size") % 3 == 0, "Senior ").otherwise(""), "p_type", F.when(F.col("p_size") % 2 == 0, " II").otherwise(""), F.lit(", "), "p_brand")
+    t = F.concat(
+        F.when(F.col("p_size") % 3 == 0, "Senior ").otherwise(""), "p_type", F.when(F.col("p_size") % 2 == 0, " II").otherwise(""),
+        F.lit(", "), "p_brand"
+    )
     d = titles.decompose(t)
-    return table(spark, sf, "part").select("p_partkey", d["root"].alias("title_root"), d["seniority"].alias("seniority"), d["level"].alias("level"), F.array_join(d["qualifiers"], ",").alias("qualifiers"))
+    return table(spark, sf, "part").select(
+        "p_partkey", d["root"].alias("title_root"), d["seniority"].alias("seniority"), d["level"].alias("level"),
+        F.array_join(d["qualifiers"], ",").alias("qualifiers")
+    )
 
 
-@query("select c_custkey, case when substr(a, 1, 1) in ('=', '+', '-', '@') then '''' || a else a end as cell from (select c_custkey, case when c_acctbal < 0 then '-' else '' end || c_name as a from customer)")
+@query(
+    "select c_custkey, case when substr(a, 1, 1) in ('=', '+', '-', '@') then '''' || a else a end as cell from (select c_custkey, case when c_acctbal < 0 then '-' else '' end || c_name as a from customer)"
+)
 def csv_guard(spark: SparkSession, sf: str) -> DataFrame:
     """No cell is a formula."""
-    return table(spark, sf, "customer").select("c_custkey", text.guarded(F.concat(F.when(F.col("c_acctbal") < 0, "-").otherwise(""), "c_name")).alias("cell"))
+    return table(spark, sf, "customer").select(
+        "c_custkey", text.guarded(F.concat(F.when(F.col("c_acctbal") < 0, "-").otherwise(""), "c_name")).alias("cell")
+    )
 
 
-@query("select doc_id from documents where length(text) >= 200 and length(text) - length(replace(text, ' ', '')) >= 20 and not starts_with(text, 'http')")
+@query(
+    "select doc_id from documents where length(text) >= 200 and length(text) - length(replace(text, ' ', '')) >= 20 and not starts_with(text, 'http')"
+)
 def prose_filter(spark: SparkSession, sf: str) -> DataFrame:
     """P16."""
     return table(spark, sf, "documents").where(text.is_prose(F.col("text"))).select("doc_id")
 
 
-@query("select time_bucket(interval 1 hour, ts) as window_start, event_type, count(*) as n, cast(sum(cast(value as decimal(18, 4))) as double) as total from events group by 1, 2")
+@query(
+    "select time_bucket(interval 1 hour, ts) as window_start, event_type, count(*) as n, cast(sum(cast(value as decimal(18, 4))) as double) as total from events group by 1, 2"
+)
 def tumbling_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Counts per hour and type."""
     e = table(spark, sf, "events").withColumn("value", F.col("value").cast("decimal(18,4)"))
     return upserts.tumbling_counts(e).withColumn("total", F.col("total").cast("double"))
 
 
-@query("with l as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minute then 0 else 1 end as fresh from events), s as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as g from l) select user_id, min(ts) as first_ts, max(ts) as last_ts, count(*) as n from s group by user_id, g")
+@query(
+    "with l as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minute then 0 else 1 end as fresh from events), s as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as g from l) select user_id, min(ts) as first_ts, max(ts) as last_ts, count(*) as n from s group by user_id, g"
+)
 def session_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Sessions by a gap of 30 minutes."""
     return upserts.sessions(table(spark, sf, "events"))
 
 
-@query("select c_custkey, case c_mktsegment when 'BUILDING' then 'FULL_TIME' when 'MACHINERY' then 'CONTRACTOR' else 'OTHER' end as employment_type from customer")
+@query(
+    "select c_custkey, case c_mktsegment when 'BUILDING' then 'FULL_TIME' when 'MACHINERY' then 'CONTRACTOR' else 'OTHER' end as employment_type from customer"
+)
 def employment_types(spark: SparkSession, sf: str) -> DataFrame:
     """A closed vocabulary by a map literal."""
     raw = F.when(F.col("c_mktsegment") == "BUILDING", "Full-Time").when(F.col("c_mktsegment") == "MACHINERY", "Freelance").otherwise(F.col("c_mktsegment"))
     return table(spark, sf, "customer").select("c_custkey", vocab.employment_type(raw).alias("employment_type"))
 
 
-@query(f"with {VIEW}, {SCORE} select seq, score from scored where score >= 5 and not ({' or '.join(sql_word(k, 'tl') for k in CFG.exclude_titles)}) and ({' or '.join(sql_word(k, 'tl') for k in CFG.title_signal)}) and date_diff('day', cast(posted as date), date '{AS_OF}') <= 1200")
+@query(
+    f"with {VIEW}, {SCORE} select seq, score from scored where score >= 5 and not ({' or '.join(sql_word(k, 'tl') for k in CFG.exclude_titles)}) and ({' or '.join(sql_word(k, 'tl') for k in CFG.title_signal)}) and date_diff('day', cast(posted as date), date '{AS_OF}') <= 1200"
+)
 def shortlist(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: gates, cheap before dear, then the score."""
     age = dates.age_days(F.col("posted"), F.lit(AS_OF).cast("date"))
@@ -348,7 +461,9 @@ def shortlist(spark: SparkSession, sf: str) -> DataFrame:
     return score.with_score(rows, CFG).where(F.col("score") >= CFG.min_score).select("seq", "score")
 
 
-@query("select s_suppkey, v as slug from (select s_suppkey, unnest(list_distinct([replace(n, ' ', ''), replace(n, ' ', '-'), split_part(n, ' ', 1)])) as v from (select s_suppkey, " + sql_norm("s_name") + " as n from supplier)) where length(v) between 3 and 39")
+@query(
+    "select s_suppkey, v as slug from (select s_suppkey, unnest(list_distinct([replace(n, ' ', ''), replace(n, ' ', '-'), split_part(n, ' ', 1)])) as v from (select s_suppkey, " + sql_norm("s_name") + " as n from supplier)) where length(v) between 3 and 39"
+)
 def slug_variants(spark: SparkSession, sf: str) -> DataFrame:
     """Exploded slug variants."""
     return table(spark, sf, "supplier").select("s_suppkey", F.explode(text.name_variants(F.col("s_name"), aggressive=True)).alias("slug"))
@@ -363,7 +478,9 @@ def mined_boards(spark: SparkSession, sf: str) -> DataFrame:
     return discovery.mined(lines).select("ats", "slug")
 
 
-@query("select c_custkey, case when c_custkey % 6 = 0 then 'unsupported' when c_custkey % 6 = 1 then 'refused' when c_custkey % 6 = 2 then 'throttled' when c_custkey % 6 = 3 then 'missing' when c_acctbal < 0 then 'empty' else 'ok' end as outcome from customer")
+@query(
+    "select c_custkey, case when c_custkey % 6 = 0 then 'unsupported' when c_custkey % 6 = 1 then 'refused' when c_custkey % 6 = 2 then 'throttled' when c_custkey % 6 = 3 then 'missing' when c_acctbal < 0 then 'empty' else 'ok' end as outcome from customer"
+)
 def probe_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     """What a probe's answer means."""
     k = F.col("c_custkey") % 6
@@ -380,7 +497,9 @@ def unknown_companies(spark: SparkSession, sf: str) -> DataFrame:
     return discovery.unknown(posting(spark, sf), known).select("seq", "company")
 
 
-@query("select lang, case when b >= 0.3 and b > a + 0.2 then 'true' when n = 0 then 'unknown' else 'false' end as verdict from (select lang, avg(cast(contains(lower(text), 'the') as double)) as b, 0.05 as a, count(*) as n from documents group by lang)")
+@query(
+    "select lang, case when b >= 0.3 and b > a + 0.2 then 'true' when n = 0 then 'unknown' else 'false' end as verdict from (select lang, avg(cast(contains(lower(text), 'the') as double)) as b, 0.05 as a, count(*) as n from documents group by lang)"
+)
 def filter_detection(spark: SparkSession, sf: str) -> DataFrame:
     """Whether a parameter filters, by what its rows are about."""
     g = table(spark, sf, "documents").groupBy("lang").agg(F.avg(F.lower("text").contains("the").cast("double")).alias("rel"), F.count("*").alias("n"))

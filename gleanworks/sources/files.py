@@ -50,7 +50,11 @@ def watchlist_companies(spark: SparkSession, path: str) -> DataFrame:
     """The companies of a watchlist document ({"companies": [...]}), numbered as they stand, with their entry_key; a
     document that doesn't parse has none."""
     raw = spark.read.text(path, wholetext=True)
-    rows = raw.select(F.posexplode(F.from_json("value", f"companies ARRAY<STRUCT<{WATCHLIST.replace(' ', ':').replace(',:', ', ')}>>")["companies"]).alias("seq", "c"))
+    rows = raw.select(
+        F.posexplode(
+            F.from_json("value", f"companies ARRAY<STRUCT<{WATCHLIST.replace(' ', ':').replace(',:', ', ')}>>")["companies"]
+        ).alias("seq", "c")
+    )
     e = F.struct(F.col("c.ats").alias("ats"), F.col("c.slug").alias("slug"), F.col("c.host").alias("host"), F.col("c.site").alias("site"))
     return rows.select("seq", "c.*", urls.entry_key(e).alias("entry_key"))
 
@@ -72,7 +76,10 @@ def _entities() -> Column:
     """Entity name to its numeric form, from the standard library's table."""
     xml = ("amp", "lt", "gt", "quot", "apos")
     table = {k: "".join(f"&#{ord(x)};" for x in v) for k, v in html.entities.html5.items() if not k.endswith(";") and k not in xml}
-    table |= {k[:-1]: "".join(f"&#{ord(x)};" for x in v) for k, v in html.entities.html5.items() if k.endswith(";") and k[:-1] in html.entities.name2codepoint and k[:-1] not in xml}
+    table |= {
+        k[:-1]: "".join(f"&#{ord(x)};" for x in v) for k,
+        v in html.entities.html5.items() if k.endswith(";") and k[:-1] in html.entities.name2codepoint and k[:-1] not in xml
+    }
     return F.create_map(*(F.lit(x) for pair in sorted(table.items()) for x in pair))
 
 
@@ -83,7 +90,10 @@ def feed_text(spark: SparkSession, path: str, row: str = "item") -> DataFrame:
     parts = whole.select(F.explode(F.regexp_extract_all("value", F.lit(f"(?s)(<{row}[ >].*?</{row}>)"), F.lit(1))).alias("x"))
     item = parts.select(F.from_xml("x", schema).alias("i"), F.regexp_extract("x", "<link[^>]*href=[\"']([^\"']*)", 1).alias("href"))
     pick = lambda *names: F.coalesce(*(F.nullif(F.col(f"i.{n}"), F.lit("")) for n in names), F.lit(""))
-    return item.select(pick("title").alias("title"), F.coalesce(F.nullif("href", F.lit("")), pick("link")).alias("link"), pick("pubDate", "published", "updated").alias("published"), pick("description", "summary", "content").alias("body"))
+    return item.select(
+        pick("title").alias("title"), F.coalesce(F.nullif("href", F.lit("")), pick("link")).alias("link"),
+        pick("pubDate", "published", "updated").alias("published"), pick("description", "summary", "content").alias("body")
+    )
 
 
 def feed(spark: SparkSession, path: str, row: str = "item") -> DataFrame:
@@ -91,7 +101,10 @@ def feed(spark: SparkSession, path: str, row: str = "item") -> DataFrame:
     raw = spark.read.format("xml").option("rowTag", row).option("inferSchema", False).load(path)
     pick = lambda *names: F.coalesce(*(F.col(f"`{n}`").cast("string") for n in names if n in raw.columns), F.lit(""))
     link = F.col("link._href") if "link" in raw.columns and dict(raw.dtypes)["link"].startswith("struct") else pick("link")
-    return raw.select(pick("title").alias("title"), link.alias("link"), pick("pubDate", "published", "updated").alias("published"), pick("description", "summary", "content").alias("body"))
+    return raw.select(
+        pick("title").alias("title"), link.alias("link"), pick("pubDate", "published", "updated").alias("published"),
+        pick("description", "summary", "content").alias("body")
+    )
 
 
 def profiles(spark: SparkSession, path: str) -> DataFrame:
@@ -103,14 +116,28 @@ def profiles(spark: SparkSession, path: str) -> DataFrame:
 
 def completeness(front: DataFrame, required: tuple[str, ...]) -> DataFrame:
     """Marks left to do, and required keys that a profile lacks."""
-    missing = F.filter(F.array(*(F.lit(k) for k in required)), lambda k: ~F.coalesce(F.concat(F.lit("\n"), F.col("front")).contains(F.concat(F.lit("\n"), k, F.lit(":"))), F.lit(False)))
-    return front.select("path", (F.regexp_count("front", F.lit("TODO")) + F.regexp_count("body", F.lit("TODO"))).alias("todos"), missing.alias("missing"))
+    missing = F.filter(
+        F.array(*(F.lit(k) for k in required)),
+        lambda k: ~F.coalesce(F.concat(F.lit("\n"), F.col("front")).contains(F.concat(F.lit("\n"), k, F.lit(":"))), F.lit(False))
+    )
+    return front.select(
+        "path", (F.regexp_count("front", F.lit("TODO")) + F.regexp_count("body", F.lit("TODO"))).alias("todos"), missing.alias("missing")
+    )
 
 
 def drift(profiles_now: DataFrame, index: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """Where an index row differs from its profile, and profiles without a row: (name, field, profile, indexed)."""
     pairs = profiles_now.alias("p").join(index.alias("i"), "name", "left")
-    each = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(f"p.{c}").cast("string").alias("profile"), F.col(f"i.{c}").cast("string").alias("indexed")) for c in columns))).alias("x")
+    each = F.explode(
+        F.array(
+            *(
+                F.struct(
+                    F.lit(c).alias("field"), F.col(f"p.{c}").cast("string").alias("profile"),
+                    F.col(f"i.{c}").cast("string").alias("indexed")
+                ) for c in columns
+            )
+        )
+    ).alias("x")
     return pairs.select("name", each).select("name", "x.*").where(~F.col("profile").eqNullSafe(F.col("indexed")))
 
 

@@ -116,7 +116,10 @@ def at_path(data: object, path: str) -> object:
     return data
 
 
-def walk(ask: Callable[..., tuple[int | None, str | None]], template: str, rule: str, most: int, size: int, items: str, total: str = "", body: str = "") -> Iterator[tuple[int, str | None, int | None]]:
+def walk(
+    ask: Callable[..., tuple[int | None, str | None]], template: str, rule: str, most: int, size: int, items: str, total: str = "",
+    body: str = ""
+) -> Iterator[tuple[int, str | None, int | None]]:
     """(page, payload, status) of one board's walk; a failed page ends it, and so do most pages.
 
     rule ``short`` steps {offset} by size and ends with a page that has fewer items, or at the total that the first
@@ -198,7 +201,10 @@ class WalkReader(DataSourceReader):
     def read(self, part: Board) -> Iterator[tuple]:
         o = self.options
         template = o["template"].replace("{slug}", part.slug)
-        for n, raw, status in walk(fetch, template, o.get("rule", "short"), int(o.get("most", 10)), int(o.get("size", 100)), o.get("items", ""), o.get("total", ""), o.get("body", "")):
+        for n, raw, status in walk(
+            fetch, template, o.get("rule", "short"), int(o.get("most", 10)), int(o.get("size", 100)), o.get("items", ""),
+            o.get("total", ""), o.get("body", "")
+        ):
             yield part.at * 10**6 + n, raw, status, part.slug
 
 

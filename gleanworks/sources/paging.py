@@ -24,9 +24,14 @@ def fan_out(spark: SparkSession, queries: list[str], pages: int, categories: lis
     """(at, query, category, page): every request of a fan-out, in the order in which it is made; three short lists."""
     one = spark.range(1).select(F.posexplode(F.array(*map(F.lit, queries)).cast("array<string>")).alias("q", "query"))
     both = one.select("*", F.posexplode_outer(F.array(*map(F.lit, categories or [None])).cast("array<string>")).alias("c", "category"))
-    each = both.select("*", F.explode(F.sequence(F.lit(0), F.lit(pages - 1))).alias("page")) if pages > 0 else both.withColumn("page", F.lit(0)).limit(0)
+    each = both.select(
+        "*", F.explode(F.sequence(F.lit(0), F.lit(pages - 1))).alias("page")
+    ) if pages > 0 else both.withColumn("page", F.lit(0)).limit(0)
     width = len(categories or [None])
-    return each.select(((F.col("q") * width + F.col("c")) * pages + F.col("page")).cast("long").alias("at"), "query", "category", F.col("page").cast("int").alias("page"))
+    return each.select(
+        ((F.col("q") * width + F.col("c")) * pages + F.col("page")).cast("long").alias("at"), "query", "category",
+        F.col("page").cast("int").alias("page")
+    )
 
 
 def within_budget(requests: DataFrame, spend: int) -> DataFrame:
@@ -41,7 +46,9 @@ def _until(pages: DataFrame, stop: Column, board: str, page: str) -> DataFrame:
     return marked.withColumn("_done", F.coalesce(F.max("_stop").over(before), F.lit(False))).where(~F.col("_done")).drop("_stop", "_done")
 
 
-def walked(pages: DataFrame, size: int, most: int, board: str = "slug", page: str = "page", rows: str = "rows", total: str | None = "total") -> DataFrame:
+def walked(
+    pages: DataFrame, size: int, most: int, board: str = "slug", page: str = "page", rows: str = "rows", total: str | None = "total"
+) -> DataFrame:
     """Pages of an offset walk: it ends with a short page, at the total that the first page told (later pages may
     say 0), or after most pages. A page that failed (rows null) ends it, too, and is dropped."""
     order = Window.partitionBy(board).orderBy(page)
@@ -52,10 +59,14 @@ def walked(pages: DataFrame, size: int, most: int, board: str = "slug", page: st
     return _until(rest.where(F.col("_at") <= most), stop, board, page).where(F.col(rows).isNotNull()).drop("_at", "_said")
 
 
-def fresh_pages(pages: DataFrame, oldest: int, most: int, board: str = "slug", page: str = "page", rows: str = "rows", age: str = "min_age") -> DataFrame:
+def fresh_pages(
+    pages: DataFrame, oldest: int, most: int, board: str = "slug", page: str = "page", rows: str = "rows", age: str = "min_age"
+) -> DataFrame:
     """Pages of a walk from new to old: it ends with the first whose youngest row is older than oldest, or is empty."""
     at = F.row_number().over(Window.partitionBy(board).orderBy(page))
-    return _until(pages.withColumn("_at", at).where(F.col("_at") <= most).drop("_at"), (F.col(rows) == 0) | (F.col(age) > oldest), board, page).where(F.col(rows) > 0)
+    return _until(
+        pages.withColumn("_at", at).where(F.col("_at") <= most).drop("_at"), (F.col(rows) == 0) | (F.col(age) > oldest), board, page
+    ).where(F.col(rows) > 0)
 
 
 def youngest(rows: DataFrame, age: Column, board: str = "slug", page: str = "page") -> DataFrame:

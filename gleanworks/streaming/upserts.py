@@ -28,7 +28,9 @@ def upsert_batch(spark: SparkSession, base: str, today: str, name: str = "stream
     return write
 
 
-def start_upserts(spark: SparkSession, landing: str, schema: str, base: str, checkpoint: str, today: str, files_per_batch: int = 24) -> StreamingQuery:
+def start_upserts(
+    spark: SparkSession, landing: str, schema: str, base: str, checkpoint: str, today: str, files_per_batch: int = 24
+) -> StreamingQuery:
     """Read a landing folder, a bounded number of files at a time."""
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(landing)
     return rows.writeStream.foreachBatch(upsert_batch(spark, base, today)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -44,22 +46,33 @@ def linked_stream(rows: DataFrame, threshold: float = 90, floor: float = 82) ->
     The state of a block (and level) is its survivors, as slim rows without texts; a posting joins the first that it
     matches, or becomes one. Rows out are the survivors that a batch touched, with their sources so far."""
     slim = linkage.with_keys(rows).withColumn("_levels", F.array_join("_levels", ",")).withColumn("_quals", F.array_join("_quals", ",")).withColumn("_words", F.array_join("_words", ","))
-    keyed = slim.select(*(F.col(c) for c in SLIM), F.when(F.col("_blk") == "", F.concat(F.lit("="), "dedup_key")).otherwise(F.col("_blk")).alias("_key"))
+    keyed = slim.select(
+        *(F.col(c) for c in SLIM), F.when(F.col("_blk") == "", F.concat(F.lit("="), "dedup_key")).otherwise(F.col("_blk")).alias("_key")
+    )
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = [dict(r, _levels=r["_levels"].split(","), _quals=r["_quals"], _words=r["_words"]) for r in json.loads(state.get[0])] if state.exists else []
+        kept = [
+            dict(r, _levels=r["_levels"].split(","), _quals=r["_quals"], _words=r["_words"]) for r in json.loads(state.get[0])
+        ] if state.exists else []
         before = {r["dedup_key"] for r in kept}
         split = lambda x: [w for w in x.split(",") if w]
         new = pd.concat(list(batches)).sort_values("seq").to_dict("records")
         touched: dict[str, dict] = {}
         for r in new:
-            row = {**r, "_levels": r["_levels"].split(","), "_quals": split(r["_quals"]), "_words": split(r["_words"]), "sources": [r["source"]] if r["source"] else [], "seq": int(r["seq"]), "score": int(r["score"]), "_pref": int(r["_pref"]), "_len": int(r["_len"])}
+            row = {
+                **r, "_levels": r["_levels"].split(","), "_quals": split(r["_quals"]), "_words": split(r["_words"]),
+                "sources": [r["source"]] if r["source"] else [], "seq": int(r["seq"]), "score": int(r["score"]), "_pref": int(r["_pref"]),
+                "_len": int(r["_len"])
+            }
             row = {k: (None if isinstance(v, float) and v != v else v) for k, v in row.items()}
             kept = linkage.join_one(kept, row, threshold, floor)
             hit = next(k for k in kept if k.pop("_hit", False))
             touched[hit["dedup_key"]] = hit
         state.update((json.dumps([{**k, "_levels": ",".join(k["_levels"])} for k in kept]),))
-        yield pd.DataFrame([(k["dedup_key"], k["_blk"], k["seq"], k["sources"], k["dedup_key"] not in before) for k in touched.values()], columns=["dedup_key", "block", "seq", "sources", "fresh"])
+        yield pd.DataFrame(
+            [(k["dedup_key"], k["_blk"], k["seq"], k["sources"], k["dedup_key"] not in before) for k in touched.values()],
+            columns=["dedup_key", "block", "seq", "sources", "fresh"]
+        )
 
     return keyed.groupBy("_key", "_levels").applyInPandasWithState(fold, LINKS, "survivors string", "update", "NoTimeout")
 
@@ -68,12 +81,16 @@ def tumbling_counts(events: DataFrame, width: str = "1 hour", late: str | None =
     """Events and their value per window and type; with a watermark where the input is a stream."""
     if late:
         events = events.withWatermark("ts", late)
-    return events.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
+    return events.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(
+        F.col("w.start").alias("window_start"), "event_type", "n", "total"
+    )
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     """Sessions of a user: events no further apart than the gap."""
-    return events.groupBy("user_id", F.session_window("ts", gap).alias("s")).agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")).select("user_id", "first_ts", "last_ts", "n")
+    return events.groupBy("user_id", F.session_window("ts", gap).alias("s")).agg(
+        F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
+    ).select("user_id", "first_ts", "last_ts", "n")
 
 
 def first_in_stream(rows: DataFrame, key: str, ts: str, late: str) -> DataFrame:
