@@ -374,23 +374,37 @@ FUZZY = f"""with t as (select p_partkey as k, p_size, p_type || ' ' || p_name as
   select ka as dedup_key, case when one then 2 * k + 1 else 2 * k end as seq, case when one then tb else ta end as title, case when one then 'hn,lever' else 'hn' end as sources from v union all select kb, 2 * k + 1, tb, 'lever' from v where not one"""
 
 
-@query(FUZZY)
-def fuzzy_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Companies with two postings each: one role under two titles, or two roles."""
+def _two_each(spark: SparkSession, sf: str) -> DataFrame:
+    """Two postings of each company, whose titles are alike by one of five ways."""
     p = table(spark, sf, "part")
     k, kind = c("p_partkey"), c("p_size") % 5
     plain = F.concat_ws(" ", "p_type", "p_name")
-    other = F.when(kind == 0, F.concat_ws(" ", "p_name", "p_type")).when(kind == 1, F.concat(plain, F.lit("s"))).when(kind == 2, F.concat(plain, F.lit(" II"))).when(kind == 3, F.concat(plain, F.lit(", Berlin"))).otherwise(F.concat_ws(" ", "p_brand", "p_name"))
-    both = F.explode(
-        F.array(
-            F.struct((k * 2).alias("seq"), plain.alias("title"), F.lit("hn").alias("source")),
-            F.struct((k * 2 + 1).alias("seq"), other.alias("title"), F.lit("lever").alias("source"))
-        )
-    ).alias("x")
-    rows = p.select(F.concat(F.lit("Co "), k.cast("string")).alias("company"), both).select("company", "x.*").withColumns(
-        {"location": F.lit(""), "url": F.lit(""), "text": F.lit("t"), "score": F.lit(1)}
-    )
-    return linkage.linked(rows).select("dedup_key", "seq", "title", F.array_join("sources", ",").alias("sources"))
+    other = (
+        F.when(kind == 0, F.concat_ws(" ", "p_name", "p_type")).when(kind == 1, F.concat(plain, F.lit("s")))
+        .when(kind == 2, F.concat(plain, F.lit(" II"))).when(kind == 3, F.concat(plain, F.lit(", Berlin"))).otherwise(F.concat_ws(" ", "p_brand", "p_name"))
+    )
+    first = F.struct((k * 2).alias("seq"), plain.alias("title"), F.lit("hn").alias("source"))
+    second = F.struct((k * 2 + 1).alias("seq"), other.alias("title"), F.lit("lever").alias("source"))
+    rows = p.select(F.concat(F.lit("Co "), k.cast("string")).alias("company"), F.explode(F.array(first, second)).alias("x"))
+    return rows.select("company", "x.*").withColumns({"location": F.lit(""), "url": F.lit(""), "text": F.lit("t"), "score": F.lit(1)})
+
+
+@query(FUZZY)
+def fuzzy_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Companies with two postings each: one role under two titles, or two roles."""
+    return linkage.linked(_two_each(spark, sf)).select("dedup_key", "seq", "title", F.array_join("sources", ",").alias("sources"))
+
+
+@query(f"select dedup_key, seq, sources, true as fresh from ({FUZZY})")
+def streamed_linkage(spark: SparkSession, sf: str) -> DataFrame:
+    """The same linkage as a stream, whose state is each block's survivors."""
+    landing, out = scratch(spark, "landing"), scratch(spark, "links")
+    rows = _two_each(spark, sf)
+    rows.write.parquet(landing)
+    links = upserts.linked_stream(spark.readStream.schema(rows.schema).parquet(landing))
+    run = links.writeStream.outputMode("update").foreachBatch(lambda df, _: df.write.mode("append").parquet(out))
+    run.option("checkpointLocation", scratch(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("dedup_key", "seq", F.array_join("sources", ",").alias("sources"), "fresh")
 
 
 # ---- joins
