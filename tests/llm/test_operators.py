@@ -474,6 +474,36 @@ def test_language_id_learns_from_repeated_ids(spark: SparkSession) -> None:
     assert langid.fit(docs, labels=1).langs == ["aa"]
 
 
+def test_kernel_ridge_with_every_text_as_landmark_is_exact() -> None:
+    rng = random.Random(17)
+    alphabets = {"aa": "abcde", "bb": "defgh", "cc": "ghija"}
+    body = lambda a: " ".join("".join(rng.choices(a, k=rng.randint(2, 5))) for _ in range(rng.randint(3, 12)))
+    langs = [rng.choice([*alphabets]) for _ in range(45)]
+    texts = [body(alphabets[x]) for x in langs]
+    asked = [body(a) for a in alphabets.values() for _ in range(5)] + ["abc ghi", "j"]
+    model = langid.Model(texts, langs, landmarks=10_000, ridge=0.01)
+
+    def presence(text: str) -> set:
+        padded = f" {text} "
+        return {padded[i : i + n] for n in langid.LENGTHS for i in range(len(padded) - n + 1)}
+
+    sets, names = [presence(x) for x in texts], sorted(alphabets)
+    kernel = lambda a, b: len(a & b) / math.sqrt(len(a) * len(b))
+    n = len(texts)
+    gram = np.array([[kernel(a, b) for b in sets] for a in sets])
+    weight = np.array([n / (len(names) * langs.count(x)) for x in langs])
+    target = np.array([[1.0 if x == y else -1.0 for y in names] for x in langs])
+    # weighted kernel ridge regression with a free intercept, in its dual form
+    system = np.block([[gram + 0.01 * n * np.diag(1 / weight), np.ones((n, 1))], [np.ones((1, n)), np.zeros((1, 1))]])
+    dual = np.linalg.solve(system, np.vstack([target, np.zeros((1, len(names)))]))
+    grams = langid.Grams()
+    got, scores = model.predict([grams.of(x) for x in asked])
+    for text, lang, score in zip(asked, got, scores, strict=True):
+        margins = np.array([kernel(presence(text), s) for s in sets]) @ dual[:-1] + dual[-1]
+        share = np.exp(4 * (margins - margins.max()))
+        assert lang == names[int(margins.argmax())] and score == pytest.approx(float((share / share.sum()).max()), abs=1e-4)
+
+
 def test_long_texts_of_many_characters_keep_their_ngrams() -> None:
     rng = np.random.default_rng(4)
     draw = lambda lang, k: "".join(map(chr, rng.integers(0x4E00, 0x4E00 + 3000, k) + (3000 if lang == "b" else 0)))
@@ -794,6 +824,43 @@ def test_fingerprints(docs: DataFrame, rows: list[tuple], spark: SparkSession, m
     assert one[0]["edited_sha256"] == hashlib.sha256(b"abcd efab").hexdigest()
 
 
+def plain_sketch(text: str) -> tuple[frozenset, frozenset]:
+    """All hashed shingles of a text, and those that the sketch keeps, by plain integers."""
+    import xxhash
+
+    top = 2**64
+    w = [xxhash.xxh3_64_intdigest(x.encode()) for x in words(lower(text))]
+    k = min(5, len(w))
+    every = set()
+    for i in range(len(w) - k + 1 if w else 0):
+        h = k
+        for x in w[i : i + k]:
+            h = (h * 0x9E3779B97F4A7C15 + x) % top
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 % top
+        h = (h ^ h >> 27) * 0x94D049BB133111EB % top
+        every.add(h ^ h >> 31)
+    return frozenset(every), frozenset(h >> 13 for h in every if h < top // fingerprint.SCALE)
+
+
+def test_fingerprints_by_brute_force(docs: DataFrame, rows: list[tuple], monkeypatch: pytest.MonkeyPatch) -> None:
+    monkeypatch.setattr(fingerprint, "RANGE", 30)
+    order = sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], r[1] or ""))
+
+    def near(a: str, b: str) -> float:
+        (all_a, a_kept), (all_b, b_kept) = plain_sketch(a), plain_sketch(b)
+        return 1.0 if all_a == all_b else len(a_kept & b_kept) / len(a_kept) if a_kept else 0.0
+
+    want = collections.Counter()
+    for i, r in enumerate(order):
+        text, after = r[1] or "", order[(i + 1) % len(order)][1] or ""
+        k = len(text) // 4
+        want[r[0], len(text), round(near(text, text[: len(text) - k] + after[:k]), 9), round(near(text, after), 9)] += 1
+    got = [r for r in collected(fingerprint.fingerprinted(docs)) if r["doc_id"] is not None]
+    assert collections.Counter((r["doc_id"], r["n_chars"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got) == want
+    text_of = {r[0]: r[1] or "" for r in rows}
+    assert all(frozenset(fingerprint.kept(r["fingerprint"]).tolist()) == plain_sketch(text_of[r["doc_id"]])[1] for r in got)
+
+
 def test_sketches_estimate_containment() -> None:
     cache = common.WordHashes()
     w = [f"w{i}" for i in range(6000)]
