@@ -144,5 +144,7 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     dealt = dealt.withColumn("before", F.when(F.col("doc_id").isNull(), -1).otherwise(tail))
     own = F.struct(F.col("range"), F.lit(False).alias("tail"))
     places = F.when(F.col("before") >= 0, F.array(own, F.struct(F.col("before").alias("range"), F.lit(True).alias("tail")))).otherwise(F.array(own))
-    rows = dealt.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.explode(places).alias("place")).select("place.range", "place.tail", "doc_id", "text")
+    rows = dealt.select(
+        "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.explode(places).alias("place")
+    ).select("place.range", "place.tail", "doc_id", "text")
     return rows.repartitionById(parts, "range").sortWithinPartitions("range", "tail", "doc_id", "text").mapInArrow(_stream(first), OUT)

@@ -113,7 +113,13 @@ def summed(blocks: DataFrame, dtype: type, out: type, size: int) -> np.ndarray:
             for at, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist(), strict=True):
                 x = np.frombuffer(data, dtype)
                 total[at] = total[at] + x if at in total else x.astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(x, np.iinfo(out).max).astype(out).tobytes() for x in total.values()], pa.binary())], names=["block", "data"])
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(list(total), pa.int32()),
+                pa.array([np.minimum(x, np.iinfo(out).max).astype(out).tobytes() for x in total.values()], pa.binary())
+            ],
+            names=["block", "data"]
+        )
 
     each = min(size, 1 << BLOCK)
     result = np.zeros(size, out)
@@ -146,11 +152,23 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if sum(map(len, held)) > 1_500_000 or len(held) > 50_000:
             pour()
         n = len(sizes)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(wide, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("doc_id").cast(pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()),
+                pa.array(bits, pa.list_(pa.int64())), pa.array(wide, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())
+            ],
+            names=names
+        )
     pour()
     at, data = _blocks(counts, np.uint8)
     n = len(at)
-    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.binary()), pa.array(at, pa.int32()), pa.array(data, pa.binary())], names=names)
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())),
+            pa.nulls(n, pa.binary()), pa.array(at, pa.int32()), pa.array(data, pa.binary())
+        ],
+        names=names
+    )
 
 
 def least_overlap(n: int, num: int, den: int) -> int:
@@ -206,7 +224,10 @@ def _entries(docs: DataFrame, freq: np.ndarray, parts: int, num: int, den: int,
                 token = (first[at] << np.uint64(32)) | (tokens[at] & np.uint64(0xFFFFFFFF)) if is_hot[at[0]] else tokens[at].astype(np.uint32)
                 out.append((int(part[at[0]]), bool(is_hot[at[0]]), len(at), token.tobytes() + nodes[at].tobytes() + code[at].tobytes()))
             a, b, c, d = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.bool_()), pa.array(c, pa.int64()), pa.array(d, pa.binary())], names=["part", "hot", "rows", "data"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(a, pa.int64()), pa.array(b, pa.bool_()), pa.array(c, pa.int64()), pa.array(d, pa.binary())],
+                names=["part", "hot", "rows", "data"]
+            )
 
         for batch in batches:
             for text in as_bytes(batch.column("text")):
@@ -257,7 +278,10 @@ def _shared_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         same[1:] = token[1:] == token[:-1]
         same[:-1] |= same[1:]
         if same.any():
-            yield pa.RecordBatch.from_arrays([pa.array((part << 32) | token[same].astype(np.int64)), pa.array(node[same]), pa.array(code[same].astype(np.int32))], names=names)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((part << 32) | token[same].astype(np.int64)), pa.array(node[same]), pa.array(code[same].astype(np.int32))],
+                names=names
+            )
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -282,7 +306,9 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         for batch in batches:
             for at, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist(), strict=True):
                 total[at] = total.get(at, np.uint8(0)) | np.frombuffer(data, np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["block", "data"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["block", "data"]
+        )
 
     packed = np.zeros(size // 8, np.uint8)
     for row in nodes.select("doc_id").mapInArrow(mark, "block int, data binary").repartition(8, "block").mapInArrow(union, "block int, data binary").collect():
@@ -299,7 +325,10 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 continue
             chosen = batch.take(pa.array(hit))
             sets = [shingles(t, cache) for t in as_bytes(chosen.column("text"))]
-            yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.int64()), pa.array([packed_set(s) for s in sets], pa.binary())], names=["node", "data"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([digest(s) for s in sets], pa.int64()), pa.array([packed_set(s) for s in sets], pa.binary())],
+                names=["node", "data"]
+            )
 
     found = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(build, "node long, data binary")
     # one shuffle by node serves the join, the choice of one text, and the join with pairs that follows
@@ -336,7 +365,9 @@ def verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, num: int, den
                 if den * both >= num * (len(s) + len(own) - both):
                     out.append((a, node))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"]
+                )
 
     return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "member").mapInArrow(check, "a long, b long")
 
@@ -348,8 +379,13 @@ def _capped(entries: DataFrame, nodes: DataFrame) -> DataFrame:
     that they share before it stand in both prefixes: at most as many as either has there that any other node
     has, too (held). From the entry on, neither can share more than it has left (rest). One shuffle by node gives all of it."""
     order = Window.partitionBy("node").orderBy("place", "token")
-    coded = entries.select("token", "node", F.shiftright("code", 3).alias("place"), F.element_at(F.array(*map(F.lit, MATCHES)), F.col("code").bitwiseAND(7) + 1).alias("need"))
-    rows = coded.withColumns({"held": (F.row_number().over(order) - 1).cast("long"), "b1": F.lag("token", 1).over(order), "b2": F.lag("token", 2).over(order)}).join(nodes.select("node", "n", *SIGNATURE), "node")
+    coded = entries.select(
+        "token", "node", F.shiftright("code", 3).alias("place"),
+        F.element_at(F.array(*map(F.lit, MATCHES)), F.col("code").bitwiseAND(7) + 1).alias("need")
+    )
+    rows = coded.withColumns(
+        {"held": (F.row_number().over(order) - 1).cast("long"), "b1": F.lag("token", 1).over(order), "b2": F.lag("token", 2).over(order)}
+    ).join(nodes.select("node", "n", *SIGNATURE), "node")
     return rows.select("token", "node", "need", "n", "held", (F.col("n") - F.col("place")).alias("rest"), *SIGNATURE, *BEFORE)
 
 
@@ -362,7 +398,9 @@ def _viable(entries: DataFrame, num: int, den: int) -> DataFrame:
     cap = F.least(F.col("held") + F.col("rest"), F.col("n"))
     least, most = F.col("n") * num / den, F.least(F.col("n") * den / num, cap * (num + den) / num - F.col("n"))
     # a list of one node has one size but no partner
-    lists = entries.groupBy("token").agg(F.collect_set(step(F.col("n").cast("double"))).alias("steps"), F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("token", "steps")
+    lists = entries.groupBy("token").agg(
+        F.collect_set(step(F.col("n").cast("double"))).alias("steps"), F.min("node").alias("first"), F.max("node").alias("last")
+    ).where("first <> last").select("token", "steps")
     low, high = step(F.greatest(least - 0.5, F.lit(0.1))), step(most + 0.5)
     return entries.where(most >= least - 1e-6).join(lists, "token").where(F.exists("steps", lambda s: (s >= low) & (s <= high))).drop("steps")
 
@@ -375,7 +413,10 @@ def _near_by_signature(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -
         for whole in batches:
             for first in range(0, len(whole), 500):
                 batch = whole.slice(first, 500)
-                apart = np.array([bits_apart(x, y) for x, y in zip(batch.column("wide_a").to_pylist(), batch.column("wide_b").to_pylist(), strict=True)], np.int64)
+                apart = np.array(
+                    [bits_apart(x, y) for x, y in zip(batch.column("wide_a").to_pylist(), batch.column("wide_b").to_pylist(), strict=True)],
+                    np.int64
+                )
                 sizes = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
                 yield batch.select(["a", "b", "need"]).take(pa.array(np.flatnonzero((num + den) * apart <= (den - num) * sizes)))
 
@@ -390,7 +431,13 @@ def linked(docs: DataFrame, num: int = 80, den: int = 100, hot: float = HOT) ->
     freq = summed(survey.where("block is not null"), np.uint8, np.uint32, 1 << SKETCH)
     total = rows.agg(F.sum("n")).first()[0] or 0
     parts = max(8, -(-total * (den - num) // den // PART))
-    nodes = materialize(rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *(F.first(F.col("bits")[i]).alias(f"s{i}") for i in range(len(SIGNATURE))), F.first("wide").alias("wide")), "nodes")
+    nodes = materialize(
+        rows.where("node is not null and doc_id is not null").groupBy("node").agg(
+            F.min("doc_id").alias("doc_id"), F.first("n").alias("n"),
+            *(F.first(F.col("bits")[i]).alias(f"s{i}") for i in range(len(SIGNATURE))), F.first("wide").alias("wide")
+        ),
+        "nodes"
+    )
     entries = _entries(docs.where("doc_id is not null"), freq, parts, num, den, hot)
     # all of a shingle's entries, but hot ones, meet in the task of its part; a hot one may come twice, which
     # only makes the bounds below looser
@@ -401,12 +448,19 @@ def linked(docs: DataFrame, num: int = 80, den: int = 100, hot: float = HOT) ->
     def may_link(a: str, b: str) -> Column:
         """Sizes, places and signatures that allow the threshold."""
         apart = " + ".join(f"bit_count({a}.{s} ^ {b}.{s})" for s in SIGNATURE)
-        return F.expr(f"{num + den} * ({apart}) <= {den - num} * ({a}.n + {b}.n) and {den} * least({a}.n, {b}.n) >= {num} * greatest({a}.n, {b}.n) and {num + den} * (least({a}.held, {b}.held) + least({a}.rest, {b}.rest)) >= {num} * ({a}.n + {b}.n)")
+        return F.expr(
+            f"{num + den} * ({apart}) <= {den - num} * ({a}.n + {b}.n) and {den} * least({a}.n, {b}.n) >= {num} * greatest({a}.n, {b}.n) and {num + den} * (least({a}.held, {b}.held) + least({a}.rest, {b}.rest)) >= {num} * ({a}.n + {b}.n)"
+        )
 
     # each list's most typical node (the one with the least of its own) with every other
-    typical = placed.groupBy("token").agg(F.max(F.struct(((F.col("held") + F.col("rest")) / F.col("n")).alias("typical"), *node)).alias("x"), F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("token", "x")
+    typical = placed.groupBy("token").agg(
+        F.max(F.struct(((F.col("held") + F.col("rest")) / F.col("n")).alias("typical"), *node)).alias("x"), F.min("node").alias("first"),
+        F.max("node").alias("last")
+    ).where("first <> last").select("token", "x")
     star = placed.select("token", F.struct(*node).alias("y")).join(typical, "token").where("x.node <> y.node").where(may_link("x", "y"))
-    star = star.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("k"), F.min(F.least("x.need", "y.need")).alias("need")).where("k >= need")
+    star = star.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(
+        F.count("*").alias("k"), F.min(F.least("x.need", "y.need")).alias("need")
+    ).where("k >= need")
     tried = star.groupBy("b").agg(F.max_by(F.struct("a", "need"), F.struct("k", "a")).alias("x")).select("x.a", "b", "x.need")
     tried = materialize(tried, "star")
     near = materialize(_near_by_signature(tried, nodes, num, den).select("a", "b"), "star-near")
@@ -417,7 +471,9 @@ def linked(docs: DataFrame, num: int = 80, den: int = 100, hot: float = HOT) ->
     now = placed.join(so_far, "node", "left").withColumn("component", F.coalesce("component", "node"))
     now = materialize(now, "placed")
     per = now.groupBy("token", "component").agg(F.count("*").alias("k"))
-    main = per.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("of")).where("of > 1").select("token", "main")
+    main = per.groupBy("token").agg(
+        F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("of")
+    ).where("of > 1").select("token", "main")
     mixed = now.join(main, "token").select("token", "main", F.struct(*node, *BEFORE, "component").alias("y"))
     outside = mixed.where("y.component <> main").select("token", F.col("y").alias("x"))
     # where two nodes share an entry just before this one, they have met already (if they may link, both of
@@ -427,14 +483,20 @@ def linked(docs: DataFrame, num: int = 80, den: int = 100, hot: float = HOT) ->
         for j in BEFORE:
             met = met | F.coalesce(F.col(f"x.{i}") == F.col(f"y.{j}"), F.lit(False))
     # a pair outside the main component comes once, by its lesser node first
-    crossed = outside.join(mixed, "token").where("x.component <> y.component and (y.component = main or x.node < y.node)").where(~met & may_link("x", "y"))
-    pairs = crossed.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.least("x.need", "y.need").alias("need")).distinct()
+    crossed = outside.join(mixed, "token").where(
+        "x.component <> y.component and (y.component = main or x.node < y.node)"
+    ).where(~met & may_link("x", "y"))
+    pairs = crossed.select(
+        F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.least("x.need", "y.need").alias("need")
+    ).distinct()
     pairs = pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     pairs = materialize(_near_by_signature(pairs, nodes, num, den), "pairs")
     # how many entries they share; a node's entries are a part of one document's shingles
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     lists = placed.select("node", "token").join(asked, "node", "left_semi").groupBy("node").agg(F.collect_list("token").alias("tokens"))
-    both = pairs.join(lists.select(F.col("node").alias("a"), F.col("tokens").alias("s")), "a").join(lists.select(F.col("node").alias("b"), F.col("tokens").alias("t")), "b")
+    both = pairs.join(
+        lists.select(F.col("node").alias("a"), F.col("tokens").alias("s")), "a"
+    ).join(lists.select(F.col("node").alias("b"), F.col("tokens").alias("t")), "b")
     more = materialize(both.where(F.size(F.array_intersect("s", "t")) >= F.col("need")).select("a", "b"), "cross")
     found = links.unionByName(materialize(verified(docs, more, nodes.select("node", "doc_id"), num, den), "links-cross"))
 
@@ -446,7 +508,10 @@ def linked(docs: DataFrame, num: int = 80, den: int = 100, hot: float = HOT) ->
     smallest = labels.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     label = labels.select("node", "component").join(smallest, "component").select("node", "component_id")
     out = rows.join(label, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id")).cast("long").alias("component_id"))
+    return out.select(
+        "doc_id", F.col("n").alias("n_shingles"),
+        F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id")).cast("long").alias("component_id")
+    )
 
 
 

@@ -208,6 +208,12 @@ def identified(docs: DataFrame, model: Model | None = None, keep: tuple[str, ...
             for at in range(0, len(whole), 64):
                 batch = whole.slice(at, 64)
                 langs, scores = shared.value.predict(grams.of(t) for t in batch.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *(batch.column(f.name) for f in extra)], names=["doc_id", "held_out", "lang_pred", "score", *(f.name for f in extra)])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), pa.array(langs, pa.string()),
+                        pa.array(scores, pa.float64()), *(batch.column(f.name) for f in extra)
+                    ],
+                    names=["doc_id", "held_out", "lang_pred", "score", *(f.name for f in extra)]
+                )
 
     return docs.select(*cols, held_out().alias("held_out")).mapInArrow(score, out)

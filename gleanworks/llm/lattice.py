@@ -258,14 +258,22 @@ def word_counts(docs: DataFrame, labels: list[str]) -> DataFrame:
         def pour() -> Iterator[pa.RecordBatch]:
             for k, c in enumerate(seen):
                 if c:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array([k] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())], names=["word", "k", "n"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(list(c), pa.binary()), pa.array([k] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())],
+                        names=["word", "k", "n"]
+                    )
                 c.clear()
             if other:
-                yield pa.RecordBatch.from_arrays([pa.array(list(other), pa.binary()), pa.array([0] * len(other), pa.int32()), pa.array([0] * len(other), pa.int64())], names=["word", "k", "n"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(other), pa.binary()), pa.array([0] * len(other), pa.int32()), pa.array([0] * len(other), pa.int64())],
+                    names=["word", "k", "n"]
+                )
             other.clear()
 
         for batch in batches:
-            for out, text, lang in zip(batch.column("held_out").to_pylist(), as_bytes(batch.column("text")), batch.column("lang").to_pylist(), strict=True):
+            for out, text, lang in zip(
+                batch.column("held_out").to_pylist(), as_bytes(batch.column("text")), batch.column("lang").to_pylist(), strict=True
+            ):
                 words = text.lower().split() if text else []
                 words.append(END)
                 other.update(words) if out else seen[at.get(lang, width - 1)].update(words)
@@ -327,7 +335,9 @@ def piece_scores(words: DataFrame, path: str, width: int, steps: int = STEPS, pr
             for k in range(width):
                 take(k)
             k, piece = np.nonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(counts[k, piece])], names=["k", "piece", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(k.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(counts[k, piece])], names=["k", "piece", "n"]
+            )
 
         rows = seen.mapInArrow(expect, "k int, piece int, n double").groupBy("k", "piece").agg(F.sum("n").alias("n")).toPandas()
         counts = np.tile(own, (width, 1))
@@ -355,7 +365,10 @@ def scored_words(words: DataFrame, path: str, totals: np.ndarray, distinct: np.n
             with np.errstate(divide="ignore"):
                 y = np.log(np.maximum(n - DISCOUNT, 0)) - whole[:, None]
             p = np.logaddexp(x, y) / math.log(10)
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(n.sum(axis=0).astype(np.int64)), *(pa.array(c) for c in p)], names=["word", "n", *(f"p{k}" for k in range(width))])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("word"), pa.array(n.sum(axis=0).astype(np.int64)), *(pa.array(c) for c in p)],
+                names=["word", "n", *(f"p{k}" for k in range(width))]
+            )
 
     return words.mapInArrow(score, "word binary, n long" + "".join(f", p{k} double" for k in range(width)))
 
@@ -381,7 +394,10 @@ def scored(docs: DataFrame, path: str) -> DataFrame:
     width = len(labels) + 1
     words = materialize(word_counts(docs, labels), "words")
     every = "+".join(f"n{k}" for k in range(width))
-    sums = words.agg(F.count(F.when(F.expr(every) > 0, 1)), *(F.coalesce(F.sum(f"n{k}"), F.lit(0)) for k in range(width)), *(F.count(F.when(F.col(f"n{k}") > 0, 1)) for k in range(width))).first()
+    sums = words.agg(
+        F.count(F.when(F.expr(every) > 0, 1)), *(F.coalesce(F.sum(f"n{k}"), F.lit(0)) for k in range(width)),
+        *(F.count(F.when(F.col(f"n{k}") > 0, 1)) for k in range(width))
+    ).first()
     distinct, totals, kinds = sums[0], np.array(sums[1 : 1 + width], float), np.array(sums[1 + width :], float)
     total = int(totals.sum())
     table = materialize(scored_words(words, path, totals, kinds), "scores")
@@ -399,7 +415,9 @@ def scored(docs: DataFrame, path: str) -> DataFrame:
         types = [pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 2, *[pa.float64()] * (1 + width), pa.binary(), pa.int64()]
 
         def made(rows: int, **columns: pa.Array) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(rows, t) for c, t in zip(names, types, strict=True)], names=names)
+            return pa.RecordBatch.from_arrays(
+                [columns[c] if c in columns else pa.nulls(rows, t) for c, t in zip(names, types, strict=True)], names=names
+            )
 
         for whole in batches:
             for first in range(0, len(whole), 2000):
@@ -419,15 +437,28 @@ def scored(docs: DataFrame, path: str) -> DataFrame:
                 flat = np.concatenate(heads)
                 starts = np.cumsum([0, *tokens[:-1]])
                 add = lambda x, flat=flat, starts=starts: np.add.reduceat(np.append(x, 0)[flat], starts)
-                yield made(len(batch), row=batch.column("row"), doc_id=batch.column("doc_id").cast(pa.int64()), held_out=batch.column("held_out"), n_tokens=pa.array(tokens, pa.int64()), n_known=pa.array(add(seen)), base=pa.array(add(base)), **{c: pa.array(add(p[:, i])) for i, c in enumerate(scores)})
+                yield made(
+                    len(batch), row=batch.column("row"), doc_id=batch.column("doc_id").cast(pa.int64()), held_out=batch.column("held_out"),
+                    n_tokens=pa.array(tokens, pa.int64()), n_known=pa.array(add(seen)), base=pa.array(add(base)),
+                    **{c: pa.array(add(p[:, i])) for i, c in enumerate(scores)}
+                )
                 if rest:
-                    yield made(len(rest), row=pa.array(np.repeat(batch.column("row").to_numpy(), owners)), word=pa.array(rest, pa.binary()), k=pa.array(times, pa.int64()))
+                    yield made(
+                        len(rest), row=pa.array(np.repeat(batch.column("row").to_numpy(), owners)), word=pa.array(rest, pa.binary()),
+                        k=pa.array(times, pa.int64())
+                    )
 
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double" + "".join(f", {c} double" for c in scores) + ", word binary, k long"
     # written once: both kinds of rows are read from it, and the numbers of rows stay as they are
-    parts = materialize(docs.select("doc_id", "text", held_out().alias("held_out"), F.monotonically_increasing_id().alias("row")).mapInArrow(known, schema), "parts")
+    parts = materialize(
+        docs.select("doc_id", "text", held_out().alias("held_out"), F.monotonically_increasing_id().alias("row")).mapInArrow(known, schema),
+        "parts"
+    )
     rest = parts.where("word is not null").select("row", "word", "k").join(table, "word")
-    rest = rest.select("row", F.when(F.col("n") > 0, F.col("k")).otherwise(0).alias("n_known"), (F.col("k") * (F.log10(F.col("n") + 1.0) - below)).alias("base"), *((F.col("k") * F.col(c)).alias(c) for c in scores))
+    rest = rest.select(
+        "row", F.when(F.col("n") > 0, F.col("k")).otherwise(0).alias("n_known"),
+        (F.col("k") * (F.log10(F.col("n") + 1.0) - below)).alias("base"), *((F.col("k") * F.col(c)).alias(c) for c in scores)
+    )
     sums_of = ("n_known", "base", *scores)
     rest = rest.groupBy("row").agg(*(F.sum(c).alias(f"{c}_rest") for c in sums_of))
     both = parts.where("word is null").drop("word", "k").join(rest, "row", "left")
@@ -438,4 +469,7 @@ def scored(docs: DataFrame, path: str) -> DataFrame:
     inside = terms[0] * 0
     for t in terms:
         inside = inside + F.pow(F.lit(10.0), t - top)
-    return both.select("doc_id", "held_out", "n_tokens", plus["n_known"].cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), plus["base"].alias("base_score"), (top + F.log10(inside)).alias("score"))
+    return both.select(
+        "doc_id", "held_out", "n_tokens", plus["n_known"].cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        plus["base"].alias("base_score"), (top + F.log10(inside)).alias("score")
+    )

@@ -21,60 +21,139 @@ from pyspark.sql import functions as F
 
 # Known licence sentences by id (public licence texts and their usual notices).
 SENTENCES = {
-    "mit-ref": ["Released under the MIT License", "Licensed under the MIT License", "This project is licensed under the MIT License", "Distributed under the MIT License", "SPDX-License-Identifier: MIT"],
-    "mit-grant": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"],
-    "mit-notice": ["The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software", "The above copyright notice and this permission notice (including the next paragraph) shall be included in all copies or substantial portions of the Software"],
-    "as-is": ["THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT"],
-    "mit-liability": ["IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE"],
+    "mit-ref": [
+        "Released under the MIT License", "Licensed under the MIT License", "This project is licensed under the MIT License",
+        "Distributed under the MIT License", "SPDX-License-Identifier: MIT"
+    ],
+    "mit-grant": [
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+    ],
+    "mit-notice": [
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
+        "The above copyright notice and this permission notice (including the next paragraph) shall be included in all copies or substantial portions of the Software"
+    ],
+    "as-is": [
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT"
+    ],
+    "mit-liability": [
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE"
+    ],
     "isc-ref": ["Licensed under the ISC License", "Released under the ISC License", "SPDX-License-Identifier: ISC"],
-    "isc-grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"],
+    "isc-grant": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+        "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"
+    ],
     "0bsd-grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
-    "isc-as-is": ["THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS"],
-    "apache-ref": ["Licensed under the Apache License, Version 2.0", "Released under the Apache License, Version 2.0", "Licensed under the Apache License, Version 2.0 (the \"License\")", "This project is licensed under the Apache License 2.0", "SPDX-License-Identifier: Apache-2.0"],
+    "isc-as-is": [
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS"
+    ],
+    "apache-ref": [
+        "Licensed under the Apache License, Version 2.0", "Released under the Apache License, Version 2.0",
+        "Licensed under the Apache License, Version 2.0 (the \"License\")", "This project is licensed under the Apache License 2.0",
+        "SPDX-License-Identifier: Apache-2.0"
+    ],
     "apache-comply": ["you may not use this file except in compliance with the License"],
     "apache-copy": ["You may obtain a copy of the License at"],
     "apache-terms": ["TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"],
-    "apache-body": ["\"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document"],
-    "gpl3-ref": ["This work is licensed under the GNU General Public License, version 3", "Licensed under the GNU General Public License, version 3", "Released under the GNU General Public License v3.0", "SPDX-License-Identifier: GPL-3.0-only"],
-    "gpl2-ref": ["This work is licensed under the GNU General Public License, version 2", "Licensed under the GNU General Public License, version 2", "SPDX-License-Identifier: GPL-2.0-only"],
+    "apache-body": [
+        "\"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document"
+    ],
+    "gpl3-ref": [
+        "This work is licensed under the GNU General Public License, version 3", "Licensed under the GNU General Public License, version 3",
+        "Released under the GNU General Public License v3.0", "SPDX-License-Identifier: GPL-3.0-only"
+    ],
+    "gpl2-ref": [
+        "This work is licensed under the GNU General Public License, version 2", "Licensed under the GNU General Public License, version 2",
+        "SPDX-License-Identifier: GPL-2.0-only"
+    ],
     "gpl3-later-ref": ["SPDX-License-Identifier: GPL-3.0-or-later"],
     "gpl2-later-ref": ["SPDX-License-Identifier: GPL-2.0-or-later"],
-    "gpl-redistribute": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
-    "gpl2-redistribute": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"],
+    "gpl-redistribute": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"
+    ],
+    "gpl2-redistribute": [
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"
+    ],
     "gpl-warranty": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"],
     "gpl3-title": ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
     "gpl2-title": ["GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
     "fsf-copying": ["Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed"],
     "lgpl3-title": ["GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
     "lgpl21-title": ["GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"],
-    "lgpl3-ref": ["Licensed under the GNU Lesser General Public License, version 3", "SPDX-License-Identifier: LGPL-3.0-only", "SPDX-License-Identifier: LGPL-3.0-or-later"],
-    "lgpl21-ref": ["Licensed under the GNU Lesser General Public License, version 2.1", "SPDX-License-Identifier: LGPL-2.1-only", "SPDX-License-Identifier: LGPL-2.1-or-later"],
-    "lgpl3-redistribute": ["This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
-    "lgpl21-redistribute": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"],
+    "lgpl3-ref": [
+        "Licensed under the GNU Lesser General Public License, version 3", "SPDX-License-Identifier: LGPL-3.0-only",
+        "SPDX-License-Identifier: LGPL-3.0-or-later"
+    ],
+    "lgpl21-ref": [
+        "Licensed under the GNU Lesser General Public License, version 2.1", "SPDX-License-Identifier: LGPL-2.1-only",
+        "SPDX-License-Identifier: LGPL-2.1-or-later"
+    ],
+    "lgpl3-redistribute": [
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"
+    ],
+    "lgpl21-redistribute": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"
+    ],
     "agpl3-title": ["GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"],
-    "agpl3-ref": ["Licensed under the GNU Affero General Public License, version 3", "SPDX-License-Identifier: AGPL-3.0-only", "SPDX-License-Identifier: AGPL-3.0-or-later"],
-    "agpl3-redistribute": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
-    "bsd-redistribution": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
+    "agpl3-ref": [
+        "Licensed under the GNU Affero General Public License, version 3", "SPDX-License-Identifier: AGPL-3.0-only",
+        "SPDX-License-Identifier: AGPL-3.0-or-later"
+    ],
+    "agpl3-redistribute": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"
+    ],
+    "bsd-redistribution": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    ],
     "bsd-source": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"],
-    "bsd-binary": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"],
-    "bsd-endorse": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "Neither the name of the author nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission"],
+    "bsd-binary": [
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"
+    ],
+    "bsd-endorse": [
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "Neither the name of the author nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission"
+    ],
     "bsd-advertising": ["All advertising materials mentioning features or use of this software must display the following acknowledgement"],
     "bsd-ref": ["Licensed under the BSD 3-Clause License", "SPDX-License-Identifier: BSD-3-Clause"],
     "bsd2-ref": ["Licensed under the BSD 2-Clause License", "SPDX-License-Identifier: BSD-2-Clause"],
     "zlib-as-is": ["This software is provided 'as-is', without any express or implied warranty"],
-    "zlib-grant": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"],
+    "zlib-grant": [
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"
+    ],
     "zlib-ref": ["Licensed under the zlib License", "SPDX-License-Identifier: Zlib"],
-    "boost-ref": ["Distributed under the Boost Software License, Version 1.0", "Licensed under the Boost Software License, Version 1.0", "SPDX-License-Identifier: BSL-1.0"],
+    "boost-ref": [
+        "Distributed under the Boost Software License, Version 1.0", "Licensed under the Boost Software License, Version 1.0",
+        "SPDX-License-Identifier: BSL-1.0"
+    ],
     "unlicense-grant": ["This is free and unencumbered software released into the public domain"],
-    "unlicense-rights": ["Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means"],
+    "unlicense-rights": [
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means"
+    ],
     "unlicense-ref": ["Released under the Unlicense", "SPDX-License-Identifier: Unlicense"],
-    "epl2-ref": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at", "Licensed under the Eclipse Public License, version 2.0", "SPDX-License-Identifier: EPL-2.0"],
-    "epl1-ref": ["All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at", "SPDX-License-Identifier: EPL-1.0"],
+    "epl2-ref": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
+        "Licensed under the Eclipse Public License, version 2.0", "SPDX-License-Identifier: EPL-2.0"
+    ],
+    "epl1-ref": [
+        "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at",
+        "SPDX-License-Identifier: EPL-1.0"
+    ],
     "cc-by-ref": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
-    "cc-by-sa-ref": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
-    "cc-by-nc-ref": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
-    "cc0-ref": ["Released under CC0 1.0", "CC0 1.0 Universal", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"],
-    "mpl-ref": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Licensed under the Mozilla Public License, version 2.0", "SPDX-License-Identifier: MPL-2.0"],
+    "cc-by-sa-ref": [
+        "Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"
+    ],
+    "cc-by-nc-ref": [
+        "Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"
+    ],
+    "cc0-ref": [
+        "Released under CC0 1.0", "CC0 1.0 Universal",
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"
+    ],
+    "mpl-ref": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+        "Licensed under the Mozilla Public License, version 2.0", "SPDX-License-Identifier: MPL-2.0"
+    ],
     "mpl-copy": ["If a copy of the MPL was not distributed with this file, You can obtain one at"],
     "rights": ["All rights reserved"],
 }
@@ -171,7 +250,9 @@ def scanned(docs: DataFrame) -> DataFrame:
     pieces = F.transform(F.split(F.regexp_replace(text, COMMENT, "\n"), CUT), normal_form)
     whole = F.concat(F.lit("|"), F.array_join(pieces, "|"), F.lit("|"))
     ids = F.transform(F.regexp_extract_all(whole, F.lit(rf"(?<=\|){ENUMERATOR}({runs})(?=\|)"), F.lit(1)), lambda s: lookup[F.translate(s, "|", " ")])
-    rows = docs.select("doc_id", F.size(F.filter(F.split(text, CUT), lambda s: s.rlike("[A-Za-z0-9]"))).cast("long").alias("n_sentences"), ids.alias("ids"))
+    rows = docs.select(
+        "doc_id", F.size(F.filter(F.split(text, CUT), lambda s: s.rlike("[A-Za-z0-9]"))).cast("long").alias("n_sentences"), ids.alias("ids")
+    )
     rules = F.array(*(F.struct(F.lit(_run(run)).alias("run"), F.lit(name).alias("name")) for run, name in RULES))
     start = F.struct(F.concat(F.lit(","), F.array_join("ids", ",,"), F.lit(",")).alias("rest"), F.array().cast("array<string>").alias("names"))
 
@@ -184,7 +265,10 @@ def scanned(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("done", done)
     licenses = F.coalesce(F.array_join(F.array_distinct("done.names"), ","), F.lit(""))
     left = F.coalesce(F.size(F.filter(F.split("done.rest", ","), lambda s: s != "")), F.lit(0)).cast("long")
-    return rows.select("doc_id", "n_sentences", F.size("ids").cast("long").alias("n_license_sentences"), F.array_join("ids", ",").alias("sentence_ids"), licenses.alias("licenses"), left.alias("n_unmatched"))
+    return rows.select(
+        "doc_id", "n_sentences", F.size("ids").cast("long").alias("n_license_sentences"), F.array_join("ids", ",").alias("sentence_ids"),
+        licenses.alias("licenses"), left.alias("n_unmatched")
+    )
 
 
 def _run(ids: tuple[str, ...]) -> str:

@@ -60,7 +60,9 @@ def targets(sources: DataFrame, total: float, most: float = 2.0) -> DataFrame:
     weight, level, filled = some.agg(F.sum("weight")).first()[0] or 0.0, 0.0, 0
     while weight:
         level = total / weight if not filled else level
-        row = some.agg(F.count(F.when(full(level), 1)), F.sum(F.when(full(level), F.col("size"))), F.sum(F.when(~full(level), F.col("weight")))).first()
+        row = some.agg(
+            F.count(F.when(full(level), 1)), F.sum(F.when(full(level), F.col("size"))), F.sum(F.when(~full(level), F.col("weight")))
+        ).first()
         if row[0] == filled:
             break
         filled, weight = row[0], row[2] or 0.0
@@ -68,7 +70,9 @@ def targets(sources: DataFrame, total: float, most: float = 2.0) -> DataFrame:
             level = (total - most * (row[1] or 0)) / weight
     if not weight:  # all are full
         return sources.withColumn("target", F.lit(most) * F.col("size"))
-    return sources.withColumn("target", F.when(F.col("size") <= 0, 0.0).when(full(level), F.lit(most) * F.col("size")).otherwise(F.lit(level) * F.col("weight")))
+    return sources.withColumn(
+        "target", F.when(F.col("size") <= 0, 0.0).when(full(level), F.lit(most) * F.col("size")).otherwise(F.lit(level) * F.col("weight"))
+    )
 
 
 def _transfer(x: float, w: float, y: float, v: float, draw: float) -> tuple[float, float]:
@@ -131,7 +135,10 @@ def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 17
 
     row is a hash of doc_id, source and text, for a join back; repeated rows share it.
     """
-    sized = docs.select("doc_id", "source", F.xxhash64("doc_id", "source", "text").alias("row"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    sized = docs.select(
+        "doc_id", "source", F.xxhash64("doc_id", "source", "text").alias("row"),
+        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+    )
     # repeated rows are one unit of n documents from here on, so no leaf holds all of them
     units = materialize(sized.groupBy("doc_id", "source", "row", "size").agg(F.count("*").alias("n")), "sizes")
     sources = _placed(units.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.count("*").alias("units")))
@@ -139,13 +146,22 @@ def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 17
     sources = materialize(sources.withColumn("weight", weight), "weights")
     words, count = sources.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("units"), F.lit(0))).first()
     table = targets(sources, min(share, most) * float(words), most)
-    table = materialize(table.select("source", "source_at", F.col("size").alias("source_size"), "target", F.when(F.col("size") > 0, F.col("target") / F.col("size")).otherwise(0.0).alias("rate")), "targets")
+    table = materialize(
+        table.select(
+            "source", "source_at", F.col("size").alias("source_size"), "target",
+            F.when(F.col("size") > 0, F.col("target") / F.col("size")).otherwise(0.0).alias("rate")
+        ),
+        "targets"
+    )
     leaves = 1
     while leaves * LEAF < count:
         leaves *= FAN if leaves * LEAF * 8 < count else 2
     copies = F.col("rate") * F.col("n")
     whole = F.floor(copies).cast("long")
-    rows = units.join(table.select("source", "source_at", "rate"), units.source.eqNullSafe(table.source)).select("doc_id", "row", "source_at", "size", "n", whole.alias("whole"), (copies - whole).alias("part"), F.pmod(F.xxhash64("doc_id", "row", F.lit(seed)), F.lit(leaves)).alias("node"))
+    rows = units.join(table.select("source", "source_at", "rate"), units.source.eqNullSafe(table.source)).select(
+        "doc_id", "row", "source_at", "size", "n", whole.alias("whole"), (copies - whole).alias("part"),
+        F.pmod(F.xxhash64("doc_id", "row", F.lit(seed)), F.lit(leaves)).alias("node")
+    )
     level, done = 0, []
     while True:
         rounded = rows.groupBy("node").applyInPandas(_rounding(level, seed), SCHEMA)
@@ -165,9 +181,15 @@ def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 17
     for x in done[1:]:
         out = out.unionByName(x)
     # the copies of a unit are dealt to its documents evenly
-    out = out.withColumn("every", F.col("whole") + F.round("part").cast("long")).withColumn("at", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
-    out = out.withColumn("copies", (F.floor(F.col("every") / F.col("n")) + F.when(F.col("at") <= F.col("every") % F.col("n"), 1).otherwise(0)).cast("int"))
-    return out.join(table.select("source_at", "source_size", "target"), "source_at").select("doc_id", "row", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    out = out.withColumn("every", F.col("whole") + F.round("part").cast("long")).withColumn(
+        "at", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))
+    )
+    out = out.withColumn(
+        "copies", (F.floor(F.col("every") / F.col("n")) + F.when(F.col("at") <= F.col("every") % F.col("n"), 1).otherwise(0)).cast("int")
+    )
+    return out.join(table.select("source_at", "source_size", "target"), "source_at").select(
+        "doc_id", "row", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
+    )
 
 
 def taken(docs: DataFrame, **how: float) -> DataFrame:

@@ -69,7 +69,12 @@ class ByWord:
         if not words:
             return [np.zeros(0, np.uint32), np.zeros(0, np.int64)]
         odd = {i for i, w in enumerate(words) if self.MARK in w}
-        found = np.array(self.tokenizer.encode_batch_fast([f" {self.MARK} ".join([w for i, w in enumerate(words) if i not in odd] + [""])], add_special_tokens=False)[0].ids, np.uint32)
+        found = np.array(
+            self.tokenizer.encode_batch_fast(
+                [f" {self.MARK} ".join([w for i, w in enumerate(words) if i not in odd] + [""])], add_special_tokens=False
+            )[0].ids,
+            np.uint32
+        )
         marks = np.flatnonzero(found == self.mark)
         counts = np.diff(marks, prepend=-1) - 1
         ids = found[found != self.mark]
@@ -129,7 +134,10 @@ class ByWord:
 
     def of(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
         alone = {i for i, t in enumerate(texts) if t and b"<|" in t}
-        places = [np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)) for i, t in enumerate(texts) for words in (t.lower().split() if t and i not in alone else [],)]
+        places = [
+            np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)) for i,
+            t in enumerate(texts) for words in (t.lower().split() if t and i not in alone else [],)
+        ]
         start, count, ids = self.start, self.count, self.ids
         if fresh := self.known.fresh:
             more, n = self.learn(fresh)
@@ -190,9 +198,18 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, known: int = KNOWN) ->
                 batch = whole.slice(at, 500)
                 rows = []
                 for n, ids in enumerate(ids_of.of(as_bytes(batch.column("text")))):
-                    rows += [(n, k, start, len(part), zlib.crc32(part.astype("<u4", copy=False).tobytes())) for k, start in enumerate(range(0, len(ids), size)) for part in (ids[start : start + size],)]
+                    rows += [
+                        (n, k, start, len(part), zlib.crc32(part.astype("<u4", copy=False).tobytes())) for k,
+                        start in enumerate(range(0, len(ids), size)) for part in (ids[start : start + size],)
+                    ]
                 n, *columns = (np.array(x) for x in zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()).take(pa.array(n)), batch.column("row").take(pa.array(n)), pa.array(columns[0], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["doc_id", "row", "piece", "start", "length", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").cast(pa.int64()).take(pa.array(n)), batch.column("row").take(pa.array(n)),
+                        pa.array(columns[0], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:])
+                    ],
+                    names=["doc_id", "row", "piece", "start", "length", "ids_crc32"]
+                )
 
     return docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).mapInArrow(cut, PIECES)
 
@@ -293,14 +310,21 @@ def packed(docs: DataFrame, path: str, size: int = SIZE, known: int = KNOWN) ->
     patterns = plan(histogram, size)
     table = runs([*patterns, ((size,), counts.get(size, 0))])
     keys = (table["length"].to_numpy(np.int64) << 40) + table["first"].to_numpy(np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast((keys, table["length"].to_numpy(np.int64), table["first"].to_numpy(np.int64), table["base"].to_numpy(np.int64), table["offset"].to_numpy(np.int64)))
+    shared = docs.sparkSession.sparkContext.broadcast(
+        (
+            keys, table["length"].to_numpy(np.int64), table["first"].to_numpy(np.int64), table["base"].to_numpy(np.int64),
+            table["offset"].to_numpy(np.int64)
+        )
+    )
 
     buckets = F.lit([max(1, counts.get(x, 0) // BUCKET) for x in range(size + 1)])[F.col("length").cast("int")]
     dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("row", "piece"), buckets))
     per = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = per.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
     rank = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("row", "piece")) - 1
-    ranked = dealt.withColumn("rank", rank).join(before.select("length", "bucket", F.coalesce("before", F.lit(0)).alias("before")), ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("before"))
+    ranked = dealt.withColumn("rank", rank).join(
+        before.select("length", "bucket", F.coalesce("before", F.lit(0)).alias("before")), ["length", "bucket"]
+    ).withColumn("rank", F.col("rank") + F.col("before"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, lengths, first, base, offset = shared.value
@@ -308,7 +332,13 @@ def packed(docs: DataFrame, path: str, size: int = SIZE, known: int = KNOWN) ->
             length, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "rank"))
             at = np.searchsorted(keys, (length << 40) + rank, side="right") - 1
             assert (lengths[at] == length).all()
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(base[at] + rank - first[at]), pa.array(offset[at])], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(base[at] + rank - first[at]),
+                    pa.array(offset[at])
+                ],
+                names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+            )
 
     out = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("rank").cast("long").alias("rank"))
     return out.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -94,7 +94,10 @@ def frequent_lines(docs: DataFrame, min_docs: int = 20, share: float = 0.003, le
                 if bad.any() and int(words[~bad].sum()) < max(left_words, left_share * int(words.sum())):
                     found[line_set(keys)] = text
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(list(found), np.uint64).view(np.int64)), pa.array(list(found.values()), pa.binary()).cast(pa.string())], names=["doc_id", "text"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.array(list(found), np.uint64).view(np.int64)), pa.array(list(found.values()), pa.binary()).cast(pa.string())],
+                    names=["doc_id", "text"]
+                )
 
     # which of those that would go are near copies of each other, is settled on their texts
     suspects = materialize(wide.mapInArrow(depleted, "doc_id long, text string").groupBy("doc_id").agg(F.min("text").alias("text")), "suspects")
@@ -143,7 +146,10 @@ def base_counts(text: bytes, cache: WordHashes) -> tuple[int, int, int, int, int
     return n, chars, symbols, len(lines) - len(set(lines)), repeats
 
 
-def judged(docs: DataFrame, min_docs: int = 20, share: float = 0.003, min_words: int = 50, left_words: int = 25, left_share: float = 0.5, texts: bool = False) -> DataFrame:
+def judged(
+    docs: DataFrame, min_docs: int = 20, share: float = 0.003, min_words: int = 50, left_words: int = 25, left_share: float = 0.5,
+    texts: bool = False
+) -> DataFrame:
     """One row per document: base counts, verdict; with texts also all columns of docs, the text cleaned."""
     lines = frequent_lines(docs, min_docs, share, left_words, left_share)
     own = {x.split()[0] for x in OUT.split(", ")}
@@ -160,14 +166,18 @@ def judged(docs: DataFrame, min_docs: int = 20, share: float = 0.003, min_words:
             rows: list[tuple] = []
             cleaned: list[bytes | None] = []
             given = batch.column("_lines").to_pylist() if known is None else [None] * len(batch)
-            for doc_id, text, host, own in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), as_bytes(batch.column("source")), given, strict=True):
+            for doc_id, text, host, own in zip(
+                batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), as_bytes(batch.column("source")), given, strict=True
+            ):
                 body = text or b""
                 n, chars, symbols, dup, repeat = base_counts(body, cache)
                 parts, words, keys = line_keys(body, host)
                 bad = _among(keys.view(np.int64), known.value if known is not None else np.sort(np.array(own or [], np.int64))) & (keys > 0)
                 left = int(words[~bad].sum())
                 failed = n < min_words or 100 * repeat > 50 * n
-                rows.append((doc_id, n, chars, symbols, dup, repeat, failed, not failed and left >= max(left_words, left_share * n), left, int(bad.sum())))
+                rows.append(
+                    (doc_id, n, chars, symbols, dup, repeat, failed, not failed and left >= max(left_words, left_share * n), left, int(bad.sum()))
+                )
                 cleaned.append(text if not bad.any() else b"\n".join(x for x, b in zip(parts, bad, strict=True) if not b))
             columns = [pa.array(x) for x in zip(*rows, strict=True)] if rows else []
             if not rows:
@@ -192,6 +202,9 @@ def _among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 def _own_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys = [np.unique(line_keys(t, h)[2]).view(np.int64) if t else np.array([], np.int64) for t, h in zip(as_bytes(batch.column("text")), as_bytes(batch.column("source")), strict=True)]
+        keys = [
+            np.unique(line_keys(t, h)[2]).view(np.int64) if t else np.array([], np.int64) for t,
+            h in zip(as_bytes(batch.column("text")), as_bytes(batch.column("source")), strict=True)
+        ]
         rows = np.repeat(batch.column("_row").to_numpy(), [len(k) for k in keys])
         yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.concatenate(keys) if keys else np.array([], np.int64))], names=["_row", "line"])

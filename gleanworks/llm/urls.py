@@ -27,8 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: (host, path, verdict)
-RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-FEATURES = ("length", "host_length", "path_length", "labels", "depth", "digits", "digit_ratio", "entropy", "parameters", "query_length", "fragment", "https", "hyphens", "last_length", "extension", "tld", "domain", "first_segment", "tld_segment", "subdomain")
+RULES = (
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"),
+    ("net", "/fr/", "block")
+)
+FEATURES = (
+    "length", "host_length", "path_length", "labels", "depth", "digits", "digit_ratio", "entropy", "parameters", "query_length", "fragment",
+    "https", "hyphens", "last_length", "extension", "tld", "domain", "first_segment", "tld_segment", "subdomain"
+)
 
 
 def split_url(url: str | None) -> tuple[str, str, str, str]:
@@ -63,13 +69,19 @@ def plain_features(url: str | None, host: str, path: str, query: str, fragment:
     counts = Counter(url)
     entropy = -sum(c / n * math.log2(c / n) for c in counts.values()) if n else 0.0
     last = path.rsplit("/", 1)[-1]
-    return [n, len(host), len(path), host.count(".") + bool(host), path.count("/"), digits, digits / n if n else 0.0, entropy, query.count("=") or bool(query), len(query), bool(fragment), url.startswith("https:"), url.count("-"), len(last), "." in last]
+    return [
+        n, len(host), len(path), host.count(".") + bool(host), path.count("/"), digits, digits / n if n else 0.0, entropy,
+        query.count("=") or bool(query), len(query), bool(fragment), url.startswith("https:"), url.count("-"), len(last), "." in last
+    ]
 
 
 class Boosted:
     """Gradient-boosted regression trees on binned features with logistic loss, and the suffix statistics they read."""
 
-    def __init__(self, urls: list[str], blocked: list[bool], trees: int = 80, depth: int = 3, rate: float = 0.2, bins: int = 32, smooth: float = 5.0, columns: float = 0.3, folds: int = 5, seed: int = 7) -> None:
+    def __init__(
+        self, urls: list[str], blocked: list[bool], trees: int = 80, depth: int = 3, rate: float = 0.2, bins: int = 32, smooth: float = 5.0,
+        columns: float = 0.3, folds: int = 5, seed: int = 7
+    ) -> None:
         y = np.array(blocked, float)
         self.prior = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))) if len(y) else -1.0
         self.trees: list[list[tuple[int, float, float, float]]] = []
@@ -176,7 +188,13 @@ def judge_by_rules(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
             urls = batch.column("url").to_pylist()
             split = [split_url(u) for u in urls]
             found = [rule_of(h, p, rules) for h, p, _, _ in split]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id").cast(pa.int64()), batch.column("url"), *(pa.array(x, pa.string()) for x in ([s[0] for s in split], [s[1] for s in split], [f[0] for f in found], [f[1] for f in found]))], names=["page_id", "url", "host", "path", "rule", "verdict"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("page_id").cast(pa.int64()), batch.column("url"),
+                    *(pa.array(x, pa.string()) for x in ([s[0] for s in split], [s[1] for s in split], [f[0] for f in found], [f[1] for f in found]))
+                ],
+                names=["page_id", "url", "host", "path", "rule", "verdict"]
+            )
 
     return pages.select("page_id", "url").mapInArrow(run, "page_id long, url string, host string, path string, rule string, verdict string")
 
@@ -211,6 +229,9 @@ def judged(pages: DataFrame, rules: tuple = RULES, model: Boosted | None = None)
         for batch in batches:
             odds = shared.value.odds(batch.column("url").to_pylist())
             verdict = [v or ("block" if o > 0 else "allow") for v, o in zip(batch.column("verdict").to_pylist(), odds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "host", "path", "rule")), pa.array(verdict, pa.string()), pa.array(odds, pa.float64())], names=["page_id", "host", "path", "rule", "verdict", "block_odds"])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("page_id", "host", "path", "rule")), pa.array(verdict, pa.string()), pa.array(odds, pa.float64())],
+                names=["page_id", "host", "path", "rule", "verdict", "block_odds"]
+            )
 
     return judge_by_rules(pages, rules).mapInArrow(run, "page_id long, host string, path string, rule string, verdict string, block_odds double")

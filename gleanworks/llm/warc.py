@@ -44,7 +44,10 @@ SCHEMA = "warc_type string, record_id string, target_uri string, date string, pa
 #: Columns for which a record's whole block is inflated.
 WHOLE = {"payload", "payload_length", "computed_digest"}
 #: Header fields by column.
-FIELDS = {"warc_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "date": "warc-date", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to"}
+FIELDS = {
+    "warc_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "date": "warc-date",
+    "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to"
+}
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -61,7 +64,10 @@ def record(kind: str, record_id: str, target: str, payload: bytes, digest: str,
     """A response with its payload, or a revisit with the HTTP header alone."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + payload if kind == "response" else http
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id}", f"WARC-Date: {date}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response"]
+    head = [
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id}", f"WARC-Date: {date}", f"WARC-Target-URI: {target}",
+        f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response"
+    ]
     if kind == "revisit":
         head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {refers_to}"]
     return "\r\n".join([*head, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
@@ -112,7 +118,12 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, da
                     payload = html or b""
                     again = first is not None and page_id != first and len(payload) >= min_revisit_bytes
                     target = (url or "").replace("\r", "%0D").replace("\n", "%0A")
-                    data = member(record("revisit" if again else "response", page_uri(page_id), target, payload, base64.b32encode(bytes.fromhex(digest)).decode(), page_uri(first) if again else None, date))
+                    data = member(
+                        record(
+                            "revisit" if again else "response", page_uri(page_id), target, payload,
+                            base64.b32encode(bytes.fromhex(digest)).decode(), page_uri(first) if again else None, date
+                        )
+                    )
                     out.write(data)
                     at += len(data)
                     count += 1
@@ -123,7 +134,10 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, da
             return
         ends = [*starts[1:], at]
         rows = [(a, b) for a, b in zip(starts, ends, strict=True) if b > a]
-        yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), pa.array([a for a, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.int64())], names=["file", "first", "last"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([name] * len(rows)), pa.array([a for a, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.int64())],
+            names=["file", "first", "last"]
+        )
 
     with_digests(pages).mapInArrow(write, "file string, first long, last long").write.parquet(f"{folder}/index")
 
@@ -319,10 +333,23 @@ def archived(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     spark = pages.sparkSession
     folder = new_path(spark, "warc")
     write_archives(pages, folder, min_revisit_bytes)
-    responses = read_archives(spark, folder, "warc_type string, record_id string, payload_digest string, refers_to string, payload_length long, computed_digest string").where("warc_type = 'response'")
-    revisits = read_archives(spark, folder, "warc_type string, record_id string, payload_digest string, refers_to string, http_length long").where("warc_type = 'revisit'")
+    responses = read_archives(
+        spark, folder,
+        "warc_type string, record_id string, payload_digest string, refers_to string, payload_length long, computed_digest string"
+    ).where("warc_type = 'response'")
+    revisits = read_archives(
+        spark, folder, "warc_type string, record_id string, payload_digest string, refers_to string, http_length long"
+    ).where("warc_type = 'revisit'")
     differs = F.raise_error(F.concat(F.lit("payload and digest differ: "), F.col("record_id")))
-    checked = responses.select("record_id", "warc_type", "refers_to", F.col("payload_length").alias("payload_bytes"), F.when(F.col("computed_digest") == F.col("payload_digest"), F.col("computed_digest")).otherwise(differs).alias("digest"))
-    both = checked.unionByName(revisits.select("record_id", "warc_type", "refers_to", F.col("http_length").alias("payload_bytes"), F.col("payload_digest").alias("digest")))
+    checked = responses.select(
+        "record_id", "warc_type", "refers_to", F.col("payload_length").alias("payload_bytes"),
+        F.when(F.col("computed_digest") == F.col("payload_digest"), F.col("computed_digest")).otherwise(differs).alias("digest")
+    )
+    both = checked.unionByName(
+        revisits.select("record_id", "warc_type", "refers_to", F.col("http_length").alias("payload_bytes"), F.col("payload_digest").alias("digest"))
+    )
     page = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:page:(-?[0-9]+)>$', 1) as long)")
-    return both.select(page("record_id").alias("page_id"), "payload_bytes", F.expr("substring(digest, 6)").alias("payload_digest"), F.col("warc_type").alias("record_type"), page("refers_to").alias("refers_to"))
+    return both.select(
+        page("record_id").alias("page_id"), "payload_bytes", F.expr("substring(digest, 6)").alias("payload_digest"),
+        F.col("warc_type").alias("record_type"), page("refers_to").alias("refers_to")
+    )
