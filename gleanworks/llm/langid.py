@@ -191,7 +191,10 @@ def fit(docs: DataFrame, per_lang: int = 600, chars: int = 32_000_000, labels: i
     chosen = spark.createDataFrame(found[["lang", "draw"]].astype({"lang": object}), "lang string, draw long")
     rows = known.join(F.broadcast(chosen), ["lang", "draw"]).groupBy("lang", "draw").agg(F.min("text").alias("text")).toPandas()
     rows = rows.sort_values(["draw", "lang"], kind="stable")
-    return Model(rows.text.tolist(), rows.lang.tolist())
+    model = Model(rows.text.tolist(), rows.lang.tolist())
+    del rows
+    release_kept()  # the driver goes on with less
+    return model
 
 
 def identified(docs: DataFrame, model: Model | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
