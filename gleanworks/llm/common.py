@@ -53,10 +53,10 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/gleanworks/{what}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, what: str) -> DataFrame:
+def materialize(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, and survives lost executors."""
     path = new_path(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanworks.llm import fingerprint, jaccard, langid, lattice, licenses, mixing, packing, quality, tries, urls, warc
+from gleanworks.llm import alignment, fingerprint, jaccard, langid, lattice, licenses, mixing, packing, quality, tries, urls, warc
 from gleanworks.llm.common import small_batches
 
 
@@ -63,6 +63,12 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tries.trie(_table(spark, sf_dir, "conversations"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.compared(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_subword_lattice": op1_subword_lattice,
@@ -76,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_language_id": op9_language_id,
         "op10_quality": op10_quality,
         "op12_prefix_trie": op12_prefix_trie,
+        "op13_token_alignment": op13_token_alignment,
     }
 
 
