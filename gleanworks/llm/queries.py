@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanworks.llm import alignment, fingerprint, jaccard, langid, lattice, licenses, mixing, packing, quality, tries, urls, warc
+from gleanworks.llm import alignment, fingerprint, jaccard, langid, lattice, licenses, mixing, packing, pii, quality, tries, urls, warc
 from gleanworks.llm.common import small_batches
 
 
@@ -59,6 +59,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(_table(spark, sf_dir, "documents"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digested(pii.detected(_table(spark, sf_dir, "documents")))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tries.trie(_table(spark, sf_dir, "conversations"))
 
@@ -81,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_fingerprint": op8_fingerprint,
         "op9_language_id": op9_language_id,
         "op10_quality": op10_quality,
+        "op11_personal_data": op11_personal_data,
         "op12_prefix_trie": op12_prefix_trie,
         "op13_token_alignment": op13_token_alignment,
     }
