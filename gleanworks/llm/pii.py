@@ -368,7 +368,7 @@ def fit(docs: DataFrame, sample: int = 4_000) -> Model:
         rows = drawn.orderBy(F.xxhash64("places", "votes"), "votes").limit(sample // 2).select("votes", "places").collect()
         places += [list(r["places"]) for r in rows]
         targets += [1.0 if base else probability[kind, r["votes"]] for r in rows]
-        share += [1 / len(rows)] * len(rows)  # base and proposed spans of each kind weigh the same
+        share += [1 / max(1, len(rows))] * len(rows)  # base and proposed spans of each kind weigh the same
     classifier = Classifier(places, np.array(targets), np.array(share) / sum(share)) if places else None
     return Model(classifier, reliability, probability)
 
