@@ -409,7 +409,10 @@ def digested(found: DataFrame) -> DataFrame:
     spans = F.col("spans")
     base = F.filter(spans, lambda s: s["base"])
     text = lambda x: F.array_join(F.transform(x, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    numbers: list[Column] = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     return found.select(
-        "doc_id", *numbers, F.sha2(text(base), 256).alias("base_sha256"), text(spans).alias("spans"), (F.size(spans) - F.size(base)).cast("long").alias("n_added")
+        "doc_id", *map(number, KINDS), F.sha2(text(base), 256).alias("base_sha256"), text(spans).alias("spans"), (F.size(spans) - F.size(base)).cast("long").alias("n_added")
     )
