@@ -168,22 +168,22 @@ def proposed(text: str, found: list[Span], failed: list[Span]) -> list[Span]:
             if s.kind == "phone" and (end := shortened(text, s, starts)):
                 out.append(Span("phone", s.start, end, False))
             continue
-        # runs of digit groups, each as long as a card number can be
+        # runs of digit groups that pass the test, and single groups as long as a card number can be
         groups = [(g.start() + s.start, g.end() + s.start) for g in re.finditer("[0-9]+", text[s.start : s.end])]
         done = s.start
         for i, (a, _) in enumerate(groups):
             if a < done:
                 continue
             size, best = 0, None
-            for b, e in groups[i:]:
-                size += e - b
+            for j in range(i, min(i + 19, len(groups))):
+                size += groups[j][1] - groups[j][0]
                 if size > 19:
                     break
-                if size >= 13 and (best is None or luhn(digits_of(text[a:e]))):
-                    best = e
+                if size >= 13 and (luhn(digits_of(text[a : groups[j][1]])) or (j == i and best is None)):
+                    best = groups[j][1]
             if best:
                 out.append(Span("card", a, best, False))
-                done = best if luhn(digits_of(text[a:best])) else done
+                done = best
     out += [Span("card", m.start(), m.end(), False) for m in DOTTED.finditer(text)]
     out += [Span("phone", m.start(), m.end(), False) for m in NATIONAL.finditer(text) if 9 <= len(digits_of(m.group())) <= 15]
     return out
@@ -241,9 +241,8 @@ def spans_of(text: str | None) -> list[Span]:
     more = proposed(text, found, failed)
     if found and more:
         taken = sorted((s.start, s.end) for s in found)
-        starts = np.array([a for a, _ in taken])
-        reach = np.maximum.accumulate([b for _, b in taken])
-        more = [s for s in more if (k := int(np.searchsorted(starts, s.end))) == 0 or reach[k - 1] <= s.start]
+        begin, reach = [a for a, _ in taken], list(itertools.accumulate((b for _, b in taken), max))
+        more = [s for s in more if (k := bisect.bisect_left(begin, s.end)) == 0 or reach[k - 1] <= s.start]
     every = found + more
     if not every:
         return []
@@ -251,8 +250,8 @@ def spans_of(text: str | None) -> list[Span]:
     order = sorted(range(len(found)), key=lambda i: found[i].start)
     starts = [found[i].start for i in order]
     for s in every:
-        low, high = np.searchsorted(starts, [s.start - 4 * NEAR, s.end + NEAR])
-        s.votes = vote(text, s, [found[order[i]] for i in range(int(low), min(int(high), int(low) + 64))])
+        low, high = bisect.bisect_left(starts, s.start - 4 * NEAR), bisect.bisect_left(starts, s.end + NEAR)
+        s.votes = vote(text, s, [found[order[i]] for i in range(low, high)])
     return every
 
 
@@ -377,10 +376,11 @@ def chosen(text: str, every: list[Span], model: Model, least: float = 0.5) -> li
     """Base spans, and the proposed ones that the classifier takes, by kind and start."""
     out = [(s, 1.0) for s in every if s.base]
     judged = [(s, model.of(text, s)) for s in every if not s.base]
-    kept: list[tuple[int, int]] = []
+    kept: list[tuple[int, int]] = []  # in order, none over another
     for s, p in sorted(judged, key=lambda x: (-x[1], x[0].start, KINDS.index(x[0].kind), x[0].end)):
-        if p >= least and not any(a < s.end and s.start < b for a, b in kept):
-            kept.append((s.start, s.end))
+        at = bisect.bisect_left(kept, (s.end, 0))
+        if p >= least and (at == 0 or kept[at - 1][1] <= s.start):
+            kept.insert(at, (s.start, s.end))
             out.append((s, p))
     return sorted(out, key=lambda x: (KINDS.index(x[0].kind), x[0].start))
 
