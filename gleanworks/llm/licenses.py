@@ -6,7 +6,8 @@ make it up when joined: sentences wrapped over lines, with comment marks or with
 those with a cut inside (``v. 2.0``); a blank line ends a run, and an enumerator (``1``, ``b``, ``iv``) may stand
 before it. n_sentences counts the pieces with a letter or digit. The ids found, in their order, are matched against
 rules, in the rules' order: a rule is a run of ids; where it matches it consumes them, so a full text or a
-notice is told from the short phrases it holds.
+notice is told from the short phrases it holds. A mark stays in their place: what stood before and behind them is
+no run. Quotes written as character entities are blanks.
 
 It all happens within the row: no shuffle, no join, whatever the sizes of groups; pieces of any length are read.
 
@@ -155,6 +156,39 @@ SENTENCES = {
         "Licensed under the Mozilla Public License, version 2.0", "SPDX-License-Identifier: MPL-2.0"
     ],
     "mpl-copy": ["If a copy of the MPL was not distributed with this file, You can obtain one at"],
+    "cc-by-nd-ref": ["Licensed under CC BY-ND 4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"],
+    "cc-by-nc-sa-ref": [
+        "Licensed under CC BY-NC-SA 4.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"
+    ],
+    "cc-by-nc-nd-ref": [
+        "Licensed under CC BY-NC-ND 4.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"
+    ],
+    "apache-grant": [
+        "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form"
+    ],
+    "gpl3-body": ["The GNU General Public License is a free, copyleft license for software and other kinds of works"],
+    "agpl3-body": [
+        "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software"
+    ],
+    "lgpl3-body": [
+        "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below"
+    ],
+    "wtfpl-title": ["DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE", "SPDX-License-Identifier: WTFPL"],
+    "wtfpl-copying": [
+        "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed"
+    ],
+    "artistic2-ref": ["Licensed under the Artistic License 2.0", "SPDX-License-Identifier: Artistic-2.0"],
+    "psf-ref": ["Licensed under the Python Software Foundation License", "SPDX-License-Identifier: PSF-2.0"],
+    "eupl-ref": ["Licensed under the EUPL, Version 1.2", "Licensed under the EUPL", "SPDX-License-Identifier: EUPL-1.2"],
+    "ofl-ref": ["This Font Software is licensed under the SIL Open Font License, Version 1.1", "SPDX-License-Identifier: OFL-1.1"],
+    "cddl-ref": [
+        "The contents of this file are subject to the terms of the Common Development and Distribution License (the \"License\")",
+        "SPDX-License-Identifier: CDDL-1.0"
+    ],
+    "ms-pl-ref": ["Licensed under the Microsoft Public License (MS-PL)", "SPDX-License-Identifier: MS-PL"],
+    "odbl-ref": ["SPDX-License-Identifier: ODbL-1.0"],
     "rights": ["All rights reserved"],
 }
 # Ordered rules, a run of sentence ids and the licence it proves; longer runs come first.
@@ -216,9 +250,29 @@ RULES = [
     (("cc-by-ref",), "CC-BY-4.0"),
     (("cc0-ref",), "CC0-1.0"),
     (("mpl-ref",), "MPL-2.0"),
+    (("cc-by-nd-ref",), "CC-BY-ND-4.0"),
+    (("cc-by-nc-sa-ref",), "CC-BY-NC-SA-4.0"),
+    (("cc-by-nc-nd-ref",), "CC-BY-NC-ND-4.0"),
+    (("apache-grant",), "Apache-2.0"),
+    (("gpl3-body",), "GPL-3.0"),
+    (("agpl3-body",), "AGPL-3.0"),
+    (("lgpl3-body",), "LGPL-3.0"),
+    (("wtfpl-title",), "WTFPL"),
+    (("wtfpl-copying",), "WTFPL"),
+    (("artistic2-ref",), "Artistic-2.0"),
+    (("psf-ref",), "PSF-2.0"),
+    (("eupl-ref",), "EUPL-1.2"),
+    (("ofl-ref",), "OFL-1.1"),
+    (("cddl-ref",), "CDDL-1.0"),
+    (("ms-pl-ref",), "MS-PL"),
+    (("odbl-ref",), "ODbL-1.0"),
     (("rights",), "all-rights-reserved"),
 ]
+#: What stands in the list of ids in place of a run that a rule has taken, so that its neighbours stay apart.
+TAKEN = "/"
 CUT = r"\n|[.!?;:][ \t\r]"
+# Characters of markup that stand for quotes and the like.
+ENTITY = "&(?:quot|apos|amp|lt|gt|nbsp|[lr][sd]quo|#[0-9]{1,5});"
 # A line feed and the comment mark after it; what may number a sentence.
 COMMENT = r"\n[ \t]*(?:[;#/*%!-]+|(?:dnl|rem|REM)(?=[ \t\r\n]))[ \t]*"
 ENUMERATOR = "(?:[0-9]{1,2} |[a-z] |[ivx]{1,4} )?"
@@ -246,7 +300,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     lookup = F.create_map(*(F.lit(x) for pair in table.items() for x in pair))
     # a known sentence is a run of whole pieces, the longest first; an empty piece (a blank line) ends a run
     runs = "|".join(k.replace(" ", "[ |]") for k in sorted(table, key=len, reverse=True))
-    text = F.coalesce("text", F.lit(""))
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), ENTITY, " ")
     pieces = F.transform(F.split(F.regexp_replace(text, COMMENT, "\n"), CUT), normal_form)
     whole = F.concat(F.lit("|"), F.array_join(pieces, "|"), F.lit("|"))
     ids = F.transform(F.regexp_extract_all(whole, F.lit(rf"(?<=\|){ENUMERATOR}({runs})(?=\|)"), F.lit(1)), lambda s: lookup[F.translate(s, "|", " ")])
@@ -258,13 +312,13 @@ def scanned(docs: DataFrame) -> DataFrame:
 
     def apply(state: Column, rule: Column) -> Column:
         names = F.when(state["rest"].contains(rule["run"]), F.array_append(state["names"], rule["name"])).otherwise(state["names"])
-        return F.struct(F.replace(state["rest"], rule["run"], F.lit("")).alias("rest"), names.alias("names"))
+        return F.struct(F.replace(state["rest"], rule["run"], F.lit(TAKEN)).alias("rest"), names.alias("names"))
 
     # the rules are gone through only where there is anything to match
     done = F.when(F.size("ids") > 0, F.aggregate(rules, start, apply))
     rows = rows.withColumn("done", done)
     licenses = F.coalesce(F.array_join(F.array_distinct("done.names"), ","), F.lit(""))
-    left = F.coalesce(F.size(F.filter(F.split("done.rest", ","), lambda s: s != "")), F.lit(0)).cast("long")
+    left = F.coalesce(F.size(F.filter(F.split("done.rest", ","), lambda s: F.replace(s, F.lit(TAKEN), F.lit("")) != "")), F.lit(0)).cast("long")
     return rows.select(
         "doc_id", "n_sentences", F.size("ids").cast("long").alias("n_license_sentences"), F.array_join("ids", ",").alias("sentence_ids"),
         licenses.alias("licenses"), left.alias("n_unmatched")
@@ -293,10 +347,10 @@ def oracle() -> str:
     for n, (run, name) in enumerate(RULES):
         wanted = _quoted(_run(run))
         names.append(f"case when has{n} then {_quoted(name)} end")
-        layers = f"select *, contains(rest{n}, {wanted}) as has{n}, replace(rest{n}, {wanted}, '') as rest{n + 1} from ({layers})"
+        layers = f"select *, contains(rest{n}, {wanted}) as has{n}, replace(rest{n}, {wanted}, '{TAKEN}') as rest{n + 1} from ({layers})"
         steps = f"rest{n + 1}"
     return f"""
-with texts as (select doc_id, coalesce(text, '') as text from documents),
+with texts as (select doc_id, regexp_replace(coalesce(text, ''), '{ENTITY}', ' ', 'g') as text from documents),
 cut as (select doc_id, len(list_filter(regexp_split_to_array(text, '{CUT}'), lambda s: regexp_matches(s, '[A-Za-z0-9]'))) as n_sentences,
   '||' || array_to_string(list_transform(regexp_split_to_array(regexp_replace(text, '{marks}', chr(10) || '\\1', 'g'), '{CUT}'), lambda s: {form}), '||') || '||' as whole from texts),
 found as (select doc_id, cast(n_sentences as bigint) as n_sentences,
@@ -305,5 +359,5 @@ ruled as ({layers}),
 named as (select *, list_filter([{", ".join(names)}], lambda x: x is not null) as every from ruled)
 select doc_id, n_sentences, cast(len(ids) as bigint) as n_license_sentences, array_to_string(ids, ',') as sentence_ids,
   array_to_string(list_filter(every, lambda x, i: list_position(every, x) = i), ',') as licenses,
-  cast(len(list_filter(string_split({steps}, ','), lambda s: s <> '')) as bigint) as n_unmatched
+  cast(len(list_filter(string_split({steps}, ','), lambda s: replace(s, '{TAKEN}', '') <> '')) as bigint) as n_unmatched
 from named"""
