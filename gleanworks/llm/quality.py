@@ -5,11 +5,11 @@ documents that hold a line are counted; lines in more than ``max(min_docs, share
 host)`` are boilerplate and are removed; a document that keeps fewer than ``left_words`` words, or less than
 ``left_share`` of its words, is depleted and rejected.
 
-What counts as *distinct* documents: copies of one text are not independent evidence that its lines are
-boilerplate (else a copied article would be removed whole, before deduplication can keep one of it). So
-documents of equal sets of lines count once. Of the documents that would be depleted by that count, those
-that are near copies (linked as by operator 7, on the texts of one document per set of lines) count once,
-too, and lines are judged by the second count. All other documents count each.
+What counts as *distinct* documents: those of different sets of lines. Exact copies, and texts that differ in the order
+or repetition of lines alone, count once, in the number of a line's documents as in the host's: a copied page is no
+evidence that its lines are boilerplate. Every other document counts, pages of one template too, though they differ
+in one line. ``near_copies`` (off) would count near-duplicates (linked as by operator 7) once, too: then an article that
+a host repeats with small changes is left to the near-duplicate stage, but so are its template pages.
 
 Defined results: null or empty text has no words, fails the base rules and is rejected; null source is a
 host of its own; repeated rows each get their row; empty table, empty result; extra columns are ignored (with
@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanworks.llm.common import WordHashes, as_bytes, materialize, windows
+from gleanworks.llm.common import WordHashes, as_bytes, looked_up, materialize, windows
 from gleanworks.llm.jaccard import linked
 
 #: Frequent lines up to this number are handed to all tasks (8 bytes each); beyond it they are joined.
@@ -70,16 +70,23 @@ def _held_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], schema=schema)
 
 
-def frequent_lines(docs: DataFrame, min_docs: int = 20, share: float = 0.003, left_words: int = 25, left_share: float = 0.5) -> DataFrame:
+def frequent_lines(
+    docs: DataFrame, min_docs: int = 20, share: float = 0.003, left_words: int = 25, left_share: float = 0.5, near_copies: bool = False
+) -> DataFrame:
     """(line): keys of the lines that more distinct documents of their host hold than its limit allows."""
     rows = materialize(docs.select("text", "source").mapInArrow(_held_lines, "line long, doc long, host long").distinct(), "held-lines")
-    hosts = docs.select("source").groupBy("source").agg(F.expr("count(1)").alias("docs")).mapInArrow(_host_keys, "host long, docs long")
+    # the limit is a share of what is counted: the host's distinct documents
+    hosts = rows.select("doc", "host").distinct().groupBy("host").agg(F.count("*").alias("docs")).where(F.col("docs") > min_docs)
+    hosts = materialize(hosts, "hosts")
 
     def beyond(held: DataFrame, what: str) -> DataFrame:
-        counts = held.groupBy("line", "host").agg(F.count("*").alias("n")).where(F.col("n") > min_docs).join(hosts, "host")
+        counts = held.groupBy("line", "host").agg(F.count("*").alias("n")).where(F.col("n") > min_docs)
+        counts = looked_up(counts, hosts, "host", "docs", ["docs"])
         return materialize(counts.where(F.col("n") > F.greatest(F.lit(min_docs), F.lit(share) * F.col("docs"))).select("line"), what)
 
     often = beyond(rows, "often")
+    if not near_copies:
+        return often
     wide, known = _with_known(docs.select("doc_id", "text", "source"), often)
 
     def depleted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,12 +125,6 @@ def _with_known(docs: DataFrame, lines: DataFrame) -> tuple[DataFrame, Broadcast
     return docs.withColumn("_row", key).join(removed, "_row", "left").drop("_row"), None
 
 
-def _host_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys = np.array([1 if h is None else xxhash.xxh3_64_intdigest(h) for h in as_bytes(batch.column("source"))], np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column("docs").cast(pa.int64())], names=["host", "docs"])
-
-
 def base_counts(text: bytes, cache: WordHashes) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text."""
     words = text.split()
@@ -148,10 +149,10 @@ def base_counts(text: bytes, cache: WordHashes) -> tuple[int, int, int, int, int
 
 def judged(
     docs: DataFrame, min_docs: int = 20, share: float = 0.003, min_words: int = 50, left_words: int = 25, left_share: float = 0.5,
-    texts: bool = False
+    texts: bool = False, near_copies: bool = False
 ) -> DataFrame:
     """One row per document: base counts, verdict; with texts also all columns of docs, the text cleaned."""
-    lines = frequent_lines(docs, min_docs, share, left_words, left_share)
+    lines = frequent_lines(docs, min_docs, share, left_words, left_share, near_copies)
     own = {x.split()[0] for x in OUT.split(", ")}
     extra = [f for f in docs.schema if f.name not in own] if texts else []
     wide = docs.select("doc_id", "text", "source", *([f.name for f in extra if f.name not in ("text", "source")]))

@@ -111,21 +111,24 @@ def _boilerplate(spark: SparkSession) -> DataFrame:
 
 def test_quality_removes_boilerplate_and_rejects_the_depleted(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
     docs = _boilerplate(spark)
-    judged = {r["doc_id"]: r for r in collected(quality.judged(docs, texts=True))}
+    judged = {r["doc_id"]: r for r in collected(quality.judged(docs, texts=True, near_copies=True))}
     assert all(judged[i]["kept"] and "cookie" not in lower(judged[i]["text"]) and judged[i]["n_lines_removed"] == 3 for i in range(200))
     assert not any(judged[1000 + i]["kept"] for i in range(40))  # hardly more than the menu
     assert all(judged[2000 + i]["kept"] and judged[2000 + i]["n_lines_removed"] == 0 for i in range(3))  # another host
     assert all(judged[3000 + i]["kept"] for i in range(90))  # copies and near copies are no evidence of boilerplate
+    each = {r["doc_id"]: r for r in collected(quality.judged(docs, texts=True))}
+    assert not any(each[3000 + i]["kept"] for i in range(90))  # counted each, near copies look like pages of one template
+    assert all(each[i] == judged[i] for i in each if i < 3000)
     monkeypatch.setattr(quality, "BROADCAST_LINES", 0)
-    joined = {r["doc_id"]: r for r in collected(quality.judged(docs, texts=True))}
+    joined = {r["doc_id"]: r for r in collected(quality.judged(docs, texts=True, near_copies=True))}
     assert joined == judged
 
 
-def plain_kept(rows: list[tuple], min_docs: int = 20, share: float = 0.003, min_words: int = 50, left_words: int = 25, left_share: float = 0.5) -> list[bool]:
-    """The verdicts by plain sets: lines of equal line sets count once, then near copies of the depleted."""
+def plain_kept(rows: list[tuple], near_copies: bool, min_docs: int = 20, share: float = 0.003, min_words: int = 50, left_words: int = 25, left_share: float = 0.5) -> list[bool]:
+    """The verdicts by plain sets: lines of equal line sets count once, and with near_copies those of the depleted."""
     keys = [[" ".join(words(lower(x))) for x in (r[1] or "").split("\n")] for r in rows]
     docs = [(r[3], frozenset(filter(None, k))) for r, k in zip(rows, keys, strict=True)]
-    hosts = collections.Counter(r[3] for r in rows)
+    hosts = collections.Counter(h for h, d in set(docs) if d)
 
     def beyond(class_of: dict) -> set:
         held: dict = {}
@@ -145,11 +148,13 @@ def plain_kept(rows: list[tuple], min_docs: int = 20, share: float = 0.003, min_
             out[d] = min(out.get(d, rows[i][1]), rows[i][1])
     names = list(out)
     classes = plain_components([(i, out[d]) for i, d in enumerate(names)])
-    bad = beyond({d: ("class", classes[i]) for i, d in enumerate(names)}) & bad
+    if near_copies:
+        bad = beyond({d: ("class", classes[i]) for i, d in enumerate(names)}) & bad
     return [n >= min_words and 100 * plain_quality(r[1])[4] <= 50 * n and left(i, bad) >= max(left_words, left_share * n) for i, (r, n) in enumerate(zip(rows, total, strict=True))]
 
 
-def test_quality_verdicts_by_brute_force(spark: SparkSession) -> None:
+@pytest.mark.parametrize("near_copies", [False, True])
+def test_quality_verdicts_by_brute_force(spark: SparkSession, near_copies: bool) -> None:
     rng = random.Random(11)
     word = lambda: "".join(rng.choices("abcdefgh", k=5))
     line = lambda k: " ".join(word() for _ in range(k))
@@ -158,8 +163,8 @@ def test_quality_verdicts_by_brute_force(spark: SparkSession) -> None:
     article = [line(14) for _ in range(12)]
     rows += [(1000 + i, "\n".join([*article[:j], line(7), *article[j:]]), "en", "h1", 0) for i in range(60) for j in [rng.randrange(12)]]
     rows += [(2000 + i, rows[5][1].upper(), "en", rows[5][3], 0) for i in range(40)] + [(3000, None, "en", "h1", 0), (3001, "", "en", None, 0), rows[7], rows[7]]
-    found = collections.Counter((r["doc_id"], r["kept"]) for r in collected(quality.judged(frame(spark, rows))))
-    assert found == collections.Counter((r[0], k) for r, k in zip(rows, plain_kept(rows), strict=True))
+    found = collections.Counter((r["doc_id"], r["kept"]) for r in collected(quality.judged(frame(spark, rows), near_copies=near_copies)))
+    assert found == collections.Counter((r[0], k) for r, k in zip(rows, plain_kept(rows, near_copies), strict=True))
     assert {True, False} == {k for _, k in found}
 
 
@@ -176,6 +181,10 @@ def test_quality_counts_pages_of_one_template(spark: SparkSession) -> None:
     docs = frame(spark, [(i, "\n".join([*menu, *(line(12) for _ in range(4))]), "en", "host", 0) for i in range(100)])
     got = collected(quality.judged(docs))
     assert len(got) == 100 and all(r["n_lines_removed"] == 30 and r["n_words_left"] == 48 and not r["kept"] for r in got)
+    # hardly more than the template, so near copies of each other: counted each all the same
+    docs = frame(spark, [(i, "\n".join([*(menu := [f"item {k} of the long menu" for k in range(30)]), line(8)]), "en", "host", 0) for i in range(500)])
+    got = collected(quality.judged(docs))
+    assert len(got) == 500 and all(r["n_lines_removed"] == 30 and not r["kept"] for r in got)
 
 
 # ---- near duplicates
