@@ -1,13 +1,17 @@
 """Record linkage: exact keys, then vetoed fuzzy titles within a company's block, in arrival order.
 
-The fold is sequential by definition (a match depends on who came before), so it runs per block. To keep
-that bounded, exact keys are folded before, as plain aggregates: per (block, key) only the survivor and the
-union of sources reach the fold, and blocks of one key never do.
+The fold is sequential by definition: a row joins the survivor that has its key, else the first survivor that it matches,
+and what a survivor is compared by may change with each row that joins it. So no row is folded ahead of its turn.
+What makes it many tasks is that rows can only ever meet along matches of their titles. The distinct titles of a
+company (not its rows) are compared by an index, which leaves out only pairs that can't match; linked titles are one
+component; and each component is folded by itself, as a stream over rows in arrival order that keeps its survivors alone.
 """
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -82,13 +86,11 @@ def exact_fold(df: DataFrame, seq: str = "seq") -> DataFrame:
     return grouped.select("dedup_key", *(F.col(f"_best.{c}").alias(c) for c in names), "_first", "sources")
 
 
-def _matches(p: dict, q: dict, threshold: float, floor: float) -> bool:
-    if p["_ref"] and q["_ref"] and (p["_ats"], p["_slug"]) == (q["_ats"], q["_slug"]) and p["_ref"] != q["_ref"]:
-        return False
+def _similar(p: dict, q: dict, threshold: float, floor: float) -> bool:
+    """Whether two titles may mean one role: levels and qualifiers agree, and both ratios are high enough."""
     if list(p["_levels"]) != list(q["_levels"]):
         return False
-    a, b = set(p["_quals"]) - set(q["_words"]), set(q["_quals"]) - set(p["_words"])
-    if a != b:
+    if set(p["_quals"]) - set(q["_words"]) != set(q["_quals"]) - set(p["_words"]):
         return False
     if not p["_nt"] or not q["_nt"]:
         return False
@@ -98,55 +100,173 @@ def _matches(p: dict, q: dict, threshold: float, floor: float) -> bool:
     return token_sort_ratio(p["_core"], q["_core"]) >= floor and token_set_ratio(p["_nt"], q["_nt"]) >= threshold
 
 
-def join_one(kept: list[dict], p: dict, threshold: float, floor: float) -> list[dict]:
-    """The survivors after one more row: it joins the one with its key, else the first that it matches, else is one.
+def _apart(p: dict, q: dict) -> bool:
+    """Two openings of one board are never one role."""
+    return bool(p["_ref"] and q["_ref"] and (p["_ats"], p["_slug"]) == (q["_ats"], q["_slug"]) and p["_ref"] != q["_ref"])
+
+
+class Fold:
+    """Survivors of a component, in the order in which they came, and the verdicts on pairs of titles so far."""
+
+    def __init__(self, threshold: float = 90, floor: float = 82, kept: list[dict] | None = None) -> None:
+        self.limits = threshold, floor
+        self.kept = {q["dedup_key"]: q for q in kept or []}
+        self.known: dict[tuple, bool] = {}
+
+    def similar(self, p: dict, q: dict) -> bool:
+        pair = tuple((r["_nt"], r["_core"], *r["_quals"], "", *r["_words"]) for r in (p, q))
+        if pair not in self.known:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            self.known[pair] = _similar(p, q, *self.limits)
+        return self.known[pair]
 
-    The survivor that changed carries the mark ``_hit``. Of the two the better row stays, under the older key."""
-    at = next((i for i, q in enumerate(kept) if q["dedup_key"] == p["dedup_key"]), None)
-    if at is None and p["_blk"]:
-        at = next((i for i, q in enumerate(kept) if _matches(p, q, threshold, floor)), None)
-    if at is None:
-        kept.append({**p, "_hit": True})
-        return kept
-    q = kept[at]
-    wins = (p["_pref"], p["_len"], p["score"]) > (q["_pref"], q["_len"], q["score"])
-    kept[at] = {**(p if wins else q), "dedup_key": q["dedup_key"], "sources": sorted({*p["sources"], *q["sources"]}), "_hit": True}
-    return kept
+    def join(self, p: dict) -> dict:
+        """The survivor that a row joins or becomes. Of the two the better row stays, under the older key."""
+        key = p["dedup_key"]
+        if key not in self.kept:
+            key = next((k for k, q in self.kept.items() if not _apart(p, q) and self.similar(p, q)), None) if p["_blk"] else None
+        if key is None:
+            self.kept[p["dedup_key"]] = p
+            return p
+        q = self.kept[key]
+        wins = (p["_pref"], p["_len"], p["score"]) > (q["_pref"], q["_len"], q["score"])
+        self.kept[key] = {**(p if wins else q), "dedup_key": key, "sources": sorted({*p["sources"], *q["sources"]})}
+        return self.kept[key]
+
+
+def join_one(kept: list[dict], p: dict, threshold: float, floor: float) -> list[dict]:
+    """The survivors after one more row; the one that changed carries the mark ``_hit``."""
+    fold = Fold(threshold, floor, kept)
+    hit = fold.join(p)
+    return [{**q, "_hit": True} if q is hit else q for q in fold.kept.values()]
 
 
 def fold_block(rows: list[dict], threshold: float = 90, floor: float = 82) -> list[dict]:
-    """Survivors of one block, in arrival order; a row joins the first earlier survivor that it matches."""
-    kept: list[dict] = []
+    """Survivors of rows in arrival order."""
+    fold = Fold(threshold, floor)
     for p in rows:
-        kept = join_one(kept, p, threshold, floor)
-    return [{k: v for k, v in q.items() if k != "_hit"} for q in kept]
+        fold.join(p)
+    return list(fold.kept.values())
+
+
+class TitleIndex:
+    """Components of titles under ``_similar``, by comparing only pairs that can match.
+
+    A token set ratio of at least t has one of two reasons. Either what only one of two titles has is at most
+    (200 - 2t) / (200 - t) of it; then its rarest tokens, up to more than that share, hold one that the other has. Or the
+    whole texts are that close; then, as every character that differs destroys at most two of a text's bigrams, those
+    left in common can't miss both texts' rarest ones (a bag of bigrams doesn't depend on the order of tokens). Pairs that
+    are in one component already aren't compared again."""
+
+    def __init__(self, forms: list[dict], threshold: float, floor: float) -> None:
+        self.forms, self.limits = forms, (threshold, floor)
+        self.parent = list(range(len(forms)))
+        tokens = [set(f["_nt"].split()) for f in forms]
+        often = Counter(t for each in tokens for t in each)
+        self.tokens = [sorted(each, key=lambda t: (often[t], t)) for each in tokens]
+        self.share = (200 - 2 * threshold) / (200 - threshold)
+        self.alpha = (100 - threshold) / 100
+        bags = [Counter(x[i : i + 2] for t in each for x in [f" {t} "] for i in range(len(t) + 1)) for each in tokens]
+        bigrams = Counter((g, k) for bag in bags for g, n in bag.items() for k in range(n))
+        self.bigrams = [sorted(((g, k) for g, n in bag.items() for k in range(n)), key=lambda x: (bigrams[x], x)) for bag in bags]
+
+    def root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = i = self.parent[self.parent[i]]
+        return i
+
+    def components(self) -> list[int]:
+        """For each form the first one of its component."""
+        first: dict[str, int] = {}
+        lists: tuple[dict, dict, dict] = defaultdict(list), defaultdict(list), defaultdict(list)
+        for i, f in enumerate(self.forms):
+            if not f["_nt"]:
+                continue
+            j = first.setdefault(f["_nt"], i)
+            self.unite(i, j)  # equal titles may be equal keys, whatever their qualifiers
+            level = ",".join(f["_levels"])
+            rare, grams = self.rare_tokens(i), self.rare_bigrams(i)
+            near = {j for t in rare for j in lists[0][level, t]} | {j for t in self.tokens[i] for j in lists[1][level, t]} | {j for g in grams for j in lists[2][level, g]}
+            for j in sorted(near):
+                if self.root(i) != self.root(j) and _similar(f, self.forms[j], *self.limits):
+                    self.unite(i, j)
+            for t in self.tokens[i]:
+                lists[0][level, t].append(i)
+            for t in rare:
+                lists[1][level, t].append(i)
+            for g in grams:
+                lists[2][level, g].append(i)
+        return [self.root(i) for i in range(len(self.forms))]
+
+    def unite(self, i: int, j: int) -> None:
+        a, b = sorted((self.root(i), self.root(j)))
+        self.parent[b] = a
+
+    def rare_tokens(self, i: int) -> list[str]:
+        size = sum(len(t) + 1 for t in self.tokens[i]) - 1
+        sums = 0
+        for k, t in enumerate(self.tokens[i]):
+            sums += len(t) + 1
+            if sums > self.share * size + 1e-9:
+                return self.tokens[i][: k + 1]
+        return self.tokens[i]
+
+    def rare_bigrams(self, i: int) -> list[tuple[str, int]]:
+        size = sum(len(t) + 1 for t in self.tokens[i]) - 1
+        # the other text is the shortest that the ratio allows: most of the difference is what this one loses
+        lost = size * (1.5 * self.alpha + 0.5) + size * (1 - self.alpha) / (1 + self.alpha) * (1.5 * self.alpha - 0.5)
+        return self.bigrams[i][: int(lost + 1e-9) + 1]
+
+
+FORM = ("_blk", "_nt", "_core", "_levels", "_quals", "_words")
+ROW = (*FORM, "dedup_key", "_ats", "_slug", "_ref", "_pref", "_len", "score", "sources", "_id")
+
+
+def _folded(batches: Iterator[pd.DataFrame], threshold: float, floor: float) -> Iterator[pd.DataFrame]:
+    """Survivors of the components of a partition, whose rows come by component and arrival."""
+    fold, at = Fold(threshold, floor), None
+
+    def kept() -> pd.DataFrame:
+        return pd.DataFrame([(q["dedup_key"], q["_id"], q["sources"]) for q in fold.kept.values()], columns=["dedup_key", "_id", "sources"])
+
+    for pdf in batches:
+        for p in pdf.to_dict("records"):
+            if p["_component"] != at:
+                if at is not None:
+                    yield kept()
+                fold, at = Fold(threshold, floor), p["_component"]
+            p["sources"] = list(p["sources"])
+            fold.join(p)
+    if at is not None:
+        yield kept()
 
 
 def linked(df: DataFrame, threshold: float = 90, floor: float = 82, seq: str = "seq") -> DataFrame:
-    """Exact fold, then the fuzzy fold of the blocks that hold several keys.
-
-    Only slim rows (keys, titles, marks) go through Python; the survivors' other columns are joined back. Titles
-    of different levels never match, so a block is folded level by level, each in a task of its own."""
-    exact = exact_fold(with_keys(df), seq)
-    slim = [
-        "dedup_key", "_blk", "_nt", "_core", "_levels", "_quals", "_words", "_ats", "_slug", "_ref", "_pref", "_len", "score", "sources",
-        "_first", "_own"
-    ]
-    rows = exact.withColumn("_own", F.col("dedup_key"))
-    rows = rows.withColumn("_part", F.array_join("_levels", ","))
-    several = rows.where("_blk <> ''").groupBy("_blk", "_part").agg(F.count("*").alias("_n")).where("_n > 1").select("_blk", "_part")
-    many = rows.join(several, ["_blk", "_part"], "left_semi")
-    alone = rows.join(several, ["_blk", "_part"], "left_anti")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept = fold_block(pdf.sort_values("_first").to_dict("records"), threshold, floor)
-        return pd.DataFrame([{"dedup_key": r["dedup_key"], "_own": r["_own"], "sources": r["sources"]} for r in kept])
-
-    folded = many.select(*slim, "_part").groupBy("_blk", "_part").applyInPandas(fold, "dedup_key string, _own string, sources array<string>")
-    fuzzy = many.drop("dedup_key", "sources").join(folded, "_own")
-    return fuzzy.unionByName(alone).drop(
-        "_own", "_blk", "_part", "_nt", "_core", "_levels", "_quals", "_words", "_ats", "_slug", "_ref", "_pref", "_len", "_first"
+    """Survivors of the fold over all rows in the order of seq (ties: by what the rows hold), with their sources.
+
+    Only slim rows (keys, titles, marks) go through Python; the survivors' other columns are joined back."""
+    rows = with_keys(df).withColumns({
+        "sources": F.array(F.col("source")) if "sources" not in df.columns else F.col("sources"),
+        "_form": F.xxhash64(*(F.array_join(c, ",") if c in ("_levels", "_quals", "_words") else F.col(c) for c in FORM)),
+        "_id": F.xxhash64(seq, "dedup_key", "title", "company", "location", "url", "source", "score", F.coalesce("text", F.lit(""))),
+    })
+    rows = rows.withColumn("sources", F.filter("sources", lambda x: x != ""))
+
+    def components(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = TitleIndex(pdf.to_dict("records"), threshold, floor).components()
+        return pd.DataFrame({"_form": pdf["_form"], "_component": pdf["_form"].to_numpy()[found]})
+
+    forms = rows.where("_blk <> ''").select("_form", *FORM).dropDuplicates(["_form"])
+    # hashes that collide only put more titles into one component
+    parts = forms.groupBy("_blk").applyInPandas(components, "_form long, _component long")
+    alone = rows.where("_blk = ''").withColumn("_component", F.xxhash64("dedup_key", F.lit("alone")))
+    slim = rows.where("_blk <> ''").join(parts, "_form").select(*ROW, "_component", seq).unionByName(alone.select(*ROW, "_component", seq))
+    folded = slim.repartition("_component").sortWithinPartitions("_component", seq, "_id").select(*ROW, "_component").mapInPandas(
+        partial(_folded, threshold=threshold, floor=floor), "dedup_key string, _id long, sources array<string>"
     )
+    whole = rows.drop("dedup_key", "sources").dropDuplicates(["_id"]).join(folded, "_id")
+    return whole.drop("_id", "_form", *FORM, "_ats", "_slug", "_ref", "_pref", "_len")
 
 
 def ratios(pairs: DataFrame, a: str, b: str) -> DataFrame:

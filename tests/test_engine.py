@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import DataFrame, SparkSession
@@ -131,19 +132,77 @@ def test_ratios() -> None:
     assert linkage.token_set_ratio("ai engineer", "ai engineer payments") == 100 and linkage.token_sort_ratio("ai engineer", "ai engineer payments") == pytest.approx(71, abs=0.5)
 
 
-def test_linkage_equals_a_plain_fold(spark: SparkSession) -> None:
-    rng = random.Random(8)
-    names = ["AI Engineer", "AI Engineer, Payments", "Engineer AI", "Senior AI Engineer", "Sr AI Engineer", "Data Analyst", "Analyst, Data", "AI Engineer (Remote)"]
-    rows = [(i, rng.choice(names), rng.choice(["Acme Inc", "Acme", "Beta", "LLC", ""]), rng.choice(["", "Paris"]), rng.choice(["https://boards.greenhouse.io/a/jobs/1", "https://boards.greenhouse.io/a/jobs/2", "https://x"]), "t" * rng.randint(0, 5), rng.choice(["greenhouse", "hn", "google_jobs"]), rng.randint(0, 3)) for i in range(150)]
-    df = spark.createDataFrame(rows, "seq long, title string, company string, location string, url string, text string, source string, score int")
-    keyed = [r.asDict() for r in linkage.exact_fold(linkage.with_keys(df)).collect()]
-    want = set()
-    for block in {r["_blk"] for r in keyed}:
-        mine = sorted((r for r in keyed if r["_blk"] == block), key=lambda r: r["_first"])
-        for r in linkage.fold_block(mine) if block else mine:
-            want.add((r["dedup_key"], r["seq"], tuple(r["sources"])))
-    got = {(r.dedup_key, r.seq, tuple(r.sources)) for r in linkage.linked(df).collect()}
-    assert got == want and len(got) < len(keyed)
+def plain_fold(rows: list[dict]) -> set[tuple]:
+    """The rule, row by row in arrival order, over rows as they come: (key, seq, sources) of the survivors."""
+    kept: dict[str, dict] = {}
+    for p in sorted(rows, key=lambda r: r["seq"]):
+        p = {**p, "sources": {p["source"]} - {""}}
+        key = p["dedup_key"] if p["dedup_key"] in kept else None
+        if key is None and p["_blk"]:
+            for k, q in kept.items():
+                if q["_blk"] != p["_blk"] or (p["_ref"] and q["_ref"] and (p["_ats"], p["_slug"]) == (q["_ats"], q["_slug"]) and p["_ref"] != q["_ref"]):
+                    continue
+                mine, other = set(p["_quals"]) - set(q["_words"]), set(q["_quals"]) - set(p["_words"])
+                if set(p["_levels"]) != set(q["_levels"]) or mine != other or not p["_nt"] or not q["_nt"]:
+                    continue
+                if linkage.token_sort_ratio(p["_core"], q["_core"]) >= 82 and linkage.token_set_ratio(p["_nt"], q["_nt"]) >= 90:
+                    key = k
+                    break
+        if key is None:
+            kept[p["dedup_key"]] = p
+            continue
+        q = kept[key]
+        best = p if (p["_pref"], p["_len"], p["score"]) > (q["_pref"], q["_len"], q["score"]) else q
+        kept[key] = {**best, "dedup_key": key, "sources": p["sources"] | q["sources"]}
+    return {(q["dedup_key"], q["seq"], tuple(sorted(q["sources"]))) for q in kept.values()}
+
+
+POSTING = "seq long, title string, company string, location string, url string, text string, source string, score int"
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_linkage_equals_a_plain_fold(spark: SparkSession, seed: int) -> None:
+    rng = random.Random(seed)
+    names = ["AI Engineer", "AI Engineer, Payments", "Engineer AI", "Senior AI Engineer", "Sr AI Engineer", "Data Analyst", "Analyst, Data", "AI Engineer (Remote)", "AI Engineer Ads", "AI Engineer, Ads", "AI Engineers", "", "Ads"]
+    boards = ["https://boards.greenhouse.io/a/jobs/1", "https://boards.greenhouse.io/a/jobs/2", "https://x"]
+    rows = [(i, rng.choice(names), rng.choice(["Acme Inc", "Acme", "Beta", "LLC", ""]), rng.choice(["", "Paris"]), rng.choice(boards), "t" * rng.randint(0, 5), rng.choice(["greenhouse", "hn", "google_jobs", ""]), rng.randint(0, 3)) for i in range(220)]
+    df = spark.createDataFrame(rows, POSTING)
+    keyed = [r.asDict() for r in linkage.with_keys(df).collect()]
+    got = [(r.dedup_key, r.seq, tuple(r.sources)) for r in linkage.linked(df.repartition(3)).collect()]
+    assert set(got) == plain_fold(keyed) and len(got) == len(set(got)) < len({r["dedup_key"] for r in keyed})
+
+
+def test_linkage_keeps_arrival_order(spark: SparkSession) -> None:
+    """A title with a comma has another title's key, but not its marks: it joins in its turn."""
+    rows = [(1, "AI Engineer Ads", "Acme", "", "", "t", "hn", 1), (2, "AI Engineer", "Acme", "", "", "t", "remotive", 1), (3, "AI Engineer, Ads", "Acme", "", "", "long text", "lever", 1)]
+    df = spark.createDataFrame(rows, POSTING)
+    want = plain_fold([r.asDict() for r in linkage.with_keys(df).collect()])
+    assert {(r.dedup_key, r.seq, tuple(r.sources)) for r in linkage.linked(df).collect()} == want
+
+
+def test_titles_that_match_are_in_one_component() -> None:
+    rng = random.Random(4)
+    words = ["data", "engineer", "engineers", "payments", "payment", "ai", "ml", "platform", "platforms", "growth", "risk", "ads", "of"]
+    for _ in range(60):
+        titles = {" ".join(rng.choices(words, k=rng.randint(1, 5))) for _ in range(60)} | {"x" * rng.randint(1, 30) for _ in range(3)}
+        forms = [{"_nt": t, "_core": t, "_levels": [], "_quals": rng.sample(["a", "b"], rng.randint(0, 1)), "_words": t.split()} for t in sorted(titles)]
+        found = linkage.TitleIndex(forms, 90, 82).components()
+        for i, p in enumerate(forms):
+            for j, q in enumerate(forms[:i]):
+                assert found[i] == found[j] or not linkage._similar(p, q, 90, 82), (p, q)
+        assert len(set(found)) > 5
+
+
+def test_one_company_is_many_tasks(spark: SparkSession) -> None:
+    """Titles that don't resemble each other are folded apart, whoever posts them."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    rows = [(i, f"{word()} {word()}", "Agency", "", "", "t", "hn", 1) for i in range(3000)]
+    df = spark.createDataFrame(rows, POSTING)
+    began = time.time()
+    assert linkage.linked(df).count() > 2900 and time.time() - began < 60
+    plan = linkage.linked(df)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_component" in plan and plan.count("MapInPandas") >= 1
 
 
 def test_store_lifecycle(spark: SparkSession, tmp_path) -> None:
