@@ -160,6 +160,9 @@ ISO_FORMS = {
     "argentine republic": "AR", "portuguese republic": "PT", "italian republic": "IT", "slovak republic": "SK", "gabonese republic": "GA",
     "togolese republic": "TG", "arab republic of egypt": "EG", "kyrgyz republic": "KG", "hashemite kingdom of jordan": "JO",
     "grand duchy of luxembourg": "LU", "principality of monaco": "MC", "principality of andorra": "AD", "principality of liechtenstein": "LI",
+    "democratic socialist republic of sri lanka": "LK", "eastern republic of uruguay": "UY", "hong kong special administrative region of china": "HK",
+    "macao special administrative region of china": "MO", "lebanese republic": "LB", "rwandese republic": "RW",
+    "socialist republic of viet nam": "VN", "united states minor outlying islands": "UM",
 }
 #: What stands before a country's name in its official form.
 OFFICIAL = r"^(?:the )?(?:(?:federal |federative |democratic |islamic |oriental |plurinational |independent |people's )*(?:republic|kingdom|state|commonwealth|sultanate|union|federation) of (?:the )?)"

@@ -27,14 +27,15 @@ class Versions:
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(f"{self.folder}/commits"))
+        self.linked = self._fs.getScheme() == "file"  # commits are hard links; elsewhere renames
 
     def commits(self) -> list[int]:
         found = self._fs.listStatus(self._path(f"{self.folder}/commits"))
         return sorted(int(x.getPath().getName()) for x in found if x.getPath().getName().isdigit())
 
-    def state(self) -> tuple[int, dict]:
-        """The last commit's number (0: none), and what it says."""
-        numbers = self.commits()
+    def state(self, number: int | None = None) -> tuple[int, dict]:
+        """The last commit's number (0: none), or the given one, and what it says."""
+        numbers = [number] if number else self.commits()
         if not numbers:
             return 0, {"data": None, "marks": {}}
         stream = self._fs.open(self._path(f"{self.folder}/commits/{numbers[-1]:020d}"))
@@ -52,7 +53,7 @@ class Versions:
     def _claim(self, number: int, text: str) -> bool:
         """Whether this writer got the number."""
         path = self._path(f"{self.folder}/commits/{number:020d}")
-        if self._fs.getScheme() == "file":  # here a create that must be new is only exclusive in the system's own call
+        if self.linked:  # here a create that must be new is only exclusive in the system's own call
             local = urllib.parse.unquote(urllib.parse.urlsplit(self._fs.makeQualified(path).toString()).path)
             part = f"{local}.{uuid.uuid4().hex}.part"
             with open(part, "w") as f:
@@ -64,16 +65,36 @@ class Versions:
             finally:
                 os.unlink(part)
             return True
+        # written aside and renamed: readers see a whole commit or none, and a writer that dies leaves none behind
+        part = self._path(f"{self.folder}/commits/.{number:020d}.{uuid.uuid4().hex}.part")
+        stream = self._fs.create(part, False)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        kind = getattr(self.spark._jvm.org.apache.hadoop.fs, "Options$Rename")
+        never = self.spark.sparkContext._gateway.new_array(kind, 1)
+        never[0] = kind.NONE
         try:
-            stream = self._fs.create(path, False)
+            self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(part, path, never)
         except Exception as e:  # noqa: BLE001
-            if "AlreadyExists" in str(e):
+            self._fs.delete(part, False)
+            if "AlreadyExists" in str(e) or "already exists" in str(e):
                 return False
             raise
-        stream.write(bytearray(text.encode()))
-        stream.close()
         return True
 
+    def vacuum(self, keep: int = 2, hours: float = 24.0) -> list[str]:
+        """Remove the data of versions before the last ``keep`` ones, and what failed writers left. Folders younger than
+        ``hours`` stay: a writer may be about to commit them, a reader may read them. The names removed."""
+        used = {self.state(n)[1]["data"] for n in self.commits()[-keep:]}
+        now = self.spark._jvm.java.lang.System.currentTimeMillis()
+        removed = []
+        for x in self._fs.listStatus(self._path(self.folder)):
+            name = x.getPath().getName()
+            if name.startswith("data-") and name not in used and now - x.getModificationTime() >= hours * 3_600_000:
+                self._fs.delete(x.getPath(), True)
+                removed.append(name)
+        return sorted(removed)
+
     def change(self, how: Callable[[DataFrame], DataFrame], mark: tuple[str, int] | None = None, tries: int = 20) -> int:
         """Apply how to the last version and commit the result; the number of the commit that holds it."""
         columns = [c.split()[0] for c in self.schema.split(", ")]

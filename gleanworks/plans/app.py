@@ -10,18 +10,19 @@ import argparse
 import datetime
 import os
 import sys
+import urllib.parse
 import zoneinfo
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from importlib import resources
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanworks.operators import discovery, store, versions
+from gleanworks.operators import discovery, score, store, versions
 from gleanworks.plans import config, emit, rerank
 from gleanworks.plans.harvest import harvest
-from gleanworks.sources import files, payloads
+from gleanworks.sources import files, http, lanes, payloads
 
 VERSION = "0.2"
 SETTINGS, WATCHLIST = "gleanworks.yaml", "watchlist.json"
@@ -87,21 +88,34 @@ class Run:
 
 def scan(
     spark: SparkSession, cfg: config.Config, landed: str, out: str, watchlist: str | None, work: str, day: str,
-    judge: Callable[[str], str] | None = None
+    judge: Callable[[str], str] | None = None, net: lanes.Net | None = None, keep: Callable[[Column], Column] | None = None
 ) -> Run:
-    """One run: land, harvest, guard, upsert, second opinion, surface. work: a folder that driver and executors share."""
+    """One run: land, harvest, guard, upsert, second opinion, surface. work: a folder that driver and executors share.
+
+    Sources without a landed folder are asked over the network, if there is a net."""
     wanted = payloads.selected(
         [*(cfg.depth_sources or payloads.DEPTH), *(cfg.breadth_sources or [s for s in payloads.PROJECTIONS if s not in payloads.DEPTH])]
     )
+    errors: list[tuple[str, str]] = []
     have = {n for n in wanted if files.exists(spark, f"{landed}/{n}")}
-    frames, errors = files.each_apart({n: (lambda n=n: files.landed(spark, landed, n)) for n in wanted if n in have}, f"{work}/landed")
     watch = spark.createDataFrame([], files.WATCHLIST)
     if watchlist and files.exists(spark, watchlist):
         watch, wrong = files.watchlist_json(spark, watchlist)
         errors += [("watchlist", wrong)] if wrong else []
     watch = watch.withColumn("seq", F.monotonically_increasing_id())
+    readers = {n: (lambda n=n: files.landed(spark, landed, n)) for n in wanted if n in have}
+    if net is not None:
+        asked, wrong = _asked(spark, cfg, [n for n in wanted if n not in have], watch, day, net)
+        readers |= asked
+        errors += wrong
+    frames, failed = files.each_apart(readers, f"{work}/landed")
+    errors += failed
+    for n in [n for n in frames if n not in have]:
+        errors += [tuple(r) for r in lanes.failures(frames[n], n).collect()]  # a row for each walk that failed: as many as the watchlist has boards at most
+        frames[n] = frames[n].where("raw is not null")
+    details = _details(spark, cfg, {n: frames[n] for n in frames if n not in have}, f"{work}/details", net, keep, errors) if net is not None else {}
     if frames:
-        rows = harvest(frames, cfg, watch, day, f"{day}T00:00:00")
+        rows = harvest(frames, cfg, watch, day, f"{day}T00:00:00", details, watch, keep)
         rows.write.mode("overwrite").parquet(f"{work}/harvest")
         rows = spark.read.parquet(f"{work}/harvest")
     else:
@@ -119,6 +133,50 @@ def scan(
     return Run(merged, store.surface(merged, cfg), rows, errors)
 
 
+def _asked(
+    spark: SparkSession, cfg: config.Config, names: list[str], watch: DataFrame, day: str, net: lanes.Net
+) -> tuple[dict[str, Callable[[], DataFrame]], list[tuple[str, str]]]:
+    """Readers of the sources that can be asked, and what is wrong with entries of the watchlist."""
+    marked = discovery.rejected(watch, tuple(n for n in names if n in payloads.DEPTH)).orderBy("seq")
+    listed = marked.where("ats is not null").collect()  # one person's list
+    errors = [(r.ats, r.error) for r in listed if r.error and r.ats in names]
+    depth, queries, out = cfg.harvest_depth, list(cfg.title_queries), {}
+    how: dict[str, dict] = {
+        "smartrecruiters": {"pages": depth.smartrecruiters_max_pages}, "workday": {"pages": depth.workday_max_pages},
+        "adzuna": {"pages": cfg.adzuna_pages}, "usajobs": {"pages": cfg.usajobs_max_pages, "size": cfg.usajobs_results_per_page},
+        "google_jobs": {"pages": cfg.google_jobs_pages, "cap": cfg.serpapi_max_searches_per_run, "reserve": cfg.serpapi_reserve},
+        "himalayas": {"oldest": (datetime.date.fromisoformat(day) - datetime.timedelta(days=cfg.max_age_days)).isoformat()},
+        "themuse": {"pages": depth.themuse_max_pages}
+    }
+    if cfg.location.lower() in ("remote", "anywhere", ""):
+        how["google_jobs"]["where"] = "&ltype=1"
+    for n in names:
+        boards = [{"slug": r.slug, "company": r.name, "host": r.host, "site": r.site} for r in listed if r.ats == n and not r.error]
+        if (n in payloads.DEPTH and not boards) or any(not net.keys.get(n, {}).get(k) for k in lanes.NEEDS.get(n, ())):
+            continue  # nothing to ask for, or no key to ask with
+        out[n] = lambda n=n, boards=boards: lanes.asked(spark, n, net, boards, queries, **how.get(n, {}))
+    return out, errors
+
+
+def _details(
+    spark: SparkSession, cfg: config.Config, frames: dict[str, DataFrame], folder: str, net: lanes.Net, keep: Callable[[Column], Column] | None,
+    errors: list[tuple[str, str]]
+) -> dict[str, DataFrame]:
+    """The details of the rows whose titles are wanted, landed once; those that failed are errors."""
+    out = {}
+    for n, fetch in (("workday", cfg.harvest_depth.workday_fetch_details), ("rippling", cfg.harvest_depth.rippling_fetch_details)):
+        if n not in frames or not fetch:
+            continue
+        rows = payloads.postings(frames[n], n)
+        keys = rows.where(keep(F.coalesce("title", F.lit(""))) if keep else score.relevant(F.col("title"), cfg))
+        lanes.detailed(keys, n, net).write.mode("overwrite").parquet(f"{folder}/{n}")
+        landed = spark.read.parquet(f"{folder}/{n}")
+        bad = landed.where("error is not null").groupBy("error").agg(F.count("*").alias("n")).orderBy("error").collect()
+        errors += [(n, f"{r.n} details: {r.error}") for r in bad]
+        out[n] = landed.where("raw is not null").select("raw", "detail_key")
+    return out
+
+
 def show(rows: DataFrame, cfg: config.Config, limit: int) -> list[str]:
     return [r["x"] for r in rows.limit(limit).select(emit.line(cfg).alias("x")).collect()]
 
@@ -149,6 +207,8 @@ def arguments() -> argparse.ArgumentParser:
     common.add_argument("--out", default="shortlist.csv", help="the CSV of the store")
     common.add_argument("--watchlist", default=WATCHLIST, help="companies to ask directly")
     common.add_argument("--landed", default="landed", help="folder of landed payloads, one folder per source")
+    common.add_argument("--live", action="store_true", help="ask the sources that have no landed folder")
+    common.add_argument("--root", default="", help="a proxy that stands in for all hosts (root/host/path)")
     common.add_argument("--work", default=None, help="folder that driver and executors share (default: beside the store)")
     common.add_argument("--limit", type=int, default=25, help="how many to print")
     common.add_argument("--verbose", action="store_true", help="print which sources failed, and why")
@@ -214,10 +274,27 @@ def _seed(args: argparse.Namespace, cfg: config.Config, spark: SparkSession) ->
     return 0
 
 
+def _net(cfg: config.Config, root: str) -> lanes.Net:
+    """How the command line reaches the network: keys come from the environment."""
+    told = os.environ.get
+    keys = {
+        "adzuna": {"app_id": told(cfg.adzuna_app_id_env, ""), "app_key": told(cfg.adzuna_app_key_env, "")},
+        "google_jobs": {"api_key": told(cfg.serpapi_key_env, "")},
+        "usajobs": {"email": told("USAJOBS_EMAIL", ""), "key": told("USAJOBS_API_KEY", "")}
+    }
+    left = None
+    if key := keys["google_jobs"]["api_key"]:
+        status, text = http.fetch(lanes.at(f"https://serpapi.com/account.json?api_key={urllib.parse.quote(key, safe='')}", root))
+        account = http.parsed(text) if status == 200 else None
+        told_left = [account.get(k) for k in ("plan_searches_left", "total_searches_left")] if isinstance(account, dict) else []
+        left = next((x for x in told_left if isinstance(x, int)), None)
+    return lanes.Net(keys, root, searches_left=left)
+
+
 def _scan(args: argparse.Namespace, cfg: config.Config, spark: SparkSession) -> int:
     day = today()
     try:
-        run = scan(spark, cfg, args.landed, args.out, args.watchlist, args.work or f"{args.out}.work", day)
+        run = scan(spark, cfg, args.landed, args.out, args.watchlist, args.work or f"{args.out}.work", day, net=_net(cfg, args.root) if args.live else None)
     except versions.NothingHarvested as e:
         rows = store.surface(table(spark, args.out).read(), cfg)
         print("\n".join([f"all sources failed, the shortlist stays as it is: {e}", *show(rows, cfg, args.limit)]))

@@ -28,20 +28,25 @@ def listed(
 
 def harvest(
     landed: dict[str, DataFrame], cfg: Config, watchlist: DataFrame, as_of: str, harvested_at: str,
-    details: dict[str, DataFrame] | None = None
+    details: dict[str, DataFrame] | None = None, boards: DataFrame | None = None, keep: Callable[[Column], Column] | None = None
 ) -> DataFrame:
     """Project, coerce, gate (titles before bodies), score, link. landed: payloads by source; details likewise.
 
+    boards: companies of the watchlist with their boards (one person's list, so it goes to every task), whose names
+    are stamped on the rows of their boards. keep: a gate on titles in place of the configuration's.
+
     The union is observed (a count of the relevant rows), which also keeps the optimizer from writing all that
     follows into each of its branches: nineteen copies of the record contract would take minutes to compile."""
     day = F.lit(as_of).cast("date")
-    rows = store.union_all([listed(df, name, cfg, day, (details or {}).get(name)) for name, df in landed.items()])
+    if boards is not None:
+        landed = {n: payloads.stamped(df, boards, n, strict=False) if n in payloads.DEPTH else df for n, df in landed.items()}
+    rows = store.union_all([listed(df, name, cfg, day, (details or {}).get(name), keep) for name, df in landed.items()])
     rows = coerce.coerced(rows.observe("relevant", F.count(F.lit(1)).alias("rows")), harvested_at)
     rows = score.gated(coerce.with_arrangement(rows), cfg, day)
     rows = store.with_meta(rows, watchlist)
     rows = score.adjusted(score.with_score(rows, cfg), cfg, day)
-    # arrival: lane and source in registry order, then payload, then position
+    # arrival: lane and source in registry order, then payload, then position; a struct, so none runs into the next
     order = F.array_position(F.array(*(F.lit(s) for s in payloads.PROJECTIONS)), F.col("source"))
-    rows = rows.withColumn("seq", order * F.lit(10**15) + F.col("seq") * F.lit(10**6) + F.col("position"))
+    rows = rows.withColumn("seq", F.struct(order.alias("source"), F.col("seq").alias("payload"), F.col("position").alias("position")))
     linked = linkage.linked(rows, cfg.fuzzy_title_threshold, cfg.fuzzy_title_sort_floor)
     return linked.orderBy(F.desc("score"), linkage.source_preference(F.col("source")).desc(), "seq")

@@ -9,7 +9,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +32,12 @@ def day() -> Column:
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new folder that driver and executors share; of this machine only where no shared one is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    """A new folder that driver and executors share; of this machine only for a local master without a shared one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not (spark.conf.get("spark.master", "") or "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}"
     return f"{base.rstrip('/')}/gleanworks/{what}-{uuid.uuid4().hex}"
 
 
@@ -55,10 +61,11 @@ def search_budget(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "nation").select("n_nationkey", paging.budget(n, F.lit(10), F.when(n % 5 != 0, n * 3), F.lit(20)).alias("spend"))
 
 
-@query("select unnest(['lever', 'hn']) as source")
+@query("select source, count(*) as n from (select case p_size % 4 when 0 then 'lever' when 1 then 'nonsense' when 2 then 'hn' else 'greenhouse' end as source from part) where source in ('lever', 'hn') group by 1")
 def selected_sources(spark: SparkSession, sf: str) -> DataFrame:
-    """A subset of the registry; unknown names are ignored."""
-    return spark.createDataFrame([(s,) for s in payloads.selected(["hn", "nonsense", "lever"])], "source string")
+    """Rows of a subset of the registry; names that it lacks are ignored."""
+    rows = table(spark, sf, "part").select(chosen("lever", "nonsense", "hn", "greenhouse").alias("source"))
+    return rows.where(c("source").isin(*payloads.selected(["hn", "nonsense", "lever"]))).groupBy("source").agg(F.count("*").alias("n"))
 
 
 WALKED = """pages as (select p_partkey // 10 as slug, p_partkey % 10 as page, case when p_size % 7 = 0 then null when p_size % 5 = 0 then 3 else 10 end as rows, case when p_partkey % 10 = 0 then p_size * 2 else 0 end as total from part)"""
@@ -113,11 +120,13 @@ def hiring_threads(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "select (q.i * 2 + k.i) * 3 + p.page as at, q.x as query, k.x as category, cast(p.page as integer) as page from (values (0, 'a'), (1, 'b')) as q(i, x) cross join (values (0, 'x'), (1, 'y')) as k(i, x) cross join (select unnest(range(3)) as page) as p where (q.i * 2 + k.i) * 3 + p.page < 7"
+    "select * from (select (s_suppkey * 5 + r_regionkey) * 3 + page as \"at\", s_name as query, r_name as category, cast(page as integer) as page from supplier cross join region cross join (select unnest(range(3)) as page)) where \"at\" < 1000"
 )
 def fanout(spark: SparkSession, sf: str) -> DataFrame:
     """Queries by categories by pages, as far as a budget goes."""
-    return paging.within_budget(paging.fan_out(spark, ["a", "b"], 3, ["x", "y"]), 7)
+    queries = table(spark, sf, "supplier").select(c("s_suppkey").alias("q"), c("s_name").alias("query"))
+    categories = table(spark, sf, "region").select(c("r_regionkey").alias("c"), c("r_name").alias("category"))
+    return paging.within_budget(paging.requests(queries, categories, 3), 1000)
 
 
 @query(
@@ -402,7 +411,7 @@ def streamed_linkage(spark: SparkSession, sf: str) -> DataFrame:
     rows = _two_each(spark, sf)
     rows.write.parquet(landing)
     links = upserts.linked_stream(spark.readStream.schema(rows.schema).parquet(landing))
-    run = links.writeStream.outputMode("update").foreachBatch(lambda df, _: df.write.mode("append").parquet(out))
+    run = links.writeStream.outputMode("update").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"))  # a batch that is replayed replaces itself
     run.option("checkpointLocation", scratch(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out).select("dedup_key", "seq", F.array_join("sources", ",").alias("sources"), "fresh")
 
@@ -674,15 +683,14 @@ def freshness(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "select cast(list_position(['unknown', 'unknown', 'true', 'true', 'false', 'false'], v) as integer) as first, v as verdict, i from (select unnest(['unknown', 'unknown', 'true', 'true', 'false', 'false']) as v, unnest(range(6)) as i)"
+    """select c_custkey, case when c_custkey % 7 < 2 then 'unknown' when y >= x - 5 and z >= y - 5 and z > x + 30 then 'true' else 'false' end as verdict
+  from (select c_custkey, cast(c_custkey % 5 as double) as x, cast(c_custkey % 31 as double) as y, cast(c_custkey % 53 as double) as z from customer)"""
 )
 def date_sorted(spark: SparkSession, sf: str) -> DataFrame:
     """Rising with slack, too little rise, a fall, too few pages."""
-    rows = [(0, None), (1, [1.0, 90.0]), (2, [0.0, 20.0, 40.0]), (3, [0.0, 50.0, 46.0]), (4, [0.0, 50.0, 40.0]), (5, [0.0, 10.0, 30.0])]
-    df = spark.createDataFrame(rows, "i long, m array<double>")
-    verdict = catalog.date_sorted(c("m"))
-    first = F.when(verdict == "unknown", 1).when(verdict == "true", 3).otherwise(5)
-    return df.select("i", verdict.alias("verdict"), first.alias("first"))
+    k = c("c_custkey")
+    pages = F.when(k % 7 > 1, F.array(*((k % n).cast("double") for n in (5, 31, 53)))).when(k % 7 == 1, F.array(F.lit(1.0), F.lit(90.0)))
+    return table(spark, sf, "customer").select("c_custkey", catalog.date_sorted(pages).alias("verdict"))
 
 
 @query(
@@ -734,14 +742,20 @@ def junk_parameters(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("select 37 as ceiling, 1 as one, cast(null as integer) as ignored")
+@query("select c_nationkey, cast(case when c_nationkey % 5 = 0 then null else ceil(count(*) / 3.0) end as integer) as ceiling from customer group by 1")
 def page_ceilings(spark: SparkSession, sf: str) -> DataFrame:
-    """The last page that returns rows, by doubling and halving."""
-    found = [
-        discovery.page_ceiling(lambda n: (200, 20) if n <= 37 else (200, 0), 20),
-        discovery.page_ceiling(lambda n: (200, 20) if n <= 1 else (404, 0), 20), discovery.page_ceiling(lambda n: (200, 20), 20)
-    ]
-    return spark.createDataFrame([tuple(found)], "ceiling int, one int, ignored int")
+    """The last page that returns rows, by doubling and halving: pages of three customers; some ignore the parameter."""
+    nations = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))
+
+    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = []
+            for nation, n in zip(pdf["c_nationkey"], pdf["n"], strict=True):
+                at = (lambda page: (200, 3)) if nation % 5 == 0 else (lambda page, n=n: (200, max(0, min(3, n - 3 * (page - 1)))))
+                found.append(discovery.page_ceiling(at, 3))
+            yield pdf.assign(ceiling=pd.array(found, "Int32"))[["c_nationkey", "ceiling"]]
+
+    return nations.mapInPandas(probe, "c_nationkey long, ceiling int")
 
 
 # ---- scalar functions
@@ -808,7 +822,8 @@ def closed_vocabularies(spark: SparkSession, sf: str) -> DataFrame:
 ISO = {
     "Germany": "DE", "Republic of Korea": "KR", "Congo, The Democratic Republic of the": "CD", "The Federal Republic of Germany": "DE",
     "Bosnia and Herzegovina": "BA", "Saint Lucia": "LC", "Kingdom of Denmark": "DK", "USA": "US", "Côte d'Ivoire": "CI", "Narnia": None,
-    "US": None
+    "US": None, "Democratic Socialist Republic of Sri Lanka": "LK", "Hong Kong Special Administrative Region of China": "HK", "Lebanese Republic": "LB",
+    "United States Minor Outlying Islands": "UM", "Eastern Republic of Uruguay": "UY"
 }
 
 

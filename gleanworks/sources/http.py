@@ -56,8 +56,11 @@ class Pool(threading.local):
 POOL = Pool()
 
 
-def request(url: str, body: bytes | None = None) -> bytes:
-    """The answer's bytes; a stale connection is tried once more on a new one. Raises Refused, or OSError."""
+def request(url: str, body: bytes | None = None, own: dict[str, str] | None = None) -> bytes:
+    """The answer's bytes; a stale connection is tried once more on a new one. Raises Refused, or OSError.
+
+    Headers of the caller's own go to the host that was asked alone, not where it redirects."""
+    asked = urllib.parse.urlsplit(url).netloc
     for _ in range(REDIRECTS + 1):
         parts = urllib.parse.urlsplit(url)
         if parts.scheme == "file":
@@ -66,7 +69,7 @@ def request(url: str, body: bytes | None = None) -> bytes:
         if parts.scheme not in ("http", "https"):
             raise OSError(f"no transport for {parts.scheme}")
         path = urllib.parse.urlunsplit(("", "", parts.path or "/", parts.query, ""))
-        headers = {"Connection": "keep-alive"} | ({"Content-Type": "application/json"} if body else {})
+        headers = {"Connection": "keep-alive"} | ({"Content-Type": "application/json"} if body else {}) | ((own or {}) if parts.netloc == asked else {})
         for attempt in range(2):
             connection, used = POOL.take(parts.scheme, parts.netloc)
             try:

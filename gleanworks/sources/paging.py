@@ -34,6 +34,19 @@ def fan_out(spark: SparkSession, queries: list[str], pages: int, categories: lis
     )
 
 
+def requests(queries: DataFrame, categories: DataFrame, pages: int) -> DataFrame:
+    """fan_out for queries (q, query) and categories (c, category) that come as tables, each numbered from 0.
+
+    Every query meets every category: that is what is asked for, and categories are a service's short list."""
+    short = F.broadcast(categories.select("c", "category"))
+    each = queries.select("q", "query").crossJoin(short).withColumn("page", F.explode(F.sequence(F.lit(0), F.lit(pages - 1))))
+    width = categories.agg(F.count("*").alias("_width"))
+    each = each.crossJoin(F.broadcast(width))
+    return each.select(
+        ((F.col("q") * F.col("_width") + F.col("c")) * pages + F.col("page")).cast("long").alias("at"), "query", "category", F.col("page").cast("int").alias("page")
+    )
+
+
 def within_budget(requests: DataFrame, spend: int) -> DataFrame:
     """The requests that a budget pays for, the first ones first (the feature's own limit)."""
     return requests.orderBy("at").limit(max(0, spend))

@@ -651,16 +651,18 @@ def with_details(listed: DataFrame, details: DataFrame, key: str = "detail_key")
     ).drop("_d")
 
 
-def stamped(rows: DataFrame, companies: DataFrame, source: str) -> DataFrame:
-    """A board's rows with their company's name and industry from the watchlist; boards that it lacks have no rows.
+def stamped(rows: DataFrame, companies: DataFrame, source: str, strict: bool = True) -> DataFrame:
+    """A board's rows with their company's name and industry from the watchlist; boards that it lacks have no rows, or,
+    if strict is off, keep the company that they came with.
 
     rows: with slug (and host, site); companies: (name, ats, slug, host, site, industry). Slugs differ by case alone
     nowhere, so they meet in lower case; of two entries of one board the first by name counts."""
     keys = ("slug", "host", "site") if source == "workday" else ("slug",)
     own = companies.where(F.col("ats") == source).groupBy(*(F.lower(k).alias(f"_{k}") for k in keys)).agg(F.min(F.struct("name", "industry")).alias("_c"))
-    joined = rows.drop("company", "industry", "source").join(own, [F.lower(rows[k]) == own[f"_{k}"] for k in keys])
+    came = rows.withColumn("_came", F.col("company") if "company" in rows.columns else F.lit(None).cast("string")).drop("company", "industry", "source")
+    joined = came.join(F.broadcast(own) if not strict else own, [F.lower(came[k]) == own[f"_{k}"] for k in keys], "inner" if strict else "left")
     return joined.select(
-        *(c for c in rows.columns if c not in ("company", "industry", "source")), F.col("_c.name").alias("company"),
+        *(c for c in rows.columns if c not in ("company", "industry", "source")), (F.col("_c.name") if strict else F.coalesce("_c.name", "_came")).alias("company"),
         F.lit(source).alias("source"), F.coalesce("_c.industry", F.lit("")).alias("industry")
     )
 

@@ -46,6 +46,19 @@ def test_a_late_writer_starts_over(spark: SparkSession, tmp_path: Path) -> None:
     assert versions.guarded(rows_of(spark), []).count() == 0
 
 
+def test_commits_by_rename_and_vacuum(spark: SparkSession, tmp_path: Path) -> None:
+    table = versions.Versions(spark, f"file://{tmp_path}/s", STORE)
+    table.linked = False  # as on a file system without hard links
+    for key in "abcd":
+        table.change(lambda now, key=key: now.unionByName(rows_of(spark, key)))
+    assert not table._claim(4, "{}") and not table._claim(2, "{}") and table.commits() == [1, 2, 3, 4]
+    # a writer that died before its rename leaves no commit, only a part that nobody reads
+    (tmp_path / "s" / "commits" / ".00000000000000000005.x.part").write_text("")
+    assert table.state()[0] == 4 and table.read().count() == 4
+    assert table.vacuum() == []  # all is younger than a day
+    assert len(table.vacuum(keep=2, hours=0)) == 2 and table.read().count() == 4 and table.read(table.state(3)[1]).count() == 3
+
+
 def test_sheet_is_replaced_whole(spark: SparkSession, tmp_path: Path) -> None:
     path = f"{tmp_path}/list.csv"
     for keys in (("a", "b"), ("c",)):
