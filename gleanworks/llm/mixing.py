@@ -5,8 +5,8 @@ whole part is certain, and what is left is rounded by the pivotal method: two un
 transfer mass at random, with the sum of words and every document's expectation unchanged, until one of
 them is integral; the other goes on (a unit is a document, or all documents still of one fraction). A leaf (a bounded number of documents, dealt by a hash of doc_id and text,
 so that the largest source is spread over all leaves; repeated rows are one unit) leaves at most one fractional document per source;
-these residuals meet in a reduction tree of fan-in ``FAN`` until each source has one, which is rounded by
-itself. So the words taken from a source miss its target by less than one document.
+these residuals meet in a reduction tree of fan-in ``FAN``, where a node is as many groups as its sources ask for, until
+each source has one, which is rounded by itself. So the words taken from a source miss its target by less than one document.
 
 Draws come from a hash of the seed, the level and the documents, so reruns agree on any partitioning.
 
@@ -144,7 +144,9 @@ def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 17
     sources = _placed(units.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.count("*").alias("units")))
     weight = F.lit([*WEIGHTS])[F.pmod("source_at", F.lit(len(WEIGHTS))).cast("int")]
     sources = materialize(sources.withColumn("weight", weight), "weights")
-    words, count = sources.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("units"), F.lit(0))).first()
+    words, count, kinds = sources.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("units"), F.lit(0)), F.count("*")).first()
+    # above the leaves a node has a residual of every source in each of its children: with many sources it is several groups
+    spread = max(1, -(-kinds * FAN // LEAF))
     table = targets(sources, min(share, most) * float(words), most)
     table = materialize(
         table.select(
@@ -164,7 +166,8 @@ def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 17
     )
     level, done = 0, []
     while True:
-        rounded = rows.groupBy("node").applyInPandas(_rounding(level, seed), SCHEMA)
+        part = F.pmod("source_at", F.lit(spread if level else 1)).alias("spread")
+        rounded = rows.groupBy("node", part).applyInPandas(_rounding(level, seed), SCHEMA)
         rounded = materialize(rounded, f"mix-{level}")
         fractional = (F.col("part") > 0) & (F.col("part") < 1)
         done.append(rounded.where(~fractional))

@@ -32,6 +32,8 @@ from gleanworks.llm.common import RELEASE, as_bytes, materialize, release_kept
 SIZE = 2048
 #: Pieces of one length that are ranked together, on average.
 BUCKET = 256
+#: Buckets that are summed up together.
+BLOCK = 4096
 #: Words that a worker process keeps with their ids, about 200 bytes each.
 KNOWN = 300_000
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
@@ -308,7 +310,8 @@ def packed(docs: DataFrame, path: str, size: int = SIZE, known: int = KNOWN) ->
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most size rows
     histogram = np.array([counts.get(x, 0) for x in range(size)], np.int64)
     patterns = plan(histogram, size)
-    table = runs([*patterns, ((size,), counts.get(size, 0))])
+    table = runs(patterns)
+    planned = sum(n for _, n in patterns)
     keys = (table["length"].to_numpy(np.int64) << 40) + table["first"].to_numpy(np.int64)
     shared = docs.sparkSession.sparkContext.broadcast(
         (
@@ -317,14 +320,23 @@ def packed(docs: DataFrame, path: str, size: int = SIZE, known: int = KNOWN) ->
         )
     )
 
-    buckets = F.lit([max(1, counts.get(x, 0) // BUCKET) for x in range(size + 1)])[F.col("length").cast("int")]
-    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("row", "piece"), buckets))
-    per = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    before = per.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
+    # full pieces, most of a corpus of long documents, are sequences as they are: no rank, no shuffle
+    names = ("doc_id", "piece", "start", "length", "ids_crc32")
+    full = cut.where(F.col("length") == size).select(
+        *names, (F.lit(planned) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
+    )
+    buckets = F.lit([max(1, counts.get(x, 0) // BUCKET) for x in range(size)])[F.col("length").cast("int")]
+    dealt = cut.where(F.col("length") < size).withColumn("bucket", F.pmod(F.xxhash64("row", "piece"), buckets))
+    # pieces of a length before a bucket: sums within blocks of buckets, and over blocks, so a frequent length is many tasks
+    per = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n")).withColumn("block", F.floor(F.col("bucket") / BLOCK))
+    earlier = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    sums = lambda *by: F.coalesce(F.sum("n").over(earlier(*by)), F.lit(0))
+    blocks = per.groupBy("length", "block").agg(F.sum("n").alias("n")).select("length", "block", sums("length", "block").alias("blocks"))
+    before = per.withColumn("before", sums("length", "block", "bucket")).join(blocks, ["length", "block"]).select(
+        "length", "bucket", (F.col("before") + F.col("blocks")).alias("before")
+    )
     rank = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("row", "piece")) - 1
-    ranked = dealt.withColumn("rank", rank).join(
-        before.select("length", "bucket", F.coalesce("before", F.lit(0)).alias("before")), ["length", "bucket"]
-    ).withColumn("rank", F.col("rank") + F.col("before"))
+    ranked = dealt.withColumn("rank", rank).join(before, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("before"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, lengths, first, base, offset = shared.value
@@ -334,11 +346,11 @@ def packed(docs: DataFrame, path: str, size: int = SIZE, known: int = KNOWN) ->
             assert (lengths[at] == length).all()
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(base[at] + rank - first[at]),
+                    *(batch.column(c) for c in names), pa.array(base[at] + rank - first[at]),
                     pa.array(offset[at])
                 ],
-                names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+                names=[*names, "sequence_id", "offset"]
             )
 
-    out = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("rank").cast("long").alias("rank"))
-    return out.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    out = ranked.select(*names, F.col("rank").cast("long").alias("rank"))
+    return out.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").unionByName(full)
