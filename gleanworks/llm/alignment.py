@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanworks.llm.common import RELEASE, looked_up, materialize, release_kept
+from gleanworks.llm.lattice import _most_frequent
 
 #: Segments that all tasks get, with their alignments.
 HEAD = 300_000
@@ -252,7 +253,7 @@ def compared(docs: DataFrame, path_a: str, path_b: str, head: int = HEAD, most:
     """doc_id, the numbers of COLUMNS and groups_sha256 of every row."""
     aligned = materialize(aligned_segments(segment_counts(docs, path_a, path_b), path_a, path_b), "aligned", "zstd")
     pairs = materialize(pair_counts(aligned), "pair-counts")
-    often = aligned.where(F.length("segment") <= HEAD_CHARS).orderBy(F.desc("n"), "segment").limit(head)  # at most so many, whatever the corpus
+    often = _most_frequent(aligned.where(F.length("segment") <= HEAD_CHARS), head)  # at most so many, whatever the corpus
     first = numbered(often, pairs, most).toArrow()
     shared = docs.sparkSession.sparkContext.broadcast((
         {s: i for i, s in enumerate(first.column("segment").to_pylist())}, first.column("groups").cast(pa.binary()).to_pylist(),

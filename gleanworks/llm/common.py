@@ -147,16 +147,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         before = tuple(now)
 
 
-#: Keys that reach all tasks at most, so that no other key holds more than this part of the rows.
+#: A key that holds more than this part of the rows is sent to all tasks; there can't be more such keys.
 HOT = 20_000
 
 
 def looked_up(rows: DataFrame, table: DataFrame, key: str, weight: str, columns: list[str], hot: int = HOT) -> DataFrame:
     """rows with columns of table, which has each key of rows once and, as weight, how many rows hold it.
 
-    The hot keys of the greatest weight are sent to all tasks. Weights sum up to the number of rows, so each key left for
-    the shuffled join has at most a hot-th of them, and no task is bound to one key. table is a stored one."""
-    often = F.broadcast(table.orderBy(F.desc(weight), key).limit(hot).select(key, *columns, F.lit(True).alias("_often")))
+    Weights sum up to the number of rows, so less than ``hot`` keys have more than a hot-th of it: these are sent to all
+    tasks, and no key that is left for the shuffled join binds a task. table is a stored one."""
+    total = table.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    often = F.broadcast(table.where(F.col(weight) * hot > F.lit(total)).select(key, *columns, F.lit(True).alias("_often")))
     marked = rows.join(often, key, "left")
     rest = marked.where("_often is null").drop("_often", *columns).join(table.select(key, *columns), key)
     return marked.where("_often").drop("_often").unionByName(rest)
