@@ -10,7 +10,7 @@ that are personal data). Votes are counted as patterns (kind, base or not, votes
 corpus. Expectation-maximisation over these counts estimates each labeler's reliability, how often it votes which way on
 personal data and on the rest; base spans are known to be personal data. The estimate gives every pattern a probability,
 and with it as target a logistic regression on form, context words and votes is trained on a bounded sample of
-spans (``sample`` a kind, the least hashes of their features): the final classifier, which judges every proposed span.
+looks of spans (``sample`` a kind, the least hashes): the final classifier, which judges every proposed span.
 A span is taken if the classifier is for it and its votes are, too.
 
 All patterns read a text in time linear in its length: an address is looked for from its ``@``, digits from the start
@@ -350,9 +350,11 @@ class Model:
 
 
 def fit(docs: DataFrame, sample: int = 4_000) -> Model:
-    """Learn from the votes of all texts, and from at most sample spans of each kind, half of them base spans."""
-    seen = materialize(candidates(docs), "candidates")
-    patterns = seen.groupBy("kind", "base", "votes").agg(F.count("*").alias("n")).orderBy("kind", "base", "votes").collect()  # at most 2 * 3^8 a kind
+    """Learn from the votes of all texts, and from at most sample looks of spans of each kind, half of them of base spans.
+
+    A look is what the classifier sees of a span; it counts as often as it occurs, however many spans share it."""
+    looks = materialize(candidates(docs).groupBy("kind", "base", "votes", "places").agg(F.count("*").alias("n")), "looks")
+    patterns = looks.groupBy("kind", "base", "votes").agg(F.sum("n").alias("n"), F.count("*").alias("looks")).orderBy("kind", "base", "votes").collect()  # at most 2 * 3^8 a kind
     reliability, probability = {}, {}
     for kind in sorted({r["kind"] for r in patterns}):
         table, _, posterior = reliabilities([(r["votes"], r["base"], r["n"]) for r in patterns if r["kind"] == kind], CHANCE.get(kind, 1.0))
@@ -361,13 +363,17 @@ def fit(docs: DataFrame, sample: int = 4_000) -> Model:
     places: list[list[int]] = []
     targets: list[float] = []
     share: list[float] = []
+    place = F.pmod(F.xxhash64("places", "votes"), F.lit(1 << 30))
     for kind, base in itertools.product(KINDS, (True, False)):
-        drawn = seen.where((F.col("kind") == kind) & (F.col("base") == base))
-        # the least hashes; spans that look alike count as often as they occur among those drawn
-        rows = drawn.orderBy(F.xxhash64("places", "votes"), "votes").limit(sample // 2).select("votes", "places").collect()
+        found = sum(r["looks"] for r in patterns if r["kind"] == kind and r["base"] == base)
+        # thinned out by the hash first, so that each task brings its share of the sample
+        bound = min(1.0, 1.5 * (sample // 2) / max(1, found) + 1e-6) * (1 << 30)
+        drawn = looks.where((F.col("kind") == kind) & (F.col("base") == base)).where(place <= F.lit(int(bound)))
+        rows = drawn.orderBy(place, "votes", "places").limit(sample // 2).select("votes", "places", "n").collect()
         places += [list(r["places"]) for r in rows]
         targets += [1.0 if base else probability[kind, r["votes"]] for r in rows]
-        share += [1 / max(1, len(rows))] * len(rows)  # base and proposed spans of each kind weigh the same
+        total = sum(r["n"] for r in rows)
+        share += [r["n"] / total for r in rows]  # base and proposed spans of each kind weigh the same
     classifier = Classifier(places, np.array(targets), np.array(share) / sum(share)) if places else None
     return Model(classifier, reliability, probability)
 
