@@ -110,6 +110,8 @@ def scan(
         errors += wrong
     frames, failed = files.each_apart(readers, f"{work}/landed")
     errors += failed
+    for n in [n for n in frames if n in have]:
+        errors += [tuple(r) for r in payloads.broken(frames[n], n).collect()]  # two rows at most
     for n in [n for n in frames if n not in have]:
         errors += [tuple(r) for r in lanes.failures(frames[n], n).collect()]  # a row for each walk that failed: as many as the watchlist has boards at most
         frames[n] = frames[n].where("raw is not null")

@@ -579,6 +579,18 @@ def items_of(payloads: DataFrame, source: str) -> DataFrame:
     return out.withColumn("item", F.col("item.MatchedObjectDescriptor")) if source == "usajobs" else out
 
 
+def broken(landed: DataFrame, source: str) -> DataFrame:
+    """(source, error): how many landed payloads can't be read, by what is wrong with them, and one board of theirs.
+
+    A payload is no JSON, or holds no list where the source has its items; the others beside it are read all the same."""
+    path, _ = TYPES[source]
+    listed = F.json_array_length(F.get_json_object("raw", "$." + path if path else "$"))
+    wrong = F.when(F.col("raw").isNull() | F.try_parse_json("raw").isNull(), "not JSON").when(listed.isNull(), f"no list at {path or 'the top'}")
+    board = F.coalesce("company", "slug", F.lit("?"))
+    counted = landed.withColumn("wrong", wrong).where("wrong is not null").groupBy("wrong").agg(F.count("*").alias("n"), F.min(board).alias("board"))
+    return counted.select(F.lit(source).alias("source"), F.concat(F.col("n").cast("string"), F.lit(" payloads: "), "wrong", F.lit(" (one of "), "board", F.lit(")")).alias("error"))
+
+
 def _colons(ddl: str) -> str:
     """``a INT, b STRUCT<c:INT>`` as struct fields: the first blank of each top-level field becomes a colon."""
     out, depth, named = [], 0, False

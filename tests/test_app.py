@@ -256,11 +256,18 @@ def test_command_line(spark: SparkSession, tmp_path: Path, monkeypatch: pytest.M
     assert json.loads([x for x in captured.err.splitlines() if x.startswith('{"kind"')][0])["rows"] == 2
     assert app.main(["list"], spark) == 0 and "1 shown" in capsys.readouterr().out
     assert app.main(["list", "--all"], spark) == 0 and "APPLIED" in capsys.readouterr().out
+    # a payload that can't be read is an error beside the good ones
+    bad = [{"raw": "{broken", "slug": "b"}, {"raw": '{"x": 1}', "slug": "c"}, {"raw": json.dumps([job(4, "Cloud Engineer")]), "slug": "acme", "company": "Acme", "seq": 2}]
+    (tmp_path / "landed" / "lever" / "q.json").write_text("".join(json.dumps(x) + "\n" for x in bad))
+    assert app.main(["scan", "--verbose"], spark) == 0
+    out = capsys.readouterr().out
+    assert "3 roles tracked" in out and "2 feed errors" in out and "lever: 1 payloads: not JSON (one of b)" in out and "lever: 1 payloads: no list at the top (one of c)" in out
+    (tmp_path / "landed" / "lever" / "q.json").unlink()
     # a run whose sources all fail keeps what is there
     (tmp_path / "bad").mkdir()
     (tmp_path / "watchlist.json").write_text("[{")
     assert app.main(["scan", "--landed", "bad"], spark) == 1 and "stays as it is" in capsys.readouterr().out
-    assert app.main(["list", "--all"], spark) == 0 and "2 shown" in capsys.readouterr().out
+    assert app.main(["list", "--all"], spark) == 0 and "3 shown" in capsys.readouterr().out
     (tmp_path / "index.json").write_text('{"url": "https://jobs.lever.co/b1/x"}\n{"url": "https://jobs.lever.co/acme"}\n{broken\n')
     (tmp_path / "w2.json").write_text('{"companies": [{"name": "Acme", "ats": "lever", "slug": "acme"}]}')
     assert app.main(["seed", "lever", "--index", "index.json", "--watchlist", "w2.json"], spark) == 0 and "added 1" in capsys.readouterr().out
