@@ -11,7 +11,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -72,11 +72,27 @@ def release_kept() -> None:
     """Free what operators keep in this process between their tasks, and give the memory back."""
     for clear in RELEASE:
         clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Return free memory of this process, Python's and Arrow's, to the system."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work, after which its process gives free memory back: executors keep idle worker processes, more than run at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        give_back()
+
+    return run
+
+
 class WordHashes(dict):
     """Word to 64-bit hash, each hashed once; emptied before it grows beyond its bound."""
 

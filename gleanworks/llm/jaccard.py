@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gleanworks.llm.common import WordHashes, as_bytes, components, materialize, scramble, shingles
+from gleanworks.llm.common import WordHashes, as_bytes, components, materialize, scramble, shingles, tidy
 
 #: Counters of the sketch of shingle frequencies (bits), and of a block of it.
 SKETCH, BLOCK = 20, 14
@@ -250,7 +250,7 @@ def _entries(docs: DataFrame, freq: np.ndarray, parts: int, num: int, den: int,
         if held:
             yield from pack()
 
-    return docs.select("text").mapInArrow(emit, "part long, hot boolean, rows long, data binary")
+    return docs.select("text").mapInArrow(tidy(emit), "part long, hot boolean, rows long, data binary")
 
 
 def _shared_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,7 +330,7 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 names=["node", "data"]
             )
 
-    found = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(build, "node long, data binary")
+    found = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(tidy(build), "node long, data binary")
     # one shuffle by node serves the join, the choice of one text, and the join with pairs that follows
     return found.join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.first("data").alias("data"))
 
@@ -369,7 +369,7 @@ def verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, num: int, den
                     [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"]
                 )
 
-    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "member").mapInArrow(check, "a long, b long")
+    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "member").mapInArrow(tidy(check), "a long, b long")
 
 
 def _capped(entries: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -420,13 +420,13 @@ def _near_by_signature(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -
                 sizes = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
                 yield batch.select(["a", "b", "need"]).take(pa.array(np.flatnonzero((num + den) * apart <= (den - num) * sizes)))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(near, "a long, b long, need int")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(tidy(near), "a long, b long, need int")
 
 
 def linked(docs: DataFrame, num: int = 80, den: int = 100, hot: float = HOT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; a link is num / den Jaccard similarity at least."""
     docs = docs.select("doc_id", "text")
-    survey = materialize(docs.mapInArrow(_survey, "doc_id long, node long, n long, bits array<long>, wide binary, block int, data binary"), "survey")
+    survey = materialize(docs.mapInArrow(tidy(_survey), "doc_id long, node long, n long, bits array<long>, wide binary, block int, data binary"), "survey")
     rows = survey.where("n is not null").select("doc_id", "node", "n", "bits", "wide")
     freq = summed(survey.where("block is not null"), np.uint8, np.uint32, 1 << SKETCH)
     total = rows.agg(F.sum("n")).first()[0] or 0
@@ -441,7 +441,7 @@ def linked(docs: DataFrame, num: int = 80, den: int = 100, hot: float = HOT) ->
     entries = _entries(docs.where("doc_id is not null"), freq, parts, num, den, hot)
     # all of a shingle's entries, but hot ones, meet in the task of its part; a hot one may come twice, which
     # only makes the bounds below looser
-    shared = entries.repartition(parts, "part").mapInArrow(_shared_entries, "token long, node long, code int")
+    shared = entries.repartition(parts, "part").mapInArrow(tidy(_shared_entries), "token long, node long, code int")
     placed = materialize(_viable(_capped(shared, nodes), num, den), "entries")
     node = [F.col(c) for c in ("node", "need", "n", "held", "rest", *SIGNATURE)]
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanworks.llm.common import release_kept
+from gleanworks.llm.common import release_kept, tidy
 
 #: Lengths of the n-grams, and distinct n-grams beyond which a text is a landmark only where a language has
 #: too few others (this bounds the table; every text of the sample is learnt from).
@@ -219,4 +219,4 @@ def identified(docs: DataFrame, model: Model | None = None, keep: tuple[str, ...
                     names=["doc_id", "held_out", "lang_pred", "score", *(f.name for f in extra)]
                 )
 
-    return docs.select(*cols, held_out().alias("held_out")).mapInArrow(score, out)
+    return docs.select(*cols, held_out().alias("held_out")).mapInArrow(tidy(score), out)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gleanworks.llm.common import RELEASE, as_bytes, materialize, release_kept
+from gleanworks.llm.common import RELEASE, as_bytes, materialize, release_kept, tidy
 
 SIZE = 2048
 #: Pieces of one length that are ranked together, on average.
@@ -213,7 +213,7 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, known: int = KNOWN) ->
                     names=["doc_id", "row", "piece", "start", "length", "ids_crc32"]
                 )
 
-    return docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).mapInArrow(cut, PIECES)
+    return docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).mapInArrow(tidy(cut), PIECES)
 
 
 def plan(counts: np.ndarray, size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
@@ -353,4 +353,4 @@ def packed(docs: DataFrame, path: str, size: int = SIZE, known: int = KNOWN) ->
             )
 
     out = ranked.select(*names, F.col("rank").cast("long").alias("rank"))
-    return out.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").unionByName(full)
+    return out.mapInArrow(tidy(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").unionByName(full)

@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanworks.llm.common import WordHashes, as_bytes, looked_up, materialize, windows
+from gleanworks.llm.common import WordHashes, as_bytes, looked_up, materialize, tidy, windows
 from gleanworks.llm.jaccard import linked
 
 #: Frequent lines up to this number are handed to all tasks (8 bytes each); beyond it they are joined.
@@ -74,7 +74,7 @@ def frequent_lines(
     docs: DataFrame, min_docs: int = 20, share: float = 0.003, left_words: int = 25, left_share: float = 0.5, near_copies: bool = False
 ) -> DataFrame:
     """(line): keys of the lines that more distinct documents of their host hold than its limit allows."""
-    rows = materialize(docs.select("text", "source").mapInArrow(_held_lines, "line long, doc long, host long").distinct(), "held-lines")
+    rows = materialize(docs.select("text", "source").mapInArrow(tidy(_held_lines), "line long, doc long, host long").distinct(), "held-lines")
     # the limit is a share of what is counted: the host's distinct documents
     hosts = rows.select("doc", "host").distinct().groupBy("host").agg(F.count("*").alias("docs")).where(F.col("docs") > min_docs)
     hosts = materialize(hosts, "hosts")
@@ -191,7 +191,7 @@ def judged(
                     columns.append(batch.column(name))
             yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in OUT.split(", ")] + names)
 
-    return wide.mapInArrow(judge, out)
+    return wide.mapInArrow(tidy(judge), out)
 
 
 def _among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:

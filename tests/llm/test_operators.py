@@ -372,6 +372,22 @@ def test_mixing(docs: DataFrame, rows: list[tuple], monkeypatch: pytest.MonkeyPa
         assert abs(t - goal[s]) <= max(len(words(r[1])) for r in rows if r[3] == s)
 
 
+def test_mixing_of_many_sources(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    """More sources than a group of the tree holds: their residuals meet in several groups, each source's in one."""
+    monkeypatch.setattr(mixing, "LEAF", 16)
+    monkeypatch.setattr(mixing, "FAN", 4)
+    rng = random.Random(12)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 9)), "en", f"s{i % 60}", 0) for i in range(1500)]
+    got = collected(mixing.mixed(frame(spark, rows)))
+    source_of, taken, goal = {r[0]: r[3] for r in rows}, collections.Counter(), {}
+    for r in got:
+        taken[source_of[r["doc_id"]]] += r["taken"]
+        goal[source_of[r["doc_id"]]] = r["target"]
+    assert len(goal) == 60 and all(abs(taken[s] - goal[s]) <= 9 for s in goal)
+    again = collected(mixing.mixed(frame(spark, rows).repartition(7)))
+    assert {(r["doc_id"], r["copies"]) for r in again} == {(r["doc_id"], r["copies"]) for r in got}
+
+
 def test_mixing_expectations() -> None:
     p, n = 0.3, 4000
     total = np.zeros(6)
