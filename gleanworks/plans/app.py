@@ -117,7 +117,7 @@ def scan(
         frames[n] = frames[n].where("raw is not null")
     details = _details(spark, cfg, {n: frames[n] for n in frames if n not in have}, f"{work}/details", net, keep, errors) if net is not None else {}
     if frames:
-        rows = harvest(frames, cfg, watch, day, f"{day}T00:00:00", details, watch, keep)
+        rows = harvest(frames, cfg, watch, day, f"{day}T00:00:00", details, watch, keep, f"{work}/scored")
         rows.write.mode("overwrite").parquet(f"{work}/harvest")
         rows = spark.read.parquet(f"{work}/harvest")
     else:

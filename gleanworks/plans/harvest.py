@@ -28,12 +28,15 @@ def listed(
 
 def harvest(
     landed: dict[str, DataFrame], cfg: Config, watchlist: DataFrame, as_of: str, harvested_at: str,
-    details: dict[str, DataFrame] | None = None, boards: DataFrame | None = None, keep: Callable[[Column], Column] | None = None
+    details: dict[str, DataFrame] | None = None, boards: DataFrame | None = None, keep: Callable[[Column], Column] | None = None,
+    work: str | None = None
 ) -> DataFrame:
     """Project, coerce, gate (titles before bodies), score, link. landed: payloads by source; details likewise.
 
     boards: companies of the watchlist with their boards (one person's list, so it goes to every task), whose names
-    are stamped on the rows of their boards. keep: a gate on titles in place of the configuration's.
+    are stamped on the rows of their boards. keep: a gate on titles in place of the configuration's. work: a shared folder
+    for the scored rows, so that payloads are read once and linkage, which goes over the rows several times, reads
+    the columns that it needs; without it the plan is lazy, and payloads are parsed for each of these.
 
     The union is observed (a count of the relevant rows), which also keeps the optimizer from writing all that
     follows into each of its branches: nineteen copies of the record contract would take minutes to compile."""
@@ -48,5 +51,8 @@ def harvest(
     # arrival: lane and source in registry order, then payload, then position; a struct, so none runs into the next
     order = F.array_position(F.array(*(F.lit(s) for s in payloads.PROJECTIONS)), F.col("source"))
     rows = rows.withColumn("seq", F.struct(order.alias("source"), F.col("seq").alias("payload"), F.col("position").alias("position")))
+    if work:
+        rows.write.mode("overwrite").parquet(work)
+        rows = rows.sparkSession.read.schema(rows.schema).parquet(work)
     linked = linkage.linked(rows, cfg.fuzzy_title_threshold, cfg.fuzzy_title_sort_floor)
     return linked.orderBy(F.desc("score"), linkage.source_preference(F.col("source")).desc(), "seq")
