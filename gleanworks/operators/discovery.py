@@ -237,17 +237,18 @@ def filters(status: Column, rows: Column, relevance: Column, base: Column, contr
     return F.when(hit, "true").when((status == 200) & (rows == 0) & (control_rows > 0), "unknown").otherwise("false")
 
 
-def page_ceiling(rows_at: Callable[[int], tuple[int, int]], control: int, start: int = 1, most: int = 4096) -> int | None:
+def page_ceiling(rows_at: Callable[[int], tuple[int, int]], control: int, start: int = 1, most: int = 2**31 - 1) -> int | None:
     """The last page that returns rows: doubling, then halving; None if the parameter is ignored.
 
-    rows_at(page) gives (status, rows), the best of some attempts."""
-    if control and rows_at(999) == (200, control):
+    rows_at(page) gives (status, rows), the best of some attempts. ``most`` is a page that no list reaches: one that is as
+    full there as the first is not paged at all. (The reference asks for page 999 and stops at 4096, which long lists reach.)"""
+    if control and rows_at(most) == (200, control):
         return None
     ok = lambda n: (lambda s, r: s == 200 and r > 0)(*rows_at(n))
     good, probe = start, max(start, 1)
     while probe <= most and ok(probe):
         good, probe = probe, probe * 2
-    low, high = good, min(probe, most)
+    low, high = good, min(probe, most + 1)
     while low + 1 < high:
         middle = (low + high) // 2
         low, high = (middle, high) if ok(middle) else (low, middle)

@@ -296,6 +296,19 @@ def test_discovery(spark: SparkSession) -> None:
     assert discovery.page_ceiling(lambda n: (200, 20) if n <= 37 else (200, 0), 20) == 37 and discovery.page_ceiling(lambda n: (200, 20), 20) is None
 
 
+def test_page_ceilings_of_long_lists(spark: SparkSession, tmp_path) -> None:
+    from gleanworks.operators import discovery
+
+    for last in (1, 998, 999, 1000, 4095, 4096, 4097, 12_000, 3_000_000):
+        assert discovery.page_ceiling(lambda n, last=last: (200, 20) if n <= last else (200, 0), 20) == last
+    assert discovery.page_ceiling(lambda n: (200, 20) if n <= 37 else (404, 0), 20, most=37) is None
+    assert discovery.page_ceiling(lambda n: (200, 20) if n < 37 else (200, 5), 20, most=37) == 37
+    # nation 1 has 3,000 customers (page 999 is full), nation 2 has 13,000 (more than 4,096 pages of three)
+    sizes = "case when id < 3000 then 1 when id < 16000 then 2 else 5 end"
+    spark.range(16_010).selectExpr("id as c_custkey", f"cast({sizes} as int) as c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    assert {tuple(r) for r in registry.QUERIES["page_ceilings"](spark, str(tmp_path)).collect()} == {(1, 1000), (2, 4334), (5, None)}
+
+
 def test_files(spark: SparkSession, tmp_path) -> None:
     from gleanworks.sources import files
 
