@@ -80,10 +80,18 @@ def _unescaped(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
 
-def clean(c: Column) -> Column:
-    """Tags become blanks, then entities their characters, then Unicode blanks collapse."""
+def clean(c: Column, entities: tuple[str, ...] = (), blanks: str = r"(?U)\s+") -> Column:
+    """Tags become blanks, then entities their characters, then Unicode blanks collapse.
+
+    All entities of HTML, those that lack their semicolon too (``&amp`` in a text that was cut); if some are named, these
+    alone, and only with their semicolon."""
+    named = re.compile(f"&(?:{'|'.join(map(re.escape, entities))});")
+
+    def some(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: named.sub(lambda m: html.unescape(m[0]), x), na_action="ignore")
+
     tagless = F.regexp_replace(empty_if_null(c), "<[^>]+>", " ")
-    return F.trim(F.regexp_replace(F.pandas_udf(_unescaped, "string")(tagless), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.pandas_udf(some if entities else _unescaped, "string")(tagless), blanks, " "))
 
 
 def strip_arrangement(c: Column) -> Column:

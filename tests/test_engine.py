@@ -296,6 +296,18 @@ def test_discovery(spark: SparkSession) -> None:
     assert discovery.page_ceiling(lambda n: (200, 20) if n <= 37 else (200, 0), 20) == 37 and discovery.page_ceiling(lambda n: (200, 20), 20) is None
 
 
+def test_strip_html_equals_its_sql_on_odd_pages(spark: SparkSession, tmp_path) -> None:
+    import duckdb
+
+    odd = ["x &amp y", "x &am", "&quot", "&amp;amp;quot; &copy;&middot;&quot;", "&lt;b&gt; &nbsp; &#39;", "a\u00a0 \u00a0b\x0b\x0bc\x85", "\u00a0a\u2003", "<a\n>x</a", "<>", " \t\r\f\n", "", None]
+    rows = spark.createDataFrame(list(enumerate(odd)), "page_id long, html string")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    mine = {tuple(r) for r in registry.QUERIES["strip_html"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert mine == set(con.execute(registry.ORACLES["strip_html"]).fetchall())
+
+
 def test_page_ceilings_of_long_lists(spark: SparkSession, tmp_path) -> None:
     from gleanworks.operators import discovery
 
