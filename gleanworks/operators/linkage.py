@@ -10,8 +10,10 @@ component; and each component is folded by itself, as a stream over rows in arri
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial
+from itertools import groupby, islice
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -157,11 +159,14 @@ class TitleIndex:
     (200 - 2t) / (200 - t) of it; then its rarest tokens, up to more than that share, hold one that the other has. Or the
     whole texts are that close; then, as every character that differs destroys at most two of a text's bigrams, those
     left in common can't miss both texts' rarest ones (a bag of bigrams doesn't depend on the order of tokens). Pairs that
-    are in one component already aren't compared again."""
+    are in one component already aren't compared again. Of ``few`` titles all pairs are compared: that costs less than an index."""
 
-    def __init__(self, forms: list[dict], threshold: float, floor: float) -> None:
+    def __init__(self, forms: list[dict], threshold: float, floor: float, few: int = 8) -> None:
         self.forms, self.limits = forms, (threshold, floor)
         self.parent = list(range(len(forms)))
+        self.few = len(forms) <= few
+        if self.few:
+            return
         tokens = [set(f["_nt"].split()) for f in forms]
         often = Counter(t for each in tokens for t in each)
         self.tokens = [sorted(each, key=lambda t: (often[t], t)) for each in tokens]
@@ -185,12 +190,13 @@ class TitleIndex:
                 continue
             j = first.setdefault(f["_nt"], i)
             self.unite(i, j)  # equal titles may be equal keys, whatever their qualifiers
+            if self.few:
+                self.compare(i, range(i))
+                continue
             level = ",".join(f["_levels"])
             rare, grams = self.rare_tokens(i), self.rare_bigrams(i)
             near = {j for t in rare for j in lists[0][level, t]} | {j for t in self.tokens[i] for j in lists[1][level, t]} | {j for g in grams for j in lists[2][level, g]}
-            for j in sorted(near):
-                if self.root(i) != self.root(j) and _similar(f, self.forms[j], *self.limits):
-                    self.unite(i, j)
+            self.compare(i, sorted(near))
             for t in self.tokens[i]:
                 lists[0][level, t].append(i)
             for t in rare:
@@ -199,6 +205,11 @@ class TitleIndex:
                 lists[2][level, g].append(i)
         return [self.root(i) for i in range(len(self.forms))]
 
+    def compare(self, i: int, near: Iterable[int]) -> None:
+        for j in near:
+            if self.root(i) != self.root(j) and _similar(self.forms[i], self.forms[j], *self.limits):
+                self.unite(i, j)
+
     def unite(self, i: int, j: int) -> None:
         a, b = sorted((self.root(i), self.root(j)))
         self.parent[b] = a
@@ -223,23 +234,46 @@ FORM = ("_blk", "_nt", "_core", "_levels", "_quals", "_words")
 ROW = (*FORM, "dedup_key", "_ats", "_slug", "_ref", "_pref", "_len", "score", "sources", "_id")
 
 
+#: Rows of a batch that goes back to Spark, of many companies or components: most have a row or two.
+OUT_ROWS = 5_000
+
+
+def records(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
+    for pdf in batches:
+        names = list(pdf)
+        for values in zip(*(pdf[c].tolist() for c in names), strict=True):
+            yield dict(zip(names, values, strict=True))
+
+
+def _batched(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    while some := list(islice(rows, OUT_ROWS)):
+        yield pd.DataFrame(some, columns=columns)
+
+
+def _components(batches: Iterator[pd.DataFrame], threshold: float, floor: float) -> Iterator[pd.DataFrame]:
+    """(form, its component) of a partition's companies, whose titles come company by company; one company's are held."""
+
+    def found() -> Iterator[tuple]:
+        for _, each in groupby(records(batches), key=itemgetter("_blk")):
+            forms = list(each)
+            for f, at in zip(forms, TitleIndex(forms, threshold, floor).components(), strict=True):
+                yield f["_form"], forms[at]["_form"]
+
+    yield from _batched(found(), ["_form", "_component"])
+
+
 def _folded(batches: Iterator[pd.DataFrame], threshold: float, floor: float) -> Iterator[pd.DataFrame]:
     """Survivors of the components of a partition, whose rows come by component and arrival."""
-    fold, at = Fold(threshold, floor), None
 
-    def kept() -> pd.DataFrame:
-        return pd.DataFrame([(q["dedup_key"], q["_id"], q["sources"]) for q in fold.kept.values()], columns=["dedup_key", "_id", "sources"])
+    def survivors() -> Iterator[tuple]:
+        for _, each in groupby(records(batches), key=itemgetter("_component")):
+            fold = Fold(threshold, floor)
+            for p in each:
+                fold.join({**p, "sources": list(p["sources"])})
+            for q in fold.kept.values():
+                yield q["dedup_key"], q["_id"], q["sources"]
 
-    for pdf in batches:
-        for p in pdf.to_dict("records"):
-            if p["_component"] != at:
-                if at is not None:
-                    yield kept()
-                fold, at = Fold(threshold, floor), p["_component"]
-            p["sources"] = list(p["sources"])
-            fold.join(p)
-    if at is not None:
-        yield kept()
+    yield from _batched(survivors(), ["dedup_key", "_id", "sources"])
 
 
 def linked(df: DataFrame, threshold: float = 90, floor: float = 82, seq: str = "seq") -> DataFrame:
@@ -253,13 +287,11 @@ def linked(df: DataFrame, threshold: float = 90, floor: float = 82, seq: str = "
     })
     rows = rows.withColumn("sources", F.filter("sources", lambda x: x != ""))
 
-    def components(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = TitleIndex(pdf.to_dict("records"), threshold, floor).components()
-        return pd.DataFrame({"_form": pdf["_form"], "_component": pdf["_form"].to_numpy()[found]})
-
     forms = rows.where("_blk <> ''").select("_form", *FORM).dropDuplicates(["_form"])
     # hashes that collide only put more titles into one component
-    parts = forms.groupBy("_blk").applyInPandas(components, "_form long, _component long")
+    parts = forms.repartition("_blk").sortWithinPartitions("_blk").mapInPandas(
+        partial(_components, threshold=threshold, floor=floor), "_form long, _component long"
+    )
     alone = rows.where("_blk = ''").withColumn("_component", F.xxhash64("dedup_key", F.lit("alone")))
     slim = rows.where("_blk <> ''").join(parts, "_form").select(*ROW, "_component", seq).unionByName(alone.select(*ROW, "_component", seq))
     folded = slim.repartition("_component").sortWithinPartitions("_component", seq, "_id").select(*ROW, "_component").mapInPandas(

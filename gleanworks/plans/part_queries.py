@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from gleanworks.functions import arrangement, dates, places, salary, text, titles, urls, vocab
 from gleanworks.operators import catalog, coerce, discovery, linkage, score, store, versions
 from gleanworks.plans import config, emit, rerank
-from gleanworks.plans.queries import AS_OF, BOARD_URLS, CFG, VIEW, posting, q, query, sql_norm, sql_word, table
+from gleanworks.plans.queries import AS_OF, BOARD_URLS, CFG, VIEW, posting, q, query, spread, sql_norm, sql_word, table
 from gleanworks.sources import files, paging, payloads
 from gleanworks.streaming import upserts
 
@@ -385,7 +385,7 @@ FUZZY = f"""with t as (select p_partkey as k, p_size, p_type || ' ' || p_name as
 
 def _two_each(spark: SparkSession, sf: str) -> DataFrame:
     """Two postings of each company, whose titles are alike by one of five ways."""
-    p = table(spark, sf, "part")
+    p = spread(table(spark, sf, "part"))
     k, kind = c("p_partkey"), c("p_size") % 5
     plain = F.concat_ws(" ", "p_type", "p_name")
     other = (

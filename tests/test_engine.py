@@ -193,6 +193,16 @@ def test_titles_that_match_are_in_one_component() -> None:
         assert len(set(found)) > 5
 
 
+def test_many_companies_are_few_calls(spark: SparkSession) -> None:
+    """Companies with a few titles each go through Python in batches of many, not in a call for each."""
+    titles = ["AI Engineer", "Engineer AI", "Chef", "AI Engineers", "Data Analyst", "Cook", "Chef de Cuisine", "Analyst, Data", "Baker", "Brewer"]
+    rows = [(i, titles[i * i % (2 + c % 9)], f"Firm {c}", "", "", "t", ["hn", "lever"][i % 2], i % 3) for c in range(400) for i in range(c * 4, c * 4 + 4)]
+    df = spark.createDataFrame(rows, POSTING)
+    found = linkage.linked(df)
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.dedup_key, r.seq, tuple(r.sources)) for r in found.collect()} == plain_fold([r.asDict() for r in linkage.with_keys(df).collect()])
+
+
 def test_one_company_is_many_tasks(spark: SparkSession) -> None:
     """Titles that don't resemble each other are folded apart, whoever posts them."""
     rng = random.Random(6)
