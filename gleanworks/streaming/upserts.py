@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -40,41 +41,50 @@ SLIM = ("dedup_key", "_blk", "_nt", "_core", "_levels", "_quals", "_words", "_at
 LINKS = "dedup_key string, block string, seq long, sources array<string>, fresh boolean"
 
 
-def linked_stream(rows: DataFrame, threshold: float = 90, floor: float = 82) -> DataFrame:
+#: A state holds the blocks of one of so many shares: most companies have few postings, and each state costs its call.
+SHARES = 16_384
+
+
+def linked_stream(rows: DataFrame, threshold: float = 90, floor: float = 82, shares: int = SHARES) -> DataFrame:
     """Incremental linkage: a stream's postings (with seq) against all that came before, block by block.
 
-    The state of a block (and level) is its survivors, as slim rows without texts; a posting joins the first that it
-    matches, or becomes one. Rows out are the survivors that a batch touched, with their sources so far."""
+    A block (and level) keeps its survivors, as slim rows without texts; a posting joins the first that it matches, or
+    becomes one. Rows out are the survivors that a batch touched, with their sources so far. Blocks are dealt to ``shares``
+    states by hash, packed, of which only touched blocks are read; so the number of blocks doesn't set the number of calls.
+    ``shares`` stays as it is for the life of a checkpoint; many more companies than millions want more of them."""
     slim = linkage.with_keys(rows).withColumn("_levels", F.array_join("_levels", ",")).withColumn("_quals", F.array_join("_quals", ",")).withColumn("_words", F.array_join("_words", ","))
     keyed = slim.select(
         *(F.col(c) for c in SLIM), F.when(F.col("_blk") == "", F.concat(F.lit("="), "dedup_key")).otherwise(F.col("_blk")).alias("_key")
-    )
+    ).withColumn("_share", F.pmod(F.xxhash64("_key", "_levels"), F.lit(shares)))
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = [
-            dict(r, _levels=r["_levels"].split(","), _quals=r["_quals"], _words=r["_words"]) for r in json.loads(state.get[0])
-        ] if state.exists else []
-        before = {r["dedup_key"] for r in kept}
+        held = json.loads(zlib.decompress(state.get[0])) if state.exists else {}
+        folds: dict[str, linkage.Fold] = {}
+        before: set[str] = set()
         split = lambda x: [w for w in x.split(",") if w]
-        new = pd.concat(list(batches)).sort_values("seq").to_dict("records")
         touched: dict[str, dict] = {}
-        for r in new:
+        for r in linkage.records([pd.concat(list(batches)).sort_values("seq")]):
+            block = json.dumps([r.pop("_key"), r["_levels"]])
+            del r["_share"]
+            if block not in folds:
+                kept = [dict(q, _levels=q["_levels"].split(",")) for q in json.loads(held.get(block, "[]"))]
+                before |= {q["dedup_key"] for q in kept}
+                folds[block] = linkage.Fold(threshold, floor, kept)
             row = {
                 **r, "_levels": r["_levels"].split(","), "_quals": split(r["_quals"]), "_words": split(r["_words"]),
-                "sources": [r["source"]] if r["source"] else [], "seq": int(r["seq"]), "score": int(r["score"]), "_pref": int(r["_pref"]),
-                "_len": int(r["_len"])
+                "sources": [r["source"]] if r["source"] else []
             }
             row = {k: (None if isinstance(v, float) and v != v else v) for k, v in row.items()}
-            kept = linkage.join_one(kept, row, threshold, floor)
-            hit = next(k for k in kept if k.pop("_hit", False))
+            hit = folds[block].join(row)
             touched[hit["dedup_key"]] = hit
-        state.update((json.dumps([{**k, "_levels": ",".join(k["_levels"])} for k in kept]),))
+        held |= {block: json.dumps([{**q, "_levels": ",".join(q["_levels"])} for q in f.kept.values()]) for block, f in folds.items()}
+        state.update((zlib.compress(json.dumps(held).encode(), 1),))
         yield pd.DataFrame(
             [(k["dedup_key"], k["_blk"], k["seq"], k["sources"], k["dedup_key"] not in before) for k in touched.values()],
             columns=["dedup_key", "block", "seq", "sources", "fresh"]
         )
 
-    return keyed.groupBy("_key", "_levels").applyInPandasWithState(fold, LINKS, "survivors string", "update", "NoTimeout")
+    return keyed.groupBy("_share").applyInPandasWithState(fold, LINKS, "survivors binary", "update", "NoTimeout")
 
 
 def tumbling_counts(events: DataFrame, width: str = "1 hour", late: str | None = None) -> DataFrame:

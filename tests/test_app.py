@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pytest
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanworks.operators import catalog, discovery, linkage, store, versions
@@ -187,6 +187,31 @@ def test_linkage_as_a_stream_equals_batches(spark: SparkSession, tmp_path: Path)
     assert {k: v for k, v in found.items()} == {x["dedup_key"]: tuple(x["sources"]) for kept in plain.values() for x in kept}
 
 
+def test_streamed_linkage_packs_many_companies_into_few_states(spark: SparkSession, tmp_path: Path) -> None:
+    titles = ["Data Engineer", "Engineer, Data", "Chef", "Data Engineers", "Cook"]
+    rows = [(i, titles[i * i % 5], f"Firm {i % 60}", "", "", f"src{i % 2}", "t" * (i % 5), i % 4) for i in range(300)]
+    schema = "seq long, title string, company string, location string, url string, source string, text string, score int"
+    whole = spark.createDataFrame(rows, schema)
+    want = {(r.dedup_key, tuple(r.sources)) for r in linkage.linked(whole).collect()}
+    for n in range(3):
+        whole.where(F.floor(F.col("seq") / 100) == n).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    files_of = sorted(tmp_path.joinpath("in").glob("*.parquet"), key=lambda p: p.stat().st_mtime_ns)
+    assert len(files_of) == 3
+    found: dict[str, tuple] = {}
+    fresh: list[str] = []
+
+    def take(df: DataFrame, _: int) -> None:
+        for r in df.collect():
+            found[r.dedup_key] = tuple(r.sources)
+            fresh.extend([r.dedup_key] * r.fresh)
+
+    stream = upserts.linked_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"), shares=7)
+    query = stream.writeStream.outputMode("update").foreachBatch(take).option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    query.awaitTermination(300)
+    assert query.exception() is None and set(found.items()) == want and sorted(fresh) == sorted(found)
+    assert 0 < query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 7
+
+
 # ---- discovery, catalog
 
 def test_watchlists_grow_but_examples_do_not(spark: SparkSession, tmp_path: Path) -> None:
