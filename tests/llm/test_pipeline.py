@@ -49,3 +49,18 @@ def test_stages_take_nulls_long_texts_and_empty_tables(spark: SparkSession) -> N
             docs = stage(spark, docs, SF).cache()
             assert docs.count() <= 4 * len(data) + 400 and (name == "best_fit_packing" or docs.columns == list(corpus_pipeline.COLUMNS))
         assert (docs.count() > 0) == bool(data)
+
+
+def test_batches_of_long_texts_are_small(spark: SparkSession) -> None:
+    """A batch for a Python worker is bounded in bytes too, not in rows alone: 300 texts of 20,000 characters are several."""
+    from gleanworks.llm.common import small_batches
+
+    def sizes(batches):  # noqa: ANN001, ANN202
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "bytes": [batch.nbytes]})
+
+    small_batches(spark)
+    found = spark.range(300, numPartitions=1).selectExpr("repeat(cast(id as string), 8000) as text").mapInArrow(sizes, "rows long, bytes long").collect()
+    assert sum(r["rows"] for r in found) == 300 and max(r["bytes"] for r in found) < 2_000_000
