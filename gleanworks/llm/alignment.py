@@ -9,6 +9,7 @@ return, where B has entries like ``;\\r``). No merge can cross such a cut, so a
 are counted; each distinct one is tokenised and aligned once, in a table; counts of linked id pairs are sums over
 that table, weighted by how often a segment occurs. Then documents are composed: they become codes, the most
 frequent HEAD segments by their number, others by a place in the document's own list, whose alignments are joined back.
+What is joined back is most of the disk, so it travels packed: alignments with two characters a byte, codes seven bits a byte.
 
 Defined results: texts that are null, empty, or not spelled back by B (they hold its mark for a space) have no tokens:
 zeros and an empty groups_sha256, and their segments don't count. Repeated rows are documents each; a text without white
@@ -21,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from binascii import hexlify
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -46,6 +48,9 @@ MARK = "▁"
 BLANKS = " \t\n"
 COLUMNS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 SUMS = ("n_a", "n_b", "n_groups", "n_best", "count_sum")
+#: Numbers and groups are digits and these four, which stand as hexadecimal digits in packed ones.
+MARKS, AS_HEX = " ,|;", "abcd"
+AS_MARKS = bytes.maketrans(AS_HEX.encode(), MARKS.encode())
 
 
 def _byte_of() -> dict[str, int]:
@@ -246,6 +251,52 @@ def _with_numbers(shared: Broadcast):  # noqa: ANN202
     return add
 
 
+def packed(*values: Column) -> Column:
+    """Numbers, and groups as the last value, in half a byte a character."""
+    return F.unhex(F.translate(F.concat_ws(" ", *(v.cast("string") for v in values)), MARKS, AS_HEX))
+
+
+def own_segments(parts: DataFrame, aligned: DataFrame) -> DataFrame:
+    """(row, own): of each segment that a row holds itself, its place, the numbers of SUMS and its groups, packed."""
+    sent = aligned.select("segment", packed(*(F.col(c) for c in SUMS), F.col("groups")).alias("packed"))
+    # two packed values behind each other: the first ends in a blank
+    place = packed(F.col("place"), F.lit(""))
+    return parts.join(sent, "segment").select("row", F.concat(place, "packed").alias("own"))
+
+
+def unpacked(own: bytes) -> tuple[int, list[int], bytes]:
+    """Place, numbers and groups of a packed segment; an odd number of characters has a zero in front of its first number."""
+    place, *values, groups = hexlify(own).translate(AS_MARKS).split(b" ")
+    return int(place), [int(v) for v in values], groups
+
+
+def deflated(codes: list[int]) -> bytes:
+    """Codes in seven bits a byte, the lowest first, all but the last byte of a code marked, and compressed."""
+    if not codes:
+        return b""
+    left = np.array(codes, np.uint32)
+    width = max(1, -(-int(left.max()).bit_length() // 7))
+    out, there = np.empty((len(left), width), np.uint8), np.ones((len(left), width), bool)
+    for k in range(width):
+        if k:
+            there[:, k] = left > 0
+        out[:, k] = (left & 127) | ((left > 127) << 7)
+        left >>= 7
+    return zlib.compress(out[there].tobytes(), 1)
+
+
+def inflated(codes: bytes) -> np.ndarray:
+    """The codes that deflated() has packed."""
+    found = np.frombuffer(zlib.decompress(codes), np.uint8)
+    at = np.flatnonzero(found < 128)
+    sizes = np.diff(at, prepend=-1).astype(np.uint8)
+    codes = found[at].astype(np.int32)  # the highest bits, behind which the others go, byte by byte
+    for k in range(1, int(sizes.max())):
+        longer = np.flatnonzero(sizes > k)
+        codes[longer] = codes[longer] << 7 | found[at[longer] - k] & 127
+    return codes
+
+
 PARTS = "row long, doc_id long, codes binary, place int, segment string"
 
 
@@ -256,13 +307,15 @@ def compared(docs: DataFrame, path_a: str, path_b: str, head: int = HEAD, most:
     often = _most_frequent(aligned.where(F.length("segment") <= HEAD_CHARS), head)  # at most so many, whatever the corpus
     first = numbered(often, pairs, most).toArrow()
     shared = docs.sparkSession.sparkContext.broadcast((
-        {s: i for i, s in enumerate(first.column("segment").to_pylist())}, first.column("groups").cast(pa.binary()).to_pylist(),
-        np.stack([first.column(c).to_numpy() for c in SUMS], axis=1).reshape(-1, len(SUMS)).astype(np.int64)
+        {s: i for i, s in enumerate(first.column("segment").to_pylist(), 1)}, [b"", *first.column("groups").cast(pa.binary()).to_pylist()],
+        np.pad(np.stack([first.column(c).to_numpy() for c in SUMS], axis=1).reshape(-1, len(SUMS)).astype(np.int64), ((1, 0), (0, 0)))
     ))
     del first
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row of codes for each document (its own segments from -1 down), and a row for each of its own segments."""
+        """A row of codes for each document, and a row for each of its own segments: those that aren't shared.
+
+        Codes: from 1 shared segments, 0 the next of its own, those behind the shared ones one of its own again."""
         pair, place = pair_of(path_a, path_b), shared.value[0]
         names = [x.split()[0] for x in PARTS.split(", ")]
         for whole in batches:
@@ -272,10 +325,13 @@ def compared(docs: DataFrame, path_a: str, path_b: str, head: int = HEAD, most:
                 for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
                     others: dict[str, int] = {}
                     segments = pair.segments(text)
-                    line = [place.get(s, -1) for s in segments]
-                    if -1 in line:
-                        line = [-1 - others.setdefault(s, len(others)) if i < 0 else i for s, i in zip(segments, line, strict=True)]
-                    codes.append(zlib.compress(np.array(line, np.int32).tobytes(), 1) if line else b"")
+                    line = [place.get(s, 0) for s in segments]
+                    for i in [i for i, code in enumerate(line) if not code]:
+                        if segments[i] in others:
+                            line[i] = 1 + len(place) + others[segments[i]]
+                        else:
+                            others[segments[i]] = len(others)
+                    codes.append(deflated(line))
                     owners += [row] * len(others)
                     places += others.values()
                     own += others
@@ -297,17 +353,18 @@ def compared(docs: DataFrame, path_a: str, path_b: str, head: int = HEAD, most:
                 if not codes:
                     digests.append("")
                     continue
-                line = np.frombuffer(zlib.decompress(codes), np.int32)
-                spelled = [groups[i] if i >= 0 else b"" for i in line.tolist()]
-                sums[k] = numbers[line[line >= 0]].sum(axis=0)
+                line = inflated(codes)
+                mine = np.flatnonzero((line == 0) | (line >= len(groups)))
+                places = line[mine]
+                places = np.where(places, places - len(groups), np.cumsum(places == 0) - 1)
+                line[mine] = 0
+                spelled = [groups[i] for i in line.tolist()]
+                sums[k] = numbers[line].sum(axis=0)
                 if own:
-                    mine = {}
-                    for x in own:
-                        at, *values, text = x.split(" ")
-                        mine[int(at)] = (np.array(values, np.int64), text.encode())
-                    for i in np.flatnonzero(line < 0).tolist():
-                        values, spelled[i] = mine[-1 - int(line[i])]
-                        sums[k] += values
+                    _, values, texts = zip(*sorted(map(unpacked, own)), strict=True)
+                    sums[k] += np.array(values, np.int64)[places].sum(axis=0)
+                    for i, at in zip(mine.tolist(), places.tolist(), strict=True):
+                        spelled[i] = texts[at]
                 digests.append(hashlib.sha256(b";".join(spelled)).hexdigest())
             numbers_of = dict(zip(SUMS, sums.T, strict=True))
             numbers_of["n_links"] = numbers_of["n_groups"]  # a group has one pair of tokens that end together: its last ones
@@ -317,8 +374,7 @@ def compared(docs: DataFrame, path_a: str, path_b: str, head: int = HEAD, most:
 
     # written once: both kinds of rows are read from it, and the numbers of rows stay as they are
     parts = materialize(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).mapInArrow(coded, PARTS), "coded", "zstd")
-    rest = parts.where("segment is not null").select("row", "place", "segment").join(numbered(aligned, pairs, most).drop("n"), "segment")
-    own = rest.select("row", F.concat_ws(" ", F.col("place").cast("string"), *(F.col(c).cast("string") for c in SUMS), "groups").alias("own"))
+    own = own_segments(parts.where("segment is not null").select("row", "place", "segment"), numbered(aligned, pairs, most))
     own = own.groupBy("row").agg(F.collect_list("own").alias("own"))  # of one document: no more than it holds
     both = parts.where("segment is null").select("row", "doc_id", "codes").join(own, "row", "left").select("doc_id", "codes", "own")
     return both.mapInArrow(composed, "doc_id long, " + ", ".join(f"{c} long" for c in COLUMNS) + ", groups_sha256 string")

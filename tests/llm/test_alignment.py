@@ -104,6 +104,43 @@ def test_alignment_of_the_table(spark, pair):
     assert rows_of(alignment.compared(df, A, B)) == plain(pair, [tuple(r) for r in df.select("doc_id", "text").collect()])
 
 
+def test_codes_are_as_they_were():
+    draw = random.Random(5)
+    for most in (1, 127, 128, 300_000, 2**31 - 1):
+        for n in (1, 2, 500):
+            codes = [0, *(draw.randint(0, most) for _ in range(n)), most]
+            assert alignment.inflated(alignment.deflated(codes)).tolist() == codes
+    assert alignment.inflated(alignment.deflated([0])).tolist() == [0]
+    assert alignment.deflated([]) == b""
+
+
+def test_packed_segments_are_as_they_were(spark):
+    rows = [(r, p, s) for r, p, s in [(1, 0, "a"), (1, 10, "b"), (2, 123, "a"), (3, 7, "c")]]
+    found = {"a": (1, 1, 1, 0, 7, "5|60"), "b": (2, 3, 1, 10, 12_345_678_901_234, "1,2|3,4,5"), "c": (12, 1, 2, 1, 0, "0|0;1,22|3")}
+    aligned = spark.createDataFrame([(s, 1, *v) for s, v in found.items()], "segment string, n long, n_a long, n_b long, n_groups long, n_best long, count_sum long, groups string")
+    own = alignment.own_segments(spark.createDataFrame(rows, "row long, place int, segment string"), aligned).collect()
+    got = sorted((row, place, (*values, groups.decode())) for row, (place, values, groups) in ((x.row, alignment.unpacked(x.own)) for x in own))
+    assert got == sorted((r, p, found[s]) for r, p, s in rows)
+
+
+def test_what_is_joined_back_is_small(spark, pair, monkeypatch):
+    """Bytes of codes and of joined alignments, which are most of the query's disk (4 times its input before they were packed)."""
+    kind, tables, joined = type(spark.range(0)), {}, []
+    materialize, with_arrow = alignment.materialize, kind.mapInArrow
+    monkeypatch.setattr(alignment, "materialize", lambda df, what, *a: tables.setdefault(what, materialize(df, what, *a)))
+    monkeypatch.setattr(kind, "mapInArrow", lambda df, *a, **b: (joined.append(df) if "own" in df.columns else None, with_arrow(df, *a, **b))[1])
+    df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    made = rows_of(alignment.compared(df, A, B, 3000))
+    segments = sum(len(pair.segments(r.text)) for r in df.collect())
+    assert tables["coded"].agg(F.sum(F.octet_length("codes"))).first()[0] < 1.85 * segments
+    lengths = joined[0].select(F.explode("own").alias("own")).agg(F.count("*"), F.sum(F.octet_length("own"))).first()
+    groups = tables["coded"].where("segment is not null").join(tables["aligned"], "segment").agg(F.count("*"), F.sum(F.octet_length("groups"))).first()
+    assert lengths[0] == groups[0] > 1000
+    assert lengths[1] < 0.8 * groups[1]
+    monkeypatch.undo()
+    assert made == rows_of(alignment.compared(df, A, B))  # which is compared with whole texts above
+
+
 def test_alignment_of_nothing(spark):
     assert rows_of(alignment.compared(spark.createDataFrame([], "doc_id long, text string"), A, B)) == []
     assert rows_of(alignment.compared(spark.createDataFrame([(1, None)], "doc_id long, text string"), A, B)) == [(1, 0, 0, 0, 0, 0, 0, "")]
